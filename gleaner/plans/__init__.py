@@ -8,18 +8,7 @@ from gleaner.plans.registry import REGISTRY, Query, runner
 
 MODULES = (
     "health",
-    #     "articles",
-    #     "crawl",
-    #     "urls",
-    #     "dates",
-    #     "text",
-    #     "duplicates",
-    #     "html_pages",
-    #     "discovery",
-    #     "apis",
-    #     "ordered",
-    #     "digest",
-    #     "streams",
+    "articles",
 )
 
 
