@@ -9,6 +9,8 @@ from gleaner.plans.registry import REGISTRY, Query, runner
 MODULES = (
     "health",
     "articles",
+    "crawl",
+    "urls",
 )
 
 
