@@ -6,6 +6,8 @@ import ipaddress
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +32,12 @@ RESERVED_BLOCKS = (
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#@]*)"
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once. Filters are pushed through projections
+    by copying expressions, so a long one that is mentioned often must carry its own binding."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
 
@@ -117,18 +125,15 @@ def ipv4_number(ip: Column) -> Column:
 def is_reserved_ip(ip: Column) -> Column:
     """Range test against the reserved blocks; the bounds are computed once, when the plan is built."""
     nets = [ipaddress.ip_network(b) for b in RESERVED_BLOCKS]
-    n, low = ipv4_number(ip), F.lower(ip)
-    hit = F.lit(False)
-    for net in nets:
-        if net.version == 4:
-            hit = hit | F.coalesce(n.between(int(net.network_address), int(net.broadcast_address)), F.lit(False))
-        elif net.prefixlen == 128:
-            hit = hit | (low == str(net.network_address))
-        else:  # compare the first 16 bits; a shorter first group means leading zeros
-            first = F.conv(F.regexp_extract(low, r"^([0-9a-f]{1,4}):", 1), 16, 10).try_cast("int")
-            lo = int(net.network_address) >> 112
-            hit = hit | F.coalesce(first.between(lo, lo + (1 << (16 - net.prefixlen)) - 1), F.lit(False))
-    return hit
+    any_of = lambda tests: reduce(or_, tests, F.lit(False))
+    v4 = lambda n: any_of(n.between(int(b.network_address), int(b.broadcast_address)) for b in nets if b.version == 4)
+    # IPv6: single addresses by text, blocks by their first 16 bits (a shorter first group means leading zeros)
+    single = [str(b.network_address) for b in nets if b.version == 6 and b.prefixlen == 128]
+    wide = [(int(b.network_address) >> 112, 1 << (16 - b.prefixlen)) for b in nets if b.version == 6 and b.prefixlen < 128]
+    v6 = lambda g: any_of(g.between(lo, lo + size - 1) for lo, size in wide)
+    low = F.lower(ip)
+    group = F.conv(F.regexp_extract(low, r"^([0-9a-f]{1,4}):", 1), 16, 10).try_cast("int")
+    return F.coalesce(bind(ipv4_number(ip), v4), low.isin(single) | F.coalesce(bind(group, v6), F.lit(False)))
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls as U
+from gleaner.functions.urls import bind
 
 # Which failures may be tried again.
 RETRYABLE_CODES = (2001, 5001)
@@ -57,23 +58,22 @@ def route_by_policy(pages: DataFrame, policy: DataFrame) -> DataFrame:
 def crawl_plan(discovered: DataFrame, entry: DataFrame, direct: DataFrame, rules, cap: int = 100) -> DataFrame:
     """Union of the three url sets, validated, in order, first ``cap``."""
     every = discovered.select("url").unionByName(entry.select("url")).unionByName(direct.select("url")).distinct()
-    return every.filter(validation_code(F.col("url"), rules).isNull()).orderBy("url").limit(cap)
+    return with_validation(every, rules).filter("code IS NULL").select("url").orderBy("url").limit(cap)
 
 
-def validation_code(url: Column, rules) -> Column:
-    """1003 / 1001 protocol, 1005 reserved address, 1004 not on the allow-list, NULL when accepted."""
-    h = U.host(url)
-    return (
-        F.when(U.protocol_code(url).isNotNull(), U.protocol_code(url))
-        .when(U.is_reserved_ip(F.regexp_replace(h, r"[\[\]]", "")), F.lit(1005))
-        .when(~U.allowed(h, rules), F.lit(1004))
+def with_validation(df: DataFrame, rules) -> DataFrame:
+    """Adds ``code``: 1003 / 1001 protocol, 1005 reserved address, 1004 not allowed, NULL when accepted."""
+    url = F.col("url")
+    by_host = lambda h: F.when(U.is_reserved_ip(F.regexp_replace(h, r"[\[\]]", "")), F.lit(1005)).when(
+        ~U.allowed(h, rules), F.lit(1004)
     )
+    return df.withColumn("code", F.coalesce(U.protocol_code(url), bind(U.host(url), by_host)))
 
 
 def split_inputs(inputs: DataFrame, rules) -> tuple[DataFrame, DataFrame]:
     """(accepted, failure rows) of the distinct, trimmed, non-empty inputs."""
     clean = inputs.select(F.trim(F.coalesce("url", F.lit(""))).alias("url")).filter("url <> ''").distinct()
-    coded = clean.withColumn("code", validation_code(F.col("url"), rules))
+    coded = with_validation(clean, rules)
     return (
         coded.filter("code IS NULL").select("url"),
         coded.filter("code IS NOT NULL").select("url", "code", F.lit("validate").alias("stage")),

@@ -11,6 +11,7 @@ MODULES = (
     "articles",
     "crawl",
     "urls",
+    "dates",
 )
 
 
