@@ -12,6 +12,8 @@ MODULES = (
     "crawl",
     "urls",
     "dates",
+    "text",
+    "duplicates",
 )
 
 

@@ -45,3 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df, name: str):
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where several branches start from one costly, narrow result: the input is
+    read once, the lineage ends here, and lost executors do not bring it back.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
