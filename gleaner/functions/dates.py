@@ -26,6 +26,12 @@ def day(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "日", ""), "[年月/]", "-").try_cast("date")
 
 
+def joined(*parts: Column) -> Column:
+    """Year, month, day as a date; NULL when any part is missing or there is no such day."""
+    year, month, day_ = parts
+    return F.concat(year, F.lit("-"), month, F.lit("-"), day_).try_cast("date")
+
+
 def find(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 0)
 
@@ -102,7 +108,7 @@ def text_date(text: Column, as_of) -> Column:
         .when(days_ago.isNotNull(), F.date_sub(today, days_ago))
     )
     short = r"(?<![年0-9])(1[0-2]|0?[1-9])[-/月](0?[1-9]|[12]\d|3[01])日?(?![0-9])"
-    short_date = F.concat_ws("-", F.year(today), F.regexp_extract(text, short, 1), F.regexp_extract(text, short, 2)).try_cast("date")
+    short_date = joined(F.year(today), F.regexp_extract(text, short, 1), F.regexp_extract(text, short, 2))
     return F.coalesce(relative, latest_date(text, (CHINESE, MIXED)), short_date)
 
 
@@ -144,7 +150,6 @@ def body_date(text: Column) -> Column:
     iso, cn = r"20\d{2}[-/]\d{1,2}[-/]\d{1,2}", r"(20\d{2})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
     en = r"(?i)(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+(\d{1,2}),?\s+(20\d{2})"
     part = lambda p, i: F.regexp_extract(text, p, i)
-    joined = lambda *parts: F.concat_ws("-", *parts).try_cast("date")
     month = F.array_position(F.array(*[F.lit(m.lower()) for m in MONTHS]), F.lower(part(en, 1)))
     return F.coalesce(
         day(find(text, iso)), joined(part(cn, 1), part(cn, 2), part(cn, 3)), joined(part(en, 3), month, part(en, 2))
@@ -157,7 +162,7 @@ def loose_date(text: Column) -> Column:
     three = r"(\d{4})\D+(\d{1,2})\D+(\d{1,2})"
     return F.coalesce(
         find(s, r"20\d{2}-\d{2}-\d{2}").try_cast("date"),
-        F.concat_ws("-", *[F.regexp_extract(s, three, i) for i in (1, 2, 3)]).try_cast("date"),
+        joined(*[F.regexp_extract(s, three, i) for i in (1, 2, 3)]),
     )
 
 
@@ -205,7 +210,7 @@ def api_date(number: Column, text: Column) -> Column:
         F.when(cut.rlike(rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{clock}$"), day(F.regexp_extract(cut, r"^([\d-]+)", 1))),
         F.when(
             cut.rlike(r"^\d{8}$"),
-            F.concat_ws("-", F.substring(cut, 1, 4), F.substring(cut, 5, 2), F.substring(cut, 7, 2)).try_cast("date"),
+            joined(F.substring(cut, 1, 4), F.substring(cut, 5, 2), F.substring(cut, 7, 2)),
         ),
         F.when(F.regexp_extract(s, r"(20\d{2}(?:-\d{2}-\d{2}|/\d{2}/\d{2}))", 1) != "", day(find(s, r"20\d{2}[-/]\d{2}[-/]\d{2}"))),
     )

@@ -14,6 +14,7 @@ MODULES = (
     "dates",
     "text",
     "duplicates",
+    "html_pages",
 )
 
 

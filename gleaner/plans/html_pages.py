@@ -1,0 +1,269 @@
+"""Page markup: text, blocks, relevance, pruning, images, next pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gleaner.functions import html as H
+from gleaner.functions import text as T
+from gleaner.operators import chunks, pages as op
+from gleaner.plans.registry import query
+from gleaner.sources.html import with_nodes
+
+STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+BARE = "regexp_replace(html, '(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>|<!--.*?-->|<!DOCTYPE[^>]*>', '<x>', 'g')"
+
+
+def joined(markup: str, sep: str) -> str:
+    """Independent text of a piece of markup: split at tags, unescape, trim, drop empties, join."""
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({markup}, '<[^>]*>'), lambda s: {STRIP.format(UNESCAPE.format('s'))}), lambda s: s <> ''), {sep})"
+
+
+# p, h1 and li elements in page order; an unclosed p ends where the next one starts
+BLOCKS = f"""SELECT page_id, pos, {joined('x', "''")} AS text FROM (SELECT page_id, unnest(e) AS x, unnest(range(len(e))) AS pos FROM (
+    SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace({BARE}, '(<p>)', '</p>\\1', 'g'), '</article>', '</p></article>', 'g'),
+      '(?s)<(?:p|h1|li)>.*?</(?:p|h1|li)>') AS e FROM pages))"""
+LONG_BLOCKS = f"SELECT * FROM ({BLOCKS}) WHERE length(text) >= 10"
+TOKENS = "list_transform(list_filter(regexp_extract_all({}, '[a-zA-Z]+|[一-龥]+'), lambda w: regexp_matches(w, '^[a-zA-Z]') OR length(w) >= 2), lambda w: lower(w))"
+TERMS = f"""SELECT page_id, list_distinct(list_filter({TOKENS.format(UNESCAPE.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))}, lambda w: length(w) > 1)) AS terms FROM pages"""
+BM25 = f"""WITH b AS ({LONG_BLOCKS}), t AS (SELECT page_id, pos, unnest({TOKENS.format('text')}) AS w FROM b),
+    tf AS (SELECT page_id, pos, w, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT page_id, w, count(*) AS df FROM tf GROUP BY ALL),
+    s AS (SELECT page_id, count(*) AS n, avg(length(text)) AS avg_len FROM b GROUP BY page_id), q AS (SELECT page_id, unnest(terms) AS w FROM ({TERMS})),
+    sc AS (SELECT b.page_id, b.pos, round(coalesce(sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (length(b.text) / avg_len))))), 0), 6) AS score
+      FROM b JOIN s USING (page_id) LEFT JOIN (q JOIN df USING (page_id, w) JOIN tf USING (page_id, w)) j ON j.page_id = b.page_id AND j.pos = b.pos GROUP BY b.page_id, b.pos)"""
+
+
+def nodes(t, *columns):
+    return with_nodes(t.pages.select("page_id", "url", "html", *columns))
+
+
+@query("html_text", f"""SELECT page_id, {joined(BARE, 'chr(10)')} AS plaintext FROM pages""")
+def _(t):
+    return nodes(t).select("page_id", H.page_text().alias("plaintext"))
+
+
+MD_STEPS = [
+    ("(?is)<!--.*?-->|<(?:script|style|title)\\b[^>]*>.*?</(?:script|style|title)\\s*>|<!DOCTYPE[^>]*>|<img\\b[^>]*>", "''"),
+    ("\\s+", "' '"),
+    ("(?is)<a\\b[^>]*?href\\s*=\\s*\"([^\"]*)\"[^>]*>([^<]*)</a\\s*>", "'[\\2](\\1)'"),
+    ("(?is)\\s*<h1\\b[^>]*>\\s*", "chr(10) || chr(10) || '# '"),
+    ("(?is)\\s*<li\\b[^>]*>\\s*", "chr(10) || '* '"),
+    ("(?is)<br\\s*/?>", "'  ' || chr(10)"),
+    ("(?is)\\s*</?(?:p|div|section|article|ul|ol|table|tr|nav|footer|header|body|h[1-6])\\b[^>]*>\\s*", "chr(10) || chr(10)"),
+    ("(?s)<[^>]*>", "''"),
+    ("\\n{3,}", "chr(10) || chr(10)"),
+]
+MD = "html"
+for _pattern, _to in MD_STEPS:
+    MD = f"regexp_replace({MD}, '{_pattern}', {_to}, 'g')"
+MD = STRIP.format(UNESCAPE.format(MD))
+
+
+@query("html_markdown", f"SELECT page_id, {MD} AS markdown FROM pages")
+def _(t):
+    return t.pages.select("page_id", H.markdown(F.col("html")).alias("markdown"))
+
+
+@query("text_blocks", LONG_BLOCKS)
+def _(t):
+    return block_rows(t)
+
+
+def block_rows(t):
+    found = nodes(t).select("page_id", F.explode(H.blocks()).alias("b"))
+    return found.select("page_id", F.col("b.pos").cast("bigint").alias("pos"), "b.text")
+
+
+@query("page_query_terms", f"SELECT page_id, array_to_string(list_sort(terms), ' ') AS terms FROM ({TERMS})")
+def _(t):
+    return t.pages.select("page_id", F.array_join(F.array_sort(H.query_terms(F.col("html"))), " ").alias("terms"))
+
+
+@query(
+    "block_doc_freq",
+    f"""WITH b AS ({LONG_BLOCKS}), s AS (SELECT page_id, count(*) AS blocks, round(avg(length(text)), 4) AS mean_length FROM b GROUP BY page_id)
+    SELECT page_id, token, df, blocks, mean_length FROM (SELECT page_id, token, count(*) AS df FROM
+      (SELECT page_id, pos, unnest(list_distinct({TOKENS.format('text')})) AS token FROM b) GROUP BY page_id, token) JOIN s USING (page_id)""",
+)
+def _(t):
+    return op.block_doc_freq(nodes(t))
+
+
+def scored(t):
+    return nodes(t).select("page_id", H.bm25(H.blocks(), H.query_terms(F.col("html"))).alias("scored"))
+
+
+@query("bm25_blocks", f"{BM25} SELECT page_id, pos, score FROM sc")
+def _(t):
+    return scored(t).select("page_id", F.explode("scored").alias("b")).select("page_id", F.col("b.pos").cast("bigint").alias("pos"), "b.score")
+
+
+@query(
+    "main_content_run",
+    f"""{BM25}, m AS (SELECT *, max(score) OVER (PARTITION BY page_id) AS top, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS i FROM sc),
+    h AS (SELECT *, i - row_number() OVER (PARTITION BY page_id ORDER BY pos) AS island FROM m WHERE top > 0 AND score >= top * 0.15::DOUBLE),
+    r AS (SELECT page_id, island, count(*) AS n, min(pos) AS a, max(pos) AS z FROM h GROUP BY ALL),
+    best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, a) = 1)
+    SELECT m.page_id, m.pos FROM m LEFT JOIN best USING (page_id) WHERE coalesce(n, 0) <= 1 OR m.pos BETWEEN a AND z""",
+)
+def _(t):
+    kept = scored(t).select("page_id", F.explode(H.main_run(F.col("scored"))).alias("b"))
+    return kept.select("page_id", F.col("b.pos").cast("bigint").alias("pos"))
+
+
+PRUNED = """CASE WHEN length(html) < 500 THEN html ELSE regexp_replace(regexp_replace(html, '(?s)<div class="ad">.*?</div>[^<]*', '', 'g'), '(?s)<section id="related">.*?</section>[^<]*', '', 'g') END"""
+DRESSED = """IF(page_id % 3 = 0, replace(html, '<article>', '<section id="related"><p>See <i>also</i></p></section> tail <article>'), html)"""
+
+
+@query(
+    "prune_html",
+    f"""SELECT page_id, {PRUNED} AS pruned FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN
+      replace(html, '<article>', '<section id="related"><p>See <i>also</i></p></section> tail <article>') ELSE html END AS html FROM pages)""",
+)
+def _(t):
+    dressed = with_nodes(t.pages.withColumn("html", F.expr(DRESSED)))
+    return dressed.select("page_id", H.pruned(F.col("html")).alias("pruned"))
+
+
+@query("filter_choice")
+def _(t):
+    return op.filter_choice(t.pages).select("page_id", "pruned_chars", "relevant_chars", "choice")
+
+
+MEDIA = """concat('<html><head>', CASE page_id % 4 WHEN 0 THEN concat('<meta property="og:site_name" content=" Site ', page_id, ' ">') WHEN 1 THEN '<meta name="author" content="Ann">' ELSE '' END,
+  '</head><body><p>', CASE page_id % 4 WHEN 2 THEN '来源: 新华社 网' WHEN 3 THEN '来源：无' ELSE '' END, '</p><img src="/i', page_id, '.png" alt=" a ', page_id % 3, ' "><img alt="none"><a href="/F', page_id, '.PDF">Doc <b>one</b></a>',
+  '<a href="/f', page_id, '.pdf">again</a><a href=" x/y.zip ">zip</a><a href="/n.html">no</a></body></html>')"""
+
+
+@query(
+    "images",
+    "SELECT page_id, concat('/i', page_id, '.png') AS src, concat('a ', page_id % 3) AS alt FROM pages",
+)
+def _(t):
+    made = with_nodes(t.pages.select("page_id", "url", F.expr(MEDIA).alias("html")))
+    return made.select("page_id", F.inline(H.images()))
+
+
+@query(
+    "attachments",
+    """SELECT page_id, concat('/F', page_id, '.PDF') AS href, 'Docone' AS text FROM pages UNION ALL SELECT page_id, 'x/y.zip', 'zip' FROM pages""",
+)
+def _(t):
+    made = with_nodes(t.pages.select("page_id", "url", F.expr(MEDIA).alias("html")))
+    return made.select("page_id", F.inline(H.attachments()))
+
+
+@query(
+    "source_unit",
+    "SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('Site ', page_id) WHEN 1 THEN 'Ann' WHEN 2 THEN concat('新华社 网', chr(10), 'Doc', chr(10), 'one', chr(10), 'again', chr(10), 'zip', chr(10), 'no') END AS source_unit FROM pages",
+)
+def _(t):
+    made = with_nodes(t.pages.select("page_id", "url", F.expr(MEDIA).alias("html")))
+    return made.select("page_id", H.source_unit().alias("source_unit"))
+
+
+PAGED = """concat('<html><head>', CASE page_id % 8 WHEN 0 THEN '<link rel="next" href="/p2">' WHEN 1 THEN '<link rel="next" href="javascript:go()">' ELSE '' END, '</head><body>',
+  CASE page_id % 8 WHEN 2 THEN '<a rel="nofollow next" href="q?page=9#f">x</a>' WHEN 3 THEN '<a class="btn next" href="../n3.html">3</a>' WHEN 4 THEN '<a href="javascript:x">下一页</a><a href="z.html"><span>下一页</span></a>' ELSE '<a href="/a">a</a>' END, '</body></html>')"""
+LIST_URL = "concat('http://h', page_id % 5, '.example.com/l/m/', IF(page_id % 8 = 6, concat(page_id, '.html'), 'list'), IF(page_id % 8 = 5, concat('?k=v&page=', page_id), ''))"
+DUCK_LIST_URL = "concat('http://h', page_id % 5, '.example.com/l/m/', CASE WHEN page_id % 8 = 6 THEN concat(page_id, '.html') ELSE 'list' END, CASE WHEN page_id % 8 = 5 THEN concat('?k=v&page=', page_id) ELSE '' END)"
+NEXT = """CASE page_id % 8 WHEN 0 THEN concat('http://h', page_id % 5, '.example.com/p2') WHEN 2 THEN concat('http://h', page_id % 5, '.example.com/l/m/q?page=9#f')
+  WHEN 3 THEN concat('http://h', page_id % 5, '.example.com/l/n3.html') WHEN 4 THEN concat('http://h', page_id % 5, '.example.com/l/m/z.html')
+  WHEN 5 THEN concat('http://h', page_id % 5, '.example.com/l/m/list?k=v&page=', page_id + 1)"""
+
+
+@query("next_page_url", f"SELECT page_id, {NEXT} END AS next_url FROM pages")
+def _(t):
+    made = with_nodes(t.pages.select("page_id", F.expr(LIST_URL).alias("url"), F.expr(PAGED).alias("html")))
+    return made.select("page_id", H.next_page(F.col("url")).alias("next_url"))
+
+
+@query(
+    "article_next_page",
+    f"""SELECT page_id, CASE WHEN page_id % 8 = 0 AND page_id % 3 = 0 THEN NULL WHEN page_id % 8 = 1 THEN 'javascript:go()' WHEN page_id % 8 = 4 THEN 'javascript:x'
+    ELSE {NEXT} WHEN 6 THEN concat('http://h', page_id % 5, '.example.com/l/m/', page_id + 1, '.html') END END AS next_url FROM pages""",
+)
+def _(t):
+    made = with_nodes(t.pages.select("page_id", F.expr(LIST_URL).alias("url"), F.expr(PAGED).alias("html")))
+    seen = F.array(F.col("url"), F.expr("concat('http://h', page_id % 5, '.example.com/', IF(page_id % 3 = 0, 'p2', 'other'))"))
+    return made.select("page_id", H.article_next_page(F.col("url"), seen).alias("next_url"))
+
+
+DATED_PAGE = """concat('<html><head>', CASE page_id % 7 WHEN 0 THEN '<script type="application/ld+json">{"@graph":[{"datePublished":"2024-01-09T00:00:00"}]}</script>'
+  WHEN 1 THEN '<meta name="date" content="2023/11/02 x"><meta name="pubdate" content="2023-12-01">' ELSE '' END, '</head><body>', CASE page_id % 7 WHEN 2 THEN '<time>now</time><time datetime="2022-05-06T07:08">x</time>'
+  WHEN 3 THEN '<span class="post-date big">3 天前</span>' WHEN 4 THEN '<div id="pubtime">2021年3月4日</div>' WHEN 5 THEN '<article><p>on 2020-10-11</p></article>' ELSE '<p>2020-10-11</p>' END, '</body></html>')"""
+
+
+@query(
+    "article_date",
+    """SELECT page_id, CASE page_id % 7 WHEN 0 THEN DATE '2024-01-09' WHEN 1 THEN DATE '2023-12-01' WHEN 2 THEN DATE '2022-05-06' WHEN 3 THEN DATE '2024-02-26'
+    WHEN 4 THEN DATE '2021-03-04' WHEN 5 THEN DATE '2020-10-11' END AS found FROM pages""",
+)
+def _(t):
+    made = with_nodes(t.pages.select("page_id", "url", F.expr(DATED_PAGE).alias("html")))
+    return made.select("page_id", H.article_date("2024-02-29").alias("found"))
+
+
+SHRUNK = "html"
+for _tag in H.SHRUNK_TAGS:
+    SHRUNK = f"regexp_replace({SHRUNK}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
+
+
+@query("shrink_html", f"SELECT page_id, substr({SHRUNK}, 1, 12000) AS shrunk FROM pages")
+def _(t):
+    return t.pages.select("page_id", H.shrunk(F.col("html")).alias("shrunk"))
+
+
+DENSITY = f"""SELECT page_id, CASE WHEN n < 50 THEN 1.0::DOUBLE ELSE round(l / n, 6) END AS density FROM (SELECT page_id,
+    length({joined("regexp_extract(" + BARE + ", '(?is)<body[^>]*>(.*)', 1)", "''")}) AS n,
+    coalesce(list_sum(list_transform(regexp_extract_all(html, '(?s)<a [^>]*>(.*?)</a>', 1), lambda a: length({joined('a', "''")}))), 0)::DOUBLE AS l FROM pages)"""
+
+
+@query("link_density", DENSITY)
+def _(t):
+    return nodes(t).select("page_id", F.round(H.link_density(), 6).alias("density"))
+
+
+@query(
+    "page_routing",
+    f"""SELECT page_id, CASE WHEN density >= 0.35 THEN 'list' WHEN d IS NULL THEN 'pending' WHEN d BETWEEN DATE '2024-01-10' AND DATE '2024-01-25' THEN 'article' ELSE 'filtered' END AS route
+    FROM ({DENSITY}) JOIN (SELECT page_id AS pid, CASE WHEN page_id % 3 > 0 THEN DATE '2024-01-01' + (page_id % 31)::INTEGER END AS d FROM pages) ON pid = page_id""",
+)
+def _(t):
+    stamped = F.expr("""IF(page_id % 3 > 0, replace(html, '<nav>', concat('<time datetime="', date_add(DATE'2024-01-01', CAST(page_id % 31 AS INT)), '"></time><nav>')), html)""")
+    return op.page_routing(with_nodes(t.pages.withColumn("html", stamped)), "2024-01-10", "2024-01-25", "2024-02-29")
+
+
+@query(
+    "text_density_filter",
+    f"""SELECT page_id, CASE WHEN length({MD}) / length(html) < 0.15 THEN 'sparse' WHEN list_sum(list_transform(regexp_extract_all(html, '(?s)<a [^>]*>(.*?)</a>', 1),
+      lambda a: length({joined('a', "''")}))) / length({MD}) > 0.5 THEN 'list' ELSE 'article' END AS verdict FROM pages""",
+)
+def _(t):
+    return op.text_density(nodes(t))
+
+
+@query("chunk_overlap")
+def _(t):
+    packed = chunks.pack_blocks(H.chunk_blocks(F.col("html")), budget=400)
+    whole = F.when(F.floor(F.length("html") / 2) <= 400, F.array("html")).otherwise(packed)
+    cut = nodes(t).select("page_id", F.posexplode(whole).alias("chunk", "text"))
+    return cut.select("page_id", F.col("chunk").cast("bigint").alias("chunk"), F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+@query(
+    "multipage_merge",
+    """WITH p AS (SELECT page_id, concat('http://h.example.com/s/', page_id, '.html') AS url, CASE WHEN page_id % 4 < 3 THEN concat('http://h.example.com/s/', page_id + 1, '.html') END AS next_url,
+      trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS body FROM pages)
+    SELECT a.page_id, CAST(1 + (b.url IS NOT NULL)::INT + (c.url IS NOT NULL)::INT + (d.url IS NOT NULL)::INT AS INTEGER) AS parts,
+      concat_ws(chr(10) || chr(10), a.body, b.body, c.body, d.body) AS body
+    FROM p a LEFT JOIN p b ON b.url = a.next_url LEFT JOIN p c ON c.url = b.next_url LEFT JOIN p d ON d.url = c.next_url""",
+)
+def _(t):
+    made = t.pages.select(
+        "page_id",
+        F.expr("concat('http://h.example.com/s/', page_id, '.html')").alias("url"),
+        F.expr("IF(page_id % 4 < 3, concat('http://h.example.com/s/', page_id + 1, '.html'), NULL)").alias("next_url"),
+        F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("body"),
+    )
+    return op.multipage_merge(made).select("page_id", "parts", "body")
