@@ -15,6 +15,7 @@ MODULES = (
     "text",
     "duplicates",
     "html_pages",
+    "discovery",
 )
 
 
