@@ -106,8 +106,11 @@ def root_domain(netloc_col: Column) -> Column:
 
 def same_site(url: Column, entry: Column) -> Column:
     """Same host, same root without 'www.', or a subdomain of the entry's root."""
-    h, root = netloc(url), root_domain(entry)
-    return (h == entry) | ((root != "") & ((root_domain(h) == root) | h.endswith(F.concat(F.lit("."), root))))
+    root = root_domain(entry)
+    return bind(
+        netloc(url),
+        lambda h: (h == entry) | bind(root, lambda r: (r != "") & ((root_domain(h) == r) | h.endswith(F.concat(F.lit("."), r)))),
+    )
 
 
 def protocol_code(url: Column) -> Column:

@@ -77,14 +77,16 @@ def looks_like_article(signals: Column) -> Column:
 
 def hub_links(links: DataFrame) -> DataFrame:
     """Short same-site links that lead to news sections, with a fixed high score."""
-    text, url = strip(F.col("text")), F.col("url")
-    p = U.path(url)
-    detail = p.rlike(r"/\d+/\d+\.(?:htm|html|shtml)$")
-    file = p.rlike(r"\.(?:pdf|doc|docx|zip|rar)\z")
-    relevant = text.rlike("|".join(HUB_WORDS)) | F.lower(url).rlike("|".join(HUB_PATHS))
-    return links.filter(
-        F.length(text).between(2, 8) & url.rlike("^https?://") & U.same_site(url, F.col("site")) & ~detail & ~file & relevant
-    ).withColumn("score", F.lit(HUB_SCORE))
+    url = F.col("url")
+    named = bind(
+        strip(F.col("text")),
+        lambda x: F.length(x).between(2, 8) & (x.rlike("|".join(HUB_WORDS)) | F.lower(url).rlike("|".join(HUB_PATHS))),
+    )
+    # article pages by number, and files to download
+    leaf = U.path(url).rlike(r"/\d+/\d+\.(?:htm|html|shtml)$|\.(?:pdf|doc|docx|zip|rar)\z")
+    return links.filter(named & url.rlike("^https?://") & ~leaf & U.same_site(url, F.col("site"))).withColumn(
+        "score", F.lit(HUB_SCORE)
+    )
 
 
 def portal_pages(pages_with_nodes: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ MODULES = (
     "duplicates",
     "html_pages",
     "discovery",
+    "ordered",
 )
 
 

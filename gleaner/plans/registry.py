@@ -50,6 +50,8 @@ def with_tables(names: str, sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{n} AS ({DOMAIN_SQL[n][1].strip()})" for n in needed)
     body = sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
