@@ -16,7 +16,10 @@ MODULES = (
     "duplicates",
     "html_pages",
     "discovery",
+    "apis",
     "ordered",
+    "digest",
+    "streams",
 )
 
 

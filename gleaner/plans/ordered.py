@@ -164,9 +164,7 @@ def _(t):
     return op.block_counts(t.attempts)
 
 
-@query(
-    "login_lockout",
-    """WITH RECURSIVE e AS (SELECT user_id % 3 AS ip, epoch_us(ts) AS moment, event_id, CASE event_type WHEN 'signup' THEN 'success' WHEN 'view' THEN 'unknown' ELSE 'failure' END AS kind,
+LOCKOUT = """WITH RECURSIVE e AS (SELECT user_id % 3 AS ip, epoch_us(ts) AS moment, event_id, CASE event_type WHEN 'signup' THEN 'success' WHEN 'view' THEN 'unknown' ELSE 'failure' END AS kind,
       row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS rn FROM events),
     r AS (SELECT ip, moment, event_id, rn, CASE WHEN kind = 'failure' THEN 1 ELSE 0 END AS fails, CASE WHEN kind = 'failure' THEN moment + 900000000 ELSE 0 END AS until,
         CASE kind WHEN 'failure' THEN 'failed' WHEN 'success' THEN 'welcome' ELSE 'rejected' END AS verdict FROM e WHERE rn = 1
@@ -176,8 +174,10 @@ def _(t):
         CASE WHEN e.moment < r.until AND r.fails >= 5 THEN r.until WHEN kind = 'failure' THEN e.moment + 900000000 ELSE r.until END,
         CASE WHEN e.moment < r.until AND r.fails >= 5 THEN 'locked' WHEN kind = 'failure' THEN 'failed' WHEN kind = 'success' THEN 'welcome' ELSE 'rejected' END
       FROM r JOIN e ON e.ip = r.ip AND e.rn = r.rn + 1)
-    SELECT ip, moment, event_id, verdict, CAST(fails AS BIGINT) AS fails FROM r""",
-)
+    SELECT ip, moment, event_id, verdict, CAST(fails AS BIGINT) AS fails FROM r"""
+
+
+@query("login_lockout", LOCKOUT)
 def _(t):
     tries = t.raw("events").select(
         F.expr("user_id % 3").alias("ip"), F.unix_micros(F.col("ts").cast("timestamp")).alias("moment"), "event_id",
