@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls as U
-from gleaner.functions.urls import bind
+from gleaner.functions.stage import bind
 
 # What marks a publication date in running text.
 PUBLISH_WORDS = ("发布时间", "发布日期", "更新于", "发布于", "发表于", "撰稿")
@@ -100,16 +100,21 @@ def url_not_rejected(url: Column, target, to) -> Column:
 def text_date(text: Column, as_of) -> Column:
     """Relative words, else the latest full date, else a month-day in the year of ``as_of``."""
     today = as_date(as_of)
-    days_ago = F.regexp_extract(text, r"(\d+)\s*天前", 1).try_cast("int")
-    relative = (
-        F.when(text.contains("昨天"), F.date_sub(today, 1))
-        .when(text.contains("前天"), F.date_sub(today, 2))
-        .when(text.rlike(r"\d+\s*分钟前") | text.rlike(r"\d+\s*小时前"), today)
-        .when(days_ago.isNotNull(), F.date_sub(today, days_ago))
-    )
     short = r"(?<![年0-9])(1[0-2]|0?[1-9])[-/月](0?[1-9]|[12]\d|3[01])日?(?![0-9])"
-    short_date = joined(F.year(today), F.regexp_extract(text, short, 1), F.regexp_extract(text, short, 2))
-    return F.coalesce(relative, latest_date(text, (CHINESE, MIXED)), short_date)
+
+    def read(s: Column) -> Column:
+        days_ago = bind(F.regexp_extract(s, r"(\d+)\s*天前", 1).try_cast("int"), lambda n: F.date_sub(today, n))
+        relative = (
+            F.when(s.contains("昨天"), F.date_sub(today, 1))
+            .when(s.contains("前天"), F.date_sub(today, 2))
+            .when(s.rlike(r"\d+\s*(?:分钟|小时)前"), today)
+            .otherwise(days_ago)
+        )
+        short_date = joined(F.year(today), F.regexp_extract(s, short, 1), F.regexp_extract(s, short, 2))
+        return F.coalesce(relative, latest_date(s, (CHINESE, MIXED)), short_date)
+
+    # most anchors hold no digit at all and are settled by this test
+    return bind(text, lambda s: F.when(s.rlike("[0-9]|昨天|前天"), read(s)))
 
 
 def latest_date(text: Column, patterns=(DASHED, SLASHED, CHINESE)) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dates as D
 from gleaner.functions.text import strip, tokens, unescape
-from gleaner.functions.urls import bind, path
+from gleaner.functions.stage import bind
+from gleaner.functions.urls import path
 
 NODES, TEXTS = F.col("nodes"), F.col("texts")
 

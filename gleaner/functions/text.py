@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.urls import bind
+from gleaner.functions.stage import bind, once
 
 # Titles that end in one of these belong to static pages.
 STATIC_TITLES = (
@@ -92,28 +92,31 @@ def fingerprint(title: Column, body: Column) -> Column:
 def simhash64(text: Column) -> Column:
     """Signed 64-bit SimHash over token occurrences; NULL when there is no token.
 
-    Bit counts are kept as 32 longs of two 32-bit lanes each, so a token costs 32
-    additions and the whole thing stays inside the row: no explode, no shuffle.
+    Bits are counted in eight longs of eight 8-bit lanes, 127 tokens at a time (no lane,
+    not even the one with the sign bit, can overflow then), and the slices' counts are
+    added up. A token costs eight additions and everything stays inside the row: no
+    explode, no shuffle.
     """
+    long = lambda n: F.lit(n).cast("bigint")
+    ones, full = long(0x0101010101010101), 127
+    shift = lambda x, by: F.call_function("shiftrightunsigned", x, by)
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-zA-Z]+|[一-龥]{2,}"), F.lit(0))
-    lanes = F.lit(0x0000000100000001).cast("bigint")
-    low_lane = F.lit(0xFFFFFFFF).cast("bigint")
+    to_long = lambda w: F.conv(F.substring(F.md5(w), 17, 16), 16, -10).cast("bigint")
 
-    def hashed(ws: Column) -> Column:
-        h = F.transform(ws, lambda w: F.conv(F.substring(F.md5(w), 17, 16), 16, -10).cast("bigint"))
-        zero = F.array_repeat(F.lit(0).cast("bigint"), 32)
-        add = lambda acc, x: F.transform(acc, lambda c, k: c + F.call_function("shiftrightunsigned", x, k).bitwiseAND(lanes))
-        counts = F.aggregate(h, zero, add)
-        n = F.size(ws).cast("bigint")
+    def lanes(part: Column) -> Column:
+        """64 counts of one slice; entry 8k + j counts bit 8j + k."""
+        packed = F.aggregate(part, F.array_repeat(long(0), 8), lambda acc, x: F.transform(acc, lambda c, k: c + shift(x, k).bitwiseAND(ones)))
+        places = F.array(*[F.lit(8 * j) for j in range(8)])
+        return F.flatten(F.transform(packed, lambda c: F.transform(places, lambda p: shift(c, p).bitwiseAND(long(0xFF)))))
 
-        def bits(c: Column, k: Column) -> Column:
-            low = F.when(c.bitwiseAND(low_lane) * 2 > n, F.call_function("shiftleft", F.lit(1).cast("bigint"), k)).otherwise(0)
-            high = F.when(F.shiftrightunsigned(c, 32) * 2 > n, F.call_function("shiftleft", F.lit(1).cast("bigint"), k + 32)).otherwise(0)
-            return low.bitwiseOR(high)
+    def signed(h: Column) -> Column:
+        n = F.size(h)
+        parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / full).cast("int")), lambda i: F.slice(h, i * full + 1, F.lit(full)))
+        counts = F.aggregate(parts, F.array_repeat(long(0), 64), lambda a, p: F.zip_with(a, lanes(p), lambda x, y: x + y))
+        bit = lambda c, i: F.when(c * 2 > n, F.call_function("shiftleft", long(1), F.pmod(i, F.lit(8)) * 8 + F.floor(i / 8).cast("int"))).otherwise(long(0))
+        return F.aggregate(F.transform(counts, bit), long(0), lambda a, b: a.bitwiseOR(b))
 
-        return F.aggregate(F.transform(counts, bits), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
-
-    return bind(words, lambda ws: F.when(F.size(ws) > 0, hashed(ws)))
+    return bind(F.transform(words, to_long), lambda h: F.when(F.size(h) > 0, signed(h)))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -163,9 +166,10 @@ def language(text: Column) -> Column:
     return bind(head, decide)
 
 
-def language_ok(text: Column, expected) -> Column:
-    found = language(text)
-    return found.isNull() | found.isin(*expected)
+def language_gate(df: DataFrame, text: str, expected) -> DataFrame:
+    """Rows in an expected language or in none that can be told; adds ``found``."""
+    told = once(df, "found", language(F.col(text)))
+    return told.filter(F.col("found").isNull() | F.col("found").isin(*expected))
 
 
 def static_title(title: Column) -> Column:
@@ -206,9 +210,9 @@ def body_text_length(html: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """The character references web pages mostly use."""
-    for name, char in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
+    """The character references web pages mostly use, with or without their semicolon."""
+    for pattern, char in (("&nbsp;?", " "), ("&quot;?", '"'), ("&#39;?", "'"), ("&lt;?", "<"), ("&gt;?", ">"), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+        text = F.regexp_replace(text, pattern, char)
     return text
 
 

@@ -12,6 +12,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.functions.stage import bind
+
 # Query parameters that only track the visitor.
 TRACKING_PARAMS = (
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content",
@@ -32,12 +34,6 @@ RESERVED_BLOCKS = (
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#@]*)"
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once. Filters are pushed through projections
-    by copying expressions, so a long one that is mentioned often must carry its own binding."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls as U
-from gleaner.functions.urls import bind
+from gleaner.functions.stage import bind
 
 # Which failures may be tried again.
 RETRYABLE_CODES = (2001, 5001)

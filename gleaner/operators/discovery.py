@@ -9,7 +9,7 @@ from gleaner.functions import dates as D
 from gleaner.functions import html as H
 from gleaner.functions import urls as U
 from gleaner.functions.text import strip
-from gleaner.functions.urls import bind
+from gleaner.functions.stage import bind, once
 
 # Words and paths that make a short link a news hub.
 HUB_WORDS = (
@@ -60,7 +60,7 @@ def score_links(links: DataFrame, as_of, target=None, to=None) -> DataFrame:
     signals = F.struct(
         text_length_score(F.col("text")).alias("text_len_score"), depth_score(url).alias("depth_score"), time_score(said, target, to).alias("time_score")
     )
-    scored = links.filter(~U.is_junk(url)).withColumn("signals", signals)
+    scored = once(links.filter(~U.is_junk(url)), "signals", signals)
     total = F.col("signals.text_len_score") + F.col("signals.depth_score") + F.col("signals.time_score")
     return scored.withColumn("score", F.least(F.lit(100), total))
 
@@ -114,9 +114,10 @@ def frontier(links: DataFrame, quota: int = PATH_QUOTA, size: int = FRONTIER_SIZ
     arrival = ["page_id", "pos"]
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*arrival))
     seen = links.withColumn("_n", rank("site", "url")).filter("_n = 1").withColumn("prefix", U.path_prefix(F.col("url")))
-    limited = seen.filter(~F.col("skip_quota")).withColumn("_n", rank("site", "prefix")).filter(F.col("_n") <= quota)
-    admitted = limited.unionByName(seen.filter("skip_quota"))
-    return admitted.withColumn("_n", rank("site")).filter(F.col("_n") <= size).drop("_n")
+    # urls are unique by now, so an exempt row alone under its url is always the first there
+    counted = seen.withColumn("_quota_key", F.when(F.col("skip_quota"), F.col("url")).otherwise(F.col("prefix")))
+    limited = counted.withColumn("_n", rank("site", "skip_quota", "_quota_key")).filter(F.col("_n") <= quota)
+    return limited.withColumn("_n", rank("site")).filter(F.col("_n") <= size).drop("_n", "_quota_key")
 
 
 def frontier_order(admitted: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import dates as D
 from gleaner.functions import html as H
 from gleaner.functions.text import tokens
-from gleaner.functions.urls import bind
+from gleaner.functions.stage import bind
 from gleaner.sources.html import with_nodes
 
 MAX_LINK_DENSITY = 0.35

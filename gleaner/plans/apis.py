@@ -21,7 +21,7 @@ DUCK = f"(SELECT o_orderkey AS id, o_custkey, {BODY} AS body, {URL} AS url FROM
 
 
 def responses(t):
-    made = t.raw("orders").select("o_orderkey", "o_custkey", F.expr(SPARK_ITEMS).alias("its"))
+    made = t.even("orders").select("o_orderkey", "o_custkey", F.expr(SPARK_ITEMS).alias("its"))
     return made.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100).alias("site"), F.expr(BODY).alias("body"), F.expr(URL).alias("url"))
 
 

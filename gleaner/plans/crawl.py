@@ -235,7 +235,7 @@ def _(t):
 @query(
     "retry_schedule",
     f"""WITH b AS (SELECT event_id, reason, code, sum(CASE WHEN starts_with(lower(coalesce(reason, '')), 'blocked:') THEN 1 ELSE 0 END)
-        OVER (PARTITION BY regexp_extract(url, '//([^/]*)', 1), epoch(ts)::BIGINT // 600 ORDER BY ts, event_id
+        OVER (PARTITION BY regexp_extract(url, '//([^/]*)', 1), epoch_us(ts) // 600000000 ORDER BY ts, event_id
         ROWS UNBOUNDED PRECEDING) AS blocks FROM outcomes WHERE kind = 'failed'),
     r AS (SELECT *, CASE WHEN starts_with(lower(reason), 'blocked:') THEN trim(replace(lower(reason), 'blocked:', '')) END AS kind2
       FROM b WHERE {RETRYABLE}),

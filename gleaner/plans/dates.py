@@ -67,7 +67,7 @@ LATEST = """list_max(list_filter(list_transform(list_concat(regexp_extract_all(x
     FROM (SELECT doc_id, {INJECTED} AS x FROM documents)""",
 )
 def _(t):
-    return t.raw("documents").select("doc_id", D.text_date(F.expr(INJECTED), "2024-02-29").alias("found"))
+    return t.even("documents").select("doc_id", D.text_date(F.expr(INJECTED), "2024-02-29").alias("found"))
 
 
 PAGE = """concat('<html><head><title>t</title>', CASE o_orderkey % 8
@@ -101,7 +101,7 @@ VALUE = "content=[\"'']([^\"'']+)[\"'']"
       FROM (SELECT o_orderkey AS id, substr({DUCK_PAGE}, 1, 3000) AS h FROM orders))""",
 )
 def _(t):
-    return t.raw("orders").select(F.col("o_orderkey").alias("id"), D.markup_date(F.expr(SPARK_PAGE)).alias("found"))
+    return t.even("orders").select(F.col("o_orderkey").alias("id"), D.markup_date(F.expr(SPARK_PAGE)).alias("found"))
 
 
 LD = """CASE o_orderkey % 7 WHEN 0 THEN concat('{{"datePublished":"', {iso}, 'T00:00:00","dateModified":"2002-01-01"}}')
@@ -124,7 +124,7 @@ LD = """CASE o_orderkey % 7 WHEN 0 THEN concat('{{"datePublished":"', {iso}, 'T0
 )
 def _(t):
     ld = F.expr(LD.format(iso="date_format(o_orderdate, 'yyyy-MM-dd')"))
-    return t.raw("orders").select(F.col("o_orderkey").alias("id"), D.jsonld_date(ld).alias("found"))
+    return t.even("orders").select(F.col("o_orderkey").alias("id"), D.jsonld_date(ld).alias("found"))
 
 
 BODY = """concat(substr(text, 1, 40), CASE doc_id % 6 WHEN 0 THEN concat(' 2023-', doc_id % 14, '-9 March 5, 2022') WHEN 1 THEN concat(' 2022 年 ', doc_id % 13 + 1, ' 月 3 日')
@@ -143,7 +143,7 @@ BODY = """concat(substr(text, 1, 40), CASE doc_id % 6 WHEN 0 THEN concat(' 2023-
     .replace("x, e,", "x, '(?i)(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\s+([0-9]{1,2}),?\\s+(20[0-9]{2})',"),
 )
 def _(t):
-    return t.raw("documents").select("doc_id", D.body_date(F.expr(BODY)).alias("found"))
+    return t.even("documents").select("doc_id", D.body_date(F.expr(BODY)).alias("found"))
 
 
 API_TEXT = """CASE o_orderkey % 9 WHEN 0 THEN {iso} WHEN 1 THEN {slash} WHEN 2 THEN concat({iso}, 'T10:11:12.5Z') WHEN 3 THEN concat({iso}, ' 10:11:12')
@@ -182,7 +182,7 @@ GUESS = """concat(CASE doc_id % 5 WHEN 0 THEN concat('发布时间：2023-0', do
 )
 def _(t):
     meta = F.when(F.expr("doc_id % 10 = 0"), F.lit("2022-02-02").cast("date"))
-    return t.raw("documents").select("doc_id", D.publish_date_guess(F.expr(GUESS), meta).alias("found"))
+    return t.even("documents").select("doc_id", D.publish_date_guess(F.expr(GUESS), meta).alias("found"))
 
 
 @query(
@@ -206,7 +206,7 @@ HINTED = """concat(substr(text, 1, 30), CASE doc_id % 6 WHEN 0 THEN '发布于'
     FROM (SELECT doc_id, {HINTED} AS x FROM documents)""",
 )
 def _(t):
-    return t.raw("documents").select("doc_id", D.has_publish_hint(F.expr(HINTED), "2024-03-01").alias("hinted"))
+    return t.even("documents").select("doc_id", D.has_publish_hint(F.expr(HINTED), "2024-03-01").alias("hinted"))
 
 
 SITEMAP_MOD = "CASE WHEN url_id % 4 = 0 THEN NULL ELSE real_date END"

@@ -11,7 +11,9 @@ from gleaner.plans.registry import query
 from gleaner.sources.html import with_nodes
 
 STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-UNESCAPE = "replace(replace(replace(replace(replace(replace(replace(replace({}, '&nbsp;', ' '), '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+UNESCAPE = "{}"
+for _name, _char in (("&nbsp;?", " "), ("&quot;?", '"'), ("&#39;?", "''"), ("&lt;?", "<"), ("&gt;?", ">"), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+    UNESCAPE = f"regexp_replace({UNESCAPE}, '{_name}', '{_char}', 'g')"
 BARE = "regexp_replace(html, '(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>|<!--.*?-->|<!DOCTYPE[^>]*>', '<x>', 'g')"
 
 

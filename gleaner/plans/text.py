@@ -23,7 +23,7 @@ CREDIT = (
       '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM (SELECT doc_id, {DUCK_NOISY} AS x FROM documents)""",
 )
 def _(t):
-    return t.raw("documents").select("doc_id", T.clean_noise(F.expr(SPARK_NOISY)).alias("cleaned"))
+    return t.even("documents").select("doc_id", T.clean_noise(F.expr(SPARK_NOISY)).alias("cleaned"))
 
 
 @query(
@@ -115,7 +115,7 @@ def stop_hits(words):
 def _(t):
     # accents count as word characters in both engines once they are plain placeholders
     seen = t.articles.withColumn("x", F.regexp_replace("raw_content", r"[^\x00-\x7F]", "_"))
-    return seen.filter(T.language_ok(F.col("x"), ("en", "fr"))).select("article_id", "lang", T.language(F.col("x")).alias("found"))
+    return T.language_gate(seen.select("article_id", "lang", "x"), "x", ("en", "fr")).select("article_id", "lang", "found")
 
 
 @query(
@@ -157,10 +157,10 @@ def _(t):
 @query(
     "static_page_gate",
     f"""SELECT page_id, status = 200 AND n >= 500 AND (n - length(replace(h, '<', ''))) + (n - length(replace(h, '</', ''))) / 2 >= 10
-      AND NOT (m / greatest(n, 1) < 0.1 AND m < 500) AS usable FROM (SELECT page_id, h, status, length(h) AS n, length(replace(replace(replace(replace(replace(replace(replace(replace(
+      AND NOT (m / greatest(n, 1) < 0.1 AND m < 500) AS usable FROM (SELECT page_id, h, status, length(h) AS n, length(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
         array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_extract(h, '(?is)<body[^>]*>(.*)', 1),
         '(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>|<!--.*?-->', '', 'g'), '<[^>]*>'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), ''),
-        '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) AS m
+        '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')) AS m
       FROM (SELECT page_id, {STATUS} AS status, CASE page_id % 5 WHEN 0 THEN concat('<body>', repeat('<script>var a=1;</script><i></i>', 90), '</body>') WHEN 1 THEN substr(html, 1, 480) ELSE html END AS h FROM pages))""",
 )
 def _(t):

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import dates as D
-from gleaner.functions.urls import bind, query_string
+from gleaner.functions.stage import bind, once
+from gleaner.functions.urls import query_string
 
 # Wrapper fields, and field names for address, date and title, in order of preference.
 WRAPPERS = ("data", "list", "items", "results", "articleList", "newsList", "records", "rows", "content", "documents")
@@ -86,7 +87,7 @@ def judged(url: Column, body: Column) -> Column:
 
 def with_score(responses: DataFrame) -> DataFrame:
     """Adds ``judged`` to rows of (url, body)."""
-    return responses.withColumn("judged", judged(F.col("url"), F.col("body")))
+    return once(responses, "judged", judged(F.col("url"), F.col("body")))
 
 
 def paging(body: Column, url: Column) -> Column:
@@ -120,9 +121,9 @@ def paging(body: Column, url: Column) -> Column:
 
 def best_api(responses: DataFrame) -> DataFrame:
     """Highest-scoring response per site (the first among equals) with a score of at least ten."""
-    good = bind(judged(F.col("url"), F.col("body")), lambda j: F.when((j["score"] >= MIN_SCORE) & (j["n"] > 0), j))
-    scored = responses.select("site", "pos", "url", good.alias("j")).filter("j IS NOT NULL")
-    best = F.max_by(F.struct("url", "j.score", "j.fields"), F.struct("j.score", -F.col("pos")))
+    j = F.col("judged")
+    scored = with_score(responses).filter((j["score"] >= MIN_SCORE) & (j["n"] > 0))
+    best = F.max_by(F.struct("url", j["score"].alias("score"), j["fields"].alias("fields")), F.struct(j["score"], -F.col("pos")))
     return scored.groupBy("site").agg(best.alias("b")).select("site", "b.url", "b.score", "b.fields.*")
 
 

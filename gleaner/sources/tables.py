@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.stage import spread
+
 EVENTS_AS_OF = "2024-01-31"
 ORDERS_AS_OF = "2001-08-01"
 ARTICLES_AS_OF = "2024-03-01"
@@ -22,13 +24,17 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def even(self, name: str) -> DataFrame:
+        """A table for heavy per-row work: small ones are spread over all cores."""
+        return spread(self.raw(name))
+
     @cached_property
     def pages(self) -> DataFrame:
-        return self.raw("pages").select("page_id", "url", "html")
+        return self.even("pages").select("page_id", "url", "html")
 
     @cached_property
     def articles(self) -> DataFrame:
-        return self.raw("documents").selectExpr(
+        return self.even("documents").selectExpr(
             "doc_id AS article_id",
             "split_part(text, '.', 1) AS title",
             "text AS raw_content",
@@ -124,7 +130,7 @@ class Tables:
     @cached_property
     def dated_urls(self) -> DataFrame:
         site = "concat('https://news', o_orderkey % 7, '.example.com')"
-        return self.raw("orders").select(
+        return self.even("orders").select(
             F.col("o_orderkey").alias("url_id"),
             F.expr("to_date(o_orderdate)").alias("real_date"),
             F.expr(
