@@ -12,7 +12,7 @@ from gleaner.functions.text import strip, tokens, unescape
 from gleaner.functions.stage import bind
 from gleaner.functions.urls import path
 
-NODES, TEXTS = F.col("nodes"), F.col("texts")
+NODES, TEXTS = "nodes", "texts"  # the columns added by gleaner.sources.html.with_nodes
 
 # Tags that count as a row around a link, and as text blocks.
 ROW_TAGS = ("li", "tr", "td", "p", "article", "section", "h3", "h4")

@@ -31,7 +31,7 @@ def append_new(candidates: DataFrame, target: DataFrame, key: str, order: str) -
     """
     first = candidates.groupBy(key).agg(F.min(order).alias(order))
     fresh = first.join(target.select(key).distinct(), key, "left_anti")
-    return candidates.join(fresh, [key, order])
+    return candidates.join(fresh, [key, order]).select(*candidates.columns)
 
 
 def unseen(candidates: DataFrame, known: DataFrame, on: str | Sequence[str]) -> DataFrame:

@@ -161,7 +161,7 @@ def politeness(requests: DataFrame, gap_us: int) -> DataFrame:
     start_i = max over j <= i of (arrival_j - j*gap) + i*gap: a running max, done per hour
     and handed on, with the hour's offset taken out again.
     """
-    key, order = ["domain"], ["arrival", "event_id"]
+    key, order, gap_us = ["domain"], ["arrival", "event_id"], F.lit(gap_us).cast("bigint")
     inside, running, per_key = _windows(key, order)
     local = (
         requests.withColumn("_bucket", F.floor(F.col("arrival") / 3_600_000_000))
@@ -251,7 +251,7 @@ def block_counts(attempts: DataFrame, seconds: int = 600) -> DataFrame:
     )
 
 
-def login_sessions(attempts: DataFrame, gap: int = 900) -> DataFrame:
+def login_sessions(attempts: DataFrame, gap: int) -> DataFrame:
     """Adds ``session``: the start of the attempt's run without a quiet gap, per source.
 
     After a gap longer than the lock every state has expired, so sessions are independent."""
@@ -267,7 +267,7 @@ def login_verdicts(attempts: DataFrame, limit: int = 5, ttl: int = 900) -> DataF
     Sessions are sorted inside partitions and streamed through a loop that remembers one
     count and one expiry, so a long session is never held in memory.
     """
-    session = login_sessions(attempts).select("ip", "session", "moment", "event_id", "kind")
+    session = login_sessions(attempts, ttl).select("ip", "session", "moment", "event_id", "kind")
     ordered = session.repartition("ip", "session").sortWithinPartitions("ip", "session", "moment", "event_id")
 
     def judge(frames):

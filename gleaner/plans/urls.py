@@ -10,19 +10,18 @@ from gleaner.plans.registry import query
 
 PATH = "regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
 PARTS = f"list_filter(string_split({PATH}, '/'), lambda p: p <> '')"
-url = F.col("url")
 
 
 @query("page_scan", """SELECT page_id, url, url AS final_url, length(html) AS html_chars,
     trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages""")
 def _(t):
     title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return t.pages.select("page_id", "url", url.alias("final_url"), F.length("html").alias("html_chars"), title.alias("title"))
+    return t.pages.select("page_id", "url", F.col("url").alias("final_url"), F.length("html").alias("html_chars"), title.alias("title"))
 
 
 @query("url_domain", f"SELECT page_id, {HOST} AS domain FROM pages")
 def _(t):
-    return t.pages.select("page_id", U.host(url).alias("domain"))
+    return t.pages.select("page_id", U.host(F.col("url")).alias("domain"))
 
 
 MIXED = "CASE page_id % 5 WHEN 0 THEN concat('ftp', substr(url, 5)) WHEN 1 THEN 'https:///path' WHEN 2 THEN 'javascript:void(0)' ELSE url END"
@@ -34,7 +33,7 @@ MIXED = "CASE page_id % 5 WHEN 0 THEN concat('ftp', substr(url, 5)) WHEN 1 THEN
     FROM (SELECT page_id, {MIXED} AS url FROM pages)""",
 )
 def _(t):
-    return t.pages.select("page_id", F.expr(MIXED).alias("url")).withColumn("code", U.protocol_code(url))
+    return t.pages.select("page_id", F.expr(MIXED).alias("url")).withColumn("code", U.protocol_code(F.col("url")))
 
 
 IPS = """CASE event_id % 14 WHEN 0 THEN concat('10.', user_id % 256, '.0.1') WHEN 1 THEN concat('172.', user_id % 64, '.3.4')
@@ -68,7 +67,7 @@ SHAPES = """CASE page_id % 12 WHEN 0 THEN '#' WHEN 1 THEN 'JavaScript:go()' WHEN
     '^javascript:|^mailto:|/tag[s]?/|/search|/login|/register|/rss|/feed|/comment|[.](pdf|docx|doc|xlsx|xls|pptx|ppt|zip|rar|7z|jpeg|jpg|png|gif)$'))""",
 )
 def _(t):
-    return t.pages.select("page_id", F.expr(SHAPES).alias("url")).filter(~U.is_junk(url))
+    return t.pages.select("page_id", F.expr(SHAPES).alias("url")).filter(~U.is_junk(F.col("url")))
 
 
 @query(
@@ -79,12 +78,12 @@ def _(t):
 )
 def _(t):
     entry = F.expr("CASE page_id % 3 WHEN 0 THEN 'www.example.com' WHEN 1 THEN 'example.org' ELSE 'ththed.example.org' END")
-    return t.pages.select("page_id", "url").filter(U.same_site(url, entry))
+    return t.pages.select("page_id", "url").filter(U.same_site(F.col("url"), entry))
 
 
 @query("normalize_url", f"SELECT page_id, {CLEAN} AS clean_url FROM pages")
 def _(t):
-    return t.pages.select("page_id", U.without_tracking(url).alias("clean_url"))
+    return t.pages.select("page_id", U.without_tracking(F.col("url")).alias("clean_url"))
 
 
 DEEP = "concat(regexp_replace(url, '[?#].*$', ''), '/', page_id % 7, '/x', page_id % 3, '/', page_id)"
@@ -99,7 +98,7 @@ DEEP = "concat(regexp_replace(url, '[?#].*$', ''), '/', page_id % 7, '/x', page_
 def _(t):
     mixed = F.expr(f"IF(page_id % 2 = 0, url, {DEEP})")
     return t.pages.select("page_id", mixed.alias("url")).select(
-        "page_id", U.path_prefix(url).alias("prefix"), U.chain_key(url).alias("chain")
+        "page_id", U.path_prefix(F.col("url")).alias("prefix"), U.chain_key(F.col("url")).alias("chain")
     )
 
 
@@ -117,4 +116,4 @@ LISTS = """concat(regexp_extract(url, '^([a-z]*://[^/?#]*)', 1), '/n/', CASE pag
     FROM (SELECT page_id, {LISTS} AS url FROM pages)""",
 )
 def _(t):
-    return t.pages.select("page_id", F.expr(LISTS).alias("url")).select("page_id", U.next_page_guess(url, 3).alias("next_url"))
+    return t.pages.select("page_id", F.expr(LISTS).alias("url")).select("page_id", U.next_page_guess(F.col("url"), 3).alias("next_url"))
