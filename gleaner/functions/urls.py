@@ -22,7 +22,7 @@ TRACKING_PARAMS = (
 )
 # Links that are never articles.
 JUNK_LINK = (
-    r"^#$|(?i)^javascript:|^mailto:|/tags?/|/search|/login|/register|/rss|/feed|/comment"
+    r"(?i)^(?:#$|javascript:|mailto:)|/(?:tags?/|search|login|register|rss|feed|comment)"
     r"|\.(?:pdf|docx?|xlsx?|pptx?|zip|rar|7z|jpe?g|png|gif)$"
 )
 # Address blocks a crawler must not reach.

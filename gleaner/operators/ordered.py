@@ -1,7 +1,7 @@
 """Ordered computations per key that stay split however large one key grows.
 
 A plain window over a key puts the whole key into one task. Here a key is cut into
-buckets (a day, an hour, a block of numbers): windows run inside (key, bucket), each
+buckets (ten minutes, a block of numbers): windows run inside (key, bucket), each
 bucket is summed up in one small row, only those rows are scanned per key, and what a
 bucket inherits is joined back. The small rows grow with time, not with the data.
 """
@@ -12,6 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKET_SECONDS = 600
+
+
+def time_bucket(ts: Column, seconds: int = BUCKET_SECONDS) -> Column:
+    """Ten minutes of one key: even a key with a third of all rows stays small in here."""
+    return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds)
+
+
 def _windows(key: list[str], order: list[str]):
     inside = Window.partitionBy(*key, "_bucket").orderBy(*order)
     return inside, inside.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key).orderBy("_bucket")
@@ -79,7 +87,7 @@ def running_max(df: DataFrame, key: list[str], bucket: Column, order: list[str],
 def fail_streak_flips(attempts: DataFrame, threshold: int = 3, carry: DataFrame | None = None) -> DataFrame:
     """When each domain first had ``threshold`` fast-fetch failures in a row; it stays dynamic from then on."""
     fast = attempts.filter((F.col("tier") == "ff") & (F.col("domain") != "")).select("domain", "ts", "event_id", "ok")
-    run = streaks(fast, ["domain"], F.to_date("ts"), ["ts", "event_id"], ~F.col("ok"), F.col("ok"), carry)
+    run = streaks(fast, ["domain"], time_bucket(F.col("ts")), ["ts", "event_id"], ~F.col("ok"), F.col("ok"), carry)
     return run.groupBy("domain").agg(
         F.min(F.when(F.col("streak") >= threshold, F.col("ts"))).alias("dynamic_since"), F.max("streak").alias("longest")
     )
@@ -158,20 +166,20 @@ def missed_run_day(weekdays: Column, last_run: Column, as_of: Column) -> Column:
 def politeness(requests: DataFrame, gap_us: int) -> DataFrame:
     """Earliest start of each request when a domain takes one per ``gap_us``, in arrival order.
 
-    start_i = max over j <= i of (arrival_j - j*gap) + i*gap: a running max, done per hour
-    and handed on, with the hour's offset taken out again.
+    start_i = max over j <= i of (arrival_j - j*gap) + i*gap: a running max, done per bucket
+    and handed on, with the bucket's offset taken out again.
     """
     key, order, gap_us = ["domain"], ["arrival", "event_id"], F.lit(gap_us).cast("bigint")
     inside, running, per_key = _windows(key, order)
     local = (
-        requests.withColumn("_bucket", F.floor(F.col("arrival") / 3_600_000_000))
+        requests.withColumn("_bucket", F.floor(F.col("arrival") / (BUCKET_SECONDS * 1_000_000)))
         .withColumn("_i", F.row_number().over(inside) - 1)
         .withColumn("_m", F.max(F.col("arrival") - F.col("_i") * gap_us).over(running))
     )
-    hours = local.groupBy("domain", "_bucket").agg(F.count("*").alias("_n"), F.max("_m").alias("_top"))
+    sums = local.groupBy("domain", "_bucket").agg(F.count("*").alias("_n"), F.max("_m").alias("_top"))
     before = per_key.rowsBetween(Window.unboundedPreceding, -1)
     handed = (
-        hours.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        sums.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .withColumn("_high", F.max(F.col("_top") - F.col("_off") * gap_us).over(before))
         .select("domain", "_bucket", "_off", "_high")
     )
@@ -192,7 +200,7 @@ ALLOWED_MOVES = (
 
 def illegal_moves(log: DataFrame) -> DataFrame:
     """Status changes (article_id, ts, event_id, status) that the state machine does not allow."""
-    moved = previous(log, ["article_id"], F.to_date("ts"), ["ts", "event_id"], "status", "was")
+    moved = previous(log, ["article_id"], time_bucket(F.col("ts")), ["ts", "event_id"], "status", "was")
     step = F.concat(F.coalesce("was", F.lit("")), F.lit(">"), "status")
     fine = step.isin([f"{a}>{b}" for a, b in ALLOWED_MOVES]) | F.coalesce(F.col("was") == F.col("status"), F.lit(False))
     return moved.filter(~fine)
@@ -255,10 +263,10 @@ def login_sessions(attempts: DataFrame, gap: int) -> DataFrame:
     """Adds ``session``: the start of the attempt's run without a quiet gap, per source.
 
     After a gap longer than the lock every state has expired, so sessions are independent."""
-    key, order, day = ["ip"], ["moment", "event_id"], F.floor(F.col("moment") / 86_400_000_000)
-    timed = previous(attempts, key, day, order, "moment", "_before")
+    key, order, slot = ["ip"], ["moment", "event_id"], F.floor(F.col("moment") / (BUCKET_SECONDS * 1_000_000))
+    timed = previous(attempts, key, slot, order, "moment", "_before")
     starts = F.when(F.col("_before").isNull() | (F.col("moment") - F.col("_before") > gap * 1_000_000), F.col("moment"))
-    return running_max(timed, key, day, order, starts, "session").drop("_before")
+    return running_max(timed, key, slot, order, starts, "session").drop("_before")
 
 
 def login_verdicts(attempts: DataFrame, limit: int = 5, ttl: int = 900) -> DataFrame:

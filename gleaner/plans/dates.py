@@ -49,7 +49,7 @@ def _(t):
     return t.dated_urls.filter(D.url_not_rejected(F.col("url"), LO, HI)).select("url_id", "url")
 
 
-INJECTED = """concat(substr(text, 1, 60), CASE doc_id % 12 WHEN 0 THEN ' 3 分钟前' WHEN 1 THEN concat(' ', doc_id % 9 + 1, ' 天前')
+INJECTED = """concat(text, CASE doc_id % 12 WHEN 0 THEN ' 3 分钟前' WHEN 1 THEN concat(' ', doc_id % 9 + 1, ' 天前')
   WHEN 2 THEN ' 昨天' WHEN 3 THEN concat(' 2023年', doc_id % 12 + 1, '月5日 2024/02/', doc_id % 33, ' ') WHEN 4 THEN concat(' 5月', doc_id % 40, '日 ')
   WHEN 5 THEN concat(' v 0', doc_id % 9 + 1, '-15 ') WHEN 6 THEN ' 前天 2024-01-01' WHEN 7 THEN ' 2019-3-4 1999-01-01 x' WHEN 8 THEN ' 12小时前' ELSE ' none' END)"""
 SHORT = "(?:^|[^年0-9])(1[0-2]|0?[1-9])[-/月](0?[1-9]|[12][0-9]|3[01])日?(?:[^0-9]|$)"
@@ -127,7 +127,7 @@ def _(t):
     return t.even("orders").select(F.col("o_orderkey").alias("id"), D.jsonld_date(ld).alias("found"))
 
 
-BODY = """concat(substr(text, 1, 40), CASE doc_id % 6 WHEN 0 THEN concat(' 2023-', doc_id % 14, '-9 March 5, 2022') WHEN 1 THEN concat(' 2022 年 ', doc_id % 13 + 1, ' 月 3 日')
+BODY = """concat(text, CASE doc_id % 6 WHEN 0 THEN concat(' 2023-', doc_id % 14, '-9 March 5, 2022') WHEN 1 THEN concat(' 2022 年 ', doc_id % 13 + 1, ' 月 3 日')
   WHEN 2 THEN concat(' Sept ', doc_id % 33, ', 2021 end') WHEN 3 THEN ' 2024/2/30 and 2021年4月5日' ELSE '' END)"""
 
 
@@ -166,7 +166,7 @@ def _(t):
 
 
 GUESS = """concat(CASE doc_id % 5 WHEN 0 THEN concat('发布时间：2023-0', doc_id % 9 + 1, '-11 later 2024-06-06 ') WHEN 1 THEN ' 2018/1/2 2021/5/6 2150-01-01 '
-  WHEN 2 THEN ' 日期: 2021年2月30日 2020年3月4日 ' WHEN 3 THEN '编辑：张三 2019-9-9' ELSE ' ' END, substr(text, 1, 50))"""
+  WHEN 2 THEN ' 日期: 2021年2月30日 2020年3月4日 ' WHEN 3 THEN '编辑：张三 2019-9-9' ELSE ' ' END, text)"""
 
 
 @query(
@@ -197,7 +197,7 @@ def _(t):
     return week.select("article_id", "year_week", monday.alias("monday"), F.date_add(monday, 6).alias("sunday"))
 
 
-HINTED = """concat(substr(text, 1, 30), CASE doc_id % 6 WHEN 0 THEN '发布于' WHEN 1 THEN '2024年3月7日' WHEN 2 THEN '2023-11-30' WHEN 3 THEN '2022-11-30' WHEN 4 THEN '2024年13月' ELSE '' END)"""
+HINTED = """concat(CASE doc_id % 6 WHEN 0 THEN '发布于' WHEN 1 THEN '2024年3月7日' WHEN 2 THEN '2023-11-30' WHEN 3 THEN '2022-11-30' WHEN 4 THEN '2024年13月' ELSE '' END, text)"""
 
 
 @query(

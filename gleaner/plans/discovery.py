@@ -24,14 +24,17 @@ LINK_TABLE = f"""SELECT page_id, site, pos, url, text, surrounding_text, NULL::D
     SELECT url_id + 10000000, regexp_extract(url, '//([^/?#]*)', 1), 0, url, {DATED_TEXT}, {DATED_ROW}, url_date FROM ({URL_DATE}) u"""
 
 
+def page_links(t):
+    return op.extract_links(nodes(t)).select("page_id", "site", "pos", "url", "text", "surrounding_text")
+
+
 def links(t):
     """Links of the pages, and the dated urls as links of their own pages."""
-    own = op.extract_links(nodes(t)).select("page_id", "site", "pos", "url", "text", "surrounding_text")
     dated = t.dated_urls.select(
         (F.col("url_id") + 10000000).alias("page_id"), U.netloc(F.col("url")).alias("site"), F.lit(0).alias("pos"), "url",
         F.expr(DATED_TEXT).alias("text"), F.expr(DATED_ROW).alias("surrounding_text"),
     )
-    return own.unionByName(dated)
+    return page_links(t).unionByName(dated)
 
 
 def scored(t):
@@ -56,7 +59,7 @@ SCORED = f"""SELECT *, least(100, text_len_score + depth_score + time_score) AS
 
 @query("extract_links", f"SELECT * FROM ({LINKS}) l")
 def _(t):
-    return op.extract_links(nodes(t)).select("page_id", "site", "pos", "url", "text", "surrounding_text")
+    return page_links(t)
 
 
 @query("link_score", f"SELECT page_id, pos, url, text_len_score, depth_score, time_score, score FROM ({SCORED}) s", "dated_urls")
@@ -85,12 +88,11 @@ HUB_TEXT = "CASE (page_id + pos) % 3 WHEN 0 THEN '通知公告' WHEN 1 THEN '集
 
 @query(
     "hub_links",
-    f"""SELECT page_id, pos, url, text, 85 AS score FROM (SELECT page_id, pos, {HUB_URL} AS url, {HUB_TEXT} AS text FROM ({LINK_TABLE}) lt WHERE page_id < 10000000)
+    f"""SELECT page_id, pos, url, text, 85 AS score FROM (SELECT page_id, pos, {HUB_URL} AS url, {HUB_TEXT} AS text FROM ({LINKS}) lt)
     WHERE length(text) BETWEEN 2 AND 8 AND NOT regexp_matches(url, '/[0-9]+/[0-9]+[.](htm|html|shtml)$') AND (contains(text, '通知') OR regexp_matches(lower(url), '/news|/info|/zx|/xw'))""",
-    "dated_urls",
 )
 def _(t):
-    changed = links(t).filter("page_id < 10000000").withColumns({"url": F.expr(HUB_URL), "text": F.expr(HUB_TEXT)})
+    changed = page_links(t).withColumns({"url": F.expr(HUB_URL), "text": F.expr(HUB_TEXT)})
     return op.hub_links(changed).select("page_id", "pos", "url", "text", "score")
 
 

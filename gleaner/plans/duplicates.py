@@ -56,17 +56,17 @@ def _(t):
 
 @query(
     "hamming",
-    f"""WITH {simhash_cte('s', 'title')}, {simhash_cte('b', 'substr(raw_content, 1, 400)')}
+    f"""WITH {simhash_cte('s', 'title')}, {simhash_cte('b', 'raw_content')}
     SELECT article_id, CAST(bit_count(xor(s.h, b.h)) AS INTEGER) AS distance FROM articles LEFT JOIN s USING (article_id) LEFT JOIN b USING (article_id)""",
     "articles",
 )
 def _(t):
-    a, b = T.simhash64(T.strip(F.col("title"))), T.simhash64(F.substring("raw_content", 1, 400))
+    a, b = T.simhash64(T.strip(F.col("title"))), T.simhash64(F.col("raw_content"))
     return t.articles.select("article_id", T.hamming(a, b).alias("distance"))
 
 
-# Headlines of up to 512 characters; every other one gets a word more, so that near but unequal ones exist.
-HEADLINE = "CASE WHEN article_id % 2 = 0 THEN concat(substr(raw_content, 1, 508), ' the') ELSE substr(raw_content, 1, 512) END"
+# Whole titles; every other one gets a word more, so that near but unequal ones exist.
+HEADLINE = "CASE WHEN article_id % 2 = 0 THEN concat(title, ' the') ELSE title END"
 
 
 def headline_hashes(t):

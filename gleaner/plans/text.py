@@ -8,7 +8,7 @@ from gleaner.functions import text as T
 from gleaner.operators import chunks
 from gleaner.plans.registry import query
 
-NOISY = """concat('**', split_part(text, '.', 1), '** head\n', CASE doc_id % 6 WHEN 0 THEN '新华社记者 张三 摄\n' WHEN 1 THEN '图/李四\n\n\n\nnext' WHEN 2 THEN '来源：某某日报   \n*a\nb*' WHEN 3 THEN '编辑：王五\n摄影:赵六' WHEN 4 THEN '正文图片说明很长很长不是署名行\n' ELSE '' END, '\n', substr(text, 1, 300), ' ')"""
+NOISY = """concat('**', split_part(text, '.', 1), '** head\n', CASE doc_id % 6 WHEN 0 THEN '新华社记者 张三 摄\n' WHEN 1 THEN '图/李四\n\n\n\nnext' WHEN 2 THEN '来源：某某日报   \n*a\nb*' WHEN 3 THEN '编辑：王五\n摄影:赵六' WHEN 4 THEN '正文图片说明很长很长不是署名行\n' ELSE '' END, '\n', text, ' ')"""
 SPARK_NOISY = NOISY.replace("\n", "\\n")
 DUCK_NOISY = NOISY.replace("\n", "' || chr(10) || '")
 CREDIT = (
@@ -52,7 +52,7 @@ def _(t):
     return t.articles.select("article_id", F.explode(words).alias("token")).groupBy("article_id", "token").agg(F.count("*").alias("n"))
 
 
-BROKEN = """CASE article_id % 9 WHEN 0 THEN '' WHEN 1 THEN substr(replace(raw_content, chr(10), ' '), 1, 90) WHEN 2 THEN concat(raw_content, chr(10), '请登录后查看') WHEN 3 THEN concat(raw_content, chr(10), '阅读全文 ')
+BROKEN = """CASE article_id % 9 WHEN 0 THEN '' WHEN 1 THEN replace(raw_content, chr(10), ' ') WHEN 2 THEN concat(raw_content, chr(10), '请登录后查看') WHEN 3 THEN concat(raw_content, chr(10), '阅读全文 ')
   WHEN 4 THEN concat('a', repeat(chr(10), 6), raw_content) WHEN 5 THEN concat('0', chr(10), '1') ELSE raw_content END"""
 SPARK_BROKEN = BROKEN.replace("chr(10)", "'\\n'")
 
@@ -131,7 +131,7 @@ def _(t):
 
 
 FETCHED = """CASE page_id % 12 WHEN 0 THEN '<h1>Access  Denied</h1> Forbidden' WHEN 1 THEN '<title>Please wait</title> Cloudflare checking' WHEN 2 THEN concat(html, '<script src="x/DataDome.js">')
-  WHEN 3 THEN concat(html, ' hCaptcha ') WHEN 4 THEN '' WHEN 5 THEN concat('blocked: unusual traffic ', substr(html, 1, 1500)) WHEN 6 THEN substr(html, 1, 700) WHEN 7 THEN substr(html, 1, 1200) ELSE html END"""
+  WHEN 3 THEN concat(html, ' hCaptcha ') WHEN 4 THEN '' WHEN 5 THEN concat('blocked: unusual traffic ', url, repeat(' wait', 200)) WHEN 6 THEN concat('<p>', url, '</p>') WHEN 7 THEN concat(url, repeat('.', 1100)) ELSE html END"""
 STATUS = "CASE page_id % 7 WHEN 0 THEN 429 WHEN 1 THEN 403 WHEN 2 THEN 503 ELSE 200 END"
 
 
@@ -161,16 +161,16 @@ def _(t):
         array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_extract(h, '(?is)<body[^>]*>(.*)', 1),
         '(?is)<(?:script|style)\\b.*?</(?:script|style)\\s*>|<!--.*?-->', '', 'g'), '<[^>]*>'), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), ''),
         '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')) AS m
-      FROM (SELECT page_id, {STATUS} AS status, CASE page_id % 5 WHEN 0 THEN concat('<body>', repeat('<script>var a=1;</script><i></i>', 90), '</body>') WHEN 1 THEN substr(html, 1, 480) ELSE html END AS h FROM pages))""",
+      FROM (SELECT page_id, {STATUS} AS status, CASE page_id % 5 WHEN 0 THEN concat('<body>', repeat('<script>var a=1;</script><i></i>', 90), '</body>') WHEN 1 THEN concat('<p>', url, '</p>') ELSE html END AS h FROM pages))""",
 )
 def _(t):
-    h = F.expr("CASE page_id % 5 WHEN 0 THEN concat('<body>', repeat('<script>var a=1;</script><i></i>', 90), '</body>') WHEN 1 THEN substr(html, 1, 480) ELSE html END")
+    h = F.expr("CASE page_id % 5 WHEN 0 THEN concat('<body>', repeat('<script>var a=1;</script><i></i>', 90), '</body>') WHEN 1 THEN concat('<p>', url, '</p>') ELSE html END")
     shown = t.pages.select("page_id", h.alias("h"), F.expr(STATUS).alias("status"))
     return shown.select("page_id", T.static_page_ok(F.col("h"), F.col("status")).alias("usable"))
 
 
 REPLY = """CASE turn % 4 WHEN 0 THEN concat('{"turn": ', turn, ', "conv": ', conv_id, '}') WHEN 1 THEN concat('Sure: {"turn": ', turn, ', "conv": ', conv_id, '} done')
-  WHEN 2 THEN concat('{"turn": ', turn) ELSE concat(substr(text, 1, 20), ' {oops} ') END"""
+  WHEN 2 THEN concat('{"turn": ', turn) ELSE concat(text, ' {oops} ') END"""
 
 
 @query(

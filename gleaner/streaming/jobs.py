@@ -132,7 +132,7 @@ def fail_streaks(attempts: DataFrame, threshold: int = 3) -> DataFrame:
         spark = batch.sparkSession
         old = _carried(spark, out, n, carry_shape)
         fast = batch.filter("tier = 'ff' AND domain <> ''").select("domain", "ts", "event_id", "ok")
-        run = ordered.streaks(fast, ["domain"], F.to_date("ts"), ["ts", "event_id"], ~F.col("ok"), F.col("ok"), old)
+        run = ordered.streaks(fast, ["domain"], ordered.time_bucket(F.col("ts")), ["ts", "event_id"], ~F.col("ok"), F.col("ok"), old)
         new = run.groupBy("domain").agg(
             F.max_by("streak", F.struct("ts", "event_id")).alias("now"),
             F.min(F.when(F.col("streak") >= threshold, F.col("ts"))).alias("since"),

@@ -249,3 +249,19 @@ def test_missed_run_day(spark):
     got = lambda days, last: one(spark, missed_run_day(F.array(*[F.lit(d) for d in days]), day(last), day("2024-03-06")))  # a Wednesday
     assert got([3], None) == dt.date(2024, 3, 6) and got([1], None) is None
     assert got([1, 2], "2024-03-03") == dt.date(2024, 3, 5) and got([3], "2024-03-06") is None and got([0], "2023-01-01") == dt.date(2024, 3, 3)
+
+
+def test_filter_choice(spark):
+    from gleaner.operators.pages import filter_choice
+
+    body = "".join(f"<p>budget report {i} " + "budget words " * 10 + "</p>" for i in range(6))
+    noise = "".join(f"<p>unrelated stuff {i} entirely different</p>" for i in range(60))
+    pages = spark.createDataFrame(
+        [(1, "http://h/1", f"<html><head><title>budget report</title></head><body>{body}</body></html>"),
+         (2, "http://h/2", "<p>short</p>"),
+         (3, "http://h/3", f"<html><head><title>budget report</title></head><body>{body}{noise}</body></html>")],
+        "page_id int, url string, html string",
+    )
+    got = {r.page_id: r for r in filter_choice(pages).collect()}
+    assert got[1].choice == "pruned" and got[2].choice == "raw" and got[3].choice == "pruned"
+    assert got[3].relevant_chars == len(body) < got[3].pruned_chars
