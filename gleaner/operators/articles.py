@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The label given when nothing scores, and the thresholds around it.
@@ -119,11 +119,10 @@ def dashboard_totals(daily: DataFrame, categories: DataFrame, sources: DataFrame
     totals = daily.agg(
         F.sum("total").alias("collected"), F.sum("processed").alias("processed"), F.sum("failed").alias("failed")
     ).selectExpr("stack(3, 'collected', collected, 'processed', processed, 'failed', failed) AS (name, n)")
-    share = categories.select(
-        "label", "n", share_percent(F.col("n"), categories.agg(F.sum("n").alias("s")).scalar()).alias("pct")
-    )
-    widest = F.greatest(F.lit(1), sources.agg(F.max("n").alias("m")).scalar())
-    bars = sources.select("source_unit", "n", share_percent(F.col("n"), widest).alias("pct"))
+    # labels and top sources are few rows by now, so a window over all of them is small
+    everything = Window.partitionBy(F.lit(0))
+    share = categories.select("label", "n", share_percent(F.col("n"), F.sum("n").over(everything)).alias("pct"))
+    bars = sources.select("source_unit", "n", share_percent(F.col("n"), F.max("n").over(everything)).alias("pct"))
     row = lambda d, section, name, pct: d.select(
         F.lit(section).alias("section"), F.col(name).alias("name"), F.col("n").cast("bigint").alias("n"), pct.alias("pct")
     )

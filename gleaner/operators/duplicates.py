@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import hamming
+from gleaner.functions.text import fingerprint, hamming
 from gleaner.session import settle
 
 MAX_DISTANCE = 2
@@ -25,6 +25,16 @@ def first_copies(docs: DataFrame, key: str, order: str) -> DataFrame:
     return docs.join(seen, key, "left").withColumn("first_id", first).withColumn("duplicate", first < F.col(order)).drop("_first")
 
 
+def exact_duplicates(docs: DataFrame, order: str) -> DataFrame:
+    """First copy and repeat flag per document by content fingerprint.
+
+    The narrow (id, fingerprint) table is written once, so the texts are read and hashed
+    a single time although the result looks at the fingerprints twice.
+    """
+    prints = docs.select(order, fingerprint(F.col("title"), F.col("raw_content")).alias("fingerprint"))
+    return first_copies(settle(prints, "fingerprints"), "fingerprint", order)
+
+
 def distinct_hashes(docs: DataFrame, hash_col: str, order: str) -> DataFrame:
     """One row per hash value: how many carry it and which came first.
 
@@ -92,12 +102,11 @@ def near_pairs(hashes: DataFrame) -> DataFrame:
 
 def near_first(docs: DataFrame, hash_col: str, order: str) -> DataFrame:
     """Per document, the earliest document whose hash is within distance 2 (itself included)."""
+    docs = settle(docs, "hashed")  # hashed once, looked at twice
     hashes = distinct_hashes(docs, hash_col, order)
-    pairs = near_pairs(hashes)
-    both = pairs.select(F.col("a").alias("h"), F.col("first_b").alias("other")).unionByName(
-        pairs.select(F.col("b").alias("h"), F.col("first_a").alias("other"))
-    )
-    best = both.groupBy("h").agg(F.min("other").alias("other"))
+    end = lambda h, other: F.struct(F.col(h).alias("h"), F.col(other).alias("other"))
+    ends = near_pairs(hashes).select(F.explode(F.array(end("a", "first_b"), end("b", "first_a"))).alias("e"))
+    best = ends.groupBy("e.h").agg(F.min("e.other").alias("other"))
     known = (
         hashes.join(best, "h", "left")
         .filter("copies > 1 OR other IS NOT NULL")

@@ -20,6 +20,12 @@ def time_bucket(ts: Column, seconds: int = BUCKET_SECONDS) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds)
 
 
+def _slot(bucket: Column) -> Column:
+    """The bucket, never NULL: a nullable one would get a NULL filter on one side of the
+    join below only, and the two sides could no longer share one shuffle."""
+    return F.coalesce(bucket.cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def _windows(key: list[str], order: list[str]):
     inside = Window.partitionBy(*key, "_bucket").orderBy(*order)
     return inside, inside.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key).orderBy("_bucket")
@@ -31,7 +37,7 @@ def streaks(df: DataFrame, key: list[str], bucket: Column, order: list[str], hit
     ``carry(key..., carried)`` may hold the streak each key starts with.
     """
     _, running, per_key = _windows(key, order)
-    flagged = df.withColumns({"_bucket": bucket, "_hit": hit.cast("bigint"), "_reset": reset})
+    flagged = df.withColumns({"_bucket": _slot(bucket), "_hit": hit.cast("bigint"), "_reset": reset})
     local = (
         flagged.withColumn("_hits", F.sum("_hit").over(running))
         .withColumn("_base", F.max(F.when(F.col("_reset"), F.col("_hits"))).over(running))
@@ -67,7 +73,7 @@ def flagged_summary(local: DataFrame, key: list[str]) -> DataFrame:
 def previous(df: DataFrame, key: list[str], bucket: Column, order: list[str], value: str, name: str = "previous") -> DataFrame:
     """Adds the value of the row before, per key."""
     inside, _, per_key = _windows(key, order)
-    local = df.withColumn("_bucket", bucket).withColumn("_n", F.row_number().over(inside)).withColumn(name, F.lag(value).over(inside))
+    local = df.withColumn("_bucket", _slot(bucket)).withColumn("_n", F.row_number().over(inside)).withColumn(name, F.lag(value).over(inside))
     last = local.groupBy(*key, "_bucket").agg(F.max(F.struct("_n", value)).alias("_last"))
     handed = last.withColumn("_handed", F.lag(f"_last.{value}").over(per_key)).select(*key, "_bucket", "_handed")
     joined = local.join(handed, [*key, "_bucket"])
@@ -77,7 +83,7 @@ def previous(df: DataFrame, key: list[str], bucket: Column, order: list[str], va
 def running_max(df: DataFrame, key: list[str], bucket: Column, order: list[str], value: Column, name: str) -> DataFrame:
     """Adds the largest ``value`` so far, per key (NULL values are passed over)."""
     _, running, per_key = _windows(key, order)
-    local = df.withColumn("_bucket", bucket).withColumn("_v", value).withColumn(name, F.max("_v").over(running))
+    local = df.withColumn("_bucket", _slot(bucket)).withColumn("_v", value).withColumn(name, F.max("_v").over(running))
     top = local.groupBy(*key, "_bucket").agg(F.max("_v").alias("_top"))
     before = per_key.rowsBetween(Window.unboundedPreceding, -1)
     handed = top.withColumn("_handed", F.max("_top").over(before)).select(*key, "_bucket", "_handed")
@@ -115,7 +121,7 @@ def proxy_disables(reports: DataFrame, threshold: int = 3, cycle: int = 360) ->
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000
     _, running, _ = _windows(key, ["ts", "event_id"])
     local = (
-        reports.withColumns({"_bucket": F.floor(seconds / cycle), "_fail": (~F.col("ok")).cast("int")})
+        reports.withColumns({"_bucket": _slot(F.floor(seconds / cycle)), "_fail": (~F.col("ok")).cast("int")})
         .withColumn("_fails", F.sum("_fail").over(running))
         .withColumn("_base", F.max(F.when(F.col("ok"), F.col("_fails"))).over(running))
         .withColumn("_run", F.col("_fails") - F.coalesce("_base", F.lit(0)))
@@ -172,7 +178,7 @@ def politeness(requests: DataFrame, gap_us: int) -> DataFrame:
     key, order, gap_us = ["domain"], ["arrival", "event_id"], F.lit(gap_us).cast("bigint")
     inside, running, per_key = _windows(key, order)
     local = (
-        requests.withColumn("_bucket", F.floor(F.col("arrival") / (BUCKET_SECONDS * 1_000_000)))
+        requests.withColumn("_bucket", _slot(F.floor(F.col("arrival") / (BUCKET_SECONDS * 1_000_000))))
         .withColumn("_i", F.row_number().over(inside) - 1)
         .withColumn("_m", F.max(F.col("arrival") - F.col("_i") * gap_us).over(running))
     )

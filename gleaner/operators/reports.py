@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -251,6 +251,23 @@ def digest_cards(digest: DataFrame, weeks: DataFrame, health: DataFrame) -> Data
 CHANNELS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {"email": digest_html, "webhook": digest_cards}
 
 
+def for_channels(configs: Sequence[dict], digest: DataFrame, weeks: DataFrame, health: DataFrame) -> DataFrame:
+    """What each enabled channel is to be sent, in its own form: (config_id, channel, year_week, pieces, text).
+
+    A form is made once and handed to every configuration that asks for it. Mail is text
+    in pieces (one row per fragment), a card is one row that counts its elements.
+    """
+    live = [c for c in configs if c["enabled"] and c["channel"] in CHANNELS]
+    sent = None
+    for channel in dict.fromkeys(c["channel"] for c in live):
+        made = CHANNELS[channel](digest, weeks, health)
+        text, pieces = ("card", F.col("elements").cast("bigint")) if channel == "webhook" else ("fragment", F.lit(1).cast("bigint"))
+        to = F.array(*[F.lit(c["config_id"]).cast("bigint") for c in live if c["channel"] == channel])
+        rows = made.select(F.explode(to).alias("config_id"), F.lit(channel).alias("channel"), "year_week", pieces.alias("pieces"), F.col(text).alias("text"))
+        sent = rows if sent is None else sent.unionByName(rows)
+    return sent
+
+
 def export_rows(wanted: DataFrame, titled: DataFrame) -> DataFrame:
     """Export context of ``wanted(pos, article_id)``: title, meta line, summary, lists as text, body paragraphs."""
     filled = lambda c: F.coalesce(c, F.lit("")) != ""

@@ -160,6 +160,19 @@ CONFIGS = (
 )
 
 
+@query(
+    "channel_reports",
+    f"""{REPORT}, {HEALTH_WEEK}, p AS (SELECT w.year_week, total_articles + total_categories + 3 + (z.attempts IS NOT NULL)::INT AS mail,
+      least(2 + 2 * total_categories + 2 * (z.attempts IS NOT NULL)::INT, 21) AS card FROM w LEFT JOIN z USING (year_week))
+    SELECT config_id, channel, year_week, CAST(CASE channel WHEN 'email' THEN mail ELSE card END AS BIGINT) AS pieces
+    FROM p, (SELECT unnest([0, 1, 3])::BIGINT AS config_id, unnest(['email', 'webhook', 'webhook']) AS channel)""",
+    "articles analysis daily_stats",
+)
+def _(t):
+    sent = R.for_channels(CONFIGS, op.weekly_digest(reportable(t)), weeks(t), week_health(t))
+    return sent.groupBy("config_id", "channel", "year_week").agg(F.sum("pieces").alias("pieces"))
+
+
 def delivery_log(t):
     return t.raw("events").select(
         "event_id", "ts", D.iso_week(F.to_date("ts")).alias("report_week"), F.expr("event_id % 4").alias("config_id"),

@@ -24,10 +24,6 @@ PRINT = f"md5(concat({STRIPPED.format('title')}, {STRIPPED.format('substr(raw_co
 
 @query("content_fingerprint", f"SELECT article_id, {PRINT} AS fingerprint FROM articles", "articles")
 def _(t):
-    return prints(t)
-
-
-def prints(t):
     return t.articles.select("article_id", T.fingerprint(F.col("title"), F.col("raw_content")).alias("fingerprint"))
 
 
@@ -38,7 +34,7 @@ def prints(t):
     "articles",
 )
 def _(t):
-    return op.first_copies(prints(t), "fingerprint", "article_id")
+    return op.exact_duplicates(t.articles, "article_id")
 
 
 def title_hashes(t):

@@ -265,3 +265,32 @@ def test_filter_choice(spark):
     got = {r.page_id: r for r in filter_choice(pages).collect()}
     assert got[1].choice == "pruned" and got[2].choice == "raw" and got[3].choice == "pruned"
     assert got[3].relevant_chars == len(body) < got[3].pruned_chars
+
+
+def test_replace_partitions_and_lines(spark, tmp_path):
+    from gleaner.sources.sinks import replace_partitions, write_lines
+
+    path = str(tmp_path / "queue")
+    rows = lambda *r: spark.createDataFrame(list(r), "task_id bigint, url string")
+    replace_partitions(rows((1, "a"), (1, "b"), (2, "c")), path, "task_id")
+    replace_partitions(rows((1, "d")), path, "task_id")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("task_id", "url").collect()) == [(1, "d"), (2, "c")]
+    write_lines(spark.createDataFrame([(2, "y"), (1, "x")], "n int, s string").orderBy("n"), str(tmp_path / "text"), "s")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "text")).collect()) == ["x", "y"]
+
+
+def test_long_card_is_cut(spark):
+    from gleaner.operators import reports
+
+    day = F.lit("2024-01-02").cast("date")
+    digest = spark.range(30).select(
+        F.lit("2024-W01").alias("year_week"), (F.col("id") % 15 + 1).cast("int").alias("group_no"), F.concat(F.lit("g"), F.col("id") % 15).alias("group_name"),
+        F.lit(2).alias("group_size"), F.col("id").alias("article_id"), F.lit("t").alias("title"), F.lit("u").alias("original_link"), day.alias("publish_date"), F.lit("s").alias("summary"),
+    )
+    weeks = spark.range(1).select(F.lit("2024-W01").alias("year_week"), day.alias("monday"), day.alias("sunday"), F.lit(30).alias("total_articles"), F.lit(15).alias("total_categories"))
+    health = spark.createDataFrame([], "year_week string, total_attempts bigint, total_fails bigint, degraded array<struct<no:int,domain:string,attempts:bigint,fail_count:bigint,fail_rate:double>>, fail_rate double")
+    import json
+
+    (row,) = reports.digest_cards(digest, weeks, health).collect()
+    elements = json.loads(row.card)["card"]["elements"]
+    assert len(elements) == 21 == row.elements and elements[1] == {"tag": "hr"} and elements[-1]["content"] == "… 共 30 篇，完整内容请查看邮件"

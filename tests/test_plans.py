@@ -14,7 +14,7 @@ USES_PYTHON = {
     # link jobs read pages
     "extract_links", "link_score", "looks_like_article", "hub_links", "frontier_quota", "frontier_order", "topn_links", "listing_candidates", "ordered_distinct",
 }
-RUNS_ON_BUILD = {k for k in QUERIES if k.startswith("stream_")} | {"weekly_window", "extract_chain", "near_dup_titles", "near_dup_first"}
+RUNS_ON_BUILD = {k for k in QUERIES if k.startswith("stream_")} | {"weekly_window", "extract_chain", "near_dup_titles", "near_dup_first", "exact_dup"}
 
 
 def plan(tables, key):
@@ -46,6 +46,14 @@ def test_first_k_of_a_group_is_cut_before_the_shuffle(tables):
         assert "WindowGroupLimit" in plan(tables, key), key
 
 
+def test_one_scan_and_a_shared_shuffle_for_ordered_work(tables):
+    for key in ("fetch_fail_streak", "chain_breaker", "proxy_disable", "status_machine", "politeness_schedule"):
+        df = QUERIES[key].run(tables)
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 1 and "ReusedExchange" in final, key
+
+
 def test_top_n_is_taken_not_sorted(tables):
     for key in ("article_page", "topn_links", "edit_search", "date_counts"):
         assert "TakeOrderedAndProject" in plan(tables, key), key

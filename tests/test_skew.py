@@ -36,7 +36,7 @@ def test_streaks(log):
         for r in group:
             run = 0 if r[3] else run + 1
             want[r[2]] = run
-    got = ordered.streaks(df, ["domain"], F.to_date("ts"), ["ts", "event_id"], ~F.col("ok"), F.col("ok"))
+    got = ordered.streaks(df, ["domain"], ordered.time_bucket(F.col("ts")), ["ts", "event_id"], ~F.col("ok"), F.col("ok"))
     assert {r.event_id: r.streak for r in got.collect()} == want
 
 
@@ -50,9 +50,9 @@ def test_previous_and_running_max(log):
             last = r[2]
             high = r[2] % 97 if high is None else max(high, r[2] % 97)
             top[r[2]] = high
-    got = ordered.previous(df, ["domain"], F.to_date("ts"), ["ts", "event_id"], "event_id")
+    got = ordered.previous(df, ["domain"], ordered.time_bucket(F.col("ts")), ["ts", "event_id"], "event_id")
     assert {r.event_id: r.previous for r in got.collect()} == before
-    got = ordered.running_max(df, ["domain"], F.to_date("ts"), ["ts", "event_id"], F.col("event_id") % 97, "top")
+    got = ordered.running_max(df, ["domain"], ordered.time_bucket(F.col("ts")), ["ts", "event_id"], F.col("event_id") % 97, "top")
     assert {r.event_id: r.top for r in got.collect()} == top
 
 
