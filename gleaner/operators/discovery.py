@@ -104,8 +104,9 @@ def portal_pages(pages_with_nodes: DataFrame) -> DataFrame:
 
 
 def frontier(links: DataFrame, quota: int = PATH_QUOTA, size: int = FRONTIER_SIZE) -> DataFrame:
-    """Admitted links per site, in arrival order (page_id, pos).
+    """Admitted links per site, in arrival order (page_id, pos). Junk is never admitted.
 
+    Admission does not look at scores, so score what comes out of here and not what goes in.
     First sight of each url, at most ``quota`` per path prefix (rows with ``skip_quota``
     are exempt), at most ``size`` per site. Each step keeps the first k rows of a group,
     which Spark cuts down inside every partition before it shuffles, so one huge site
@@ -113,7 +114,7 @@ def frontier(links: DataFrame, quota: int = PATH_QUOTA, size: int = FRONTIER_SIZ
     """
     arrival = ["page_id", "pos"]
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*arrival))
-    seen = links.withColumn("_n", rank("site", "url")).filter("_n = 1").withColumn("prefix", U.path_prefix(F.col("url")))
+    seen = links.filter(~U.is_junk(F.col("url"))).withColumn("_n", rank("site", "url")).filter("_n = 1").withColumn("prefix", U.path_prefix(F.col("url")))
     # urls are unique by now, so an exempt row alone under its url is always the first there
     counted = seen.withColumn("_quota_key", F.when(F.col("skip_quota"), F.col("url")).otherwise(F.col("prefix")))
     limited = counted.withColumn("_n", rank("site", "skip_quota", "_quota_key")).filter(F.col("_n") <= quota)

@@ -117,7 +117,8 @@ FRONTIER = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORD
 
 
 def admitted(t):
-    return op.frontier(scored(t).withColumn("skip_quota", F.expr("text = '更多' AND page_id % 2 = 0")).drop("signals"))
+    kept = op.frontier(links(t).withColumn("skip_quota", F.expr("text = '更多' AND page_id % 2 = 0")))
+    return op.score_links(kept, "2001-08-01", "2001-07-01", "2001-07-31")
 
 
 @query("frontier_quota", f"SELECT page_id, pos, site, url, prefix, score FROM ({FRONTIER}) f", "dated_urls")

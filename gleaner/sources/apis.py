@@ -28,7 +28,7 @@ def _list(text: Column) -> Column:
 
 
 def is_list(body: Column) -> Column:
-    return F.coalesce(body.rlike(r"^\s*\[") & F.try_parse_json(body).isNotNull(), F.lit(False))
+    return F.coalesce(body.rlike(r"^\s*\["), F.lit(False))
 
 
 def items(body: Column, hint: str | None = None) -> Column:
@@ -49,23 +49,24 @@ def items(body: Column, hint: str | None = None) -> Column:
             known.insert(0, F.when(hinted.rlike(r"^\["), bind(_list(hinted), lambda arr: F.when(objects(arr), arr))))
         return F.coalesce(*known, _list(entry))
 
-    whole = F.try_parse_json(body).isNotNull()
-    return F.when(body.rlike(r"^\s*\[") & whole, bare).when(body.rlike(r"^\s*\{") & whole, bind(F.from_json(body, "map<string,string>"), wrapped))
+    opened = F.when(is_list(body), bare).when(body.rlike(r"^\s*\{"), bind(F.from_json(body, "map<string,string>"), wrapped))
+    return F.when(F.try_parse_json(body).isNotNull(), opened)
 
 
 def fields(sample: Column) -> Column:
     """struct(url_field, date_field, title_field) of one record; '' where nothing fits."""
 
-    def detect(v: Column) -> Column:
+    def detect(v: Column, keys: Column) -> Column:
         kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
         text = lambda f: kind(f) == "STRING"
         scalar = lambda f: kind(f).rlike("^(?:STRING|BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$") & F.try_variant_get(v, f"$.{f}", "string").rlike(r"\S")
-        pick = lambda names, ok: F.coalesce(*[F.when(ok(f), F.lit(f)) for f in names], F.lit(""))
+        # names that are not there at all are passed over without asking for their value
+        pick = lambda names, ok: F.coalesce(*[F.when(F.array_contains(keys, f) & ok(f), F.lit(f)) for f in names], F.lit(""))
         return F.struct(
             pick(URL_FIELDS, text).alias("url_field"), pick(DATE_FIELDS, scalar).alias("date_field"), pick(TITLE_FIELDS, text).alias("title_field")
         )
 
-    return bind(F.try_parse_json(sample), detect)
+    return bind(F.try_parse_json(sample), lambda v: bind(F.json_object_keys(sample), lambda keys: detect(v, keys)))
 
 
 def judged(url: Column, body: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,12 @@ def append_articles(candidates: DataFrame, path: str, key: str = "original_link"
 
 def _existing(spark, path: str, like: DataFrame) -> DataFrame:
     """The table as it stands, or an empty one of the same shape when it is not there yet."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    return spark.read.schema(like.schema).parquet(path) if there else spark.createDataFrame([], like.schema)
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], like.schema)
 
 
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
