@@ -195,17 +195,20 @@ def pruned(html: Column) -> Column:
         inside = lambda at, lo, hi: (at >= lo) & (at < hi)
         dead = lambda at: F.exists(cut, lambda c: inside(at, c["a"], c["b"]))
 
-        def sparse(n: Column) -> Column:
-            alive = F.filter(F.slice(TEXTS, n["t0"] + 1, n["t1"] - n["t0"]), lambda p: ~dead(p["at"]))
-            letters = F.aggregate(alive, F.lit(0), lambda a, p: a + F.length(p["s"]))
-            parts = F.size(alive) + (n["own"] > 0).cast("int") + (n["tail"] > 0).cast("int")
+        # letters of each text piece that is still there, worked out once for all nodes
+        living = F.transform(TEXTS, lambda p: F.when(dead(p["at"]), 0).otherwise(F.length(p["s"])))
+
+        def sparse(n: Column, lengths: Column) -> Column:
+            span = F.slice(lengths, n["t0"] + 1, n["t1"] - n["t0"])
+            letters = F.aggregate(span, F.lit(0), lambda a, x: a + x)
+            parts = F.size(F.filter(span, lambda x: x > 0)) + (n["own"] > 0).cast("int") + (n["tail"] > 0).cast("int")
             text = letters + n["own"] + n["tail"] + F.greatest(parts - 1, F.lit(0))
             # only the outermost cuts below this node count, or nested ones would be taken off twice
             below = F.filter(cut, lambda c: (c["a"] > n["h0"]) & (c["b"] <= n["h2"]) & ~F.exists(cut, lambda o: (o["a"] < c["a"]) & (o["b"] >= c["b"]) & (o["a"] > n["h0"])))
             size = (n["h2"] - n["h0"]) - F.aggregate(below, F.lit(0), lambda a, c: a + c["b"] - c["a"])
             return (letters > 0) & (text / F.greatest(size, F.lit(1)) < MIN_DENSITY)
 
-        thin = find_nodes(lambda n: nested(n) & n["tag"].isin(*DENSITY_TAGS) & ~dead(n["h0"]) & sparse(n))
+        thin = bind(living, lambda ls: find_nodes(lambda n: nested(n) & n["tag"].isin(*DENSITY_TAGS) & ~dead(n["h0"]) & sparse(n, ls)))
         return F.concat(cut, F.transform(thin, span))
 
     def apply(cuts: Column) -> Column:
