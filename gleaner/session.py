@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -11,6 +13,10 @@ from pyspark.sql import SparkSession
 def local_session(cores: str | int = "*", memory: str = "12g", app: str = "gleaner") -> SparkSession:
     """A session for tests and benchmarks; on a cluster use the session you are given."""
     n = 8 if str(cores) == "*" else int(cores)
+    # Python workers import this package as well; on a cluster ship it with --py-files.
+    root = str(Path(__file__).resolve().parent.parent)
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [root, os.environ.get("PYTHONPATH")]))
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
