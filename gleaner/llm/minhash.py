@@ -1,0 +1,179 @@
+"""Near duplicates by MinHash bands, odd sketches and a final look at the full sets.
+
+Each text's set of five-word shingles gives SAMPLES minima. Bands of them are the keys
+under which similar texts meet. The same minima, hashed together with their places, are
+folded into a bitmap of parities: the bits in which two bitmaps differ tell how many
+minima differ, so a pair is judged by eight XORs before any text is fetched. Pairs that
+remain are counted on their full sets.
+
+Texts with equal sets are one class and are compared once. Under a key every class is
+held against the least one there. Where that leaves more than one component, the classes
+outside the least one's component are held against all others of the key, in blocks, by
+their bitmaps only. So no link between classes that meet is lost, whatever a key's size.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from gleaner.llm.common import WordHashes, components, mix, shingles
+from gleaner.session import settle
+
+SAMPLES, ROWS = 128, 4
+ODD_WORDS = 8
+#: Pairs whose bitmaps suggest less than this are dropped: more than six standard deviations below 0.75.
+ODD_FLOOR = 0.4
+BLOCK = 1024
+FACTORS = np.random.default_rng(1).integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OFFSETS = np.random.default_rng(2).integers(0, 2**63, SAMPLES, dtype=np.uint64)
+
+
+def minima(sh: np.ndarray) -> np.ndarray:
+    least = np.full(SAMPLES, 2**64 - 1, np.uint64)
+    for at in range(0, len(sh), 1024):
+        np.minimum(least, (sh[at : at + 1024, None] * FACTORS + OFFSETS).min(axis=0), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    keys = mix(least).reshape(-1, ROWS)
+    h = np.arange(1, len(keys) + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        h = mix(h + keys[:, i])
+    return h.view(np.int64)
+
+
+def odd_sketch(least: np.ndarray) -> np.ndarray:
+    """64 * ODD_WORDS parities: how often each bit was hit by the hash of (place, minimum)."""
+    at = mix(least + OFFSETS) % np.uint64(64 * ODD_WORDS)
+    odd = (np.bincount(at.astype(np.int64), minlength=64 * ODD_WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def estimate(differing: Column) -> Column:
+    """Similarity that two sketches suggest: minima that differ fill the XOR's bits like balls bins."""
+    n = 64.0 * ODD_WORDS
+    return 1 + n / (4 * SAMPLES) * F.ln(F.greatest(1 - 2 * differing / n, F.lit(1e-9)))
+
+
+def likely(a: Column, b: Column) -> Column:
+    xor = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return estimate(F.aggregate(xor, F.lit(0), lambda s, n: s + n)) >= ODD_FLOOR
+
+
+SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, odd array<long>"
+
+
+def signed(batches):
+    """Set size, set digest, band keys and odd sketch of each text."""
+    import hashlib
+
+    import pyarrow as pa
+
+    words = WordHashes()
+    for batch in batches:
+        sizes, sets, keys, odds = [], [], [], []
+        for text in batch.column("text").to_pylist():
+            sh = shingles(words.of(text))
+            sizes.append(len(sh))
+            sets.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest() if len(sh) else None)
+            least = minima(sh) if len(sh) else None
+            keys.append(None if least is None else bands(least))
+            odds.append(None if least is None else odd_sketch(least))
+        arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SIGNED.split(", ")])
+
+
+def linked(least_share: int):
+    """Of rows (a, b, text_a, text_b) sorted by a, the pairs whose sets are similar enough."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        words, known, own = WordHashes(), None, None
+        for batch in batches:
+            keep = []
+            for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b"))):
+                if known != (a, ta):
+                    known, own = (a, ta), shingles(words.of(ta))
+                other = shingles(words.of(tb))
+                union = len(np.union1d(own, other))
+                keep.append(100 * (len(own) + len(other) - union) >= least_share * union)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, least_share: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the wanted similarity. ``texts``: one row for each id (doc_id, text)."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    chosen = settle(texts.join(ids, "doc_id", "left_semi"), "near-texts")
+    rows = pairs.join(chosen.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    rows = rows.join(chosen.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    return settle(rows.sortWithinPartitions("a").mapInArrow(linked(least_share), "a long, b long"), "near-links")
+
+
+def near_groups(docs: DataFrame, least_share: int = 75) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs`` (doc_id, text, any others).
+
+    Linked: 100 * intersection >= least_share * union of the sets of five-word shingles.
+    Texts without words, null texts among them, have no shingles and link with nothing.
+    Rows that share a doc_id are one document, linked through any of their texts; all of
+    them are kept or none. Rows without doc_id link with nothing, have no component and are kept.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    signs = settle(texts.mapInArrow(signed, SIGNED), "near-signs")
+    sets = settle(signs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "near-sets")
+    copies = sets.where("n > 1")
+    member = signs.select("doc_id", "set_id").join(copies, "set_id").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # One row for each class: its least document. A repeated id may stand for several classes.
+    classes = signs.join(sets.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
+    classes = settle(classes.select("doc_id", "bands", "odd"), "near-classes")
+    keyed = classes.select("doc_id", F.explode("bands").alias("key"))
+    heads = settle(keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1"), "near-heads")
+    met = settle(keyed.join(heads, "key"), "near-met")
+
+    odd = classes.select("doc_id", "odd")
+    stars = met.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = stars.join(odd.withColumnRenamed("doc_id", "a").withColumnRenamed("odd", "odd_a"), "a")
+    stars = stars.join(odd.withColumnRenamed("doc_id", "b").withColumnRenamed("odd", "odd_b"), "b")
+    tested = settle(stars.where(likely(F.col("odd_a"), F.col("odd_b"))).select("a", "b").distinct(), "near-stars")
+    links = confirmed(tested, texts, least_share)
+
+    group = components(links, "a", "b", "near-first")
+    group = settle(group, "near-groups")
+    named = met.where("n > 2").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("own", F.coalesce("component", "doc_id")).drop("component")
+    named = named.join(group.withColumnRenamed("node", "lead"), "lead", "left").withColumn("lead_own", F.coalesce("component", "lead")).drop("component")
+    named = settle(named.join(odd, "doc_id").select("key", "doc_id", "n", "own", "odd", (F.col("own") != F.col("lead_own")).alias("outside")), "near-named")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    outside = named.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    every = named.withColumn("block", F.pmod(F.hash("doc_id"), blocks))
+    x = outside.select("key", "block", F.col("doc_id").alias("x"), F.col("own").alias("own_x"), F.col("odd").alias("odd_x"))
+    y = every.select("key", "block", F.col("doc_id").alias("y"), F.col("own").alias("own_y"), F.col("odd").alias("odd_y"))
+    late = x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & (F.col("own_x") != F.col("own_y")) & likely(F.col("odd_x"), F.col("odd_y")))
+    late = late.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    late = settle(late.join(tested, ["a", "b"], "left_anti"), "near-late")
+    if not late.isEmpty():
+        links = links.unionByName(confirmed(late, texts, least_share))
+
+    group = components(links.unionByName(member), "a", "b", "near-all")
+    rows = signs.select("doc_id", "n_shingles").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    component = F.coalesce("component", "doc_id")
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, least_share: int = 75) -> DataFrame:
+    """One document of each group stays, that with the smallest doc_id; columns are those of ``docs``.
+
+    Of rows that share a doc_id one stays: the one whose text is least. Rows without doc_id all stay.
+    """
+    gone = near_groups(docs, least_share).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    rows = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = settle(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again")), "near-again")
+    if repeated.isEmpty():
+        return rows
+    single = rows.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti")
+    again = rows.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi")
+    return single.unionByName(again.groupBy("doc_id").agg(F.min_by(F.struct(docs.columns), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*"))

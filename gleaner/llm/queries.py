@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import mixing, oph, pieces, quality, toxicity, warc
+from gleaner.llm import crosspoly, minhash, mixing, oph, pieces, quality, toxicity, warc
 from gleaner.llm.common import held_out
 
 
@@ -22,6 +22,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return rows.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_pass").alias("pass"), F.col("_key").alias("order_key"), F.round("_weight", 9).alias("weight"))
@@ -43,6 +47,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()).drop("text")
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     out = held_out("doc_id", 5, 0)
@@ -56,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op5_toxicity, op6_fingerprints, op7_pieces, op9_quality, op10_warc)
+    f.__name__: f for f in (op1_minhash, op2_mixing, op5_toxicity, op6_fingerprints, op7_pieces, op8_vectors, op9_quality, op10_warc)
 }
 
 TWINS: dict[str, str] = {}
