@@ -7,8 +7,9 @@ last give the columns of ``documents``. Between stages the rows are written and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import mixing, pieces, quality
+from gleaner.llm import minhash, mixing, pieces, quality, suffixes
 from gleaner.llm.common import held_out
 from gleaner.llm.queries import piece_model, table
 from gleaner.session import settle
@@ -20,6 +21,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs, quality.fitted(docs, labels, "quality"))
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return minhash.deduplicated(docs)
+
+
+def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that repeat go from every text; n_chars is counted anew where it is there."""
+    rows = suffixes.removed(docs).select(docs.columns)
+    return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix of sources takes them."""
     return mixing.mixed(docs).select(docs.columns)
@@ -30,7 +42,7 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return pieces.encoded(docs, piece_model())
 
 
-STAGES = [("quality", quality_stage), ("mixing", mixing_stage), ("pieces", pieces_stage)]
+STAGES = [("quality", quality_stage), ("near_duplicates", near_stage), ("passages", passages_stage), ("mixing", mixing_stage), ("pieces", pieces_stage)]
 
 #: The classifier and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

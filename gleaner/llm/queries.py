@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import crosspoly, minhash, mixing, oph, pieces, quality, toxicity, warc
+from gleaner.llm import crosspoly, katz, minhash, mixing, oph, pieces, quality, suffixes, toxicity, warc
 from gleaner.llm.common import held_out
 
 
@@ -31,6 +31,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_pass").alias("pass"), F.col("_key").alias("order_key"), F.round("_weight", 9).alias("weight"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+
+
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     out = held_out("doc_id", 3, 1)
@@ -64,7 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_mixing, op5_toxicity, op6_fingerprints, op7_pieces, op8_vectors, op9_quality, op10_warc)
+    f.__name__: f for f in (op1_minhash, op2_mixing, op3_katz, op4_suffixes, op5_toxicity, op6_fingerprints, op7_pieces, op8_vectors, op9_quality, op10_warc)
 }
 
 TWINS: dict[str, str] = {}
