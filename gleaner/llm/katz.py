@@ -27,7 +27,7 @@ from gleaner.session import fresh_path
 
 KMAX = 5
 CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 60_000
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 20 << 20
 START, END = np.uint64(1), np.uint64(2)
 
 BLOCK = "bucket int, chunk long, documents boolean, block binary"
