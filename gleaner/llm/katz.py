@@ -27,7 +27,7 @@ from gleaner.session import fresh_path
 
 KMAX = 5
 CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 60_000
-BUCKET_BYTES = 20 << 20
+BUCKET_BYTES = 16 << 20
 START, END = np.uint64(1), np.uint64(2)
 
 BLOCK = "bucket int, chunk long, documents boolean, block binary"
@@ -40,17 +40,18 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; whole numbers take as few bytes as they need."""
+    out = zstandard.ZstdCompressor(level=1).compressobj()
     parts = []
     for a in arrays:
         a = np.ascontiguousarray(a)
         if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
             a = a.astype(np.min_scalar_type(a.max()))
-        parts += [np.frombuffer(f"{a.dtype.str:>8}{len(a):>12}".encode(), np.uint8), a.view(np.uint8)]
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate(parts).tobytes())
+        parts += [out.compress(f"{a.dtype.str:>8}{len(a):>12}".encode()), out.compress(a.view(np.uint8).data)]
+    return b"".join([*parts, out.flush()])
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
-    data, at, out = zstandard.ZstdDecompressor().decompress(block), 0, []
+    data, at, out = zstandard.ZstdDecompressor().decompressobj().decompress(block), 0, []
     while at < len(data):
         kind, n = np.dtype(data[at : at + 8].decode().strip()), int(data[at + 8 : at + 20])
         at += 20
@@ -144,16 +145,18 @@ def counted(buckets: int):
         rows = [(DOCUMENTS, b, b, int(c), x) for c, x, d in zip(frame.chunk, frame.block, frame.documents) if d]
         got = [(int(c), unpack(x)) for c, x, d in zip(frame.chunk, frame.block, frame.documents) if not d]
         got.sort(key=lambda x: x[0])
+        del frame
         if got:
             h = np.concatenate([np.repeat(a[0], a[1]) for _, a in got])
             w = np.concatenate([a[2][a[3]] for _, a in got])
             trained = np.concatenate([a[4].astype(np.int64) for _, a in got])
             order = np.lexsort((w, h))
             starts = changes(h[order], w[order])
-            number = np.empty(len(h), np.int64)
-            number[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+            number = np.empty(len(h), np.int32)
+            number[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(h))))
             c2 = np.add.reduceat(trained[order], starts)
-            h, w = h[order][starts], w[order][starts]
+            h, w = h[order[starts]], w[order[starts]]
+            del order, trained, starts
             at = changes(h)
             per = np.diff(np.append(at, len(h)))
             histories, own = h[at], np.add.reduceat(c2, at)
