@@ -8,8 +8,8 @@ remain are counted on their full sets.
 
 Texts with equal sets are one class and are compared once. Under a key every class is
 held against the least one there. Where that leaves more than one component, the classes
-outside the least one's component are held against all others of the key, in blocks, by
-their bitmaps only. So no link between classes that meet is lost, whatever a key's size.
+outside the least one's component are held against other members of it, one for each key
+and round; those then still outside against all others of the key, in blocks, by bitmaps. So no link between classes that meet is lost, whatever a key's size.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ from gleaner.session import settle
 
 SAMPLES, ROWS = 128, 4
 ODD_WORDS = 8
-#: Pairs whose bitmaps suggest less than this are dropped: more than six standard deviations below 0.75.
-ODD_FLOOR = 0.4
+#: Pairs whose bitmaps suggest less than this are dropped: more than four standard deviations (0.047) below 0.75.
+ODD_FLOOR = 0.55
+#: Rounds in which what is still apart under a key is held against another document of the least one's component.
+ROUNDS = 3
 BLOCK = 1024
 FACTORS = np.random.default_rng(1).integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = np.random.default_rng(2).integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -136,27 +138,38 @@ def near_groups(docs: DataFrame, least_share: int = 75) -> DataFrame:
     met = settle(keyed.join(heads, "key"), "near-met")
 
     odd = classes.select("doc_id", "odd")
-    stars = met.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = stars.join(odd.withColumnRenamed("doc_id", "a").withColumnRenamed("odd", "odd_a"), "a")
-    stars = stars.join(odd.withColumnRenamed("doc_id", "b").withColumnRenamed("odd", "odd_b"), "b")
-    tested = settle(stars.where(likely(F.col("odd_a"), F.col("odd_b"))).select("a", "b").distinct(), "near-stars")
-    links = confirmed(tested, texts, least_share)
 
-    group = components(links, "a", "b", "near-first")
-    group = settle(group, "near-groups")
-    named = met.where("n > 2").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("own", F.coalesce("component", "doc_id")).drop("component")
-    named = named.join(group.withColumnRenamed("node", "lead"), "lead", "left").withColumn("lead_own", F.coalesce("component", "lead")).drop("component")
-    named = settle(named.join(odd, "doc_id").select("key", "doc_id", "n", "own", "odd", (F.col("own") != F.col("lead_own")).alias("outside")), "near-named")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    outside = named.where("outside").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    every = named.withColumn("block", F.pmod(F.hash("doc_id"), blocks))
-    x = outside.select("key", "block", F.col("doc_id").alias("x"), F.col("own").alias("own_x"), F.col("odd").alias("odd_x"))
-    y = every.select("key", "block", F.col("doc_id").alias("y"), F.col("own").alias("own_y"), F.col("odd").alias("odd_y"))
-    late = x.join(y, (x["key"] == y["key"]) & (x["block"] == y["block"]) & (F.col("own_x") != F.col("own_y")) & likely(F.col("odd_x"), F.col("odd_y")))
-    late = late.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    late = settle(late.join(tested, ["a", "b"], "left_anti"), "near-late")
-    if not late.isEmpty():
-        links = links.unionByName(confirmed(late, texts, least_share))
+    def likely_pairs(pairs: DataFrame, name: str) -> DataFrame:
+        """Of (a, b), the distinct pairs that their bitmaps let pass."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(odd.withColumnRenamed("doc_id", "a").withColumnRenamed("odd", "odd_a"), "a")
+        pairs = pairs.join(odd.withColumnRenamed("doc_id", "b").withColumnRenamed("odd", "odd_b"), "b")
+        return settle(pairs.where(likely(F.col("odd_a"), F.col("odd_b"))).select("a", "b"), name)
+
+    tested = likely_pairs(met.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), "near-stars")
+    links = confirmed(tested, texts, least_share)
+    for turn in range(ROUNDS + 1):
+        # Keys under which more than one component is left, and what stands outside the least one's.
+        group = settle(components(links, "a", "b", "near-round"), "near-group")
+        named = met.where("n > 2").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("own", F.coalesce("component", "doc_id")).drop("component")
+        named = named.join(group.withColumnRenamed("node", "lead"), "lead", "left").withColumn("outside", F.col("own") != F.coalesce("component", "lead")).drop("component")
+        named = settle(named.select("key", "doc_id", "n", "own", "outside"), "near-named")
+        named = settle(named.join(settle(named.where("outside").select("key").distinct(), "near-open"), "key"), "near-still")
+        if named.isEmpty():
+            break
+        outside = named.where("outside")
+        if turn < ROUNDS:
+            other = named.where("NOT outside").groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn)).alias("h"), F.col("doc_id").alias("a"))).alias("pick"))
+            pairs = outside.join(other.select("key", "pick.a"), "key").select("a", F.col("doc_id").alias("b"))
+        else:
+            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+            x = outside.join(odd, "doc_id").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("doc_id").alias("x"), F.col("own").alias("own_x"), F.col("odd").alias("odd_x"))
+            y = named.join(odd, "doc_id").select("key", F.pmod(F.hash("doc_id"), blocks).alias("block"), F.col("doc_id").alias("y"), F.col("own").alias("own_y"), F.col("odd").alias("odd_y"))
+            pairs = x.join(y, ["key", "block"]).where((F.col("own_x") != F.col("own_y")) & likely(F.col("odd_x"), F.col("odd_y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        late = settle(likely_pairs(pairs, "near-likely").join(tested, ["a", "b"], "left_anti"), "near-late")
+        if not late.isEmpty():
+            links = links.unionByName(confirmed(late, texts, least_share))
+            tested = tested.unionByName(late)
 
     group = components(links.unionByName(member), "a", "b", "near-all")
     rows = signs.select("doc_id", "n_shingles").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left")
