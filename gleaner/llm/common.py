@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen lately. The bound is on memory only."""
 
-    limit = 400_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -95,12 +95,14 @@ def blocks(buckets: int):
             for (_, _, w), e in zip(held, end):
                 second[e - 1 - len(w) : e - 1] = w
                 first[e - len(w) : e] = w
-            doc = np.repeat(np.arange(len(held)), lengths)
+            doc = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
             order = np.lexsort((second, first))  # stable: documents stay in order
             h, w, doc = first[order], second[order], doc[order]
+            del first, second, order
             entry = changes(h, w, doc)
             count = np.diff(np.append(entry, len(h)))
             h, w, doc = h[entry], w[entry], doc[entry]
+            del entry
             gram = changes(h, w)
             spread = np.diff(np.append(gram, len(h)))
             trained = np.add.reduceat(count * learn[doc], gram)

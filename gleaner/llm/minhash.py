@@ -1,9 +1,10 @@
 """Near duplicates by MinHash bands, odd sketches and a final look at the full sets.
 
 Each text's set of five-word shingles gives SAMPLES minima. Bands of them are the keys
-under which similar texts meet. The same minima, hashed together with their places, are
-folded into a bitmap of parities: the bits in which two bitmaps differ tell how many
-minima differ, so a pair is judged by eight XORs before any text is fetched. Pairs that
+under which similar texts meet. For the judgement, four times as many minima, one for each
+bin of the hashes, are hashed together with their places and folded into a bitmap of
+parities: the bits in which two bitmaps differ tell how many minima differ, so a pair is
+judged by a few XORs before any text is fetched. Pairs that
 remain are counted on their full sets.
 
 Texts with equal sets are one class and are compared once. Under a key every class is
@@ -19,17 +20,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import WordHashes, components, mix, shingles
+from gleaner.llm.oph import BINS, binned
 from gleaner.session import settle
 
 SAMPLES, ROWS = 128, 4
-ODD_WORDS = 8
-#: Pairs whose bitmaps suggest less than this are dropped: more than four standard deviations (0.047) below 0.75.
-ODD_FLOOR = 0.55
+ODD_WORDS = 32
+#: Pairs whose bitmaps suggest less than this are dropped: four standard deviations (0.024) below 0.75.
+ODD_FLOOR = 0.65
 #: Rounds in which what is still apart under a key is held against another document of the least one's component.
 ROUNDS = 3
 BLOCK = 1024
 FACTORS = np.random.default_rng(1).integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = np.random.default_rng(2).integers(0, 2**63, SAMPLES, dtype=np.uint64)
+PLACES = np.random.default_rng(3).integers(0, 2**63, BINS, dtype=np.uint64)
 
 
 def minima(sh: np.ndarray) -> np.ndarray:
@@ -47,9 +50,9 @@ def bands(least: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """64 * ODD_WORDS parities: how often each bit was hit by the hash of (place, minimum)."""
-    at = mix(least + OFFSETS) % np.uint64(64 * ODD_WORDS)
+def odd_sketch(sh: np.ndarray) -> np.ndarray:
+    """64 * ODD_WORDS parities: how often each bit was hit by the hash of (bin, its minimum)."""
+    at = mix(binned(sh) + PLACES) % np.uint64(64 * ODD_WORDS)
     odd = (np.bincount(at.astype(np.int64), minlength=64 * ODD_WORDS) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
@@ -57,7 +60,7 @@ def odd_sketch(least: np.ndarray) -> np.ndarray:
 def estimate(differing: Column) -> Column:
     """Similarity that two sketches suggest: minima that differ fill the XOR's bits like balls bins."""
     n = 64.0 * ODD_WORDS
-    return 1 + n / (4 * SAMPLES) * F.ln(F.greatest(1 - 2 * differing / n, F.lit(1e-9)))
+    return 1 + n / (4 * BINS) * F.ln(F.greatest(1 - 2 * differing / n, F.lit(1e-9)))
 
 
 def likely(a: Column, b: Column) -> Column:
@@ -83,7 +86,7 @@ def signed(batches):
             sets.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest() if len(sh) else None)
             least = minima(sh) if len(sh) else None
             keys.append(None if least is None else bands(least))
-            odds.append(None if least is None else odd_sketch(least))
+            odds.append(None if least is None else odd_sketch(sh))
         arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SIGNED.split(", ")])
 

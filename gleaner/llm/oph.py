@@ -32,10 +32,8 @@ def donors(attempt: int, bins: np.ndarray) -> np.ndarray:
     return (mix(bins.astype(np.uint64) * np.uint64(ATTEMPTS) + np.uint64(attempt)) >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
 
 
-def fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """Low-order bits of each bin, as uint8; no bins for an empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.uint8)
+def binned(hashes: np.ndarray) -> np.ndarray:
+    """The value of each bin, for sorted hashes of a set that is not empty."""
     bins = (hashes >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))  # hashes are sorted
     values, filled = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
@@ -47,7 +45,14 @@ def fingerprint(hashes: np.ndarray) -> np.ndarray:
         got = own[asked]
         values[empty[got]] = values[asked[got]]
         empty = empty[~got]
-    return (mix(values) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    return values
+
+
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Low-order bits of each bin, as uint8; no bins for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint8)
+    return (mix(binned(hashes)) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
 def packed(low: np.ndarray) -> str:

@@ -75,4 +75,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash, op2_mixing, op3_katz, op4_suffixes, op5_toxicity, op6_fingerprints, op7_pieces, op8_vectors, op9_quality, op10_warc)
 }
 
-TWINS: dict[str, str] = {}
+#: Base32 of a SHA-1: five hexadecimal digits are 20 bits, four letters.
+TWINS: dict[str, str] = {
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+heads AS (SELECT h, min(page_id) AS head FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST(('0x' || substr(p.h, 5 * i + 1, 5)) AS BIGINT) >> s) & 31 AS INT) + 1, 1) for s in [15, 10, 5, 0]] for i in range(8)]), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM head OR head IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to
+FROM p JOIN heads USING (h)""",
+}
