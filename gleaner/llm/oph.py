@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,12 +25,14 @@ from gleaner.llm.common import WordHashes, mix, shingles
 from gleaner.session import settle
 
 BINS, BITS = 512, 4
-ATTEMPTS = 64 * BINS
+ATTEMPTS, STRIDE = 1 << 20, 32
 
 
-def donors(attempt: int, bins: np.ndarray) -> np.ndarray:
-    """The bins that empty ``bins`` ask at this attempt."""
-    return (mix(bins.astype(np.uint64) * np.uint64(ATTEMPTS) + np.uint64(attempt)) >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
+@lru_cache(maxsize=128)
+def donors(first: int) -> np.ndarray:
+    """The bins that each bin asks while empty, at the next STRIDE attempts: attempts x bins."""
+    places = np.arange(BINS, dtype=np.uint64) * np.uint64(ATTEMPTS) + np.arange(first, first + STRIDE, dtype=np.uint64)[:, None]
+    return (mix(places) >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int16)
 
 
 def binned(hashes: np.ndarray) -> np.ndarray:
@@ -38,13 +41,14 @@ def binned(hashes: np.ndarray) -> np.ndarray:
     first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))  # hashes are sorted
     values, filled = np.zeros(BINS, np.uint64), np.zeros(BINS, bool)
     values[bins[first]], filled[bins[first]] = hashes[first], True
-    empty, own, attempt = np.flatnonzero(~filled), filled.copy(), 0
+    empty, attempt = np.flatnonzero(~filled), 0
     while len(empty):
-        attempt += 1
-        asked = donors(attempt, empty)
-        got = own[asked]
-        values[empty[got]] = values[asked[got]]
-        empty = empty[~got]
+        asked = donors(attempt)[:, empty]
+        ok = filled[asked]
+        at = ok.argmax(axis=0)
+        got = ok[at, np.arange(len(empty))]
+        values[empty[got]] = values[asked[at[got], np.flatnonzero(got)]]
+        empty, attempt = empty[~got], attempt + STRIDE
     return values
 
 
