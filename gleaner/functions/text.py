@@ -86,7 +86,8 @@ def tokens(text: Column) -> Column:
 
 
 def fingerprint(title: Column, body: Column) -> Column:
-    return F.md5(F.concat(strip(title), strip(F.substring(body, 1, 200))))
+    """Of the whole title and text, each stripped; a null counts as empty."""
+    return F.md5(F.concat(strip(F.coalesce(title, F.lit(""))), strip(F.coalesce(body, F.lit("")))))
 
 
 def simhash64(text: Column) -> Column:

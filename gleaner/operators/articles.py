@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The label given when nothing scores, and the thresholds around it.
 UNCATEGORISED = "未分类"
@@ -236,7 +237,10 @@ def label_articles(
         scores = articles.select("article_id", "title", "raw_content").mapInPandas(
             scorer, f"article_id {kind}, label string, score double"
         )
-    return score_labels(scores, list(vocabulary))
+    chosen = score_labels(scores, list(vocabulary))
+    none = F.array(F.struct(F.lit(UNCATEGORISED).alias("label"), F.lit(0.0).alias("confidence")))
+    # An article for which the scorer says nothing is uncategorised, not lost.
+    return articles.select("article_id").distinct().join(chosen, "article_id", "left").withColumn("categories", F.coalesce("categories", none))
 
 
 def latest_version(drafts: DataFrame) -> DataFrame:
@@ -264,13 +268,13 @@ def next_version(articles: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def edit_log(drafts: DataFrame, fields: Sequence[str] = ("title", "body")) -> DataFrame:
-    """One row per field that changed from version v to v + 1.
+    """One row per field that changed since the version before, whatever its number.
 
-    Each save is made against the version just below it, so this is an equi-join on
-    (article, version) rather than a window over a whole article.
+    Versions may have gaps. A window over an article's versions holds one row of it at a time.
     """
-    old = drafts.select("article_id", (F.col("version") + 1).alias("version"), *[F.col(f).alias(f"old_{f}") for f in fields])
-    both = drafts.join(old, ["article_id", "version"])
+    saves = Window.partitionBy("article_id").orderBy("version")
+    old = [F.lag(f).over(saves).alias(f"old_{f}") for f in fields]
+    both = drafts.select("*", *old, F.lag("version").over(saves).alias("_before")).where("_before IS NOT NULL")
     parts = ", ".join(f"'{f}', old_{f}, {f}" for f in fields)
     return both.selectExpr(
         "article_id", "version", "editor", f"stack({len(fields)}, {parts}) AS (field, old_value, new_value)"

@@ -94,7 +94,7 @@ def _(t):
 @query(
     "task_search",
     """SELECT article_id, title, status, created_at FROM facts WHERE status = 'failed' AND created_at >= DATE '1998-03-01'
-    AND created_at < DATE '1998-06-30' + 1 AND title ILIKE '%low%' ORDER BY created_at DESC, article_id LIMIT 50""",
+    AND created_at < DATE '1998-06-30' + 1 AND title ILIKE '%low%' ORDER BY created_at DESC, article_id""",
     "facts",
 )
 def _(t):
@@ -105,13 +105,13 @@ def _(t):
         "name": F.col("title").ilike("%low%"),
     }
     found = op.matching(t.facts, want).select("article_id", "title", "status", "created_at")
-    return found.orderBy(F.desc("created_at"), "article_id").limit(50)
+    return found.orderBy(F.desc("created_at"), "article_id")
 
 
 @query(
     "edit_search",
     """SELECT event_id, event_type AS target_type, ts FROM events WHERE event_type = 'click'
-    AND CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' ORDER BY ts DESC, event_id LIMIT 50""",
+    AND CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' ORDER BY ts DESC, event_id""",
 )
 def _(t):
     want = {
@@ -120,7 +120,7 @@ def _(t):
         "to": F.to_date("ts") <= F.lit("2024-01-12").cast("date"),
     }
     log = t.raw("events").select("event_id", F.col("event_type").alias("target_type"), "ts")
-    return op.matching(log, want).orderBy(F.desc("ts"), "event_id").limit(50)
+    return op.matching(log, want).orderBy(F.desc("ts"), "event_id")
 
 
 @query(

@@ -19,7 +19,7 @@ def simhash_cte(name: str, text: str) -> str:
 
 
 STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-PRINT = f"md5(concat({STRIPPED.format('title')}, {STRIPPED.format('substr(raw_content, 1, 200)')}))"
+PRINT = f"md5(concat({STRIPPED.format('title')}, {STRIPPED.format('raw_content')}))"
 
 
 @query("content_fingerprint", f"SELECT article_id, {PRINT} AS fingerprint FROM articles", "articles")

@@ -294,3 +294,29 @@ def test_long_card_is_cut(spark):
     (row,) = reports.digest_cards(digest, weeks, health).collect()
     elements = json.loads(row.card)["card"]["elements"]
     assert len(elements) == 21 == row.elements and elements[1] == {"tag": "hr"} and elements[-1]["content"] == "… 共 30 篇，完整内容请查看邮件"
+
+
+def test_edit_log_over_gaps(spark):
+    from gleaner.operators.articles import edit_log
+
+    drafts = spark.createDataFrame([(1, 1, "a", "x", "e"), (1, 3, "a", "y", "e"), (2, 5, "t", "b", "e")], "article_id long, version int, title string, body string, editor string")
+    assert [tuple(r) for r in edit_log(drafts).collect()] == [(1, 3, "e", "body", "x", "y")]
+
+
+def test_silent_scorer_leaves_articles_uncategorised(spark):
+    from gleaner.operators.articles import label_articles
+
+    articles = spark.createDataFrame([(1, "t", "b"), (2, "t", "b")], "article_id long, title string, raw_content string")
+    one = lambda frames: (f[f.article_id == 1][["article_id"]].assign(label="x", score=0.9) for f in frames)
+    got = {r.article_id: [tuple(c) for c in r.categories] for r in label_articles(articles, {"x": ["w"]}, one).collect()}
+    assert got[1] == [("x", 0.9)] and got[2][0][1] == 0.0
+
+
+def test_fingerprint_reads_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.functions.text import fingerprint
+
+    rows = spark.createDataFrame([(None, "a" * 300 + "x"), (None, "a" * 300 + "y"), ("", "a" * 300 + "x")], "t string, b string")
+    prints = [r.p for r in rows.select(fingerprint(F.col("t"), F.col("b")).alias("p")).collect()]
+    assert prints[0] == prints[2] != prints[1]
