@@ -168,8 +168,9 @@ def near_groups(docs: DataFrame, least_share: int = 75) -> DataFrame:
             blocks = F.ceil(F.col("n") / BLOCK).cast("int")
             x = outside.join(odd, "doc_id").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("doc_id").alias("x"), F.col("own").alias("own_x"), F.col("odd").alias("odd_x"))
             y = named.join(odd, "doc_id").select("key", F.pmod(F.hash("doc_id"), blocks).alias("block"), F.col("doc_id").alias("y"), F.col("own").alias("own_y"), F.col("odd").alias("odd_y"))
-            pairs = x.join(y, ["key", "block"]).where((F.col("own_x") != F.col("own_y")) & likely(F.col("odd_x"), F.col("odd_y"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        late = settle(likely_pairs(pairs, "near-likely").join(tested, ["a", "b"], "left_anti"), "near-late")
+            pairs = x.join(y, ["key", "block"]).where((F.col("own_x") != F.col("own_y")) & likely(F.col("odd_x"), F.col("odd_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        late = likely_pairs(pairs, "near-likely") if turn < ROUNDS else pairs.distinct()
+        late = settle(late.join(tested, ["a", "b"], "left_anti"), "near-late")
         if not late.isEmpty():
             links = links.unionByName(confirmed(late, texts, least_share))
             tested = tested.unionByName(late)
