@@ -55,7 +55,7 @@ def test_one_scan_and_a_shared_shuffle_for_ordered_work(tables):
 
 
 def test_top_n_is_taken_not_sorted(tables):
-    for key in ("article_page", "topn_links", "edit_search", "date_counts"):
+    for key in ("article_page", "topn_links", "date_counts"):
         assert "TakeOrderedAndProject" in plan(tables, key), key
 
 
