@@ -4,7 +4,8 @@ Each text's set of five-word shingles gives SAMPLES minima. Bands of them are th
 under which similar texts meet. For the judgement, four times as many minima, one for each
 bin of the hashes, are hashed together with their places and folded into a bitmap of
 parities: the bits in which two bitmaps differ tell how many minima differ, so a pair is
-judged by a few XORs before any text is fetched. Pairs that
+judged by a few XORs before any text is fetched. A set of no more hashes than there are
+bins is its own sample: all of it is folded, which leaves no error of sampling. Pairs that
 remain are counted on their full sets.
 
 Texts with equal sets are one class and are compared once. Under a key every class is
@@ -19,14 +20,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.stage import bind
 from gleaner.llm.common import WordHashes, components, mix, shingles
 from gleaner.llm.oph import BINS, binned
 from gleaner.session import settle
 
 SAMPLES, ROWS = 128, 4
 ODD_WORDS = 32
-#: Pairs whose bitmaps suggest less than this are dropped: four standard deviations (0.024) below 0.75.
-ODD_FLOOR = 0.65
+#: Pairs whose sampled minima suggest less than the wanted similarity by more than this are
+#: dropped: four standard deviations (0.024 at 0.75).
+MARGIN = 0.1
 #: Rounds in which what is still apart under a key is held against another document of the least one's component.
 ROUNDS = 3
 BLOCK = 1024
@@ -50,45 +53,79 @@ def bands(least: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def odd_sketch(sh: np.ndarray) -> np.ndarray:
-    """64 * ODD_WORDS parities: how often each bit was hit by the hash of (bin, its minimum)."""
-    at = mix(binned(sh) + PLACES) % np.uint64(64 * ODD_WORDS)
+def parities(at: np.ndarray) -> np.ndarray:
+    """How often each of 64 * ODD_WORDS places occurs, modulo two, as bits."""
     odd = (np.bincount(at.astype(np.int64), minlength=64 * ODD_WORDS) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def odd_sketch(sh: np.ndarray) -> np.ndarray:
+    """Parities of the places hit by the hashes of (bin, its minimum)."""
+    return parities(mix(binned(sh) + PLACES) % np.uint64(64 * ODD_WORDS))
+
+
+def whole_sketch(sh: np.ndarray) -> np.ndarray:
+    """Parities of the places hit by all of a small set."""
+    return parities(sh % np.uint64(64 * ODD_WORDS))
+
+
+def bits(a: Column, b: Column) -> Column:
+    """In how many bits two sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def estimate(differing: Column) -> Column:
-    """Similarity that two sketches suggest: minima that differ fill the XOR's bits like balls bins."""
+    """Similarity that sketches of minima suggest: minima that differ fill the XOR's bits like balls bins."""
     n = 64.0 * ODD_WORDS
     return 1 + n / (4 * BINS) * F.ln(F.greatest(1 - 2 * differing / n, F.lit(1e-9)))
 
 
-def likely(a: Column, b: Column) -> Column:
-    xor = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return estimate(F.aggregate(xor, F.lit(0), lambda s, n: s + n)) >= ODD_FLOOR
+def likely(a: Column, b: Column, least_share: int) -> Column:
+    """Whether two sketches (n_shingles, odd, whole) may belong to linked sets.
+
+    Whole sets differ in at least as many hashes as their bitmaps differ in bits, so that
+    test loses nothing. Sizes too far apart rule a link out, and so does a pair without a
+    kind of bitmap in common.
+    """
+    na, nb = a["n_shingles"], b["n_shingles"]
+    by_whole = bind(bits(a["whole"], b["whole"]), lambda z: 100 * (na + nb - z) >= least_share * (na + nb + z))
+    by_minima = estimate(bits(a["odd"], b["odd"])) >= least_share / 100 - MARGIN
+    return (100 * F.least(na, nb) >= least_share * F.greatest(na, nb)) & F.coalesce(by_whole, by_minima, F.lit(False))
 
 
-SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, odd array<long>"
+SIGNED = "doc_id long, n_shingles long, set_id binary, bands array<long>, odd array<long>, whole array<long>"
 
 
-def signed(batches):
-    """Set size, set digest, band keys and odd sketch of each text."""
-    import hashlib
+def signed(least_share: int):
+    """Set size, set digest, band keys and odd sketches of each text.
 
-    import pyarrow as pa
+    Sets up to BINS / share carry the sketch of the whole set, sets over BINS that of the
+    minima. Sets without a kind in common are too far apart in size to be linked.
+    """
 
-    words = WordHashes()
-    for batch in batches:
-        sizes, sets, keys, odds = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            sh = shingles(words.of(text))
-            sizes.append(len(sh))
-            sets.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest() if len(sh) else None)
-            least = minima(sh) if len(sh) else None
-            keys.append(None if least is None else bands(least))
-            odds.append(None if least is None else odd_sketch(sh))
-        arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SIGNED.split(", ")])
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        words, small = WordHashes(), BINS * 100 // least_share
+        fields = [x.split() for x in SIGNED.split(", ")]
+        types = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                sh = shingles(words.of(text))
+                n = len(sh)
+                if n == 0:
+                    rows.append((0, None, None, None, None))
+                    continue
+                digest = hashlib.blake2b(sh.tobytes(), digest_size=16).digest()
+                rows.append((n, digest, bands(minima(sh)), odd_sketch(sh) if n > BINS else None, whole_sketch(sh) if n <= small else None))
+            columns = zip(*rows) if rows else [[]] * (len(fields) - 1)
+            arrays = [pa.array(list(c), types[t]) for c, (_, t) in zip(columns, fields[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=[f for f, _ in fields])
+
+    return run
 
 
 def linked(least_share: int):
@@ -129,13 +166,13 @@ def near_groups(docs: DataFrame, least_share: int = 75) -> DataFrame:
     them are kept or none. Rows without doc_id link with nothing, have no component and are kept.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    signs = settle(texts.mapInArrow(signed, SIGNED), "near-signs")
+    signs = settle(texts.mapInArrow(signed(least_share), SIGNED), "near-signs")
     sets = settle(signs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "near-sets")
     copies = sets.where("n > 1")
     member = signs.select("doc_id", "set_id").join(copies, "set_id").where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # One row for each class: its least document. A repeated id may stand for several classes.
     classes = signs.join(sets.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
-    classes = settle(classes.select("doc_id", "bands", "odd"), "near-classes")
+    classes = settle(classes.select("doc_id", "bands", F.struct("n_shingles", "odd", "whole").alias("odd")), "near-classes")
     keyed = classes.select("doc_id", F.explode("bands").alias("key"))
     heads = settle(keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1"), "near-heads")
     met = settle(keyed.join(heads, "key"), "near-met")
@@ -144,10 +181,12 @@ def near_groups(docs: DataFrame, least_share: int = 75) -> DataFrame:
 
     def likely_pairs(pairs: DataFrame, name: str) -> DataFrame:
         """Of (a, b), the distinct pairs that their bitmaps let pass."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(odd.withColumnRenamed("doc_id", "a").withColumnRenamed("odd", "odd_a"), "a")
-        pairs = pairs.join(odd.withColumnRenamed("doc_id", "b").withColumnRenamed("odd", "odd_b"), "b")
-        return settle(pairs.where(likely(F.col("odd_a"), F.col("odd_b"))).select("a", "b"), name)
+        pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+        ids = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-ids")
+        needed = settle(odd.join(ids, "doc_id", "left_semi"), "near-sketches")
+        pairs = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("odd").alias("odd_a")), "a")
+        pairs = pairs.join(needed.select(F.col("doc_id").alias("b"), F.col("odd").alias("odd_b")), "b")
+        return settle(pairs.where(likely(F.col("odd_a"), F.col("odd_b"), least_share)).select("a", "b"), name)
 
     tested = likely_pairs(met.where("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")), "near-stars")
     links = confirmed(tested, texts, least_share)
@@ -168,7 +207,7 @@ def near_groups(docs: DataFrame, least_share: int = 75) -> DataFrame:
             blocks = F.ceil(F.col("n") / BLOCK).cast("int")
             x = outside.join(odd, "doc_id").select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("doc_id").alias("x"), F.col("own").alias("own_x"), F.col("odd").alias("odd_x"))
             y = named.join(odd, "doc_id").select("key", F.pmod(F.hash("doc_id"), blocks).alias("block"), F.col("doc_id").alias("y"), F.col("own").alias("own_y"), F.col("odd").alias("odd_y"))
-            pairs = x.join(y, ["key", "block"]).where((F.col("own_x") != F.col("own_y")) & likely(F.col("odd_x"), F.col("odd_y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            pairs = x.join(y, ["key", "block"]).where((F.col("own_x") != F.col("own_y")) & likely(F.col("odd_x"), F.col("odd_y"), least_share)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         late = likely_pairs(pairs, "near-likely") if turn < ROUNDS else pairs.distinct()
         late = settle(late.join(tested, ["a", "b"], "left_anti"), "near-late")
         if not late.isEmpty():
