@@ -88,6 +88,16 @@ def test_near_groups(docs, texts, empty, spark):
     assert sorted(r.doc_id or -1 for r in minhash.deduplicated(odd).collect()) == [-1, -1, 5]
 
 
+def test_whole_sketch():
+    """Bitmaps of whole sets never differ in more bits than the sets differ in hashes."""
+    rng = np.random.default_rng(7)
+    for size in (1, 5, 60, 682):
+        a = rng.integers(0, 2**64, size, dtype=np.uint64)
+        b = np.concatenate([a[size // 8 :], rng.integers(0, 2**64, size // 8, dtype=np.uint64)])
+        xor = minhash.whole_sketch(a) ^ minhash.whole_sketch(b)
+        assert sum(int(x).bit_count() for x in xor.view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(300):
