@@ -139,15 +139,13 @@ def near_keyword_date(text: Column) -> Column:
 
 
 def publish_date_guess(text: Column, meta_date: Column) -> Column:
-    """Meta date, else near a keyword, else the latest plausible one, in the first 20000 characters."""
-    head = F.substring(text, 1, 20000)
-    return F.coalesce(meta_date, near_keyword_date(head), latest_date(head))
+    """Meta date, else near a keyword, else the latest plausible one."""
+    return F.coalesce(meta_date, near_keyword_date(text), latest_date(text))
 
 
 def leading_date(text: Column) -> Column:
-    """First date from 2020 on in the first 3000 characters."""
-    head = F.substring(text, 1, 3000)
-    return F.coalesce(*[in_years(day(find(head, p)), 2020) for p in (CHINESE, MIXED)])
+    """First Chinese, else mixed date, if it is from 2020 on."""
+    return F.coalesce(*[in_years(day(find(text, p)), 2020) for p in (CHINESE, MIXED)])
 
 
 def body_date(text: Column) -> Column:
@@ -172,16 +170,15 @@ def loose_date(text: Column) -> Column:
 
 
 def markup_date(html: Column) -> Column:
-    """<meta>, else <time>, else the first date text, in the first 3000 characters of a page."""
-    head = F.substring(html, 1, 3000)
+    """<meta>, else <time>, else the first date text of a page."""
     q = "[\"']"
     key, value = rf"(?:property|name)\s*=\s*{q}(?:{META_DATE_NAMES}){q}", rf"content\s*=\s*{q}([^\"']+){q}"
     meta = rf"(?i)<meta\s+(?:[^>]*?{key}[^>]*?{value}|[^>]*?{value}[^>]*?{key})"
-    pick = F.concat(F.regexp_extract(head, meta, 1), F.regexp_extract(head, meta, 2))
+    pick = F.concat(F.regexp_extract(html, meta, 1), F.regexp_extract(html, meta, 2))
     return F.coalesce(
         loose_date(pick),
-        loose_date(F.regexp_extract(head, rf"(?i)<time[^>]*?datetime\s*=\s*{q}([^\"']+){q}", 1)),
-        loose_date(find(head, r"20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}")),
+        loose_date(F.regexp_extract(html, rf"(?i)<time[^>]*?datetime\s*=\s*{q}([^\"']+){q}", 1)),
+        loose_date(find(html, r"20\d{2}[-/.年]\d{1,2}[-/.月]\d{1,2}")),
     )
 
 
@@ -192,15 +189,34 @@ def strict_date(text: Column) -> Column:
 
 
 def jsonld_date(json: Column) -> Column:
-    """datePublished, else dateModified, of the first item that has one; lists and @graph are opened two deep."""
+    """datePublished, else dateModified, of the first item that has one; lists and @graph are opened at any depth.
+
+    A round replaces each list by its items and puts behind each item its @graph. There
+    are as many rounds as the text has brackets and graphs; once nothing is left to open,
+    a round hands its input on.
+    """
     doc = F.try_parse_json(json)
-    items = lambda v, at: F.try_variant_get(v, at, "array<variant>")
-    top = F.coalesce(items(doc, "$"), F.when(doc.isNotNull(), F.array(doc)))
-    opened = lambda arr: F.flatten(
-        F.transform(arr, lambda v: F.concat(F.array(v), F.coalesce(items(v, "$['@graph']"), F.array().cast("array<variant>"))))
+    entry = lambda v, closed: F.struct(v.alias("v"), closed.alias("closed"))
+    fresh = lambda v: entry(v, v.isNotNull())
+
+    def opened(e: Column) -> Column:
+        inside, graph = F.try_variant_get(e["v"], "$", "array<variant>"), F.try_variant_get(e["v"], "$['@graph']", "variant")
+        return (
+            F.when(~e["closed"], F.array(e))
+            .when(inside.isNotNull(), F.transform(inside, fresh))
+            .when(graph.isNotNull(), F.array(entry(e["v"], F.lit(False)), fresh(graph)))
+            .otherwise(F.array(entry(e["v"], F.lit(False))))
+        )
+
+    state = lambda items: F.struct(F.exists(items, lambda e: e["closed"]).alias("more"), items.alias("items"))
+    rounds = F.regexp_count(json, F.lit(r"[\[]|@graph")) + 1
+    done = F.aggregate(
+        F.sequence(F.lit(1), rounds),
+        state(F.array(fresh(doc))),
+        lambda s, _: F.when(s["more"], bind(F.flatten(F.transform(s["items"], opened)), state)).otherwise(s),
     )
     field = lambda v, name: strict_date(F.try_variant_get(v, f"$.{name}", "string"))
-    dates = F.transform(opened(top), lambda v: F.coalesce(field(v, "datePublished"), field(v, "dateModified")))
+    dates = F.transform(done["items"], lambda e: F.coalesce(field(e["v"], "datePublished"), field(e["v"], "dateModified")))
     return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
 
 
@@ -237,12 +253,11 @@ def week_monday(year_week: Column) -> Column:
 
 
 def has_publish_hint(text: Column, as_of) -> Column:
-    """A publication keyword, or a date of this or last year, in the first 5000 characters."""
-    head = F.substring(text, 1, 5000)
+    """A publication keyword, or a date of this or last year."""
     year = F.year(as_date(as_of))
     years = F.concat(F.lit("(?:"), year, F.lit("|"), year - 1, F.lit(")"))
     recent = F.concat(
         years, F.lit(r"年(?:[1-9]|1[0-2])月(?:[1-9]|[12]\d|3[01])[日号]?|"),
         years, F.lit(r"-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"),
     )
-    return head.rlike("|".join(PUBLISH_WORDS)) | F.rlike(head, recent)
+    return text.rlike("|".join(PUBLISH_WORDS)) | F.rlike(text, recent)

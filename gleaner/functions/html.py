@@ -89,7 +89,7 @@ def links() -> Column:
             lambda r: F.struct(
                 F.regexp_replace(a["link"], r"(?s)#.*$", "").alias("url"),
                 text.alias("text"),
-                F.coalesce(F.substring(node_text(r, " "), 1, 200), F.lit("")).alias("surrounding_text"),
+                F.coalesce(node_text(r, " "), F.lit("")).alias("surrounding_text"),
                 F.coalesce(F.array_join(F.filter(F.split(r["cls"], r"\s+"), lambda c: c != ""), " "), F.lit("")).alias("parent_class"),
                 F.coalesce(r["id"], F.lit("")).alias("parent_id"),
             ),
@@ -246,11 +246,11 @@ def markdown(html: Column) -> Column:
     return strip(unescape(html))
 
 
-def shrunk(html: Column, limit: int = 12000) -> Column:
-    """Markup without scripts, navigation, forms and the like, cut to ``limit`` characters."""
+def shrunk(html: Column, limit: int | None = None) -> Column:
+    """Markup without scripts, navigation, forms and the like; the first ``limit`` characters where one is given."""
     for tag in SHRUNK_TAGS:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return F.substring(html, 1, limit)
+    return html if limit is None else F.substring(html, 1, limit)
 
 
 def images() -> Column:
@@ -259,10 +259,10 @@ def images() -> Column:
 
 
 def attachments() -> Column:
-    """File links, the first of each address whatever its case; link text up to 100 characters."""
+    """File links, the first of each address whatever its case."""
     ext = "(?:" + "|".join(e.replace(".", r"\.") for e in FILE_EXTENSIONS) + r")\z"
     files = find_nodes(lambda n: (n["tag"] == "a") & F.lower(strip(n["href"])).rlike(ext))
-    listed = F.transform(files, lambda n: F.struct(strip(n["href"]).alias("href"), F.substring(node_text(n), 1, 100).alias("text")))
+    listed = F.transform(files, lambda n: F.struct(strip(n["href"]).alias("href"), node_text(n).alias("text")))
     return bind(
         listed,
         lambda fs: bind(
@@ -276,8 +276,8 @@ def source_unit() -> Column:
     """Site name, author or source from meta tags, else what follows a source keyword in the text."""
     has = lambda n: F.coalesce(n["content"], F.lit("")) != ""
     content = lambda k, w: first(find_nodes(lambda n: (n["tag"] == "meta") & (n[k] == w) & has(n)))["content"]
-    meta = [F.substring(strip(content(k, w)), 1, 120) for w in ("og:site_name", "author", "source") for k in ("name", "prop")]
-    said = F.regexp_extract(F.substring(page_text(), 1, 2000), r"(?:发布单位|来源|来源单位):\s*([一-龥A-Za-z0-9·\s]{2,40})", 1)
+    meta = [strip(content(k, w)) for w in ("og:site_name", "author", "source") for k in ("name", "prop")]
+    said = F.regexp_extract(page_text(), r"(?:发布单位|来源|来源单位):\s*([一-龥A-Za-z0-9·\s]{2,40})", 1)
     return F.coalesce(*meta, F.when(said != "", strip(said)))
 
 
@@ -327,7 +327,7 @@ def article_next_page(url: Column, visited: Column) -> Column:
 
 
 def article_date(as_of) -> Column:
-    """<time>, JSON-LD, meta, date-named elements, then the start of the content container."""
+    """<time>, JSON-LD, meta, date-named elements, then the text of the content container."""
     valid = lambda arr: first(F.filter(arr, lambda d: d.isNotNull()))
     times = F.transform(find_nodes(lambda n: n["tag"] == "time"), lambda n: D.strict_date(n["time"]))
     scripts = find_nodes(lambda n: (n["tag"] == "script") & n["content"].isNotNull())
@@ -336,14 +336,14 @@ def article_date(as_of) -> Column:
     metas = [meta(k, v) for k, v in META_DATES]
     named = lambda field, pattern: F.transform(
         find_nodes(lambda n: F.exists(F.split(F.coalesce(n[field], F.lit("")), r"\s+") if field == "cls" else F.array(F.coalesce(n[field], F.lit(""))), lambda c: c.rlike(pattern))),
-        lambda n: bind(F.substring(node_text(n), 1, 80), lambda s: D.text_date(s, as_of)),
+        lambda n: bind(node_text(n), lambda s: D.text_date(s, as_of)),
     )
     box = F.coalesce(
         first(find_nodes(lambda n: n["tag"] == "article")),
         first(find_nodes(lambda n: (n["tag"] == "div") & n["cls"].rlike(CONTENT_CLASS))),
         first(find_nodes(lambda n: (n["tag"] == "div") & n["id"].rlike(CONTENT_ID))),
     )
-    inside = bind(box, lambda n: bind(F.substring(node_text(n), 1, 500), lambda s: D.text_date(s, as_of)))
+    inside = bind(box, lambda n: bind(node_text(n), lambda s: D.text_date(s, as_of)))
     return F.coalesce(valid(times), valid(jsonld), *metas, valid(named("cls", DATE_CLASS)), valid(named("id", DATE_ID)), inside)
 
 

@@ -151,11 +151,7 @@ def quality_score(body: Column, published: Column) -> Column:
 
 
 def language(text: Column) -> Column:
-    """Main language of the first 2000 characters; NULL when nothing speaks for any.
-
-    Script first, then stop-word hits. The sample size is the operator's own rule.
-    """
-    head = F.substring(text, 1, 2000)
+    """Main language of a text: script first, then stop-word hits; NULL when nothing speaks for any."""
     count = lambda s, p: F.regexp_count(s, F.lit(p))
     hits = lambda s: [F.struct(count(s, rf"(?i)\b(?:{'|'.join(w)})\b").alias("n"), F.lit(c).alias("lang")) for c, w in STOP_WORDS.items()]
 
@@ -164,7 +160,7 @@ def language(text: Column) -> Column:
         cjk = count(s, "[一-龥]")
         return F.when(cjk * 5 > F.length(s), "zh").when(best["n"] > 0, best["lang"])
 
-    return bind(head, decide)
+    return bind(text, decide)
 
 
 def language_gate(df: DataFrame, text: str, expected) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -121,18 +121,42 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ok, n)
 
 
+def ipv6_groups(ip: Column) -> Column:
+    """The eight 16-bit numbers of an IPv6 address in any spelling (case, ``::``, dotted tail, zone); NULL when it is none."""
+    dotted = r"((?:\d{1,3}\.){3}\d{1,3})$"
+    hexed = lambda n: F.concat(F.lower(F.hex(F.shiftrightunsigned(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(0xFFFF).cast("bigint")))))
+    bare = F.regexp_replace(F.lower(ip), "%.*$", "")
+    tail = F.regexp_extract(bare, dotted, 1)
+    plain = F.when(tail == "", bare).otherwise(F.concat(F.regexp_replace(bare, dotted, ""), hexed(ipv4_number(tail))))
+
+    def read(s: Column) -> Column:
+        halves = F.split(s, "::")
+        side = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+        short = F.size(halves) == 2
+        gap = F.when(short, 8 - F.size(side(0)) - F.size(side(1))).otherwise(0)
+        groups = F.concat(side(0), F.array_repeat(F.lit("0"), gap), side(1))
+        shape = s.rlike("^[0-9a-f:]*$") & s.contains(":") & ~s.rlike(":::|^:[^:]|[^:]:$") & (F.size(halves) <= 2) & (~short | (gap > 0))
+        ok = shape & (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g) <= 4)
+        return F.when(ok, F.transform(groups, lambda g: F.conv(g, 16, 10).cast("bigint")))
+
+    return bind(plain, read)
+
+
 def is_reserved_ip(ip: Column) -> Column:
-    """Range test against the reserved blocks; the bounds are computed once, when the plan is built."""
+    """Range test against the reserved blocks; an IPv4 address mapped into IPv6 counts as itself.
+
+    The bounds are computed once, when the plan is built. What is no address is not reserved.
+    """
     nets = [ipaddress.ip_network(b) for b in RESERVED_BLOCKS]
     any_of = lambda tests: reduce(or_, tests, F.lit(False))
     v4 = lambda n: any_of(n.between(int(b.network_address), int(b.broadcast_address)) for b in nets if b.version == 4)
-    # IPv6: single addresses by text, blocks by their first 16 bits (a shorter first group means leading zeros)
-    single = [str(b.network_address) for b in nets if b.version == 6 and b.prefixlen == 128]
-    wide = [(int(b.network_address) >> 112, 1 << (16 - b.prefixlen)) for b in nets if b.version == 6 and b.prefixlen < 128]
-    v6 = lambda g: any_of(g.between(lo, lo + size - 1) for lo, size in wide)
-    low = F.lower(ip)
-    group = F.conv(F.regexp_extract(low, r"^([0-9a-f]{1,4}):", 1), 16, 10).try_cast("int")
-    return F.coalesce(bind(ipv4_number(ip), v4), low.isin(single) | F.coalesce(bind(group, v6), F.lit(False)))
+    bound = lambda address, i: int(address) >> 16 * (7 - i) & 0xFFFF
+    # a block is a box of group ranges: groups in its prefix are fixed, those behind it free
+    inside = lambda g, b: reduce(and_, [F.get(g, F.lit(i)).between(bound(b.network_address, i), bound(b.broadcast_address, i)) for i in range(8)])
+    v6 = lambda g: any_of(inside(g, b) for b in nets if b.version == 6)
+    mapped = lambda g: F.forall(F.slice(g, 1, 5), lambda x: x == 0) & (F.get(g, F.lit(5)) == 0xFFFF)
+    wide = lambda g: F.when(mapped(g), v4(F.get(g, F.lit(6)) * 65536 + F.get(g, F.lit(7)))).otherwise(v6(g))
+    return F.coalesce(bind(ipv4_number(ip), v4), bind(ipv6_groups(ip), wide), F.lit(False))
 
 
 @dataclass(frozen=True)

@@ -55,10 +55,11 @@ def route_by_policy(pages: DataFrame, policy: DataFrame) -> DataFrame:
     )
 
 
-def crawl_plan(discovered: DataFrame, entry: DataFrame, direct: DataFrame, rules, cap: int = 100) -> DataFrame:
-    """Union of the three url sets, validated, in order, first ``cap``."""
+def crawl_plan(discovered: DataFrame, entry: DataFrame, direct: DataFrame, rules, cap: int | None = None) -> DataFrame:
+    """Union of the three url sets, validated, in order; the first ``cap`` where a cap is given."""
     every = discovered.select("url").unionByName(entry.select("url")).unionByName(direct.select("url")).distinct()
-    return with_validation(every, rules).filter("code IS NULL").select("url").orderBy("url").limit(cap)
+    plan = with_validation(every, rules).filter("code IS NULL").select("url").orderBy("url")
+    return plan if cap is None else plan.limit(cap)
 
 
 def with_validation(df: DataFrame, rules) -> DataFrame:

@@ -9,8 +9,6 @@ from gleaner.functions.text import fingerprint, hamming
 from gleaner.session import settle
 
 MAX_DISTANCE = 2
-# Above this many different hashes behind one key, the key is opened bit by bit instead of pairing.
-CROWDED = 256
 
 
 def first_copies(docs: DataFrame, key: str, order: str) -> DataFrame:
@@ -64,10 +62,10 @@ def similar_hashes(hashes: DataFrame) -> DataFrame:
     """All pairs of different hash values at distance 1 or 2, exactly: (a, b, distance) with a < b.
 
     Six keys of 32 bits per value: values within distance 2 agree on at least one key.
-    Keys behind which only a few values sit are joined directly. A crowded key is
-    opened further: its members differ only in the 32 bits the key leaves free, so
-    each sends itself and its 32 one-bit neighbours, and two members within distance
-    2 meet at one of them. At most 33 members can meet at a point, however hot the key.
+    A key that several share is opened further: its members differ only in the 32 bits
+    the key leaves free, so each sends itself and its 32 one-bit neighbours, and two
+    members within distance 2 meet at one of them. At most 33 members can meet at a
+    point, however hot the key.
     """
     masks = _masks()
     h = F.col("h")
@@ -76,13 +74,10 @@ def similar_hashes(hashes: DataFrame) -> DataFrame:
     size = keyed.groupBy("m", "k").agg(F.count("*").alias("n")).filter("n > 1")
     shared = keyed.join(size, ["m", "k"])
 
-    few = shared.filter(F.col("n") <= CROWDED).select("m", "k", "h")
-    near = _meet(few, ["m", "k"])
-
     flips = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in _flips(~k & (1 << 64) - 1)]) for k in masks])
     probe = F.transform(F.get(flips, F.col("m")), lambda x: h.bitwiseXOR(x))
-    many = shared.filter(F.col("n") > CROWDED).select("m", "h", F.explode(probe).alias("p"))
-    return near.unionByName(_meet(many, ["m", "p"])).distinct()
+    met = shared.select("m", "h", F.explode(probe).alias("p"))
+    return _meet(met, ["m", "p"]).distinct()
 
 
 def _meet(members: DataFrame, at: list[str]) -> DataFrame:

@@ -99,8 +99,7 @@ def _(t):
     "crawl_plan",
     f"""WITH u AS (SELECT {CLEAN} AS url FROM pages UNION SELECT concat('https://', {HOST}, '/') FROM pages
       UNION SELECT concat('ftp://', {HOST}) FROM pages WHERE page_id % 4 = 0)
-    SELECT url FROM (SELECT url, {HOST} AS h FROM u) WHERE {ALLOWED} AND (starts_with(url, 'http://') OR starts_with(url, 'https://'))
-    ORDER BY url LIMIT 100""",
+    SELECT url FROM (SELECT url, {HOST} AS h FROM u) WHERE {ALLOWED} AND (starts_with(url, 'http://') OR starts_with(url, 'https://'))""",
 )
 def _(t):
     url = F.col("url")

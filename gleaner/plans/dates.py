@@ -70,7 +70,7 @@ def _(t):
     return t.even("documents").select("doc_id", D.text_date(F.expr(INJECTED), "2024-02-29").alias("found"))
 
 
-PAGE = """concat('<html><head><title>t</title>', CASE o_orderkey % 8
+PAGE = """concat('<html><head><title>t</title>', repeat('<!-- -->', CASE WHEN o_orderkey % 3 = 0 THEN 500 ELSE 0 END), CASE o_orderkey % 8
   WHEN 0 THEN concat('<meta property="article:published_time" content="', {iso}, 'T10:00:00Z">')
   WHEN 1 THEN concat('<META content=''', {slash}, ''' name=''pubdate''>')
   WHEN 2 THEN concat('<meta name="date" content="soon"><time class="x" datetime="', {iso}, '">t</time>')
@@ -98,7 +98,7 @@ VALUE = "content=[\"'']([^\"'']+)[\"'']"
       concat(regexp_extract(h, '(?i)<meta\\s+[^>]*?{NAMES}[^>]*?{VALUE}', 1), regexp_extract(h, '(?i)<meta\\s+[^>]*?{VALUE}[^>]*?{NAMES}', 1)) AS m,
       regexp_extract(h, '<time[^>]*?datetime="([^"]+)"', 1) AS tm,
       regexp_extract(h, '20[0-9]{{2}}[-/.年][0-9]{{1,2}}[-/.月][0-9]{{1,2}}') AS tx
-      FROM (SELECT o_orderkey AS id, substr({DUCK_PAGE}, 1, 3000) AS h FROM orders))""",
+      FROM (SELECT o_orderkey AS id, {DUCK_PAGE} AS h FROM orders))""",
 )
 def _(t):
     return t.even("orders").select(F.col("o_orderkey").alias("id"), D.markup_date(F.expr(SPARK_PAGE)).alias("found"))
@@ -107,6 +107,7 @@ def _(t):
 LD = """CASE o_orderkey % 7 WHEN 0 THEN concat('{{"datePublished":"', {iso}, 'T00:00:00","dateModified":"2002-01-01"}}')
   WHEN 1 THEN concat('[{{"name":"x"}},{{"dateModified":"', {iso}, '"}}]')
   WHEN 2 THEN concat('{{"@graph":[{{"@type":"Org"}},{{"datePublished":"', {iso}, '"}}]}}')
+  WHEN 6 THEN concat('[[{{"name":"x"}},[{{"@graph":[{{"@graph":[{{"@type":"Org"}},{{"dateModified":"', {iso}, '"}}]}}]}}]]]')
   WHEN 3 THEN '{{"datePublished":"2001-13-01","dateModified":"2001/3/4"}}' WHEN 4 THEN '{{broken' WHEN 5 THEN '{{"datePublished":20010304}}' ELSE '"text"' END"""
 
 
@@ -114,6 +115,7 @@ LD = """CASE o_orderkey % 7 WHEN 0 THEN concat('{{"datePublished":"', {iso}, 'T0
     "jsonld_date",
     f"""SELECT id, CASE id % 7 WHEN 0 THEN strict(json_extract_string(j, '$.datePublished')) WHEN 1 THEN strict(json_extract_string(j, '$[1].dateModified'))
       WHEN 2 THEN strict(json_extract_string(j, '$."@graph"[1].datePublished'))
+      WHEN 6 THEN try_cast(json_extract_string(j, '$[0][1][0]."@graph"[0]."@graph"[1].dateModified') AS DATE)
       WHEN 3 THEN coalesce(strict(json_extract_string(j, '$.datePublished')), strict(json_extract_string(j, '$.dateModified'))) END AS found
     FROM (SELECT o_orderkey AS id, CASE WHEN json_valid({LD.format(iso="strftime(o_orderdate, '%Y-%m-%d')")}) THEN
       {LD.format(iso="strftime(o_orderdate, '%Y-%m-%d')")} END AS j FROM orders)""".replace("strict(", "fn(").replace(
@@ -165,7 +167,7 @@ def _(t):
     )
 
 
-GUESS = """concat(CASE doc_id % 5 WHEN 0 THEN concat('发布时间：2023-0', doc_id % 9 + 1, '-11 later 2024-06-06 ') WHEN 1 THEN ' 2018/1/2 2021/5/6 2150-01-01 '
+GUESS = """concat(repeat('word ', CASE WHEN doc_id % 7 = 0 THEN 5000 ELSE 0 END), CASE doc_id % 5 WHEN 0 THEN concat('发布时间：2023-0', doc_id % 9 + 1, '-11 later 2024-06-06 ') WHEN 1 THEN ' 2018/1/2 2021/5/6 2150-01-01 '
   WHEN 2 THEN ' 日期: 2021年2月30日 2020年3月4日 ' WHEN 3 THEN '编辑：张三 2019-9-9' ELSE ' ' END, text)"""
 
 
@@ -197,7 +199,7 @@ def _(t):
     return week.select("article_id", "year_week", monday.alias("monday"), F.date_add(monday, 6).alias("sunday"))
 
 
-HINTED = """concat(CASE doc_id % 6 WHEN 0 THEN '发布于' WHEN 1 THEN '2024年3月7日' WHEN 2 THEN '2023-11-30' WHEN 3 THEN '2022-11-30' WHEN 4 THEN '2024年13月' ELSE '' END, text)"""
+HINTED = """concat(repeat('word ', CASE WHEN doc_id % 7 = 0 THEN 1500 ELSE 0 END), CASE doc_id % 6 WHEN 0 THEN '发布于' WHEN 1 THEN '2024年3月7日' WHEN 2 THEN '2023-11-30' WHEN 3 THEN '2022-11-30' WHEN 4 THEN '2024年13月' ELSE '' END, text)"""
 
 
 @query(

@@ -173,6 +173,7 @@ def _(t):
 XML = """CASE WHEN page_id % 5 = 0 THEN concat('<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://', h, '/sm/', page_id + 1, '.xml</loc></sitemap>',
     '<sitemap><loc> https://', h, '/sm/', page_id + 2, '.xml </loc></sitemap></sitemapindex>')
   WHEN page_id % 5 = 1 THEN concat('<sitemapindex><sitemap><loc>https://', h, '/sm/', page_id + 2, '.xml</loc></sitemap></sitemapindex>')
+  WHEN page_id % 25 = 3 THEN concat('<sitemapindex><sitemap><loc>https://', h, '/sm/', page_id + 2, '.xml</loc></sitemap></sitemapindex>')
   WHEN page_id % 5 = 4 THEN '<urlset><url><loc>broken'
   ELSE concat('<urlset', CASE WHEN page_id % 2 = 0 THEN ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"' ELSE '' END, '><url><loc> https://', h, '/a/', page_id, '?x=1&amp;y=2 </loc><lastmod>2024-01-', LASTDAY, 'T01:02:03Z</lastmod></url>',
     '<url><loc>https://other.example.com/', page_id, '</loc></url><url><loc>https://', h, '/b/', page_id, '</loc></url></urlset>') END"""
@@ -189,8 +190,8 @@ def maps(t):
     "sitemap_urls",
     """WITH m AS (SELECT page_id, concat('site', page_id // 100, '.example.com') AS h FROM pages)
     SELECT concat('https://', h, '/sm/', page_id, '.xml') AS sitemap, concat('https://', h, '/a/', page_id, '?x=1&y=2') AS url,
-      try_cast(concat('2024-01-', lpad(CAST(page_id % 33 AS VARCHAR), 2, '0')) AS DATE) AS lastmod FROM m WHERE page_id % 5 IN (2, 3)
-    UNION ALL SELECT concat('https://', h, '/sm/', page_id, '.xml'), concat('https://', h, '/b/', page_id), NULL FROM m WHERE page_id % 5 IN (2, 3)""",
+      try_cast(concat('2024-01-', lpad(CAST(page_id % 33 AS VARCHAR), 2, '0')) AS DATE) AS lastmod FROM m WHERE page_id % 5 IN (2, 3) AND page_id % 25 <> 3
+    UNION ALL SELECT concat('https://', h, '/sm/', page_id, '.xml'), concat('https://', h, '/b/', page_id), NULL FROM m WHERE page_id % 5 IN (2, 3) AND page_id % 25 <> 3""",
 )
 def _(t):
     return S.sitemap_urls(maps(t))
@@ -198,12 +199,11 @@ def _(t):
 
 @query(
     "sitemap_expand",
-    """WITH m AS (SELECT page_id, concat('https://site', page_id // 100, '.example.com/sm/') AS b FROM pages),
+    """WITH RECURSIVE m AS (SELECT page_id, concat('https://site', page_id // 100, '.example.com/sm/') AS b FROM pages),
     c AS (SELECT concat(b, page_id, '.xml') AS s, concat(b, page_id + 1, '.xml') AS k FROM m WHERE page_id % 5 = 0 UNION ALL
-      SELECT concat(b, page_id, '.xml'), concat(b, page_id + 2, '.xml') FROM m WHERE page_id % 5 IN (0, 1)),
+      SELECT concat(b, page_id, '.xml'), concat(b, page_id + 2, '.xml') FROM m WHERE page_id % 5 IN (0, 1) OR page_id % 25 = 3),
     r AS (SELECT concat(b, page_id, '.xml') AS s FROM m WHERE page_id % 10 = 0),
-    a AS (SELECT s AS root, s AS sitemap, 0 AS depth FROM r UNION ALL SELECT r.s, c.k, 1 FROM r JOIN c USING (s)
-      UNION ALL SELECT r.s, d.k, 2 FROM r JOIN c USING (s) JOIN c d ON d.s = c.k)
+    a AS (SELECT s AS root, s AS sitemap, 0 AS depth FROM r UNION SELECT a.root, c.k, a.depth + 1 FROM a JOIN c ON c.s = a.sitemap)
     SELECT root, sitemap, min(depth) AS depth FROM a GROUP BY root, sitemap""",
 )
 def _(t):

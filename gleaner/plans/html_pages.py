@@ -211,7 +211,7 @@ for _tag in H.SHRUNK_TAGS:
     SHRUNK = f"regexp_replace({SHRUNK}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
 
 
-@query("shrink_html", f"SELECT page_id, substr({SHRUNK}, 1, 12000) AS shrunk FROM pages")
+@query("shrink_html", f"SELECT page_id, {SHRUNK} AS shrunk FROM pages")
 def _(t):
     return t.pages.select("page_id", H.shrunk(F.col("html")).alias("shrunk"))
 
@@ -253,19 +253,30 @@ def _(t):
     return cut.select("page_id", F.col("chunk").cast("bigint").alias("chunk"), F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
+# Chains of ten pages, every third of them a circle; every fifth page is crawled twice.
+FOLLOWER = """CASE WHEN page_id % 10 < 9 THEN concat('http://h.example.com/s/', page_id + 1, '.html') WHEN page_id % 30 = 29 THEN concat('http://h.example.com/s/', page_id - 9, '.html') END"""
+TAGLESS = "trim(regexp_replace(html, '(?s)<[^>]*>', ' '{g}))"
+
+
 @query(
     "multipage_merge",
-    """WITH p AS (SELECT page_id, concat('http://h.example.com/s/', page_id, '.html') AS url, CASE WHEN page_id % 4 < 3 THEN concat('http://h.example.com/s/', page_id + 1, '.html') END AS next_url,
-      trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS body FROM pages)
-    SELECT a.page_id, CAST(1 + (b.url IS NOT NULL)::INT + (c.url IS NOT NULL)::INT + (d.url IS NOT NULL)::INT AS INTEGER) AS parts,
-      concat_ws(chr(10) || chr(10), a.body, b.body, c.body, d.body) AS body
-    FROM p a LEFT JOIN p b ON b.url = a.next_url LEFT JOIN p c ON c.url = b.next_url LEFT JOIN p d ON d.url = c.next_url""",
+    f"""WITH RECURSIVE p AS (SELECT page_id + CASE WHEN page_id % 5 = 0 THEN 1000000000 ELSE 0 END AS id, concat('http://h.example.com/s/', page_id, '.html') AS url, {FOLLOWER} AS next_url,
+      concat(CASE WHEN page_id % 5 = 0 THEN 'again ' ELSE '' END, {TAGLESS.format(g=", 'g'")}) AS body, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS files FROM pages),
+    w AS (SELECT p.id AS head, p.id, p.next_url, 0 AS pos, [p.id] AS seen FROM p
+      UNION ALL SELECT w.head, p.id, p.next_url, pos + 1, list_append(seen, p.id) FROM w JOIN p ON p.url = w.next_url WHERE NOT list_contains(seen, p.id)),
+    h AS (SELECT a.id FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.next_url = a.url)),
+    c AS (SELECT id FROM h UNION SELECT head FROM w GROUP BY head HAVING min(id) = head AND head NOT IN (SELECT w.id FROM w JOIN h ON h.id = w.head)),
+    f AS (SELECT head, string_agg(DISTINCT x, ' ' ORDER BY x) AS files FROM (SELECT w.head, unnest(files) AS x FROM w JOIN p USING (id)) GROUP BY head)
+    SELECT w.head AS page_id, CAST(count(*) AS INTEGER) AS parts, string_agg(p.body, chr(10) || chr(10) ORDER BY pos) AS body, coalesce(any_value(f.files), '') AS attachments
+    FROM w JOIN c ON c.id = w.head JOIN p ON p.id = w.id LEFT JOIN f ON f.head = w.head GROUP BY w.head""",
 )
 def _(t):
-    made = t.pages.select(
-        "page_id",
-        F.expr("concat('http://h.example.com/s/', page_id, '.html')").alias("url"),
-        F.expr("IF(page_id % 4 < 3, concat('http://h.example.com/s/', page_id + 1, '.html'), NULL)").alias("next_url"),
-        F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("body"),
+    first = t.pages.select(
+        "page_id", F.expr("concat('http://h.example.com/s/', page_id, '.html')").alias("url"), F.expr(FOLLOWER).alias("next_url"),
+        F.expr(TAGLESS.format(g="")).alias("body"), F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("attachments"),
+    )
+    again = first.filter("page_id % 5 = 0").select(
+        (F.col("page_id") + 1000000000).alias("page_id"), "url", "next_url", F.concat(F.lit("again "), "body").alias("body"), "attachments"
     )
-    return op.multipage_merge(made).select("page_id", "parts", "body")
+    merged = op.multipage_merge(first.unionByName(again))
+    return merged.select("page_id", "parts", "body", F.array_join(F.array_sort("attachments"), " ").alias("attachments"))

@@ -106,7 +106,7 @@ def stop_hits(words):
     "language_gate",
     """SELECT article_id, lang, found FROM (SELECT article_id, lang, CASE WHEN len(regexp_extract_all(x, '[一-龥]')) * 5 > length(x) THEN 'zh'
       WHEN greatest(en, fr, de, es) > 0 THEN CASE greatest(en, fr, de, es) WHEN fr THEN 'fr' WHEN es THEN 'es' WHEN en THEN 'en' ELSE 'de' END END AS found
-      FROM (SELECT *, EN AS en, FR AS fr, DE AS de, ES AS es FROM (SELECT article_id, lang, regexp_replace(substr(raw_content, 1, 2000), '[^\\x00-\\x7F]', '_', 'g') AS x FROM articles)))
+      FROM (SELECT *, EN AS en, FR AS fr, DE AS de, ES AS es FROM (SELECT article_id, lang, concat(regexp_replace(raw_content, '[^\\x00-\\x7F一-龥]', '_', 'g'), CASE WHEN article_id % 9 = 0 THEN repeat(' 本站发布的长篇中文报道 ', length(raw_content) // 20) ELSE '' END) AS x FROM articles)))
     WHERE found IS NULL OR found IN ('en', 'fr')"""
     .replace("EN AS en", stop_hits(T.STOP_WORDS["en"]) + " AS en").replace("FR AS fr", stop_hits(T.STOP_WORDS["fr"]) + " AS fr")
     .replace("DE AS de", stop_hits(T.STOP_WORDS["de"]) + " AS de").replace("ES AS es", stop_hits(T.STOP_WORDS["es"]) + " AS es"),
@@ -114,7 +114,8 @@ def stop_hits(words):
 )
 def _(t):
     # accents count as word characters in both engines once they are plain placeholders
-    seen = t.articles.withColumn("x", F.regexp_replace("raw_content", r"[^\x00-\x7F]", "_"))
+    chinese = F.expr("IF(article_id % 9 = 0, repeat(' 本站发布的长篇中文报道 ', CAST(length(raw_content) DIV 20 AS INT)), '')")
+    seen = t.articles.withColumn("x", F.concat(F.regexp_replace("raw_content", r"[^\x00-\x7F一-龥]", "_"), chinese))
     return T.language_gate(seen.select("article_id", "lang", "x"), "x", ("en", "fr")).select("article_id", "lang", "found")
 
 

@@ -36,7 +36,9 @@ def _(t):
     return t.pages.select("page_id", F.expr(MIXED).alias("url")).withColumn("code", U.protocol_code(F.col("url")))
 
 
-IPS = """CASE event_id % 14 WHEN 0 THEN concat('10.', user_id % 256, '.0.1') WHEN 1 THEN concat('172.', user_id % 64, '.3.4')
+IPS = """CASE event_id % 19 WHEN 14 THEN '0:0:0:0:0:0:0:1' WHEN 15 THEN concat('::FFFF:127.0.0.', user_id % 256) WHEN 16 THEN concat('::ffff:8.8.8.', user_id % 256)
+  WHEN 17 THEN concat('0:0:0:0:0:ffff:a0', user_id % 10, ':1') WHEN 18 THEN concat('FD00:0:0:', user_id % 9, '::1%eth0')
+  WHEN 0 THEN concat('10.', user_id % 256, '.0.1') WHEN 1 THEN concat('172.', user_id % 64, '.3.4')
   WHEN 2 THEN concat('192.', user_id % 200 + 40, '.9.9') WHEN 3 THEN concat('8.8.', user_id % 256, '.8')
   WHEN 4 THEN '127.0.0.1' WHEN 5 THEN concat('169.', user_id % 10 + 250, '.1.1') WHEN 6 THEN concat('100.', user_id % 256, '.1.1')
   WHEN 7 THEN '0.1.2.3' WHEN 8 THEN '::1' WHEN 9 THEN concat('fc', user_id % 10, '0::1') WHEN 10 THEN concat('fe', user_id % 100 + 10, '::7')
@@ -49,7 +51,7 @@ IP_NUMBER = """CASE WHEN regexp_matches(ip, '^[0-9.]+$') THEN split_part(ip, '.'
     "reserved_ip_filter",
     f"""SELECT event_id, ip, CASE WHEN coalesce(n // 16777216 IN (127, 10, 0) OR n BETWEEN 2886729728 AND 2887778303
       OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 2851995648 AND 2852061183 OR n BETWEEN 1681915904 AND 1686110207, false)
-      OR ip = '::1' OR regexp_matches(ip, '^f[cd][0-9a-f][0-9a-f]:') OR regexp_matches(ip, '^fe[89ab][0-9a-f]:') THEN 1005 END AS code
+      OR ip = '::1' OR event_id % 19 IN (14, 15, 17, 18) OR regexp_matches(ip, '^f[cd][0-9a-f][0-9a-f]:') OR regexp_matches(ip, '^fe[89ab][0-9a-f]:') THEN 1005 END AS code
     FROM (SELECT event_id, ip, {IP_NUMBER} AS n FROM (SELECT event_id, {IPS} AS ip FROM events))""",
 )
 def _(t):

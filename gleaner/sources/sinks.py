@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from gleaner.operators.crawl import append_new
 
 
-def append_articles(candidates: DataFrame, path: str, key: str = "original_link", order: str = "article_id") -> DataFrame:
+def append_articles(candidates: DataFrame, path: str, key: str = "original_link", order: str = "article_id", title_limit: int | None = None) -> DataFrame:
     """Append the candidates whose key the table at ``path`` does not hold; gives what was new.
 
-    Titles are cut to 512 characters on the way in.
+    ``title_limit`` is the width of the title column of a target that has one.
     """
     spark = candidates.sparkSession
-    if "title" in candidates.columns:
-        candidates = candidates.withColumn("title", F.substring("title", 1, 512))
+    if title_limit is not None and "title" in candidates.columns:
+        candidates = candidates.withColumn("title", F.substring("title", 1, title_limit))
     target = _existing(spark, path, candidates)
     new = append_new(candidates, target, key, order)
     new.write.mode("append").parquet(path)

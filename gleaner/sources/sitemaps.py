@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import dates as D
 from gleaner.functions import urls as U
+from gleaner.session import settle
 
-# How many urls one sitemap may give, how deep indexes are followed, how old an entry may be.
-MAX_URLS, MAX_DEPTH, FRESH_DAYS = 2000, 2, 10
+# Fixed value: how old an entry may be.
+FRESH_DAYS = 10
 _SHAPE = "struct<url:array<struct<loc:string,lastmod:string>>,sitemap:array<struct<loc:string>>>"
 
 
@@ -19,10 +20,10 @@ def parsed(xml: Column) -> Column:
 
 
 def sitemap_urls(maps: DataFrame) -> DataFrame:
-    """(sitemap, host, xml) to its same-host entries (url, lastmod), at most 2000 per sitemap."""
+    """(sitemap, host, xml) to its same-host entries (url, lastmod)."""
     doc = maps.select("sitemap", "host", parsed(F.col("xml")).alias("doc"))
     same = F.filter("doc.url", lambda u: (F.trim(u["loc"]) != "") & (U.netloc(F.trim(u["loc"])) == F.col("host")))
-    entry = doc.select("sitemap", F.explode(F.slice(same, 1, MAX_URLS)).alias("u"))
+    entry = doc.select("sitemap", F.explode(same).alias("u"))
     return entry.select(
         "sitemap", F.trim("u.loc").alias("url"), F.substring(F.trim("u.lastmod"), 1, 10).try_cast("date").alias("lastmod")
     )
@@ -34,21 +35,18 @@ def child_sitemaps(maps: DataFrame) -> DataFrame:
 
 
 def expand(roots: DataFrame, maps: DataFrame) -> DataFrame:
-    """Sitemaps reached from the roots through at most two index levels: (root, sitemap, depth).
+    """Sitemaps reached from the roots through any number of index levels: (root, sitemap, depth).
 
-    The depth limit is fixed, so the joins are simply written out.
+    The XML is parsed once. Each level goes on from what the level before reached first,
+    so circles end, and there are as many rounds as index levels.
     """
-    children = child_sitemaps(maps)
-    level = roots.select(F.col("sitemap").alias("root"), "sitemap", F.lit(0).alias("depth")).distinct()
-    reached = level
-    for depth in range(1, MAX_DEPTH + 1):
-        level = (
-            level.join(children, "sitemap")
-            .select("root", F.col("child").alias("sitemap"), F.lit(depth).alias("depth"))
-            .distinct()
-        )
+    children = settle(child_sitemaps(maps).distinct(), "sitemap-children")
+    reached = level = settle(roots.select(F.col("sitemap").alias("root"), "sitemap", F.lit(0).alias("depth")).distinct(), "sitemap-level")
+    while not level.isEmpty():
+        below = level.join(children, "sitemap").select("root", F.col("child").alias("sitemap"), (F.col("depth") + 1).alias("depth")).distinct()
+        level = settle(below.join(reached, ["root", "sitemap"], "left_anti").select("root", "sitemap", "depth"), "sitemap-level")
         reached = reached.unionByName(level)
-    return reached.groupBy("root", "sitemap").agg(F.min("depth").alias("depth"))
+    return reached
 
 
 def robots_sitemaps(robots: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def test_allow_rules(spark):
     assert {h: one(spark, U.allowed(F.col("h"), rules), h=h) for h in want} == want
 
 
-@pytest.mark.parametrize("ip, hit", [("127.0.0.1", True), ("172.31.255.255", True), ("172.32.0.0", False), ("8.8.8.8", False), ("::1", True), ("fd00::1", True), ("febf::1", True), ("fec0::1", False), ("2001:db8::1", False)])
+@pytest.mark.parametrize("ip, hit", [("127.0.0.1", True), ("172.31.255.255", True), ("172.32.0.0", False), ("8.8.8.8", False), ("::1", True), ("fd00::1", True), ("febf::1", True), ("fec0::1", False), ("2001:db8::1", False), ("0:0:0:0:0:0:0:1", True), ("::ffff:127.0.0.1", True), ("::FFFF:7f00:1", True), ("::ffff:8.8.8.8", False), ("FE80::1%eth0", True), ("0000:0000::0001", True), ("fd::1", False), ("1::2::3", False), (":::1", False), ("::", False), ("example.com", False), ("", False)])
 def test_reserved_ip(spark, ip, hit):
     assert one(spark, U.is_reserved_ip(F.col("ip")), ip=ip) is hit
 

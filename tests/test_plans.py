@@ -14,7 +14,7 @@ USES_PYTHON = {
     # link jobs read pages
     "extract_links", "link_score", "looks_like_article", "hub_links", "frontier_quota", "frontier_order", "topn_links", "listing_candidates", "ordered_distinct",
 }
-RUNS_ON_BUILD = {k for k in QUERIES if k.startswith("stream_")} | {"weekly_window", "extract_chain", "near_dup_titles", "near_dup_first", "exact_dup"}
+RUNS_ON_BUILD = {k for k in QUERIES if k.startswith("stream_")} | {"weekly_window", "extract_chain", "near_dup_titles", "near_dup_first", "exact_dup", "sitemap_expand", "multipage_merge"}
 
 
 def plan(tables, key):
