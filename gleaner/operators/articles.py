@@ -212,6 +212,12 @@ def score_labels(scores: DataFrame, labels: Sequence[str]) -> DataFrame:
     return wide.select("article_id", F.when(F.size(chosen) > 0, chosen).otherwise(fallback).alias("categories"))
 
 
+def weekly_counts(articles: DataFrame) -> DataFrame:
+    """Articles per label and week (Monday), every week there is; rows without a date are left out."""
+    week = F.date_trunc("week", F.col("ts")).cast("timestamp_ntz")
+    return articles.filter("ts IS NOT NULL").groupBy("label", week.alias("week_start")).agg(F.count("*").alias("n"))
+
+
 def keywords_clean(words: Column) -> Column:
     kept = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: F.length(w) > 0)
     return F.coalesce(F.slice(kept, 1, 5), F.expr("CAST(array() AS ARRAY<STRING>)"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner.operators import articles
 from gleaner.operators import ordered as op
 from gleaner.plans.duplicates import PRINT
 from gleaner.plans.ordered import FLIPS, LOCKOUT, PROGRESS, STATUS, progress_events
@@ -60,6 +61,15 @@ def _(t):
     return J.weekly_labels(timed)
 
 
+@query(
+    "weekly_counts",
+    "SELECT label, CAST(date_trunc('week', publish_date) AS TIMESTAMP) AS week_start, count(*) AS n FROM facts WHERE publish_date IS NOT NULL GROUP BY ALL",
+    "facts",
+)
+def _(t):
+    return articles.weekly_counts(t.facts.select("label", F.col("publish_date").cast("timestamp_ntz").alias("ts")))
+
+
 @query(
     "stream_promotions",
     """WITH a AS (SELECT domain, ok, ts, day FROM attempts WHERE tier = 'ab' AND domain <> ''), e AS (SELECT domain, ok, CAST(day + unnest([1, 2, 3, 4, 5, 6, 7]) AS TIMESTAMP) AS window_end FROM a)

@@ -9,7 +9,7 @@ from gleaner.functions import dates as D
 from gleaner.functions import html as H
 from gleaner.functions import text as T
 from gleaner.functions import urls as U
-from gleaner.operators import articles, chunks, crawl, health, reports
+from gleaner.operators import articles, chunks, crawl, health, pages, reports
 from gleaner.sources import sitemaps
 from gleaner.sources.html import with_nodes
 
@@ -320,3 +320,46 @@ def test_fingerprint_reads_whole_texts(spark):
     rows = spark.createDataFrame([(None, "a" * 300 + "x"), (None, "a" * 300 + "y"), ("", "a" * 300 + "x")], "t string, b string")
     prints = [r.p for r in rows.select(fingerprint(F.col("t"), F.col("b")).alias("p")).collect()]
     assert prints[0] == prints[2] != prints[1]
+
+
+def test_merge_of_chains_recrawls_and_circles(spark):
+    """A chain of nine, crawled six times; a circle of two; one with a tail into it; a page without url."""
+    link = lambda i: f"u{i}"
+    rows = [(i + 100 * k, link(i), link(i + 1) if i < 9 else None, f"b{i}-{k}", [f"i{i % 2}"]) for k in range(6) for i in range(1, 10)]
+    rows += [(20, "c0", "c1", "x", None), (21, "c1", "c0", "y", None), (30, "d0", "d1", "p", []), (31, "d1", "d2", "q", []), (32, "d2", "d1", "r", [])]
+    rows += [(40, None, "u1", "lost", []), (41, "e", "e", "own", []), (42, "f", "gone", "end", ["z"])]
+    pages_in = spark.createDataFrame(rows, "page_id bigint, url string, next_url string, body string, images array<string>")
+    got = {r.page_id: (r.parts, r.body.split("\n\n"), r.images) for r in pages.multipage_merge(pages_in).collect()}
+    assert got == {
+        501: (9, [f"b{i}-5" for i in range(1, 10)], ["i1", "i0"]), 20: (2, ["x", "y"], []), 30: (3, ["p", "q", "r"], []),
+        41: (1, ["own"], []), 42: (1, ["end"], ["z"]),
+    }
+    assert pages.multipage_merge(pages_in.limit(0)).count() == 0
+
+
+def test_sitemaps_in_circles_and_long_lists(spark):
+    index = lambda *to: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in to) + "</sitemapindex>"
+    listed = "<urlset>" + "".join(f"<url><loc>http://h/{i}</loc></url>" for i in range(2500)) + "</urlset>"
+    maps = spark.createDataFrame([("a", "h", index("b", "c")), ("b", "h", index("a", "d")), ("c", "h", None), ("d", "h", index("e")), ("e", "h", index("f")), ("f", "h", listed)], "sitemap string, host string, xml string")
+    got = {(r.sitemap, r.depth) for r in sitemaps.expand(maps.filter("sitemap = 'a'"), maps).collect()}
+    assert got == {("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3), ("f", 4)}
+    assert sitemaps.sitemap_urls(maps).count() == 2500
+
+
+@pytest.mark.parametrize(
+    "json, day",
+    [
+        ('{"@graph":[{"@graph":[[{"datePublished":"2021-02-03"}]]}]}', dt.date(2021, 2, 3)), ('[[[[{"dateModified":"2020-01-02"}]]]]', dt.date(2020, 1, 2)),
+        ('[{"@graph":{"datePublished":"2019-05-06"}},{"datePublished":"2018-01-01"}]', dt.date(2019, 5, 6)), ("[]", None), ("{", None), (None, None),
+    ],
+)
+def test_nested_jsonld(spark, json, day):
+    assert spark.createDataFrame([(json,)], "j string").select(D.jsonld_date(F.col("j"))).first()[0] == day
+
+
+def test_dates_and_language_of_long_texts(spark):
+    far = "x " * 20000
+    assert one(spark, D.publish_date_guess(F.col("t"), F.lit(None).cast("date")), t=far + "2021-05-06") == dt.date(2021, 5, 6)
+    assert one(spark, D.markup_date(F.col("t")), t=far + '<time datetime="2021-05-06">') == dt.date(2021, 5, 6)
+    assert one(spark, D.has_publish_hint(F.col("t"), "2024-03-01"), t=far + "2024-01-05") is True
+    assert one(spark, T.language(F.col("t")), t="q " * 1500 + "中文报道" * 1000) == "zh"
