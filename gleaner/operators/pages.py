@@ -76,6 +76,7 @@ def multipage_merge(pages: DataFrame, latest: str = "page_id") -> DataFrame:
     """One row per article: its first page (``page_id``) with all followers joined on, in order.
 
     A url crawled more than once counts with the row that has the greatest ``latest``.
+    Pages without a url belong to no chain and are left out.
     A chain has any length and ends where a page would come again; an article starts at a
     page no other leads to, or at the smallest page of a circle that nothing leads into.
     Chains are found on page numbers alone, in as many rounds as doubling needs; bodies are
