@@ -316,14 +316,19 @@ def digested(batches):
 
 
 def extracted(batches):
-    """Contexts to be compared, with their bytes, from rows (text, d1, d2, todo)."""
+    """Contexts to be compared, with their bytes, from rows (text, d1, d2, todo); of a task's copies the first only."""
     import pyarrow as pa
 
+    seen: set[tuple[int, int]] = set()
+
     names, kinds = zip(*(x.split() for x in CONTEXT.split(", ")))
     types = {"long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary()}
     for batch in batches:
         out = []
         for text, d1, d2, todo in zip(*(batch.column(x).to_pylist() for x in ("text", "d1", "d2", "todo"))):
+            if (d1, d2) in seen:
+                continue
+            seen.add((d1, d2))
             for c in todo:
                 a, b = c["first"], c["upto"]
                 out.append((c["key"], c["large"], c["open"], d1, d2, a, a - c["place"], b - c["place"], text[a : b + LENGTH - 1]))
@@ -356,11 +361,15 @@ def repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def compared(rows: DataFrame) -> DataFrame:
-    """Spans (d1, d2, late) found by comparing the contexts that ``todo`` of ``rows`` names."""
+    """Spans (d1, d2, late) found by comparing the contexts that ``todo`` of ``rows`` names.
+
+    Contexts depend on the text alone: of copies a task extracts one, and of what tasks have in
+    common one is left before contexts are gathered for Python.
+    """
     contexts = rows.where("size(todo) > 0").select("text", "d1", "d2", "todo").mapInArrow(extracted, CONTEXT)
     contexts = settle(contexts, "repeat-compared")
-    usual = contexts.where("NOT large").repartition("key").sortWithinPartitions("key").mapInArrow(grouped, STARTS)
-    single = contexts.where("large").mapInArrow(strings, "key long, value long, open boolean, d1 long, d2 long, start int")
+    usual = contexts.where("NOT large").repartition("key").dropDuplicates(["key", "d1", "d2", "first"]).sortWithinPartitions("key").mapInArrow(grouped, STARTS)
+    single = contexts.where("large").dropDuplicates(["key", "d1", "d2", "first"]).mapInArrow(strings, "key long, value long, open boolean, d1 long, d2 long, start int")
     twice = settle(single.groupBy("key", "value").agg(F.count("*").alias("n")).where("n > 1").select("key", "value"), "repeat-strings")
     large = single.where("open").join(twice, ["key", "value"]).select("d1", "d2", "start")
     return usual.unionByName(large).groupBy("d1", "d2").agg(F.collect_set("start").alias("late"))

@@ -128,6 +128,31 @@ def test_passages(docs, texts, empty, monkeypatch, large):
     assert suffixes.removed(docs).select(docs.columns).schema.names == docs.schema.names
 
 
+def test_passages_of_copies(spark, tmp_path, monkeypatch):
+    """Copies of a text bring its contexts to a task once, however many copies there are."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(["stone", "river", "walks", "under", "bright"]) for _ in range(n))
+    base = say(150)
+    texts = {i: base for i in range(300)} | {300: f"{base[:420]} {say(40)}", 301: f"{say(40)} {base[90:500]}"}
+    work = suffixes.grouped
+
+    def counting(batches):
+        def kept():
+            for batch in batches:
+                rows = batch.select(["key", "d1", "d2", "first"]).to_pylist()
+                (tmp_path / hashlib.sha1(repr(rows).encode()).hexdigest()).write_text("".join(f"{sorted(r.items())}\n" for r in rows))
+                yield batch
+
+        return work(kept())
+
+    monkeypatch.setattr(suffixes, "grouped", counting)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digests(docs).collect()}
+    assert got == removed_by_hand(texts)
+    rows = [line for p in tmp_path.iterdir() for line in p.read_text().splitlines()]
+    assert rows and len(rows) == len(set(rows))
+
+
 def test_katz(docs, texts, empty):
     out = {r.doc_id: r for r in katz.scored(docs, F.col("doc_id") % 5 != 0).collect()}
     words = {i: [*tokens(t), b"\0end"] for i, t in texts.items()}
