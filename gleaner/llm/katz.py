@@ -6,11 +6,17 @@ Good-Turing ratio for counts up to KMAX (1 above); a(h) makes the words after h
 exactly one. A history whose followers leave nothing over lends one extra count.
 
 Texts become blocks of packed counts, one for each chunk of documents and each bucket of
-histories: distinct pairs with their training counts, and for every pair the chunk's
-documents that hold it. A bucket adds up its blocks. As every word is followed by a word
-or the end, a bucket that owns a history also owns that word's count, so it asks the other
-buckets only for the counts of its second words. Sums for each chunk's documents come
-back and are added up. Counts of all documents take part; nothing is pruned.
+histories: distinct pairs with their training counts. Which of a chunk's documents hold a
+pair stays in one row of the chunk. A bucket adds up its blocks. As every word is followed
+by a word or the end, a bucket that owns a history also owns that word's count, so it asks
+the other buckets only for the counts of its second words. Every chunk gets back the
+logarithms of its pairs and adds them up for its documents. Counts of all documents take
+part; nothing is pruned.
+
+Histories with much of a bucket's share of the tokens are dealt over several buckets by
+their second words. Of these the buckets' parts (occurrences, pairs seen once, twice, ...,
+and P of the words seen) are added up in the driver. Which histories those are is estimated
+from every SAMPLE-th row: the estimate decides where pairs are counted, never what counts.
 """
 
 from __future__ import annotations
@@ -22,40 +28,51 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import WordHashes
-from gleaner.session import fresh_path
+from gleaner.llm.common import WordHashes, mix
+from gleaner.session import fresh_path, settle
 
 KMAX = 5
 CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 60_000
 BUCKET_BYTES = 16 << 20
+SAMPLE = 8
 START, END = np.uint64(1), np.uint64(2)
 
 BLOCK = "bucket int, chunk long, documents boolean, block binary"
 COUNTS = "kind int, bucket int, sender int, chunk long, block binary"
-STATE, REQUEST, OWN, STATS, DOCUMENTS = range(5)
+STATE, REQUEST, OWN, STATS, DOCUMENTS, SPREAD = range(6)
 ANSWER = "bucket int, sender int, block binary"
-SUMS = "chunk long, documents boolean, block binary"
+LOWER = "word long, lower double"
+LOGS = "bucket int, chunk long, documents boolean, block binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value; whole numbers take as few bytes as they need."""
-    out = zstandard.ZstdCompressor(level=1).compressobj()
+    """Arrays as one compressed value; whole numbers take as few bytes as they need.
+
+    Hashes in order are kept as differences (marked d), and equal bytes of all numbers side by side.
+    """
+    out = zstandard.ZstdCompressor(level=3).compressobj()
     parts = []
     for a in arrays:
-        a = np.ascontiguousarray(a)
+        a, mark = np.ascontiguousarray(a), ""
+        if a.dtype == np.uint64 and len(a) > 1 and (a[1:] >= a[:-1]).all():
+            a, mark = np.diff(a, prepend=np.uint64(0)), "d"
         if a.dtype.kind in "iu" and len(a) and a.min() >= 0:
             a = a.astype(np.min_scalar_type(a.max()))
-        parts += [out.compress(f"{a.dtype.str:>8}{len(a):>12}".encode()), out.compress(a.view(np.uint8).data)]
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
+        parts += [out.compress(f"{mark + a.dtype.str:>8}{len(a):>12}".encode()), out.compress(planes.data)]
     return b"".join([*parts, out.flush()])
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
     data, at, out = zstandard.ZstdDecompressor().decompressobj().decompress(block), 0, []
     while at < len(data):
-        kind, n = np.dtype(data[at : at + 8].decode().strip()), int(data[at + 8 : at + 20])
+        name, n = data[at : at + 8].decode().strip(), int(data[at + 8 : at + 20])
+        kind = np.dtype(name.removeprefix("d"))
         at += 20
-        out.append(np.frombuffer(data, kind, n, at))
+        planes = np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        a = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+        out.append(np.cumsum(a, dtype=np.uint64) if name[0] == "d" else a)
         at += n * kind.itemsize
     return out
 
@@ -73,7 +90,66 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def blocks(buckets: int):
+def found(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is in the sorted ``among``, and where."""
+    if not len(among):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return among[at] == values, at
+
+
+def dealt(h: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Bucket of each pair: its history's, for histories of several parts moved on by a hash of the second word."""
+    b = bucket_of(h, buckets)
+    is_hot, at = found(h, hot)
+    if is_hot.any():
+        b[is_hot] = (b[is_hot] + (mix(w[is_hot] ^ mix(h[is_hot])) % parts[at[is_hot]].astype(np.uint64)).astype(np.int64)) % buckets
+    return b
+
+
+def frequent(buckets: int):
+    """Rows (word, n) of histories with a good part of a bucket's share of the tokens; END counts all tokens."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        words, held, size = WordHashes(), [], 0
+
+        def flush():
+            ids, n = np.unique(np.concatenate([np.full(len(held), START), *held]), return_counts=True)
+            total, keep = n.sum(), n * 4 * buckets >= n.sum()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.append(ids[keep], END).view(np.int64)), pa.array(np.append(n[keep], total))], names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.append(words.of(text))
+                size += len(held[-1]) + 1
+                if size >= CHUNK_TOKENS:
+                    size = 0
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def split_histories(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Histories to be dealt over several buckets, in order, and how many each."""
+    if buckets > 1:
+        every = rows.withColumn("_n", F.monotonically_increasing_id()).where(F.col("_n") % SAMPLE == 0).select("text")
+        counts = settle(every.mapInArrow(frequent(buckets), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "katz-frequent")
+        end = F.col("word") == int(END)
+        total = counts.where(end).agg(F.sum("n")).first()[0] or 1
+        got = counts.where(~end & (F.col("n") * 2 * buckets > total)).collect()
+        if got:
+            ids, n = np.array([r.word for r in got], np.int64).view(np.uint64), np.array([r.n for r in got])
+            order = np.argsort(ids)
+            return ids[order], np.minimum(-(-2 * n * buckets // total), buckets)[order]
+    return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def blocks(buckets: int, hot: np.ndarray, parts: np.ndarray):
     """Packed counts of each chunk of documents, a row for each bucket of histories, and a row for its documents."""
 
     def run(batches):
@@ -107,20 +183,24 @@ def blocks(buckets: int):
             spread = np.diff(np.append(gram, len(h)))
             trained = np.add.reduceat(count * learn[doc], gram)
             gh, gw = h[gram], w[gram]
-            cuts = np.searchsorted(bucket_of(gh, buckets), np.arange(buckets + 1))
-            ends = np.append(gram, len(h))
+            owner = dealt(gh, gw, buckets, hot, parts)
+            # Pairs by bucket; documents follow their pairs.
+            order = np.argsort(owner, kind="stable")
+            begin, spread = gram[order], spread[order]
+            moved = np.arange(len(h)) + np.repeat(begin - (np.cumsum(spread) - spread), spread)
+            gh, gw, trained, doc, count = gh[order], gw[order], trained[order], doc[moved], count[moved]
+            cuts = np.searchsorted(owner[order], np.arange(buckets + 1))
             rows = []
             for b in range(buckets):
                 lo, hi = cuts[b], cuts[b + 1]
                 if lo == hi:
                     continue
-                e = slice(ends[lo], ends[hi])
                 at = changes(gh[lo:hi])
                 vocabulary, index = np.unique(gw[lo:hi], return_inverse=True)
-                rows.append((b, chunk, False, pack(gh[lo:hi][at], np.diff(np.append(at, hi - lo)), vocabulary, index, trained[lo:hi], spread[lo:hi], doc[e], count[e])))
+                rows.append((b, chunk, False, pack(gh[lo:hi][at], np.diff(np.append(at, hi - lo)), vocabulary, index, trained[lo:hi])))
             known = np.array([d is not None for d, _, _ in held])
             ids = np.array([d or 0 for d, _, _ in held], np.int64)
-            rows.append((chunk % buckets, chunk, True, pack(ids.view(np.uint64), known, learn, lengths)))
+            rows.append((chunk % buckets, chunk, True, pack(ids.view(np.uint64), known, learn, lengths, spread, doc, count)))
             held.clear()
             columns = zip(*rows)
             types = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
@@ -139,8 +219,8 @@ def blocks(buckets: int):
     return run
 
 
-def counted(buckets: int):
-    """Adds up a bucket's blocks; gives its state, the counts it owns, what it asks for, and counts of counts."""
+def counted(buckets: int, hot: np.ndarray):
+    """Adds up a bucket's blocks; gives its state, the counts it owns, what it asks for, counts of counts, and its parts of ``hot``."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b = int(frame.bucket.iat[0])
@@ -167,10 +247,14 @@ def counted(buckets: int):
             for _, a in got:
                 n = len(a[4])
                 # a chunk's pairs are in order, so their numbers rise
-                state += [np.diff(number[place : place + n], prepend=0), a[5], a[6], a[7]]
+                state += [np.diff(number[place : place + n], prepend=0), a[1]]
                 place += n
             rows.append((STATE, b, b, 0, pack(*state)))
-            word = histories != START
+            is_hot, _ = found(histories, hot)
+            if is_hot.any():
+                seen = [np.add.reduceat((c2 == r).astype(np.int64), at)[is_hot] for r in range(1, KMAX + 1)]
+                rows.append((SPREAD, b, b, 0, pack(histories[is_hot], own[is_hot], *seen)))
+            word = (histories != START) & ~is_hot
             rows.append((OWN, b, b, 0, pack(histories[word], own[word])))
             cuts = np.searchsorted(bucket_of(vocabulary, buckets), np.arange(buckets + 1))
             rows += [(REQUEST, to, b, 0, pack(vocabulary[cuts[to] : cuts[to + 1]])) for to in range(buckets) if cuts[to] < cuts[to + 1]]
@@ -199,13 +283,25 @@ def discounts(n: np.ndarray) -> np.ndarray:
 class Totals:
     """What all buckets share: number of training tokens, words, discounts, mass of unknown words."""
 
-    def __init__(self, stats: list[bytes]):
+    def __init__(self, stats: list[bytes], spread: list[bytes]):
         pairs, singles, sums = np.zeros(KMAX + 1, np.int64), np.zeros(KMAX + 1, np.int64), np.zeros(3, np.int64)
         for x in stats:
             two, one, rest = unpack(x)
             pairs += two
             singles += one
             sums += rest
+        # Histories of several buckets: occurrences, and pairs by their counts up to KMAX.
+        parts = [unpack(x) for x in spread]
+        ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+        self.hot, at = np.unique(ids, return_inverse=True)
+        added = np.zeros((len(self.hot), KMAX + 1), np.int64)
+        if parts:
+            np.add.at(added, at, np.concatenate([np.stack([x.astype(np.int64) for x in p[1:]], axis=1) for p in parts]))
+        self.own, self.seen = added[:, 0], added[:, 1:]
+        self.lower = np.zeros(len(self.hot))
+        word = self.own[self.hot != START]
+        singles += np.bincount(np.minimum(word, KMAX + 2), minlength=KMAX + 3)[1 : KMAX + 2]
+        sums[:2] += word.sum(), (word > 0).sum()
         self.ends = int(sums[2])
         self.tokens, self.words = int(sums[0]) + self.ends, int(sums[1]) + (self.ends > 0)
         if 0 < self.ends <= KMAX + 1:
@@ -223,16 +319,21 @@ class Totals:
     def base(self, c) -> np.ndarray:
         return np.log10((c + 1.0) / (self.tokens + self.words + 1))
 
-    def pairs(self, per: np.ndarray, own: np.ndarray, c2: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """log10 P of each pair: histories with ``per`` pairs each and ``own`` occurrences, the pairs' counts, their words' P."""
+    def pairs(self, histories: np.ndarray, per: np.ndarray, own: np.ndarray, c2: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """log10 P of each pair: histories with ``per`` pairs each here and ``own`` occurrences, the pairs' counts, their words' P."""
         at = np.cumsum(per) - per
+        is_hot, k = found(histories, self.hot)
         seen = c2 > 0
         gain = np.where(seen, self.two[np.minimum(c2, KMAX + 1)] * c2, 0.0)
         n = np.maximum(own, 1).astype(float)
         left = n - np.add.reduceat(gain, at)
+        below = np.add.reduceat(np.where(seen, lower, 0.0), at)
+        r = np.arange(1, KMAX + 1)
+        left[is_hot] = (self.seen[k[is_hot]] * (r * (1 - self.two[1 : KMAX + 1]))).sum(axis=1)
+        below[is_hot] = self.lower[k[is_hot]]
         bare = left <= 1e-9 * n
         n, left = np.where(bare, n + 1, n), np.where(bare, 1.0, left)
-        backoff = np.where(own > 0, left / n / np.maximum(1 - np.add.reduceat(np.where(seen, lower, 0.0), at), 1e-300), 1.0)
+        backoff = np.where(own > 0, left / n / np.maximum(1 - below, 1e-300), 1.0)
         h = np.repeat(np.arange(len(per)), per)
         return np.log10(np.where(seen, gain / n[h], backoff[h] * lower))
 
@@ -247,55 +348,76 @@ def answered(totals: Totals):
         for kind, sender, block in zip(frame.kind, frame.sender, frame.block):
             if kind == REQUEST:
                 (asked,) = unpack(block)
-                at = np.minimum(np.searchsorted(words, asked), max(0, len(words) - 1))
-                c = np.where(words[at] == asked, counts[at].astype(np.int64), 0) if len(words) else np.zeros(len(asked), np.int64)
+                c = np.zeros(len(asked), np.int64)
+                for among, n in ((words, counts), (totals.hot, totals.own)):
+                    is_in, at = found(asked, among)
+                    c[is_in] = n[at[is_in]]
                 rows.append((int(sender), int(frame.bucket.iat[0]), pack(np.where(asked == END, totals.ends, c))))
         return pd.DataFrame(rows, columns=["bucket", "sender", "block"], dtype=object)
 
     return run
 
 
-def summed(totals: Totals, folder: str):
-    """Log probabilities of a bucket's pairs, added up for the documents of every chunk.
+def state_of(folder: str, b: int) -> list[np.ndarray]:
+    from pyarrow import dataset, fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    state = dataset.dataset(f"{path}/kind={STATE}/bucket={b}", filesystem=store, format="parquet").to_table(columns=["block"])
+    return unpack(state.column("block")[0].as_py())
+
+
+def lowered(totals: Totals, folder: str):
+    """A bucket's parts of the P of all words seen after the histories of several buckets."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        histories, per, _, _, index, c2, *_ = state_of(folder, int(frame.bucket.iat[0]))
+        asked = np.concatenate([unpack(x)[0].astype(np.int64) for x in frame.sort_values("sender").block])
+        is_hot, _ = found(histories, totals.hot)
+        per = per.astype(np.int64)
+        sums = np.add.reduceat(np.where(c2 > 0, totals.word(asked)[index], 0.0), np.cumsum(per) - per)
+        return pd.DataFrame({"word": histories[is_hot].astype(np.uint64).view(np.int64), "lower": sums[is_hot]})
+
+    return run
+
+
+def logged(totals: Totals, folder: str):
+    """Log probabilities of a bucket's pairs and counts of its histories, for every chunk in the order of its pairs.
 
     The bucket's own table is opened from ``folder``; only the answers it asked for were sent.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import dataset, fs
-
         b = int(frame.bucket.iat[0])
-        store, path = fs.FileSystem.from_uri(folder)
-        state = dataset.dataset(f"{path}/kind={STATE}/bucket={b}", filesystem=store, format="parquet").to_table(columns=["block"])
-        histories, per, own, vocabulary, index, c2, chunks, *rest = unpack(state.column("block")[0].as_py())
+        histories, per, own, vocabulary, index, c2, chunks, *rest = state_of(folder, b)
         asked = np.concatenate([unpack(x)[0].astype(np.int64) for x in frame.sort_values("sender").block])
         own, c2, per = own.astype(np.int64), c2.astype(np.int64), per.astype(np.int64)
-        logs = totals.pairs(per, own, c2, totals.word(asked)[index])
-        word = np.repeat(np.where(histories == START, 0.0, totals.base(own)), per)
-        known = np.repeat((histories != START) & (own > 0), per)
+        is_hot, at = found(histories, totals.hot)
+        own[is_hot] = totals.own[at[is_hot]]
+        logs = totals.pairs(histories, per, own, c2, totals.word(asked)[index])
+        # No word stands for the start: 0 there, else one more than the count.
+        word = np.repeat(np.where(histories == START, 0, own + 1), per)
         rows = []
         for i, chunk in enumerate(chunks.tolist()):
-            steps, spread, doc, count = rest[4 * i : 4 * i + 4]
-            pair = np.repeat(np.cumsum(steps.astype(np.int64)), spread)
-            parts = [np.bincount(doc, count * v[pair]) for v in (logs, word, known)]
-            hit = np.flatnonzero(np.bincount(doc))
-            rows.append((chunk, False, pack(hit, parts[0][hit], parts[1][hit], parts[2][hit].astype(np.int64))))
-        return pd.DataFrame(rows, columns=["chunk", "documents", "block"], dtype=object)
+            steps, runs = rest[2 * i : 2 * i + 2]
+            pair, runs = np.cumsum(steps.astype(np.int64)), runs.astype(np.int64)
+            rows.append((b, chunk, False, pack(logs[pair], runs, word[pair[np.cumsum(runs) - runs]])))
+        return pd.DataFrame(rows, columns=["bucket", "chunk", "documents", "block"], dtype=object)
 
     return run
 
 
 def scores(totals: Totals):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, has_id, learn, lengths = next(unpack(x) for x, d in zip(frame.block, frame.documents) if d)
+        ids, has_id, learn, lengths, spread, doc, count = next(unpack(x) for x, d in zip(frame.block, frame.documents) if d)
         n = len(ids)
-        score, base, known = np.zeros(n), np.full(n, totals.base(totals.ends)), np.full(n, int(totals.ends > 0))
-        for x, d in zip(frame.block, frame.documents):
-            if not d:
-                hit, s, w, k = unpack(x)
-                score[hit] += s
-                base[hit] += w
-                known[hit] += k.astype(np.int64)
+        parts = [unpack(x) for x in frame[~frame.documents.astype(bool)].sort_values("bucket").block]
+        runs, word = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (1, 2))
+        word = np.repeat(word, runs)
+        logs = np.concatenate([p[0] for p in parts])
+        pair = np.repeat(np.arange(len(logs)), spread)
+        score = np.bincount(doc, count * logs[pair], minlength=n)
+        base = np.bincount(doc, count * np.where(word > 0, totals.base(np.maximum(word - 1, 0)), 0.0)[pair], minlength=n) + totals.base(totals.ends)
+        known = np.bincount(doc, count * (word > 1)[pair], minlength=n).astype(np.int64) + int(totals.ends > 0)
         return pd.DataFrame({
             "doc_id": pd.array(ids.astype(np.uint64).view(np.int64), "Int64").copy() if has_id.all() else pd.array([int(i) if h else None for i, h in zip(ids.astype(np.uint64).view(np.int64), has_id)], "Int64"),
             "held_out": ~learn, "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": np.full(n, totals.tokens), "base_score": base, "score": score,
@@ -315,12 +437,19 @@ def scored(docs: DataFrame, learn) -> DataFrame:
     size = rows.agg(F.sum(F.length("text") + 8)).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
     folder = fresh_path(spark, "katz")
-    packed = rows.mapInArrow(blocks(buckets), BLOCK)
-    packed.groupBy("bucket").applyInPandas(counted(buckets), COUNTS).write.partitionBy("kind", "bucket").parquet(folder)
+    hot, parts = split_histories(rows, buckets)
+    packed = rows.mapInArrow(blocks(buckets, hot, parts), BLOCK)
+    packed.groupBy("bucket").applyInPandas(counted(buckets, hot), COUNTS).write.partitionBy("kind", "bucket").parquet(folder)
     counts = spark.read.schema(COUNTS).parquet(folder)
-    totals = Totals([r.block for r in counts.where(F.col("kind") == STATS).select("block").collect()])
+    stats, spread = ([r.block for r in counts.where(F.col("kind") == kind).select("block").collect()] for kind in (STATS, SPREAD))
+    totals = Totals(stats, spread)
     asked = counts.where(F.col("kind").isin(REQUEST, OWN))
-    answers = asked.groupBy("bucket").applyInPandas(answered(totals), ANSWER)
-    sums = answers.groupBy("bucket").applyInPandas(summed(totals, folder), SUMS)
-    sums = sums.unionByName(counts.where(F.col("kind") == DOCUMENTS).select("chunk", F.lit(True).alias("documents"), "block"))
-    return sums.groupBy("chunk").applyInPandas(scores(totals), SCORES)
+    answers = settle(asked.groupBy("bucket").applyInPandas(answered(totals), ANSWER), "katz-answers")
+    if len(totals.hot):
+        within = counts.where(F.col("kind") == SPREAD).select("bucket").distinct()
+        sums = answers.join(within, "bucket", "left_semi").groupBy("bucket").applyInPandas(lowered(totals, folder), LOWER)
+        for r in sums.groupBy("word").agg(F.sum("lower").alias("lower")).collect():
+            totals.lower[np.searchsorted(totals.hot, np.array([r.word], np.int64).view(np.uint64)[0])] = r.lower
+    logs = answers.groupBy("bucket").applyInPandas(logged(totals, folder), LOGS)
+    documents = counts.where(F.col("kind") == DOCUMENTS).select("bucket", "chunk", F.lit(True).alias("documents"), "block")
+    return logs.unionByName(documents).groupBy("chunk").applyInPandas(scores(totals), SCORES)

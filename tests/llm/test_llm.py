@@ -192,6 +192,36 @@ def test_katz(docs, texts, empty):
     assert katz.scored(empty, F.lit(True)).count() == 0
 
 
+def test_katz_frequent_history(spark, tmp_path, monkeypatch):
+    """A word in every second place is counted in many buckets; scores are those of one bucket."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(x for _ in range(rng.randint(0, 90)) for x in ("the", f"w{int(rng.paretovariate(0.6)) % 3000}"))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    learn = F.col("doc_id") % 5 != 0
+    want = {r.doc_id: r for r in katz.scored(docs, learn).collect()}
+    work = katz.counted
+
+    def counting(*args):
+        run = work(*args)
+
+        def noted(frame):
+            got = [katz.unpack(x) for x, d in zip(frame.block, frame.documents) if not d]
+            (tmp_path / str(frame.bucket.iat[0])).write_text(str(sum(len(a[4]) for a in got)))
+            return run(frame)
+
+        return noted
+
+    monkeypatch.setattr(katz, "counted", counting)
+    monkeypatch.setattr(katz, "BUCKET_BYTES", 8000)
+    got = {r.doc_id: r for r in katz.scored(docs, learn).collect()}
+    assert got.keys() == want.keys()
+    for i, r in want.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (r.n_tokens, r.n_known, r.train_tokens, r.held_out)
+        assert math.isclose(got[i].score, r.score, rel_tol=1e-9) and math.isclose(got[i].base_score, r.base_score, rel_tol=1e-9)
+    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert len(sizes) > 10 and max(sizes) < 0.2 * sum(sizes)
+
+
 def test_mixing(docs, texts, empty):
     rows = mixing.mixed(docs, target_entropy=0.99, max_passes=3.0).collect()
     counts = {i: len(tokens(t)) for i, t in texts.items()}
