@@ -110,9 +110,11 @@ def mixed(docs: DataFrame, seed: str = "mix", target_entropy: float = 0.97, max_
     Adds _pass (from 0), _key (ascending keys give the order of a pass over a source),
     _tokens and _weight. The last pass over a source takes documents while the running
     sum of tokens stays within the budget. Rows with equal doc_id and source go together;
-    so do those of a source with a null doc_id. A source without words gives no rows.
+    rows without doc_id are told apart by a hash of their other columns, and equal ones go
+    together. A source without words gives no rows.
     """
-    base = docs.withColumn("_tokens", n_words(F.col("text"))).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    content = F.concat(F.lit("null|"), F.md5(F.to_json(F.struct([F.col(c) for c in docs.columns if c != "doc_id"])).cast("binary")))
+    base = docs.withColumn("_tokens", n_words(F.col("text"))).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), content))
     narrow = settle(base.select("_id", "source", F.col("_tokens").alias("n_tokens")), "mix")
     plan = settle(source_plan(narrow, target_entropy, max_passes, budget_share), "mix-plan")
     plan = plan.select(F.col("source").alias("_source"), F.struct("passes", "left", "blocks", "weight").alias("_plan"))

@@ -246,6 +246,19 @@ def test_mixing(docs, texts, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixing_without_ids(spark):
+    """Rows without doc_id are taken one by one: a source over its budget is filled, not left out."""
+    rows = [(None, "hot", " ".join([f"w{i}"] * 10)) for i in range(300)] + [(i, "cold", "some words " * 5) for i in range(20)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string"), target_entropy=0.6).collect()
+    total = sum(10 for _ in rows)
+    taken = collections.Counter()
+    for r in got:
+        taken[r.source] += r._tokens
+    for source, weight in {(r.source, r._weight) for r in got}:
+        assert weight * total - 11 <= taken[source] <= weight * total + 1
+    assert 0 < taken["hot"] < 3000 and taken["cold"] > 200
+
+
 def test_fingerprints(docs, texts, empty, spark):
     got = {r.doc_id: r for r in oph.fingerprints(docs).collect()}
     order = sorted(texts, reverse=True)
