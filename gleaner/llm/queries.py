@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import crosspoly, katz, minhash, mixing, oph, pieces, quality, suffixes, toxicity, warc
+from gleaner.llm import crosspoly, fmindex, katz, minhash, mixing, nra, oph, pieces, quality, suffixes, toxicity, warc, whitening
 from gleaner.llm.common import held_out
 
 
@@ -71,8 +71,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.word_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_mixing, op3_katz, op4_suffixes, op5_toxicity, op6_fingerprints, op7_pieces, op8_vectors, op9_quality, op10_warc)
+    f.__name__: f
+    for f in (op1_minhash, op2_mixing, op3_katz, op4_suffixes, op5_toxicity, op6_fingerprints, op7_pieces, op8_vectors, op9_quality, op10_warc, op11_whitening, op12_fmindex, op13_nra)
 }
 
 #: Base32 of a SHA-1: five hexadecimal digits are 20 bits, four letters.
@@ -85,4 +98,25 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id IS NOT DISTINCT FROM head OR head IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM head THEN head END AS refers_to
 FROM p JOIN heads USING (h)""",
+    "op12_fmindex": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+marked AS (SELECT x.doc_id, x.i, x.word, coalesce(sum((l.i IS NOT NULL)::INT) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS 19 PRECEDING), 0) > 0 AS gone
+  FROM words x LEFT JOIN later l ON x.doc_id = l.doc_id AND x.i = l.i),
+left_over AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)""",
+    "op13_nra": """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+asked AS (SELECT item_id, t, count(*) AS times FROM q GROUP BY ALL),
+stat AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+held AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+freq AS (SELECT t, count(*) AS df FROM held GROUP BY t),
+score AS (SELECT item_id, doc_id, CAST(sum(times * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN held USING (t) JOIN freq USING (t) CROSS JOIN stat GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score
+WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
 }
