@@ -8,6 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gleaner.session import settle
 
@@ -94,6 +95,24 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     )
 
 
+def carried(docs: DataFrame, *needed: str, apart: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``docs`` in one struct ``row``, and beside it those an operator works on: no other name can clash.
+
+    Columns named in ``apart`` are beside the struct only, or in neither if not needed.
+    """
+    inside = [quoted(c) for c in docs.columns if c.lower() not in apart]
+    return docs.select(F.struct(*inside or [F.lit(1)]).alias("row"), *needed)
+
+
+def restored(rows: DataFrame, docs: DataFrame, *extra: str, **new: str) -> DataFrame:
+    """The columns of ``docs`` back from ``row``; ``new`` names columns of ``rows`` that replace some, ``extra`` further ones."""
+    return rows.select(*(F.col(new[c]).alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns), *extra)
+
+
+def quoted(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def held_out(doc_id: str, n: int, rest: int):
     """Whether a row is kept from learning: crc32 of its id's digits, modulo ``n``, is ``rest``; false without id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n == rest, F.lit(False))
@@ -121,8 +140,8 @@ def with_scores(docs: DataFrame, name: str, scorer) -> DataFrame:
 
     A null text is empty. Rows do not meet, so there is no shuffle. A column of that name is replaced.
     """
-    rows = docs.select([c for c in docs.columns if c.lower() != name.lower()])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{name}` double"
+    rows = docs.select([quoted(c) for c in docs.columns if c.lower() != name.lower()])
+    schema = StructType([*rows.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
         import pyarrow as pa

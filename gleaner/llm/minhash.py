@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.stage import bind
-from gleaner.llm.common import WordHashes, components, mix, shingles
+from gleaner.llm.common import WordHashes, carried, components, mix, restored, shingles
 from gleaner.llm.oph import BINS, binned
 from gleaner.session import settle
 
@@ -225,11 +225,13 @@ def deduplicated(docs: DataFrame, least_share: int = 75) -> DataFrame:
 
     Of rows that share a doc_id one stays: the one whose text is least. Rows without doc_id all stay.
     """
-    gone = near_groups(docs, least_share).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = settle(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_again")), "near-again")
+    every = carried(docs, "doc_id", "text")
+    gone = near_groups(docs, least_share).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = every.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    repeated = settle(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("again")), "near-again")
     if repeated.isEmpty():
-        return rows
-    single = rows.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti")
-    again = rows.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi")
-    return single.unionByName(again.groupBy("doc_id").agg(F.min_by(F.struct(docs.columns), F.coalesce("text", F.lit(""))).alias("_row")).select("_row.*"))
+        return restored(rows, docs)
+    single = rows.join(repeated, F.col("doc_id") == F.col("again"), "left_anti")
+    again = rows.join(repeated, F.col("doc_id") == F.col("again"), "left_semi")
+    one = again.groupBy("doc_id").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    return restored(single.select("row").unionByName(one.select("row")), docs)

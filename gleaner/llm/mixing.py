@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gleaner.llm.common import quoted, restored
 from gleaner.session import settle
 
 BLOCK_DOCS = 1024
@@ -104,17 +105,18 @@ def place_key(doc: Column, block: Column, number: Column, seed: str) -> Column:
     return F.concat(hashed(F.lit(seed), number, block.cast("string")), hashed(F.lit(seed), number, F.coalesce(doc, F.lit(""))))
 
 
-def mixed(docs: DataFrame, seed: str = "mix", target_entropy: float = 0.97, max_passes: float = 4.0, budget_share: float = 1.0) -> DataFrame:
-    """Rows of ``docs`` (doc_id, source, text and any others) as often as the mix takes them.
+def taken(docs: DataFrame, seed: str = "mix", target_entropy: float = 0.97, max_passes: float = 4.0, budget_share: float = 1.0) -> DataFrame:
+    """Rows of ``docs`` (doc_id, source, text and any others), as structs ``row``, as often as the mix takes them.
 
-    Adds _pass (from 0), _key (ascending keys give the order of a pass over a source),
+    Beside row: _pass (from 0), _key (ascending keys give the order of a pass over a source),
     _tokens and _weight. The last pass over a source takes documents while the running
     sum of tokens stays within the budget. Rows with equal doc_id and source go together;
     rows without doc_id are told apart by a hash of their other columns, and equal ones go
     together. A source without words gives no rows.
     """
-    content = F.concat(F.lit("null|"), F.md5(F.to_json(F.struct([F.col(c) for c in docs.columns if c != "doc_id"])).cast("binary")))
-    base = docs.withColumn("_tokens", n_words(F.col("text"))).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), content))
+    content = F.concat(F.lit("null|"), F.md5(F.to_json(F.struct([quoted(c) for c in docs.columns if c != "doc_id"])).cast("binary")))
+    every = F.struct(*(quoted(c) for c in docs.columns)).alias("row")
+    base = docs.select(every, "source", n_words(F.col("text")).alias("_tokens"), F.coalesce(F.col("doc_id").cast("string"), content).alias("_id"))
     narrow = settle(base.select("_id", "source", F.col("_tokens").alias("n_tokens")), "mix")
     plan = settle(source_plan(narrow, target_entropy, max_passes, budget_share), "mix-plan")
     plan = plan.select(F.col("source").alias("_source"), F.struct("passes", "left", "blocks", "weight").alias("_plan"))
@@ -140,5 +142,10 @@ def mixed(docs: DataFrame, seed: str = "mix", target_entropy: float = 0.97, max_
         rows.withColumn("_weight", F.col("_plan.weight"))
         .withColumn("_pass", F.explode(taken))
         .withColumn("_key", place_key(F.col("_id"), F.col("_block"), F.col("_pass"), seed))
-        .select(*docs.columns, "_pass", "_key", "_tokens", "_weight")
+        .select("row", "_pass", "_key", "_tokens", "_weight")
     )
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """``taken`` with the columns of ``docs``, which must not be called like the added ones."""
+    return restored(taken(docs, **options), docs, "_pass", "_key", "_tokens", "_weight")

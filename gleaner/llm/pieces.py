@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from gleaner.llm.common import mix
+from gleaner.llm.common import carried, mix, quoted, restored
 
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -201,9 +202,9 @@ CHARS = 1 << 28
 
 
 class Encoder:
-    """Texts to ids; units met lately are remembered, the bound is on memory only."""
+    """Texts to ids; units met lately are remembered, the bound is on memory only (some 200 bytes a unit)."""
 
-    limit = 800_000
+    limit = 250_000
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -235,31 +236,31 @@ class Encoder:
         return [gathered(self.ids, self.starts[i], self.sizes[i]) for i in index]
 
 
-LOADED: dict[str, Encoder] = {}
+LOADED: dict[str, Pieces] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process."""
+def vocabulary(path: str) -> Pieces:
+    """One vocabulary a worker process, of fixed size; what a task remembers of its texts ends with the task."""
     if path not in LOADED:
-        LOADED[path] = Encoder(Pieces(path))
+        LOADED[path] = Pieces(path)
     return LOADED[path]
 
 
-def encoded(docs: DataFrame, model: str, batch: int = 2000) -> DataFrame:
+def encoded(docs: DataFrame, model: str, batch: int = 1000) -> DataFrame:
     """Adds piece_ids, n_pieces and round_trip (decoding gives the text back) to every row.
 
-    Null and empty texts have no ids and do round-trip. The model is a file every worker
+    Columns of ``docs`` with the added names are replaced. Null and empty texts have no ids and do round-trip. The model is a file every worker
     finds under the same path; adding a space in front and none else is its normalisation.
     Characters without a piece become bytes. No row meets another one, so there is no shuffle.
     """
-    kept = [c for c in docs.columns if c not in ("piece_ids", "n_pieces", "round_trip")]
-    rows = docs.select(kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", piece_ids array<int>, n_pieces int, round_trip boolean"
+    added = ("piece_ids", "n_pieces", "round_trip")
+    rows = carried(docs, "text", apart=("text", *added))
+    schema = StructType([*rows.schema.fields]).add("piece_ids", ArrayType(IntegerType())).add("n_pieces", "integer").add("round_trip", "boolean")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        work = encoder(model)
+        work = Encoder(vocabulary(model))
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
@@ -270,4 +271,5 @@ def encoded(docs: DataFrame, model: str, batch: int = 2000) -> DataFrame:
                 same = [work.pieces.decoded(x) == t.encode() for x, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(offsets)), pa.array(same)], names=[*part.schema.names, "piece_ids", "n_pieces", "round_trip"])
 
-    return rows.mapInArrow(run, schema)
+    kept = docs.select([quoted(c) for c in docs.columns if c.lower() not in added])
+    return restored(rows.mapInArrow(run, schema), kept, *added, text="text")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import labelled_sample, with_scores
+from gleaner.llm.common import carried, labelled_sample, restored, with_scores
 
 SAMPLE = 3_000
 WIDTH, STEP, DIMS, FILTERS, HALF = 8, 2, 4, 16, 256
@@ -162,4 +162,5 @@ def scored(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
 
 def accepted(docs: DataFrame, network: Network, least: float = 0.3) -> DataFrame:
     """Rows whose text scores ``least`` or more, with the columns of ``docs``."""
-    return scored(docs, network, "_quality").where(F.col("_quality") >= least).select(docs.columns)
+    rows = scored(carried(docs, "text", apart=("text",)), network, "quality").where(F.col("quality") >= least)
+    return restored(rows, docs, text="text")

@@ -28,8 +28,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gleaner.llm.common import mix
+from gleaner.llm.common import carried, mix, restored
 from gleaner.session import settle
 
 LENGTH, SEED, BAND = 200, 24, 8
@@ -355,8 +356,7 @@ def repeats(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     task = F.struct("key", "large", (F.col("m") == 1).alias("open"), "place", "first", "upto")
     per_text = marked.groupBy("d1", "d2").agg(F.collect_set(F.when(F.col("m") > 1, one)).alias("spans"), F.collect_set(F.when(shown, task)).alias("todo"))
     per_text = settle(per_text.where("size(spans) + size(todo) > 0"), "repeat-texts")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
-    rows = texts.mapInArrow(digested, f"{schema}, d1 long, d2 long").join(per_text, ["d1", "d2"], "left")
+    rows = texts.mapInArrow(digested, StructType([*texts.schema.fields]).add("d1", "long").add("d2", "long")).join(per_text, ["d1", "d2"], "left")
     return rows, busy
 
 
@@ -375,25 +375,29 @@ def compared(rows: DataFrame) -> DataFrame:
     return usual.unionByName(large).groupBy("d1", "d2").agg(F.collect_set("start").alias("late"))
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (text and any others) with what is left of each text and what went.
+def reduced(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (text and any others), as structs ``row``, with what is left of each text and what went.
 
-    Adds _kept_sha256 (of the bytes left, in order), _n_bytes, _n_removed and _n_spans; a character
+    Beside row: _text, _kept_sha256 (of the bytes left, in order), _n_bytes, _n_removed and _n_spans; a character
     of which only some bytes are left is not in the new text. A byte goes
     if a string of LENGTH bytes that covers it also starts at another place, in this or any
     other row; all places lose it. Null text is empty; shorter texts stay as they are.
     """
-    names = docs.columns
-    texts = docs.withColumn("_row", F.struct([F.col(c) for c in names if c != "text"] or [F.lit(1)])).select("_row", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = carried(docs, F.coalesce("text", F.lit("")).cast("binary").alias("text"), apart=("text",))
     rows, _ = repeats(texts)
-    row_type = texts.schema["_row"].dataType.simpleString()
-    plain = settle(rows.mapInArrow(cut_early, f"_row {row_type}, d1 long, d2 long, text binary, spans array<struct<a:int,b:int>>, todo {TODO}, {CUT}"), "repeat-rows")
+    row, cuts = texts.schema["row"], StructType.fromDDL(CUT)
+    early = StructType.fromDDL(f"d1 long, d2 long, text binary, spans array<struct<a:int,b:int>>, todo {TODO}")
+    plain = settle(rows.mapInArrow(cut_early, StructType([row, *early.fields, *cuts.fields])), "repeat-rows")
     done = plain.where("text IS NULL")
     waiting = plain.where("text IS NOT NULL").drop("_text", "_kept_sha256", "_n_bytes", "_n_removed", "_n_spans")
     late = compared(waiting)
-    rest = waiting.drop("todo").join(late, ["d1", "d2"], "left").mapInArrow(cut_late, f"_row {row_type}, {CUT}")
-    every = done.select("_row", "_text", "_kept_sha256", "_n_bytes", "_n_removed", "_n_spans").unionByName(rest)
-    return every.select(*[F.col(f"_row.{c}").alias(c) if c != "text" else F.col("_text").alias("text") for c in names], "_kept_sha256", "_n_bytes", "_n_removed", "_n_spans")
+    rest = waiting.drop("todo").join(late, ["d1", "d2"], "left").mapInArrow(cut_late, StructType([row, *cuts.fields]))
+    return done.select("row", "_text", "_kept_sha256", "_n_bytes", "_n_removed", "_n_spans").unionByName(rest)
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """``reduced`` with the columns of ``docs``, ``text`` being what is left; they must not be called like the added ones."""
+    return restored(reduced(docs), docs, "_kept_sha256", "_n_bytes", "_n_removed", "_n_spans", text="_text")
 
 
 TODO = "array<struct<key:bigint,large:boolean,open:boolean,place:int,first:int,upto:int>>"
@@ -429,8 +433,8 @@ def cut_early(batches):
             else:
                 out.append(cut(text, [(s["a"], s["b"]) for s in spans or ()]))
                 texts[i] = None
-        columns = [batch.column("_row"), batch.column("d1"), batch.column("d2"), pa.array(texts, pa.binary()), batch.column("spans"), batch.column("todo"), *cut_columns(out)]
-        yield pa.RecordBatch.from_arrays(columns, names=["_row", "d1", "d2", "text", "spans", "todo", "_text", "_kept_sha256", "_n_bytes", "_n_removed", "_n_spans"])
+        columns = [batch.column("row"), batch.column("d1"), batch.column("d2"), pa.array(texts, pa.binary()), batch.column("spans"), batch.column("todo"), *cut_columns(out)]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "d1", "d2", "text", "spans", "todo", "_text", "_kept_sha256", "_n_bytes", "_n_removed", "_n_spans"])
 
 
 def cut_late(batches):
@@ -440,7 +444,7 @@ def cut_late(batches):
         out = []
         for text, spans, late in zip(*(batch.column(x).to_pylist() for x in ("text", "spans", "late"))):
             out.append(cut(text, [(s["a"], s["b"]) for s in spans or ()] + [(x, x + LENGTH) for x in late or ()]))
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), *cut_columns(out)], names=["_row", "_text", "_kept_sha256", "_n_bytes", "_n_removed", "_n_spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *cut_columns(out)], names=["row", "_text", "_kept_sha256", "_n_bytes", "_n_removed", "_n_spans"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
