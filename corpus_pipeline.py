@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import minhash, mixing, pieces, quality, suffixes
-from gleaner.llm.common import held_out
+from gleaner.llm.common import held_out, restored
 from gleaner.llm.queries import piece_model, table
 from gleaner.session import settle
 
@@ -28,13 +28,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat go from every text; n_chars is counted anew where it is there."""
-    rows = suffixes.removed(docs).select(docs.columns)
+    rows = restored(suffixes.reduced(docs), docs, text="_text")
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix of sources takes them."""
-    return mixing.mixed(docs).select(docs.columns)
+    return restored(mixing.taken(docs), docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
