@@ -37,8 +37,7 @@ def _(t):
 
 @query(
     "stream_block_counter",
-    """SELECT domain, time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, count(*) AS blocks FROM attempts WHERE NOT ok AND domain <> ''
-    GROUP BY ALL HAVING time_bucket(INTERVAL 10 MINUTE, min(ts)) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM attempts WHERE NOT ok AND domain <> '') - INTERVAL 10 MINUTE""",
+    "SELECT domain, time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, count(*) AS blocks FROM attempts WHERE NOT ok AND domain <> '' GROUP BY ALL",
     "attempts",
 )
 def _(t):
@@ -52,8 +51,7 @@ def _(t):
 
 @query(
     "weekly_window",
-    """SELECT label, CAST(date_trunc('week', publish_date) AS TIMESTAMP) AS week_start, count(*) AS n FROM facts GROUP BY ALL
-    HAVING CAST(date_trunc('week', min(publish_date)) AS DATE) + 7 <= (SELECT max(publish_date) FROM facts) - 7""",
+    "SELECT label, CAST(date_trunc('week', publish_date) AS TIMESTAMP) AS week_start, count(*) AS n FROM facts WHERE publish_date IS NOT NULL GROUP BY ALL",
     "facts",
 )
 def _(t):
@@ -74,7 +72,7 @@ def _(t):
     "stream_promotions",
     """WITH a AS (SELECT domain, ok, ts, day FROM attempts WHERE tier = 'ab' AND domain <> ''), e AS (SELECT domain, ok, CAST(day + unnest([1, 2, 3, 4, 5, 6, 7]) AS TIMESTAMP) AS window_end FROM a)
     SELECT domain, window_end, count(*) FILTER (ok) AS ab_ok, count(*) FILTER (NOT ok) AS ab_fail FROM e
-    WHERE window_end <= (SELECT max(ts) FROM a) - INTERVAL 1 DAY GROUP BY domain, window_end HAVING count(*) >= 5 AND count(*) FILTER (ok)::DOUBLE / count(*) >= 0.6""",
+    GROUP BY domain, window_end HAVING count(*) >= 5 AND count(*) FILTER (ok)::DOUBLE / count(*) >= 0.6""",
     "attempts",
 )
 def _(t):
@@ -90,12 +88,12 @@ def _(t):
 
 @query(
     "stream_analyzing_timeout",
-    f"""SELECT article_id, 'failed_retryable' AS status, 'analyzing 超时（>5min），自动回退' AS failed_reason FROM (SELECT user_id AS article_id, arg_max({STATUS}, ts) AS s, max(ts) AS last_ts FROM events
-      GROUP BY user_id) WHERE s = 'analyzing' AND TIMESTAMP '2024-01-30 23:00:00' - last_ts > INTERVAL 300 SECOND""",
+    f"""SELECT article_id, event_id, ts + INTERVAL 300 SECOND AS overdue_at FROM (SELECT user_id AS article_id, event_id, ts, {STATUS} AS s,
+      lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events) WHERE s = 'analyzing' AND (next_ts IS NULL OR next_ts - ts > INTERVAL 300 SECOND)""",
 )
 def _(t):
     log = streamed(t).raw("events").selectExpr("user_id AS article_id", "ts", "event_id", f"{STATUS} AS status")
-    return op.analyzing_timeouts(J.last_states(log, ["article_id"], ["ts", "event_id"], ["status"], "states"), "2024-01-30 23:00:00")
+    return J.overdue(log, "article_id", "analyzing", 300)
 
 
 @query("stream_login_lockout", LOCKOUT.replace(", CAST(fails AS BIGINT) AS fails FROM r", " FROM r"))

@@ -1,24 +1,26 @@
 """Streams over the same tables. Each has a batch twin it must agree with.
 
-Two shapes are used. Windowed aggregates keep Spark's own state behind a watermark.
-Everything whose order matters per key runs a batch operator on each micro-batch with
-a small carried-over table per key; both the micro-batch's result and the new carry are
-written under the batch number, so a repeated batch overwrites itself and a lost
-executor costs nothing but its tasks.
+Three shapes are used. Windowed aggregates keep Spark's own state behind a watermark.
+Newest rows are an aggregate in update mode: each micro-batch writes the keys it changed
+under its number, so a repeated batch overwrites itself. Everything whose order matters per
+key, or that has to speak up when nothing comes, is keyed state with event-time timers
+(``state``). In none of them does a batch touch other keys than those it brings.
+
+A watermark only moves with later rows, so the last windows of a finite input would never
+come out. ``Ending`` adds one row at the end of time to such an input once all else is read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleaner.functions.text import fingerprint
 from gleaner.operators import health, ordered
 from gleaner.session import fresh_path
+from gleaner.streaming import state
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
@@ -32,27 +34,52 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: i
     )
 
 
-def drain_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run an append-mode stream over what is there and give its output table."""
+END = "9999-12-31 00:00:00"
+
+
+class Ending:
+    """A stream that can be told its input has ended: a row at ``END`` then moves the watermark past all others.
+
+    ``rows`` has a watermark on ``at``; the row at the end is not in it. The condition names
+    ``at``, as others would be pushed below the watermark, which would then not see the row.
+    """
+
+    def __init__(self, stream: DataFrame, at: str, delay: str):
+        self.spark, self.at, self.schema = stream.sparkSession, at, stream.schema
+        self.path = fresh_path(self.spark, "ending")
+        self.spark.createDataFrame([], self.schema).write.parquet(self.path)
+        marks = self.spark.readStream.schema(self.schema).parquet(self.path)
+        self.rows = stream.unionByName(marks).withWatermark(at, delay).where(F.col(at) < F.lit(END).cast("timestamp"))
+
+    def close(self) -> None:
+        columns = [F.lit(END if f.name == self.at else None).cast(f.dataType).alias(f.name) for f in self.schema]
+        self.spark.range(1).coalesce(1).select(*columns).write.mode("append").parquet(self.path)
+
+
+def drain_to_table(stream: DataFrame, name: str, ending: Ending | None = None) -> DataFrame:
+    """Run an append-mode stream over what is there, and to its end if one is given; its output table."""
     spark = stream.sparkSession
     out = fresh_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{out}/data")
-        .option("checkpointLocation", f"{out}/state")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        writer = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
+        with state.rocksdb(spark):
+            query = writer.outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    if ending is not None:
+        ending.close()
+        run()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def drain_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, int, str], None]) -> str:
+def drain_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, int, str], None], mode: str = "append") -> str:
     """Run ``step(batch, number, folder)`` over the micro-batches of what is there."""
     out = fresh_path(stream.sparkSession, name)
     query = (
         stream.writeStream.foreachBatch(lambda df, n: step(df, n, out))
+        .outputMode(mode)
         .option("checkpointLocation", f"{out}/state")
         .trigger(availableNow=True)
         .start()
@@ -87,117 +114,66 @@ def unseen_fingerprints(documents: DataFrame, days: int = 7) -> DataFrame:
     return drain_to_table(fresh.select("fingerprint"), "dedup")
 
 
-def block_counts(attempts: DataFrame, seconds: int = 600, delay: str = "10 minutes") -> DataFrame:
-    """Blocks per domain and window, emitted once a window is behind the watermark."""
-    blocked = attempts.filter("NOT ok AND domain <> ''").select("domain", moment("ts").alias("ts")).withWatermark("ts", delay)
-    counted = blocked.groupBy("domain", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count("*").alias("blocks"))
-    done = drain_to_table(counted.select("domain", F.col("w.start").alias("window_start"), "blocks"), "blocks")
+def block_counts(attempts: DataFrame, seconds: int = 600, delay: str = "10 minutes", finite: bool = True) -> DataFrame:
+    """Blocks per domain and window, emitted once a window is behind the watermark; ``finite``: the last ones at the end of the input."""
+    blocked = attempts.filter("NOT ok AND domain <> ''").select("domain", moment("ts").alias("ts"))
+    ending = Ending(blocked, "ts", delay)
+    counted = ending.rows.groupBy("domain", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count("*").alias("blocks"))
+    done = drain_to_table(counted.select("domain", F.col("w.start").alias("window_start"), "blocks"), "blocks", ending if finite else None)
     return done.withColumn("window_start", as_written("window_start"))
 
 
-def weekly_labels(articles: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Articles per label and week, weeks from Monday (the epoch was a Thursday)."""
-    timed = articles.select("label", moment("ts").alias("ts")).withWatermark("ts", delay)
-    counted = timed.groupBy("label", F.window("ts", "7 days", startTime="4 days").alias("w")).agg(F.count("*").alias("n"))
-    done = drain_to_table(counted.select("label", F.col("w.start").alias("week_start"), "n"), "weekly")
+def weekly_labels(articles: DataFrame, delay: str = "7 days", finite: bool = True) -> DataFrame:
+    """Articles per label and week, weeks from Monday (the epoch was a Thursday); ``finite`` as above."""
+    ending = Ending(articles.select("label", moment("ts").alias("ts")), "ts", delay)
+    counted = ending.rows.groupBy("label", F.window("ts", "7 days", startTime="4 days").alias("w")).agg(F.count("*").alias("n"))
+    done = drain_to_table(counted.select("label", F.col("w.start").alias("week_start"), "n"), "weekly", ending if finite else None)
     return done.withColumn("week_start", as_written("week_start"))
 
 
-def promotions(attempts: DataFrame, min_attempts: int = 5, min_rate: float = 0.6, delay: str = "1 day") -> DataFrame:
-    """Domains worth promoting at the end of each trailing seven-day window, one window a day."""
-    tried = attempts.filter("tier = 'ab' AND domain <> ''").select("domain", "ok", moment("ts").alias("ts")).withWatermark("ts", delay)
-    counted = tried.groupBy("domain", F.window("ts", "7 days", "1 day").alias("w")).agg(
+def promotions(attempts: DataFrame, min_attempts: int = 5, min_rate: float = 0.6, delay: str = "1 day", finite: bool = True) -> DataFrame:
+    """Domains worth promoting at the end of each trailing seven-day window, one window a day; ``finite`` as above."""
+    ending = Ending(attempts.filter("tier = 'ab' AND domain <> ''").select("domain", "ok", moment("ts").alias("ts")), "ts", delay)
+    counted = ending.rows.groupBy("domain", F.window("ts", "7 days", "1 day").alias("w")).agg(
         F.count_if("ok").alias("ab_ok"), F.count_if(~F.col("ok")).alias("ab_fail")
     )
-    done = drain_to_table(counted.select("domain", F.col("w.end").alias("window_end"), "ab_ok", "ab_fail"), "promotions")
+    done = drain_to_table(counted.select("domain", F.col("w.end").alias("window_end"), "ab_ok", "ab_fail"), "promotions", ending if finite else None)
     tries = F.col("ab_ok") + F.col("ab_fail")
     return done.withColumn("window_end", as_written("window_end")).filter((tries >= min_attempts) & (F.col("ab_ok") / tries >= min_rate))
 
 
-def _carried(spark: SparkSession, out: str, n: int, empty: str) -> DataFrame:
-    """The carry written by the batch before, or an empty table for the first."""
-    if n == 0:
-        return spark.createDataFrame([], empty)
-    return spark.read.parquet(f"{out}/carry/{n - 1}")
+def micros(c: str) -> Column:
+    return F.unix_micros(moment(c))
 
 
-def fail_streaks(attempts: DataFrame, threshold: int = 3) -> DataFrame:
-    """Domains that have turned dynamic and when; once flipped a domain stays flipped.
-
-    The carry holds one row per domain: its running streak and the moment it flipped.
-    """
-    carry_shape = "domain string, carried bigint, dynamic_since timestamp_ntz, longest bigint"
-
-    def step(batch: DataFrame, n: int, out: str) -> None:
-        spark = batch.sparkSession
-        old = _carried(spark, out, n, carry_shape)
-        fast = batch.filter("tier = 'ff' AND domain <> ''").select("domain", "ts", "event_id", "ok")
-        run = ordered.streaks(fast, ["domain"], ordered.time_bucket(F.col("ts")), ["ts", "event_id"], ~F.col("ok"), F.col("ok"), old)
-        new = run.groupBy("domain").agg(
-            F.max_by("streak", F.struct("ts", "event_id")).alias("now"),
-            F.min(F.when(F.col("streak") >= threshold, F.col("ts"))).alias("since"),
-            F.max("streak").alias("most"),
-        )
-        merged = old.join(new, "domain", "full").select(
-            "domain",
-            F.coalesce("now", "carried").alias("carried"),
-            F.coalesce("dynamic_since", "since").alias("dynamic_since"),
-            F.greatest("longest", "most").alias("longest"),
-        )
-        merged.write.mode("overwrite").parquet(f"{out}/carry/{n}")
-        spark.createDataFrame([(n,)], "last int").write.mode("overwrite").parquet(f"{out}/last")
-
-    out = drain_batches(attempts, "streaks", step)
-    return _newest(attempts.sparkSession, out).select("domain", "dynamic_since", "longest")
-
-
-def _newest(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/carry/{spark.read.parquet(f'{out}/last').first()[0]}")
+def fail_streaks(attempts: DataFrame, threshold: int = 3, delay: str = "10 minutes", finite: bool = True) -> DataFrame:
+    """Domains that have turned dynamic and when; once flipped a domain stays flipped. Rows without a time are left out."""
+    fast = attempts.filter("tier = 'ff' AND domain <> '' AND ts IS NOT NULL").select("domain", moment("ts").alias("ts"), micros("ts").alias("at"), "event_id", "ok")
+    ending = Ending(fast, "ts", delay)
+    changes = drain_to_table(state.per_key(ending.rows, "domain", state.FailStreaks(threshold)), "streaks", ending if finite else None)
+    now = changes.groupBy("domain").agg(F.min("since").alias("since"), F.max("longest").alias("longest"))
+    return now.select("domain", F.timestamp_micros("since").cast("timestamp_ntz").alias("dynamic_since"), "longest")
 
 
 def last_states(log: DataFrame, key: list[str], order: list[str], columns: list[str], name: str) -> DataFrame:
-    """The newest row per key, merged batch by batch into one row per key."""
-
-    def step(batch: DataFrame, n: int, out: str) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*key, *order, *[c for c in columns if c not in order])
-        both = rows if n == 0 else rows.unionByName(spark.read.parquet(f"{out}/carry/{n - 1}"))
-        kept = [c for c in rows.columns if c not in key]
-        ordered.last_states(both, key, order, *kept).write.mode("overwrite").parquet(f"{out}/carry/{n}")
-        spark.createDataFrame([(n,)], "last int").write.mode("overwrite").parquet(f"{out}/last")
-
-    out = drain_batches(log, name, step)
-    return _newest(log.sparkSession, out)
-
-
-def login_verdicts(attempts: DataFrame, limit: int = 5, ttl: int = 900) -> DataFrame:
-    """Verdict of each attempt, with the count and expiry of every source in Spark's state store.
-
-    Rows of a source are put in order inside a micro-batch; how many can meet there is
-    set by the trigger (files per batch), not by how long the source has been active.
-    """
-
-    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fails, until = state.get if state.exists else (0, 0)
-        pdf = pd.concat(list(frames)).sort_values(["moment", "event_id"])
-        verdicts = []
-        for at, kind in zip(pdf["moment"], pdf["kind"]):
-            if fails and at >= until:
-                fails = 0
-            if fails >= limit:
-                verdicts.append("locked")
-            elif kind == "failure":
-                fails, until = fails + 1, at + ttl * 1_000_000
-                verdicts.append("failed")
-            elif kind == "success":
-                fails = 0
-                verdicts.append("welcome")
-            else:
-                verdicts.append("rejected")
-        state.update((fails, int(until)))
-        yield pdf[["ip", "moment", "event_id"]].assign(verdict=verdicts)
-
-    judged = attempts.groupBy("ip").applyInPandasWithState(
-        judge, "ip bigint, moment bigint, event_id bigint, verdict string", "fails bigint, until bigint", "append", GroupStateTimeout.NoTimeout
-    )
-    return drain_to_table(judged, "logins")
+    """The newest row per key: an aggregate in update mode, each batch writing the keys it changed. Any order of arrival."""
+    kept = [c for c in columns if c not in order]
+    newest = log.groupBy(*key).agg(F.max_by(F.struct(*order, *kept), F.struct(*order)).alias("s")).select(*key, "s.*")
+    out = drain_batches(newest, name, lambda df, n, out: df.write.mode("overwrite").parquet(f"{out}/changed/batch={n}"), "update")
+    changed = log.sparkSession.read.parquet(f"{out}/changed").drop("batch")
+    return ordered.last_states(changed, key, order, *order, *kept)
+
+
+def overdue(log: DataFrame, key: str, status: str, seconds: int, delay: str = "10 minutes", finite: bool = True) -> DataFrame:
+    """Events (key, event_id) of a status after which a key was silent for ``seconds``: a timer of each tells. Keys are numbers."""
+    timed = log.where("ts IS NOT NULL").select(F.col(key).cast("long").alias("key"), moment("ts").alias("ts"), micros("ts").alias("at"), "event_id", "status")
+    ending = Ending(timed, "ts", delay)
+    found = drain_to_table(state.per_key(ending.rows, "key", state.Overdue(status, seconds * 1_000_000)), "overdue", ending if finite else None)
+    return found.select(F.col("key").alias(key), "event_id", F.timestamp_micros("overdue_at").cast("timestamp_ntz").alias("overdue_at"))
+
+
+def login_verdicts(attempts: DataFrame, limit: int = 5, ttl: int = 900, delay: str = "10 minutes", finite: bool = True) -> DataFrame:
+    """Verdict of each attempt (ip, moment, event_id, kind); a source is forgotten when its last failure has expired."""
+    timed = attempts.select("ip", F.timestamp_micros("moment").alias("ts"), F.col("moment").alias("at"), "event_id", "kind")
+    ending = Ending(timed, "ts", delay)
+    return drain_to_table(state.per_key(ending.rows, "ip", state.Lockouts(limit, ttl * 1_000_000)), "logins", ending if finite else None)

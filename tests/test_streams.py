@@ -88,5 +88,75 @@ def test_windows_and_late_rows(spark, tmp_path):
     write("2", ["2024-01-01 05:00:00"], 200)
     write("3", ["2024-01-01 00:03:00", "2024-01-01 09:00:00"], 100)  # the first comes long after the watermark has passed it
     stream = jobs.table_stream(spark, str(tmp_path), "events", files_per_batch=1)
-    got = {str(r.window_start): r.blocks for r in jobs.block_counts(stream).collect()}
+    got = {str(r.window_start): r.blocks for r in jobs.block_counts(stream, finite=False).collect()}
     assert got == {"2024-01-01 00:00:00": 2, "2024-01-01 02:00:00": 1, "2024-01-01 05:00:00": 1}
+    got = {str(r.window_start): r.blocks for r in jobs.block_counts(stream).collect()}
+    assert got == {"2024-01-01 00:00:00": 2, "2024-01-01 02:00:00": 1, "2024-01-01 05:00:00": 1, "2024-01-01 09:00:00": 1}
+
+
+@pytest.fixture(scope="module")
+def dealt(spark, tmp_path_factory):
+    """Two months of attempts, dealt over three files without any order; some without a time."""
+    import datetime as dt
+    import random
+    import time
+
+    rng, rows, at = random.Random(4), [], dt.datetime(2024, 1, 1)
+    for i in range(240):
+        at += dt.timedelta(seconds=rng.choice([0, 1, 100, 299, 300, 301, 40000]))
+        rows.append((rng.randrange(4), None if i % 60 == 7 else at, i, rng.choice(["failure", "failure", "success", "unknown"])))
+    folder = tmp_path_factory.mktemp("dealt")
+    for n in range(3):
+        part = spark.createDataFrame([r for r in rows if (r[2] * 7) % 3 == n], "ip bigint, ts timestamp_ntz, event_id bigint, kind string")
+        part.coalesce(1).write.parquet(str(folder / f"tmp{n}"))
+        (made,) = (folder / f"tmp{n}").glob("*.parquet")
+        made.rename(folder / f"events-{n}.parquet")
+        import os
+
+        os.utime(folder / f"events-{n}.parquet", (time.time() - 1000 + n * 10,) * 2)
+    return rows, jobs.table_stream(spark, str(folder), "events", files_per_batch=1)
+
+
+LONG = "90 days"
+
+
+def test_streaks_of_rows_in_any_order(dealt):
+    rows, stream = dealt
+    tried = stream.select(F.concat(F.lit("d"), "ip").alias("domain"), "ts", "event_id", (F.col("kind") == "success").alias("ok"), F.lit("ff").alias("tier"))
+    want = {}
+    for ip in range(4):
+        run, since, longest = 0, None, -1
+        for r in sorted((r for r in rows if r[0] == ip and r[1]), key=lambda r: (r[1], r[2])):
+            run = 0 if r[3] == "success" else run + 1
+            longest = max(longest, run)
+            since = r[1] if since is None and run >= 3 else since
+        want[f"d{ip}"] = (since, longest)
+    assert {r.domain: (r.dynamic_since, r.longest) for r in jobs.fail_streaks(tried, delay=LONG).collect()} == want
+
+
+def test_timers_of_events_in_any_order(dealt):
+    import datetime as dt
+
+    rows, stream = dealt
+    want = set()
+    for ip in range(4):
+        mine = sorted((r for r in rows if r[0] == ip and r[1]), key=lambda r: (r[1], r[2]))
+        for r, after in zip(mine, [*mine[1:], None]):
+            if r[3] == "failure" and (after is None or after[1] - r[1] > dt.timedelta(seconds=300)):
+                want.add((ip, r[2], r[1] + dt.timedelta(seconds=300)))
+    log = stream.withColumnRenamed("kind", "status")
+    assert {tuple(r) for r in jobs.overdue(log, "ip", "failure", 300, LONG).collect()} == want and len(want) > 20
+    # Without an end only what the watermark has passed comes out: here nothing.
+    assert jobs.overdue(log, "ip", "failure", 300, LONG, finite=False).isEmpty()
+
+
+def test_lockouts_and_newest_rows_in_any_order(dealt, spark):
+    rows, stream = dealt
+    tries = lambda df: df.where("ts IS NOT NULL").select("ip", F.unix_micros(F.col("ts").cast("timestamp")).alias("moment"), "event_id", "kind")
+    whole = spark.createDataFrame(rows, "ip bigint, ts timestamp_ntz, event_id bigint, kind string")
+    want = {(r.event_id, r.verdict) for r in ordered.login_verdicts(tries(whole), limit=1).collect()}
+    got = {(r.event_id, r.verdict) for r in jobs.login_verdicts(tries(stream), limit=1, delay=LONG).collect()}
+    assert got == want and sum(v == "locked" for _, v in want) > 0
+    newest = jobs.last_states(stream, ["ip"], ["event_id"], ["kind"], "newest").collect()
+    last = {r[0]: (r[2], r[3]) for r in sorted(rows, key=lambda r: r[2])}
+    assert {r.ip: (r.event_id, r.kind) for r in newest} == last
