@@ -10,6 +10,7 @@ from gleaner.functions import dates as D
 from gleaner.functions import html as H
 from gleaner.functions.text import tokens
 from gleaner.functions.stage import bind
+from gleaner.operators import chains
 from gleaner.session import settle
 from gleaner.sources.html import with_nodes
 
@@ -76,30 +77,23 @@ def multipage_merge(pages: DataFrame, latest: str = "page_id") -> DataFrame:
     """One row per article: its first page (``page_id``) with all followers joined on, in order.
 
     A url crawled more than once counts with the row that has the greatest ``latest``.
-    Pages without a url belong to no chain and are left out.
     A chain has any length and ends where a page would come again; an article starts at a
     page no other leads to, or at the smallest page of a circle that nothing leads into.
-    Chains are found on page numbers alone, in as many rounds as doubling needs; bodies are
-    joined in afterwards. ``images`` and ``attachments`` (arrays) are merged where they are there.
+    Chains are found on page numbers alone (``chains``); bodies are joined in afterwards.
+    Pages without a url are articles of one page. ``images`` and ``attachments`` (arrays)
+    are merged where they are there.
     """
     extra = [c for c in ("images", "attachments") if c in pages.columns]
-    newest = F.max_by(F.struct("page_id", "next_url", "body", *extra), F.struct(F.col(latest).alias("at"), F.col("page_id").alias("tie"))).alias("p")
+    row = F.struct("page_id", "next_url", "body", *extra)
+    newest = F.max_by(row, F.struct(F.col(latest).alias("at"), F.col("page_id").alias("tie"))).alias("p")
     known = settle(pages.filter("url IS NOT NULL").groupBy("url").agg(newest).select("url", "p.*"), "pages-known")
     target = known.select(F.col("url").alias("next_url"), F.col("page_id").alias("next"))
-    paths = known.select("page_id", "next_url").join(target, "next_url", "left").select("page_id", F.array("page_id").alias("path"), "next")
-    paths = settle(paths, "pages-paths")
-    led_to = paths.filter("next IS NOT NULL AND next <> page_id").select(F.col("next").alias("page_id")).distinct()
-    while not paths.filter("next IS NOT NULL").isEmpty():
-        further = paths.select(F.col("page_id").alias("next"), F.col("path").alias("rest"), F.col("next").alias("then"))
-        whole = F.when(F.col("rest").isNull(), F.col("path")).otherwise(F.concat("path", "rest"))
-        longer = paths.join(further, "next", "left").select("page_id", whole.alias("whole"), F.array_distinct(whole).alias("path"), "then")
-        circle = F.size("path") < F.size("whole")
-        paths = settle(longer.select("page_id", "path", F.when(~circle, F.col("then")).alias("next")), "pages-paths")
-    heads = paths.join(led_to, "page_id", "left_anti").select("page_id", "path")
-    covered = heads.select(F.explode("path").alias("page_id")).distinct()
-    circles = paths.filter(F.col("page_id") == F.array_min("path")).join(covered, "page_id", "left_anti").select("page_id", "path")
-    steps = heads.unionByName(circles).select(F.col("page_id").alias("head"), F.posexplode("path").alias("pos", "page_id"))
-    parts = steps.join(known.select("page_id", "body", *extra), "page_id")
-    merged = parts.groupBy(F.col("head").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "body", *extra))).alias("p"))
+    links = known.select(F.col("page_id").alias("node"), "next_url").join(target, "next_url", "left").select("node", "next")
+    steps = chains.walks(settle(links, "pages-links"))
+    parts = steps.join(known.select(F.col("page_id").alias("node"), "body", *extra), "node")
+    merged = parts.groupBy(F.col("head").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("leg", "pos", "body", *extra))).alias("p"))
     gathered = [F.array_distinct(F.flatten(F.filter(F.col("p")[c], lambda x: x.isNotNull()))).alias(c) for c in extra]
-    return merged.select("page_id", F.size("p").alias("parts"), F.array_join(F.col("p")["body"], "\n\n").alias("body"), *gathered)
+    joined = merged.select("page_id", F.size("p").alias("parts"), F.array_join(F.col("p")["body"], "\n\n").alias("body"), *gathered)
+    empty = F.array().cast("array<string>")
+    alone = [F.array_distinct(F.coalesce(c, empty)).alias(c) for c in extra]
+    return joined.unionByName(pages.filter("url IS NULL").select("page_id", F.lit(1).alias("parts"), F.coalesce("body", F.lit("")).alias("body"), *alone))
