@@ -81,3 +81,19 @@ def walks(links: DataFrame) -> DataFrame:
         paths = settle(longer.select("run", "path", F.when(F.size("path") == F.size("whole"), F.col("then")).alias("next")), "walks-paths")
     heads = paths.join(led_to, "run", "left_anti")
     return heads.select(F.col("run").alias("head"), F.posexplode("path").alias("leg", "run")).join(placed, "run").select("head", "leg", "pos", "node")
+
+
+def reached(steps: DataFrame, starts: DataFrame, key: list[str]) -> DataFrame:
+    """Rows (key, node) that ``starts`` lead to, themselves included, by rows (key, node, to) with one step a node and no circle.
+
+    Steps of 2, 4, 8, ... are made until none is left; taken from the longest down, they
+    pass every node of a path.
+    """
+    jumps = [settle(steps, "steps")]
+    while not jumps[-1].isEmpty():
+        far = jumps[-1].select(*key, F.col("node").alias("to"), F.col("to").alias("then"))
+        jumps.append(settle(jumps[-1].join(far, [*key, "to"]).select(*key, "node", F.col("then").alias("to")), "steps"))
+    found = settle(starts, "reached")
+    for jump in reversed(jumps[:-1]):
+        found = settle(found.unionByName(found.join(jump, [*key, "node"]).select(*key, F.col("to").alias("node"))), "reached")
+    return found

@@ -4,6 +4,10 @@ A plain window over a key puts the whole key into one task. Here a key is cut in
 buckets (ten minutes, a block of numbers): windows run inside (key, bucket), each
 bucket is summed up in one small row, only those rows are scanned per key, and what a
 bucket inherits is joined back. The small rows grow with time, not with the data.
+
+A bucket that is still crowded, because a key's rows share a second or have no time, is cut
+further by the order itself: into stretches of its times or, where those are all one, of
+the numbers that come next in the order.
 """
 
 from __future__ import annotations
@@ -11,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators import chains
+from gleaner.session import settle
 
 BUCKET_SECONDS = 600
 
@@ -20,6 +26,47 @@ def time_bucket(ts: Column, seconds: int = BUCKET_SECONDS) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds)
 
 
+CROWD = 100_000
+
+
+def bucketed(df: DataFrame, key: list[str], bucket: Column, order: list[str], crowd: int | None = None) -> DataFrame:
+    """Adds ``_bucket``, which rises with the order inside a key; buckets of more than ``crowd`` rows are cut into stretches.
+
+    Rows without a time come first, as in a window's order. A stretch holds many rows only if
+    most of a crowded bucket's rows fall on one of several moments.
+    """
+    crowd = CROWD if crowd is None else crowd
+    kinds = dict(df.dtypes)
+    places = [F.unix_micros(F.col(c).cast("timestamp")) if kinds[c].startswith("timestamp") else F.col(c).cast("long") for c in order if kinds[c].startswith(("timestamp", "bigint", "int"))][:2]
+    cell = F.coalesce(bucket.cast("bigint"), F.lit(-(2**62)))
+    df = df.withColumn("_cell", cell)
+    ends = [f(p).alias(f"_{n}{i}") for i, p in enumerate(places) for n, f in (("lo", F.min), ("hi", F.max))]
+    full = df.groupBy(*key, "_cell").agg(F.count("*").alias("_rows"), *ends).where(F.col("_rows") > crowd)
+    cut = F.lit(0).cast("long")
+    for i, p in reversed(list(enumerate(places))):
+        share = (p - F.col(f"_lo{i}")) / (F.col(f"_hi{i}") - F.col(f"_lo{i}") + 1)
+        cut = F.when(F.col(f"_hi{i}") > F.col(f"_lo{i}"), F.floor(share * F.ceil(F.col("_rows") / crowd))).otherwise(cut)
+    cut = F.when(F.col("_rows").isNotNull(), F.coalesce(cut, F.lit(-1))).otherwise(0)
+    joined = df.join(full, [*key, "_cell"], "left").withColumn("_bucket", F.struct(F.col("_cell").alias("cell"), cut.alias("cut")))
+    return joined.drop("_cell", "_rows", *(f"_{n}{i}" for i in range(len(places)) for n in ("lo", "hi")))
+
+
+def scanned(df: DataFrame, key: list[str], bucket: Column, order: list[str], crowd: int | None = None, **values: tuple[str, Column]) -> DataFrame:
+    """Adds running values per key. Each is (how, of what): "sum" and "max" up to a row, "before" the greatest of the rows before it."""
+    _, running, per_key = _windows(key, order)
+    ahead = {"sum": running, "max": running, "before": running.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)}
+    fold = lambda how: F.sum if how == "sum" else F.max
+    local = bucketed(df, key, bucket, order, crowd).withColumns({f"_{n}": v for n, (_, v) in values.items()})
+    local = local.withColumns({n: fold(how)(f"_{n}").over(ahead[how]) for n, (how, _) in values.items()})
+    sums = local.groupBy(*key, "_bucket").agg(*(fold(how)(f"_{n}").alias(f"_{n}") for n, (how, _) in values.items()))
+    earlier = per_key.rowsBetween(Window.unboundedPreceding, -1)
+    handed = sums.select(*key, "_bucket", *(fold(how)(f"_{n}").over(earlier).alias(f"_in_{n}") for n, (how, _) in values.items()))
+    both = local.join(handed, [*key, "_bucket"])
+    zero = F.lit(0).cast("long")
+    whole = {n: F.coalesce(n, zero) + F.coalesce(f"_in_{n}", zero) if how == "sum" else F.greatest(n, f"_in_{n}") for n, (how, _) in values.items()}
+    return both.withColumns(whole).drop("_bucket", *(f"_{n}" for n in values), *(f"_in_{n}" for n in values))
+
+
 def _slot(bucket: Column) -> Column:
     """The bucket, never NULL: a nullable one would get a NULL filter on one side of the
     join below only, and the two sides could no longer share one shuffle."""
@@ -31,13 +78,10 @@ def _windows(key: list[str], order: list[str]):
     return inside, inside.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*key).orderBy("_bucket")
 
 
-def streaks(df: DataFrame, key: list[str], bucket: Column, order: list[str], hit: Column, reset: Column, carry: DataFrame | None = None) -> DataFrame:
-    """Adds ``streak``: hits since the last reset, this row included. Rows that are neither leave it alone.
-
-    ``carry(key..., carried)`` may hold the streak each key starts with.
-    """
+def streaks(df: DataFrame, key: list[str], bucket: Column, order: list[str], hit: Column, reset: Column, crowd: int | None = None) -> DataFrame:
+    """Adds ``streak``: hits since the last reset, this row included. Rows that are neither leave it alone."""
     _, running, per_key = _windows(key, order)
-    flagged = df.withColumns({"_bucket": _slot(bucket), "_hit": hit.cast("bigint"), "_reset": reset})
+    flagged = bucketed(df, key, bucket, order, crowd).withColumns({"_hit": hit.cast("bigint"), "_reset": reset})
     local = (
         flagged.withColumn("_hits", F.sum("_hit").over(running))
         .withColumn("_base", F.max(F.when(F.col("_reset"), F.col("_hits"))).over(running))
@@ -50,18 +94,11 @@ def streaks(df: DataFrame, key: list[str], bucket: Column, order: list[str], hit
         .withColumn("_since", F.max(F.when(F.col("_had_reset"), F.col("_total") - F.col("_tail"))).over(per_key.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_out", F.col("_total") - F.coalesce("_since", F.lit(0)))
         .withColumn("_in", F.coalesce(F.lag("_out").over(per_key), F.lit(0)))
-        .withColumn("_clean", F.coalesce(F.lag("_since").over(per_key), F.lit(None)).isNull())
-        .select(*key, "_bucket", "_in", "_clean")
+        .select(*key, "_bucket", "_in")
     )
     joined = local.join(out, [*key, "_bucket"])
-    if carry is not None:
-        joined = joined.join(carry.select(*key, "carried"), key, "left")
-        inherited = F.col("_in") + F.when(F.col("_clean"), F.coalesce("carried", F.lit(0))).otherwise(0)
-    else:
-        inherited = F.col("_in")
-    streak = F.when(F.col("_base").isNull(), inherited + F.col("_local")).otherwise(F.col("_local"))
-    extra = ["carried"] if carry is not None else []
-    return joined.withColumn("streak", streak).drop("_bucket", "_hit", "_reset", "_hits", "_base", "_local", "_in", "_clean", *extra)
+    streak = F.when(F.col("_base").isNull(), F.col("_in") + F.col("_local")).otherwise(F.col("_local"))
+    return joined.withColumn("streak", streak).drop("_bucket", "_hit", "_reset", "_hits", "_base", "_local", "_in")
 
 
 def flagged_summary(local: DataFrame, key: list[str]) -> DataFrame:
@@ -70,30 +107,25 @@ def flagged_summary(local: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def previous(df: DataFrame, key: list[str], bucket: Column, order: list[str], value: str, name: str = "previous") -> DataFrame:
+def previous(df: DataFrame, key: list[str], bucket: Column, order: list[str], value: str, name: str = "previous", crowd: int | None = None) -> DataFrame:
     """Adds the value of the row before, per key."""
     inside, _, per_key = _windows(key, order)
-    local = df.withColumn("_bucket", _slot(bucket)).withColumn("_n", F.row_number().over(inside)).withColumn(name, F.lag(value).over(inside))
+    local = bucketed(df, key, bucket, order, crowd).withColumn("_n", F.row_number().over(inside)).withColumn(name, F.lag(value).over(inside))
     last = local.groupBy(*key, "_bucket").agg(F.max(F.struct("_n", value)).alias("_last"))
     handed = last.withColumn("_handed", F.lag(f"_last.{value}").over(per_key)).select(*key, "_bucket", "_handed")
     joined = local.join(handed, [*key, "_bucket"])
     return joined.withColumn(name, F.when(F.col("_n") == 1, F.col("_handed")).otherwise(F.col(name))).drop("_bucket", "_n", "_handed")
 
 
-def running_max(df: DataFrame, key: list[str], bucket: Column, order: list[str], value: Column, name: str) -> DataFrame:
+def running_max(df: DataFrame, key: list[str], bucket: Column, order: list[str], value: Column, name: str, crowd: int | None = None) -> DataFrame:
     """Adds the largest ``value`` so far, per key (NULL values are passed over)."""
-    _, running, per_key = _windows(key, order)
-    local = df.withColumn("_bucket", _slot(bucket)).withColumn("_v", value).withColumn(name, F.max("_v").over(running))
-    top = local.groupBy(*key, "_bucket").agg(F.max("_v").alias("_top"))
-    before = per_key.rowsBetween(Window.unboundedPreceding, -1)
-    handed = top.withColumn("_handed", F.max("_top").over(before)).select(*key, "_bucket", "_handed")
-    return local.join(handed, [*key, "_bucket"]).withColumn(name, F.greatest(name, "_handed")).drop("_bucket", "_v", "_handed")
+    return scanned(df, key, bucket, order, crowd, **{name: ("max", value)})
 
 
-def fail_streak_flips(attempts: DataFrame, threshold: int = 3, carry: DataFrame | None = None) -> DataFrame:
+def fail_streak_flips(attempts: DataFrame, threshold: int = 3) -> DataFrame:
     """When each domain first had ``threshold`` fast-fetch failures in a row; it stays dynamic from then on."""
     fast = attempts.filter((F.col("tier") == "ff") & (F.col("domain") != "")).select("domain", "ts", "event_id", "ok")
-    run = streaks(fast, ["domain"], time_bucket(F.col("ts")), ["ts", "event_id"], ~F.col("ok"), F.col("ok"), carry)
+    run = streaks(fast, ["domain"], time_bucket(F.col("ts")), ["ts", "event_id"], ~F.col("ok"), F.col("ok"))
     return run.groupBy("domain").agg(
         F.min(F.when(F.col("streak") >= threshold, F.col("ts"))).alias("dynamic_since"), F.max("streak").alias("longest")
     )
@@ -265,44 +297,50 @@ def block_counts(attempts: DataFrame, seconds: int = 600) -> DataFrame:
     )
 
 
-def login_sessions(attempts: DataFrame, gap: int) -> DataFrame:
-    """Adds ``session``: the start of the attempt's run without a quiet gap, per source.
-
-    After a gap longer than the lock every state has expired, so sessions are independent."""
-    key, order, slot = ["ip"], ["moment", "event_id"], F.floor(F.col("moment") / (BUCKET_SECONDS * 1_000_000))
-    timed = previous(attempts, key, slot, order, "moment", "_before")
-    starts = F.when(F.col("_before").isNull() | (F.col("moment") - F.col("_before") > gap * 1_000_000), F.col("moment"))
-    return running_max(timed, key, slot, order, starts, "session").drop("_before")
-
+def login_verdicts(attempts: DataFrame, limit: int = 5, ttl: int = 900, crowd: int | None = None) -> DataFrame:
+    """Verdict of each attempt (ip, moment, event_id, kind), and the failures that count after it.
 
-def login_verdicts(attempts: DataFrame, limit: int = 5, ttl: int = 900) -> DataFrame:
-    """Verdict of each attempt (ip, moment, event_id, kind): locked, rejected, failed or welcome.
+    ``limit`` failures, each less than ``ttl`` seconds after the one before and without a
+    success between, lock a source for ``ttl`` seconds: what comes then is locked and counts
+    for nothing. Otherwise a failure has failed, a success is welcome, the rest is rejected.
 
-    Sessions are sorted inside partitions and streamed through a loop that remembers one
-    count and one expiry, so a long session is never held in memory.
+    Runs of failures are the same whatever was locked, so they come from running values.
+    Failures are numbered; each that is at least the ``limit``-th of its run may lock. Had it
+    locked, the next to do so is known: the first of those at least ``limit`` failures after
+    the lock's end. That makes chains, and the true locks are what the first of a source
+    leads to, found by doubling steps. No source is ever in one task.
     """
-    session = login_sessions(attempts, ttl).select("ip", "session", "moment", "event_id", "kind")
-    ordered = session.repartition("ip", "session").sortWithinPartitions("ip", "session", "moment", "event_id")
-
-    def judge(frames):
-        who, fails, until = None, 0, 0
-        for pdf in frames:
-            verdicts, counts = [], []
-            for ip, run, at, kind in zip(pdf["ip"], pdf["session"], pdf["moment"], pdf["kind"]):
-                if (ip, run) != who:
-                    who, fails = (ip, run), 0
-                if fails and at >= until:
-                    fails = 0
-                if fails >= limit:
-                    verdict = "locked"
-                elif kind == "failure":
-                    fails, until, verdict = fails + 1, at + ttl * 1_000_000, "failed"
-                elif kind == "success":
-                    fails, verdict = 0, "welcome"
-                else:
-                    verdict = "rejected"
-                verdicts.append(verdict)
-                counts.append(fails)
-            yield pdf[["ip", "moment", "event_id"]].assign(verdict=verdicts, fails=counts)
-
-    return ordered.mapInPandas(judge, "ip bigint, moment bigint, event_id bigint, verdict string, fails bigint")
+    key, order = ["ip"], ["moment", "event_id"]
+    slot = lambda c: F.floor(F.col(c) / (BUCKET_SECONDS * 1_000_000))
+    micros, zero = ttl * 1_000_000, F.lit(0).cast("long")
+    fail = F.col("kind") == "failure"
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    counted = scanned(attempts.select(*key, *order, "kind"), key, slot("moment"), order, crowd, fi=("sum", one(fail)), si=("sum", one(F.col("kind") == "success")))
+    seen = scanned(counted, key, slot("moment"), order, crowd, last=("before", F.when(fail, F.struct("fi", "moment", "si"))))
+    fresh = fail & (F.col("last").isNull() | (F.col("last.si") != F.col("si")) | (F.col("moment") - F.col("last.moment") >= micros))
+    rows = settle(scanned(seen, key, slot("moment"), order, crowd, begun=("max", F.when(fresh, F.col("fi")))), "login-runs")
+
+    able = settle(rows.where(fail & (F.col("fi") - F.col("begun") + 1 >= limit)).select("ip", F.col("fi").alias("j"), F.col("moment").alias("at")), "login-able")
+    # The failures before a lock's end, were it one, give the number of the first that counts again.
+    ends = able.select("ip", (F.col("at") + micros).alias("moment"), zero.alias("tag"), "j", "at")
+    failures = rows.where(fail).join(able.select("ip").distinct(), "ip", "left_semi").select("ip", "moment", F.lit(1).cast("long").alias("tag"), F.col("fi").alias("j"), F.lit(None).cast("long").alias("at"))
+    passed = scanned(failures.unionByName(ends), key, slot("moment"), ["moment", "tag", "j"], crowd, before=("max", F.when(F.col("tag") == 1, F.col("j"))))
+    able = settle(passed.where("tag = 0").select("ip", "j", "at", (F.col("before") + 1).alias("again")), "login-again")
+    # Among those that may lock, by number: which comes first from ``again + limit - 1`` on.
+    asks = able.select("ip", (F.col("again") + limit - 1).alias("number"), zero.alias("tag"), "j", "at", "again")
+    nodes = able.select("ip", F.col("j").alias("number"), F.lit(1).cast("long").alias("tag"), "j", "at", "again")
+    placed = settle(scanned(nodes.unionByName(asks), key, F.floor(F.col("number") / CROWD), ["number", "tag", "j"], crowd, rank=("sum", F.col("tag"))), "login-ranks")
+    nodes = placed.where("tag = 1").select("ip", "rank", "j", "at", "again")
+    to = placed.where("tag = 0").select("ip", "j", (F.col("rank") + 1).alias("to"))
+    steps = nodes.select("ip", "j", F.col("rank").alias("node")).join(to, ["ip", "j"]).join(nodes.select("ip", F.col("rank").alias("to")), ["ip", "to"], "left_semi").select("ip", "node", "to")
+    true = chains.reached(steps, nodes.where("rank = 1").select("ip", F.col("rank").alias("node")), key)
+    locks = nodes.join(true.withColumnRenamed("node", "rank"), ["ip", "rank"]).select("ip", F.col("j").alias("fi"), F.struct("j", "at", "again").alias("lock"))
+
+    numbered = rows.where(fail).join(settle(locks, "login-locks"), ["ip", "fi"], "left").unionByName(rows.where(~fail | F.col("kind").isNull()).withColumn("lock", F.lit(None).cast("struct<j:bigint,at:bigint,again:bigint>")))
+    held = scanned(numbered, key, slot("moment"), order, crowd, held=("before", F.col("lock")))
+    locked = F.coalesce(F.col("moment") < F.col("held.at") + micros, F.lit(False))
+    start = F.greatest("begun", F.coalesce("held.again", F.lit(1).cast("long")))
+    kept = (F.col("last.si") == F.col("si")) & (F.col("moment") - F.col("last.moment") < micros) & (F.col("last.fi") >= start)
+    fails = F.when(locked, limit).when(fail, F.col("fi") - start + 1).when(F.col("kind") == "success", 0).when(kept, F.col("last.fi") - start + 1).otherwise(0)
+    verdict = F.when(locked, "locked").when(fail, "failed").when(F.col("kind") == "success", "welcome").otherwise("rejected")
+    return held.select("ip", "moment", "event_id", verdict.alias("verdict"), fails.cast("long").alias("fails"))

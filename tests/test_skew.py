@@ -142,3 +142,48 @@ def test_near_first_with_many_copies(spark):
     assert len(got) == len(rows)
     first = lambda h: min(j for j, g in rows if ((h ^ g) & (1 << 64) - 1).bit_count() <= 2)
     assert got == {i: (first(h), first(h) < i) for i, h in rows}
+
+
+def crowded_log(spark):
+    """One key with all its rows in one second, many at one moment, and rows without a time."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(1200):
+        at = None if i % 7 == 0 else START + dt.timedelta(microseconds=rng.choice([5, 5, rng.randrange(1_000_000)]))
+        rows.append(("hot" if rng.random() < 0.9 else "cold", at, i, rng.random() < 0.3))
+    return rows, spark.createDataFrame(rows, "domain string, ts timestamp_ntz, event_id bigint, ok boolean").repartition(6)
+
+
+def test_crowded_seconds_are_cut(spark):
+    rows, df = crowded_log(spark)
+    key, order = ["domain"], ["ts", "event_id"]
+    slot = ordered.time_bucket(F.col("ts"))
+    cut = ordered.bucketed(df, key, slot, order, 50)
+    sizes = cut.groupBy("domain", "_bucket").count().collect()
+    assert len([r for r in sizes if r.domain == "hot"]) > 15 and cut.count() == len(rows)
+    nulls_first = lambda r: (r[0], r[1] is not None, r[1] or START, r[2])
+    streak, before, top = {}, {}, {}
+    for _, group in itertools.groupby(sorted(rows, key=nulls_first), key=lambda r: r[0]):
+        run, last, high = 0, None, -1
+        for r in group:
+            run = 0 if r[3] else run + 1
+            high = max(high, r[2] * 31 % 97)
+            streak[r[2]], before[r[2]], top[r[2]], last = run, last, high, r[2]
+    got = ordered.streaks(df, key, slot, order, ~F.col("ok"), F.col("ok"), 50)
+    assert {r.event_id: r.streak for r in got.collect()} == streak
+    assert {r.event_id: r.previous for r in ordered.previous(df, key, slot, order, "event_id", crowd=50).collect()} == before
+    got = ordered.running_max(df, key, slot, order, F.col("event_id") * 31 % 97, "top", 50)
+    assert {r.event_id: r.top for r in got.collect()} == top
+
+
+@pytest.mark.parametrize("limit, crowd", [(5, None), (2, 40), (1, 40)])
+def test_one_source_over_many_tasks(spark, limit, crowd):
+    rng = random.Random(limit)
+    at, rows = 0, []
+    for i in range(900):
+        at += rng.choice([0, 1, 20, 100, 899, 900, 901]) * 1_000_000
+        rows.append((0 if rng.random() < 0.8 else rng.randrange(4), at, i, rng.choices(["failure", "success", "unknown", None], [8, 1, 2, 1])[0]))
+    df = spark.createDataFrame(rows, "ip bigint, moment bigint, event_id bigint, kind string").repartition(5)
+    got = {r.event_id: r.verdict for r in ordered.login_verdicts(df, limit, 900, crowd).collect()}
+    want = login_reference(rows, limit)
+    assert got == want and list(want.values()).count("locked") > 9
