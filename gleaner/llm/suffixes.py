@@ -34,6 +34,8 @@ from gleaner.llm.common import carried, mix, restored
 from gleaner.session import settle
 
 LENGTH, SEED, BAND = 200, 24, 8
+#: Rows that are worked on at once; what is held beside them is some 100 bytes for each of theirs.
+STEP, CONTEXTS = 256, 2000
 LARGE = 4096
 PLACE_BITS = 28
 RNG = np.random.default_rng(4)
@@ -49,7 +51,7 @@ class Powers:
 
     def upto(self, n: int) -> Powers:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
+            self.n = max(n + n // 4, 1 << 16)
             self.up, self.down = [], []
             for base in BASES:
                 for rows, b in ((self.up, base), (self.down, pow(base, -1, 1 << 64))):
@@ -88,6 +90,12 @@ def anchors(h: Hashes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place[first], first, np.concatenate([first[1:], [m]])
 
 
+def in_parts(batches):
+    for whole in batches:
+        for at in range(0, whole.num_rows, STEP):
+            yield whole.slice(at, STEP)
+
+
 def digest(text: bytes) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(text)
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
@@ -100,7 +108,7 @@ def anchored(batches):
     import pyarrow as pa
 
     powers, names = Powers(), [x.split()[0] for x in ANCHORS.split(", ")]
-    for batch in batches:
+    for batch in in_parts(batches):
         out = []
         for text in batch.column("text").to_pylist():
             if len(text) < LENGTH:
@@ -267,6 +275,16 @@ def grouped(batches):
         start = (first[c] + o - lo[c]).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(d1[c]), pa.array(d2[c]), pa.array(start)], names=["d1", "d2", "start"])
 
+    def parts(rows):
+        """Anchors stay whole; otherwise some contexts at a time."""
+        at, key = 0, rows.column("key").to_numpy()
+        while at < len(key):
+            stop = min(len(key), at + CONTEXTS)
+            while stop < len(key) and key[stop] == key[stop - 1]:
+                stop += 1
+            yield worked(rows.slice(at, stop - at))
+            at = stop
+
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -274,10 +292,9 @@ def grouped(batches):
         key = rows.column("key").to_numpy()
         last = int(np.flatnonzero(key == key[-1])[0])
         rest = rows.slice(last)
-        if last:
-            yield worked(rows.slice(0, last))
-    if rest is not None and rest.num_rows:
-        yield worked(rest)
+        yield from parts(rows.slice(0, last))
+    if rest is not None:
+        yield from parts(rest)
 
 
 def strings(batches):
@@ -310,7 +327,7 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def digested(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in in_parts(batches):
         pairs = [digest(t) for t in batch.column("text").to_pylist()]
         extra = [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)]
         yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "d1", "d2"])
@@ -324,7 +341,7 @@ def extracted(batches):
 
     names, kinds = zip(*(x.split() for x in CONTEXT.split(", ")))
     types = {"long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary()}
-    for batch in batches:
+    for batch in in_parts(batches):
         out = []
         for text, d1, d2, todo in zip(*(batch.column(x).to_pylist() for x in ("text", "d1", "d2", "todo"))):
             if (d1, d2) in seen:
@@ -425,7 +442,7 @@ def cut_early(batches):
     """Texts with nothing left to compare are cut; of the others the text goes on."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in in_parts(batches):
         out, texts = [], batch.column("text").to_pylist()
         for i, (text, spans, todo) in enumerate(zip(texts, batch.column("spans").to_pylist(), batch.column("todo").to_pylist())):
             if todo:
@@ -440,7 +457,7 @@ def cut_early(batches):
 def cut_late(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in in_parts(batches):
         out = []
         for text, spans, late in zip(*(batch.column(x).to_pylist() for x in ("text", "spans", "late"))):
             out.append(cut(text, [(s["a"], s["b"]) for s in spans or ()] + [(x, x + LENGTH) for x in late or ()]))
