@@ -73,30 +73,51 @@ def body_text() -> Column:
     return node_text(first(find_nodes(lambda n: n["tag"] == "body")))
 
 
+def offsets() -> Column:
+    """Where each text piece begins in ``page_text(" ")``, and one more: array<struct(at, n)>, n being the non-empty pieces before it."""
+    first_place = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")))
+
+    def further(known: Column, piece: Column) -> Column:
+        size, last = F.length(strip(piece["s"])), F.element_at(known, -1)
+        return F.concat(known, F.array(F.struct((last["at"] + F.when(size > 0, size + 1).otherwise(0)).alias("at"), (last["n"] + F.when(size > 0, 1).otherwise(0)).alias("n"))))
+
+    return F.aggregate(TEXTS, first_place, further)
+
+
 def links() -> Column:
-    """array<struct(url, text, surrounding_text, parent_class, parent_id)> in page order."""
+    """array<struct(url, text, context_start, context_end, parent_class, parent_id)> in page order.
+
+    A link's context, the row it stands in, is the stretch context_start to context_end of
+    ``page_text(" ")``, counted from 0: many links of one row do not each carry its text.
+    """
     at = lambda i: F.get(NODES, i)
-    is_row = lambda n: F.coalesce(n["tag"].isin(*ROW_TAGS) | ((n["tag"] == "div") & (F.length(node_text(n)) < 200)), F.lit(False))
-
-    def row_of(p1: Column) -> Column:
-        p2, p3 = at(p1["parent"]), at(at(p1["parent"])["parent"])
-        return F.when(is_row(p1), p1).when(is_row(p2), p2).when(is_row(p3), p3).otherwise(p1)
-
-    def describe(a: Column) -> Column:
-        text = node_text(a)
-        return bind(
-            row_of(at(a["parent"])),
-            lambda r: F.struct(
-                F.regexp_replace(a["link"], r"(?s)#.*$", "").alias("url"),
-                text.alias("text"),
-                F.coalesce(node_text(r, " "), F.lit("")).alias("surrounding_text"),
-                F.coalesce(F.array_join(F.filter(F.split(r["cls"], r"\s+"), lambda c: c != ""), " "), F.lit("")).alias("parent_class"),
-                F.coalesce(r["id"], F.lit("")).alias("parent_id"),
-            ),
-        )
 
-    anchors = find_nodes(lambda n: (n["tag"] == "a") & n["href"].rlike(r"\S"))
-    return F.filter(F.transform(anchors, describe), lambda x: F.coalesce(x["url"], F.lit("")) != "")
+    def described(places: Column) -> Column:
+        begin, end = lambda n: F.get(places, n["t0"]), lambda n: F.get(places, n["t1"])
+        short = lambda n: end(n)["at"] - begin(n)["at"] - (end(n)["n"] - begin(n)["n"]) < 200  # without the separators
+        is_row = lambda n: F.coalesce(n["tag"].isin(*ROW_TAGS) | ((n["tag"] == "div") & short(n)), F.lit(False))
+
+        def row_of(p1: Column) -> Column:
+            p2, p3 = at(p1["parent"]), at(at(p1["parent"])["parent"])
+            return F.when(is_row(p1), p1).when(is_row(p2), p2).when(is_row(p3), p3).otherwise(p1)
+
+        def describe(a: Column) -> Column:
+            return bind(
+                row_of(at(a["parent"])),
+                lambda r: F.struct(
+                    F.regexp_replace(a["link"], r"(?s)#.*$", "").alias("url"),
+                    node_text(a).alias("text"),
+                    F.coalesce(begin(r)["at"], F.lit(0)).alias("context_start"),
+                    F.coalesce(F.greatest(begin(r)["at"], end(r)["at"] - 1), F.lit(0)).alias("context_end"),
+                    F.coalesce(F.array_join(F.filter(F.split(r["cls"], r"\s+"), lambda c: c != ""), " "), F.lit("")).alias("parent_class"),
+                    F.coalesce(r["id"], F.lit("")).alias("parent_id"),
+                ),
+            )
+
+        anchors = find_nodes(lambda n: (n["tag"] == "a") & n["href"].rlike(r"\S"))
+        return F.filter(F.transform(anchors, describe), lambda x: F.coalesce(x["url"], F.lit("")) != "")
+
+    return bind(offsets(), described)
 
 
 def blocks() -> Column:

@@ -21,10 +21,34 @@ HUB_SCORE = 85
 PATH_QUOTA, FRONTIER_SIZE = 20, 500
 
 
-def extract_links(pages_with_nodes: DataFrame) -> DataFrame:
-    """One row per link: page_id, site, pos, url, text and the row it stands in."""
-    found = pages_with_nodes.select("page_id", U.netloc(F.col("url")).alias("site"), F.posexplode(H.links()).alias("pos", "l"))
-    return found.select("page_id", "site", "pos", "l.url", "l.text", "l.surrounding_text", "l.parent_class", "l.parent_id")
+def stretch(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, start + 1, end - start)
+
+
+def extract_links(pages_with_nodes: DataFrame, context: str | int | None = None, as_of=None) -> DataFrame:
+    """One row per link: page_id, site, pos, url, text, and the stretch of ``page_texts`` that is the row it stands in.
+
+    ``context`` adds that stretch's text as surrounding_text: "whole", or a number of
+    characters. ``as_of`` adds context_date, the date it names, read once for each stretch.
+    """
+    page = pages_with_nodes.select("page_id", U.netloc(F.col("url")).alias("site"), H.links().alias("links"), *([H.page_text(" ").alias("all")] if context is not None or as_of else []))
+    more = []
+    if as_of:
+        places = F.array_distinct(F.transform("links", lambda l: F.struct(l["context_start"].alias("a"), l["context_end"].alias("b"))))
+        dates = lambda ps: F.map_from_arrays(ps, F.transform(ps, lambda p: D.text_date(stretch(F.col("all"), p["a"], p["b"]), as_of)))
+        page = once(page, "dates", bind(places, dates))
+    found = page.select("page_id", "site", F.posexplode("links").alias("pos", "l"), *page.columns[3:])
+    if context is not None:
+        end = F.col("l.context_end") if context == "whole" else F.least("l.context_end", F.col("l.context_start") + context)
+        more.append(stretch(F.col("all"), F.col("l.context_start"), end).alias("surrounding_text"))
+    if as_of:
+        more.append(F.element_at("dates", F.struct(F.col("l.context_start").alias("a"), F.col("l.context_end").alias("b"))).alias("context_date"))
+    return found.select("page_id", "site", "pos", "l.url", "l.text", "l.context_start", "l.context_end", "l.parent_class", "l.parent_id", *more)
+
+
+def page_texts(pages_with_nodes: DataFrame) -> DataFrame:
+    """One row per page (page_id, text): its text pieces with one blank between, into which links' contexts point."""
+    return pages_with_nodes.select("page_id", H.page_text(" ").alias("text"))
 
 
 def text_length_score(text: Column) -> Column:
@@ -52,11 +76,9 @@ def time_score(found: Column, target, to) -> Column:
 
 
 def score_links(links: DataFrame, as_of, target=None, to=None) -> DataFrame:
-    """Adds score and its three signals; junk links are gone. URL dates come first, then anchor text, then its row."""
+    """Adds score and its three signals; junk links are gone. URL dates come first, then anchor text, then ``context_date``."""
     url = F.col("url")
-    said = F.coalesce(
-        bind(D.url_date(url), lambda f: f["d"]), D.text_date(F.col("text"), as_of), D.text_date(F.col("surrounding_text"), as_of)
-    )
+    said = F.coalesce(bind(D.url_date(url), lambda f: f["d"]), D.text_date(F.col("text"), as_of), F.col("context_date"))
     signals = F.struct(
         text_length_score(F.col("text")).alias("text_len_score"), depth_score(url).alias("depth_score"), time_score(said, target, to).alias("time_score")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner.functions import dates as D
 from gleaner.functions import urls as U
 from gleaner.operators import discovery as op
 from gleaner.plans.dates import SHORT, URL_DATE
@@ -24,21 +25,25 @@ LINK_TABLE = f"""SELECT page_id, site, pos, url, text, surrounding_text, NULL::D
     SELECT url_id + 10000000, regexp_extract(url, '//([^/?#]*)', 1), 0, url, {DATED_TEXT}, {DATED_ROW}, url_date FROM ({URL_DATE}) u"""
 
 
+AS_OF = "2001-08-01"
+
+
 def page_links(t):
-    return op.extract_links(nodes(t)).select("page_id", "site", "pos", "url", "text", "surrounding_text")
+    return op.extract_links(nodes(t)).select("page_id", "site", "pos", "url", "text")
 
 
 def links(t):
     """Links of the pages, and the dated urls as links of their own pages."""
+    found = op.extract_links(nodes(t), as_of=AS_OF).select("page_id", "site", "pos", "url", "text", "context_date")
     dated = t.dated_urls.select(
         (F.col("url_id") + 10000000).alias("page_id"), U.netloc(F.col("url")).alias("site"), F.lit(0).alias("pos"), "url",
-        F.expr(DATED_TEXT).alias("text"), F.expr(DATED_ROW).alias("surrounding_text"),
+        F.expr(DATED_TEXT).alias("text"), D.text_date(F.expr(DATED_ROW), AS_OF).alias("context_date"),
     )
-    return page_links(t).unionByName(dated)
+    return found.unionByName(dated)
 
 
 def scored(t):
-    return op.score_links(links(t), "2001-08-01", "2001-07-01", "2001-07-31")
+    return op.score_links(links(t), AS_OF, "2001-07-01", "2001-07-31")
 
 
 def said(x: str) -> str:
@@ -59,7 +64,7 @@ SCORED = f"""SELECT *, least(100, text_len_score + depth_score + time_score) AS
 
 @query("extract_links", f"SELECT * FROM ({LINKS}) l")
 def _(t):
-    return page_links(t)
+    return op.extract_links(nodes(t), context="whole").select("page_id", "site", "pos", "url", "text", "surrounding_text")
 
 
 @query("link_score", f"SELECT page_id, pos, url, text_len_score, depth_score, time_score, score FROM ({SCORED}) s", "dated_urls")
@@ -118,7 +123,7 @@ FRONTIER = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORD
 
 def admitted(t):
     kept = op.frontier(links(t).withColumn("skip_quota", F.expr("text = '更多' AND page_id % 2 = 0")))
-    return op.score_links(kept, "2001-08-01", "2001-07-01", "2001-07-31")
+    return op.score_links(kept, AS_OF, "2001-07-01", "2001-07-31")
 
 
 @query("frontier_quota", f"SELECT page_id, pos, site, url, prefix, score FROM ({FRONTIER}) f", "dated_urls")
