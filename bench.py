@@ -18,7 +18,7 @@ HEADLINE = (
     "site_failure_rank,promotions,category_counts,article_page,article_search,weekly_digest,report_card_json,"
     "task_outcomes,url_date,normalize_url,tokenize,clean_noise,exact_dup,simhash64,near_dup_first,text_blocks,"
     "bm25_blocks,main_content_run,prune_html,extract_links,link_score,frontier_order,score_labels,edit_log,"
-    "fetch_fail_streak,politeness_schedule,login_lockout,api_score,stream_site_stats"
+    "fetch_fail_streak,login_lockout,api_score,stream_site_stats"
 )
 
 
