@@ -93,7 +93,8 @@ def reached(steps: DataFrame, starts: DataFrame, key: list[str]) -> DataFrame:
     while not jumps[-1].isEmpty():
         far = jumps[-1].select(*key, F.col("node").alias("to"), F.col("to").alias("then"))
         jumps.append(settle(jumps[-1].join(far, [*key, "to"]).select(*key, "node", F.col("then").alias("to")), "steps"))
-    found = settle(starts, "reached")
+    found = starts.select(*key, "node")
     for jump in reversed(jumps[:-1]):
-        found = settle(found.unionByName(found.join(jump, [*key, "node"]).select(*key, F.col("to").alias("node"))), "reached")
-    return found
+        both = F.array_compact(F.array("node", "to"))
+        found = found.join(jump, [*key, "node"], "left").select(*key, F.explode(both).alias("node"))
+    return settle(found, "reached")
