@@ -145,7 +145,8 @@ def nodes_of(spark, html, url="http://h.example.com/a/b.html"):
 
 def test_links_and_rows(spark):
     html = '<body><ul><li class="r x" id="k">2024 <a href="../n.html#f">News <b>one</b></a> tail<li><a>no</a></ul><div>short <a href=" //o.com/x ">o</a></div></body>'
-    got = [tuple(x) for x in nodes_of(spark, html).select(H.links().alias("l")).first()["l"]]
+    page = nodes_of(spark, html).select(H.links().alias("l"), H.page_text(" ").alias("text")).first()
+    got = [(x["url"], x["text"], page["text"][x["context_start"] : x["context_end"]], x["parent_class"], x["parent_id"]) for x in page["l"]]
     assert got == [("http://h.example.com/n.html", "Newsone", "2024 News one tail", "r x", "k"), ("http://o.com/x", "o", "short o", "", "")]
 
 
