@@ -324,7 +324,7 @@ def test_fingerprint_reads_whole_texts(spark):
 
 
 def test_merge_of_chains_recrawls_and_circles(spark):
-    """A chain of nine, crawled six times; a circle of two; one with a tail into it; a page without url."""
+    """A chain of nine, crawled six times; a circle of two; one with a tail into it; a page without url, which is an article of its own."""
     link = lambda i: f"u{i}"
     rows = [(i + 100 * k, link(i), link(i + 1) if i < 9 else None, f"b{i}-{k}", [f"i{i % 2}"]) for k in range(6) for i in range(1, 10)]
     rows += [(20, "c0", "c1", "x", None), (21, "c1", "c0", "y", None), (30, "d0", "d1", "p", []), (31, "d1", "d2", "q", []), (32, "d2", "d1", "r", [])]
@@ -333,7 +333,7 @@ def test_merge_of_chains_recrawls_and_circles(spark):
     got = {r.page_id: (r.parts, r.body.split("\n\n"), r.images) for r in pages.multipage_merge(pages_in).collect()}
     assert got == {
         501: (9, [f"b{i}-5" for i in range(1, 10)], ["i1", "i0"]), 20: (2, ["x", "y"], []), 30: (3, ["p", "q", "r"], []),
-        41: (1, ["own"], []), 42: (1, ["end"], ["z"]),
+        40: (1, ["lost"], []), 41: (1, ["own"], []), 42: (1, ["end"], ["z"]),
     }
     assert pages.multipage_merge(pages_in.limit(0)).count() == 0
 
