@@ -245,12 +245,31 @@ def _(t):
     return op.text_density(nodes(t))
 
 
-@query("chunk_overlap")
+# An unclosed p ends where the next one or the end of the article is; chr(1) marks the places.
+CHUNK_BUDGET = 150
+PACKED = f"""WITH RECURSIVE e AS (SELECT page_id, html, list_transform(regexp_extract_all(replace(replace(html, '<p>', chr(1) || '<p>'), '</article>', chr(1) || '</article>'),
+      '(?s)<p>.*?(?:</p>|\x01)|<div[^>]*>.*?</div>'), lambda x: replace(x, chr(1), '')) AS x FROM pages),
+    b AS (SELECT page_id, unnest(x) AS x, unnest(range(len(x))) AS pos FROM e WHERE length(html) // 2 > {CHUNK_BUDGET}),
+    p AS (SELECT *, length(x) // 2 AS cost, sum(length(x) // 2) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM b),
+    q AS (SELECT *, upto - cost AS before FROM p),
+    w AS (SELECT page_id, 0::BIGINT AS pos, 0::BIGINT AS start, cost::HUGEINT AS used, NULL::BIGINT AS closed FROM q WHERE pos = 0
+      UNION ALL SELECT w.page_id, q.pos, CASE WHEN full_ THEN q.pos - keep ELSE w.start END,
+        CASE WHEN full_ THEN q.upto - k.before ELSE w.used + q.cost END, CASE WHEN full_ THEN w.start END
+      FROM w JOIN q ON q.page_id = w.page_id AND q.pos = w.pos + 1,
+        LATERAL (SELECT w.used + q.cost > {CHUNK_BUDGET} AS full_, greatest(1, floor((q.pos - w.start) * 0.1::DOUBLE)::BIGINT) AS keep) f
+        JOIN q k ON k.page_id = w.page_id AND k.pos = q.pos - keep),
+    c AS (SELECT page_id, closed AS start, pos AS stop FROM w WHERE closed IS NOT NULL
+      UNION ALL SELECT page_id, start, pos + 1 FROM w QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos DESC) = 1),
+    t AS (SELECT c.page_id, c.stop, string_agg(q.x, chr(10) ORDER BY q.pos) AS text FROM c JOIN q ON q.page_id = c.page_id AND q.pos >= c.start AND q.pos < c.stop GROUP BY c.page_id, c.stop
+      UNION ALL SELECT page_id, 0, html FROM e WHERE html <> '' AND (length(html) // 2 <= {CHUNK_BUDGET} OR len(x) = 0))
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY stop) - 1 AS chunk, length(text)::INTEGER AS chars, md5(text) AS text_md5 FROM t"""
+
+
+@query("chunk_overlap", PACKED)
 def _(t):
-    packed = chunks.pack_blocks(H.chunk_blocks(F.col("html")), budget=400)
-    whole = F.when(F.floor(F.length("html") / 2) <= 400, F.array("html")).otherwise(packed)
-    cut = nodes(t).select("page_id", F.posexplode(whole).alias("chunk", "text"))
-    return cut.select("page_id", F.col("chunk").cast("bigint").alias("chunk"), F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+    cut = chunks.page_chunks(F.col("html"), H.chunk_blocks(F.col("html")), budget=CHUNK_BUDGET)
+    found = nodes(t).select("page_id", F.posexplode(cut).alias("chunk", "text"))
+    return found.select("page_id", F.col("chunk").cast("bigint").alias("chunk"), F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 # Chains of ten pages, every third of them a circle; every fifth page is crawled twice.

@@ -1,6 +1,7 @@
 """Boundary cases with fixed answers."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,6 +199,20 @@ def test_pack_blocks(spark):
     blocks = [chr(97 + i % 26) * (7 * i % 90 + 3) for i in range(60)]
     got = one(spark, chunks.pack_blocks(F.array(*[F.lit(b) for b in blocks]), budget=120, overlap=0.1))
     assert got == expected(blocks, 120, 0.1)
+    long = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(19_999)), lambda i: F.repeat(F.lit("x"), i * 7 % 90 + 3)).alias("b"))
+    start = time.time()
+    got = long.select(chunks.pack_blocks(F.col("b"), budget=300, overlap=0.1).alias("c")).first().c
+    assert got == expected(["x" * (i * 7 % 90 + 3) for i in range(20_000)], 300, 0.1)
+    assert time.time() - start < 20
+
+
+def test_page_chunks(spark):
+    blocks = F.array(F.lit("<p>aaaaaa</p>"), F.lit("<p>bbbbbb</p>"))
+    cut = lambda html, b=blocks: one(spark, chunks.page_chunks(html, b, budget=10))
+    assert cut(F.lit("<p>aaaaaa</p><p>bbbbbb</p>")) == ["<p>aaaaaa</p>", "<p>aaaaaa</p>\n<p>bbbbbb</p>"]
+    assert cut(F.lit("<p>a</p>")) == ["<p>a</p>"]
+    assert cut(F.lit("")) == cut(F.lit(None).cast("string")) == []
+    assert cut(F.lit("x" * 40), F.expr("CAST(array() AS ARRAY<STRING>)")) == ["x" * 40]
 
 
 def test_next_version(spark):
