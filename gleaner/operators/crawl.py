@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from gleaner.functions import urls as U
 from gleaner.functions.stage import bind
@@ -55,6 +58,59 @@ def route_by_policy(pages: DataFrame, policy: DataFrame) -> DataFrame:
     )
 
 
+def host_rules(rules: DataFrame) -> DataFrame:
+    """Rules (pattern, mode, enabled, deleted) that count, as distinct (mode, pattern) in lower case, trimmed.
+
+    A null in ``enabled`` or ``deleted`` is false; rules without a pattern or of another mode match nothing.
+    """
+    on = F.coalesce("enabled", F.lit(False)) & ~F.coalesce("deleted", F.lit(False))
+    return rules.filter(on & F.col("pattern").isNotNull() & F.col("mode").isin("exact", "suffix", "regex")).select(
+        "mode", F.regexp_replace(F.lower("pattern"), r"^\s+|\s+$", "").alias("pattern")
+    ).distinct()
+
+
+def allowed_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct values of ``host`` that a table of rules allows.
+
+    Exact and suffix rules are an equi-join: a host asks for itself and for each of its
+    dot-suffixes. Regular expressions cannot be keyed; the valid ones become one alternation,
+    a scalar value, which distinct hosts are searched with. They are written so that Java
+    reads them too, and refer to no group by its number.
+    """
+    live = host_rules(rules)
+    distinct = hosts.select(F.lower("host").alias("host")).filter("host IS NOT NULL").distinct()
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    wanted = F.concat(F.array(F.struct(F.lit("exact").alias("mode"), F.col("host").alias("pattern"))), F.transform(ends, lambda e: F.struct(F.lit("suffix").alias("mode"), e.alias("pattern"))))
+    keyed = distinct.select("host", F.inline(wanted)).join(live, ["mode", "pattern"], "left_semi").select("host")
+    usable = live.filter("mode = 'regex'").filter(_valid("pattern")).select(F.concat(F.lit("(?:"), "pattern", F.lit(")")).alias("p"))
+    every = usable.agg(F.array_join(F.array_sort(F.collect_list("p")), "|")).scalar()
+    searched = distinct.filter(every != "").filter(F.regexp_like("host", every))
+    return keyed.unionByName(searched).distinct()
+
+
+def _compiles(pattern: str) -> bool:
+    try:
+        return bool(re.compile(pattern))
+    except re.error:
+        return False
+
+
+@F.pandas_udf(BooleanType())
+def _valid(patterns: pd.Series) -> pd.Series:
+    return patterns.map(_compiles).astype(bool)
+
+
+def with_allowed(df: DataFrame, host: str, rules: DataFrame) -> DataFrame:
+    """Adds ``allowed``: whether a rule of the table holds for the row's host; false for null.
+
+    Hosts are made distinct before rules are looked at, and the verdict that comes back is one
+    narrow row a host, so a host with very many rows is joined as any other.
+    """
+    yes = allowed_hosts(df.select(F.col(host).alias("host")), rules).select(F.col("host").alias("_allowed"))
+    return df.join(yes, F.lower(host) == F.col("_allowed"), "left").withColumn("allowed", F.col("_allowed").isNotNull()).drop("_allowed")
+
+
 def crawl_plan(discovered: DataFrame, entry: DataFrame, direct: DataFrame, rules, cap: int | None = None) -> DataFrame:
     """Union of the three url sets, validated, in order; the first ``cap`` where a cap is given."""
     every = discovered.select("url").unionByName(entry.select("url")).unionByName(direct.select("url")).distinct()

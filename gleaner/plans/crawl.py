@@ -78,6 +78,24 @@ def _(t):
     return t.pages.select("page_id", h.alias("host"), F.when(~U.allowed(h, RULES), 1004).alias("code"))
 
 
+# Rules made from the hosts of every fifth page: as they are, without their first label, or by how they begin.
+RULE_ROWS = """SELECT DISTINCT CASE length(h) % 3 WHEN 0 THEN upper(h) WHEN 1 THEN regexp_replace(h, '^[^.]*[.]', '') ELSE concat('^', substring(h, 1, 4)) END AS pattern,
+    CASE length(h) % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'suffix' ELSE 'regex' END AS mode, length(h) % 5 <> 0 AS enabled, length(h) % 7 = 0 AS deleted
+    FROM {hosts} WHERE page_id % 5 = 0 AND h LIKE '%.%'"""
+
+
+@query(
+    "allowlist_table",
+    f"""WITH p AS (SELECT page_id, {HOST} AS h FROM pages), r AS (SELECT lower(pattern) AS pattern, mode FROM ({RULE_ROWS.format(hosts='p')}) WHERE enabled AND NOT deleted),
+    ok AS (SELECT DISTINCT h FROM (SELECT DISTINCT h FROM p) JOIN r ON CASE mode WHEN 'exact' THEN h = pattern WHEN 'suffix' THEN h = pattern OR ends_with(h, concat('.', pattern)) ELSE starts_with(h, substring(pattern, 2)) END)
+    SELECT page_id, p.h AS host, ok.h IS NOT NULL AS allowed FROM p LEFT JOIN ok ON ok.h = p.h""",
+)
+def _(t):
+    hosted = t.pages.select("page_id", U.host(F.col("url")).alias("host"))
+    rules = t.spark.sql(RULE_ROWS.format(hosts="{hosts}"), hosts=hosted.select("page_id", F.col("host").alias("h")))
+    return op.with_allowed(hosted, "host", rules)
+
+
 @query(
     "route_policy",
     f"""WITH h AS (SELECT page_id, {HOST} AS host FROM pages), p AS (SELECT DISTINCT host,

@@ -132,15 +132,32 @@ def _(t):
 def _(t):
     return op.filter_choice(t.pages).select("page_id", "pruned_chars", "relevant_chars", "choice")
 
+def dressed(head: str = "''", body: str = "''", before: str = "''") -> str:
+    """SQL of the page's own markup with pieces put in at the end of its head, and before and inside its article."""
+    return f"replace(replace(html, '<title>', concat({head}, '<title>')), '<article>', concat({before}, '<article>', {body}))"
 
-MEDIA = """concat('<html><head>', CASE page_id % 4 WHEN 0 THEN concat('<meta property="og:site_name" content=" Site ', page_id, ' ">') WHEN 1 THEN '<meta name="author" content="Ann">' ELSE '' END,
-  '</head><body><p>', CASE page_id % 4 WHEN 2 THEN '来源: 新华社 网' WHEN 3 THEN '来源：无' ELSE '' END, '</p><img src="/i', page_id, '.png" alt=" a ', page_id % 3, ' "><img alt="none"><a href="/F', page_id, '.PDF">Doc <b>one</b></a>',
-  '<a href="/f', page_id, '.pdf">again</a><a href=" x/y.zip ">zip</a><a href="/n.html">no</a></body></html>')"""
+
+# Elements of a page as the twins read them: opening tags, and anchors up to their end.
+ANCHORS = f"regexp_extract_all({BARE}, '(?s)<a\\s[^>]*>.*?</a>')"
+INNER = "regexp_extract(x, '(?s)^<[^>]*>(.*)</a>$', 1)"
+
+
+def attribute(name: str) -> str:
+    return f"regexp_extract(x, '^<[^>]*\\s{name}=\"([^\"]*)\"', 1)"
+
+
+MEDIA = dressed(
+    """CASE page_id % 4 WHEN 0 THEN concat('<meta property="og:site_name" content=" Site ', page_id, ' ">') WHEN 1 THEN '<meta name="author" content="Ann">' ELSE '' END""",
+    """concat('<p>', CASE page_id % 4 WHEN 2 THEN '来源: 新华社 网' WHEN 3 THEN '来源：无' ELSE '' END, '</p><img src="/i', page_id, '.png" alt=" a ', page_id % 3, ' "><img alt="none"><a href="/F', page_id, '.PDF">Doc <b>one</b></a>',
+  '<a href="/f', page_id, '.pdf">again</a><a href=" x/y.zip ">zip</a><a href="/n.html">no</a>')""",
+)
+MEDIA_PAGES = f"(SELECT page_id, {MEDIA} AS html FROM pages)"
 
 
 @query(
     "images",
-    "SELECT page_id, concat('/i', page_id, '.png') AS src, concat('a ', page_id % 3) AS alt FROM pages",
+    f"""SELECT page_id, {STRIP.format(attribute('src'))} AS src, {STRIP.format(attribute('alt'))} AS alt
+    FROM (SELECT page_id, unnest(regexp_extract_all({BARE}, '<img\\s[^>]*>')) AS x FROM {MEDIA_PAGES}) WHERE regexp_matches({attribute('src')}, '\\S')""",
 )
 def _(t):
     made = with_nodes(t.pages.select("page_id", "url", F.expr(MEDIA).alias("html")))
@@ -149,32 +166,62 @@ def _(t):
 
 @query(
     "attachments",
-    """SELECT page_id, concat('/F', page_id, '.PDF') AS href, 'Docone' AS text FROM pages UNION ALL SELECT page_id, 'x/y.zip', 'zip' FROM pages""",
+    f"""SELECT page_id, href, text FROM (SELECT page_id, pos, {STRIP.format(attribute('href'))} AS href, {joined(INNER, "''")} AS text
+      FROM (SELECT page_id, unnest(a) AS x, unnest(range(len(a))) AS pos FROM (SELECT page_id, {ANCHORS} AS a FROM {MEDIA_PAGES})))
+    WHERE regexp_matches(lower(href), '[.](pdf|docx?|xlsx?|pptx?|zip|rar|7z|csv|txt)$') QUALIFY row_number() OVER (PARTITION BY page_id, lower(href) ORDER BY pos) = 1""",
 )
 def _(t):
     made = with_nodes(t.pages.select("page_id", "url", F.expr(MEDIA).alias("html")))
     return made.select("page_id", F.inline(H.attachments()))
 
 
+def meta_content(name: str) -> str:
+    return f"nullif(regexp_extract(html, '<meta {name} content=\"([^\"]+)\"', 1), '')"
+
+
 @query(
     "source_unit",
-    "SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('Site ', page_id) WHEN 1 THEN 'Ann' WHEN 2 THEN concat('新华社 网', chr(10), 'Doc', chr(10), 'one', chr(10), 'again', chr(10), 'zip', chr(10), 'no') END AS source_unit FROM pages",
+    f"""SELECT page_id, coalesce({STRIP.format(meta_content('property="og:site_name"'))}, {STRIP.format(meta_content('name="author"'))},
+      nullif({STRIP.format("regexp_extract(plaintext, '(?:发布单位|来源|来源单位):\\s*([一-龥A-Za-z0-9·\\s]{2,40})', 1)")}, '')) AS source_unit
+    FROM (SELECT page_id, html, {joined(BARE, 'chr(10)')} AS plaintext FROM {MEDIA_PAGES})""",
 )
 def _(t):
     made = with_nodes(t.pages.select("page_id", "url", F.expr(MEDIA).alias("html")))
     return made.select("page_id", H.source_unit().alias("source_unit"))
 
 
-PAGED = """concat('<html><head>', CASE page_id % 8 WHEN 0 THEN '<link rel="next" href="/p2">' WHEN 1 THEN '<link rel="next" href="javascript:go()">' ELSE '' END, '</head><body>',
-  CASE page_id % 8 WHEN 2 THEN '<a rel="nofollow next" href="q?page=9#f">x</a>' WHEN 3 THEN '<a class="btn next" href="../n3.html">3</a>' WHEN 4 THEN '<a href="javascript:x">下一页</a><a href="z.html"><span>下一页</span></a>' ELSE '<a href="/a">a</a>' END, '</body></html>')"""
-LIST_URL = "concat('http://h', page_id % 5, '.example.com/l/m/', IF(page_id % 8 = 6, concat(page_id, '.html'), 'list'), IF(page_id % 8 = 5, concat('?k=v&page=', page_id), ''))"
-DUCK_LIST_URL = "concat('http://h', page_id % 5, '.example.com/l/m/', CASE WHEN page_id % 8 = 6 THEN concat(page_id, '.html') ELSE 'list' END, CASE WHEN page_id % 8 = 5 THEN concat('?k=v&page=', page_id) ELSE '' END)"
-NEXT = """CASE page_id % 8 WHEN 0 THEN concat('http://h', page_id % 5, '.example.com/p2') WHEN 2 THEN concat('http://h', page_id % 5, '.example.com/l/m/q?page=9#f')
-  WHEN 3 THEN concat('http://h', page_id % 5, '.example.com/l/n3.html') WHEN 4 THEN concat('http://h', page_id % 5, '.example.com/l/m/z.html')
-  WHEN 5 THEN concat('http://h', page_id % 5, '.example.com/l/m/list?k=v&page=', page_id + 1)"""
+PAGED = dressed(
+    """CASE page_id % 8 WHEN 0 THEN '<link rel="next" href="/p2">' WHEN 1 THEN '<link rel="next" href="javascript:go()">' ELSE '' END""",
+    """CASE page_id % 8 WHEN 2 THEN '<a rel="nofollow next" href="q?page=9#f">x</a>' WHEN 3 THEN '<a class="btn next" href="../n3.html">3</a>' WHEN 4 THEN '<a href="javascript:x">下一页</a><a href="z.html"><span>下一页</span></a>' ELSE '<a href="/a">a</a>' END""",
+)
+ORIGIN = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0)"
+LIST_URL = f"concat({ORIGIN}, '/l/m/', CASE WHEN page_id % 8 = 6 THEN concat(page_id, '.html') ELSE 'list' END, CASE WHEN page_id % 8 = 5 THEN concat('?k=v&page=', page_id) ELSE '' END)"
+SEEN = f"concat({ORIGIN}, CASE WHEN page_id % 3 = 0 THEN '/p2' ELSE '/other' END)"
+# href of an element against an address of the form origin/l/m/name
+LINK = "CASE WHEN regexp_matches({h}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {h} WHEN starts_with({h}, '/') THEN concat(origin, {h}) WHEN starts_with({h}, '../') THEN concat(origin, '/l/', substring({h}, 4)) ELSE concat(origin, '/l/m/', {h}) END".format(h=attribute("href"))
+NOTHING = "''"
+ELEMENT = f"{{'link': {LINK}, 'rel': string_split(lower({attribute('rel')}), ' '), 'cls': string_split({attribute('class')}, ' '), 'text': {joined(INNER, NOTHING)}}}"
+LINKED_PAGES = f"""(SELECT page_id, url, origin, seen, list_transform(regexp_extract_all({BARE}, '<link\\s[^>]*>'), lambda x: {ELEMENT}) AS l, list_transform({ANCHORS}, lambda x: {ELEMENT}) AS a
+    FROM (SELECT page_id, {LIST_URL} AS url, {ORIGIN} AS origin, {SEEN} AS seen, {PAGED} AS html FROM pages))"""
 
 
-@query("next_page_url", f"SELECT page_id, {NEXT} END AS next_url FROM pages")
+def next_link(ok: str, classes: tuple[str, ...]) -> list[str]:
+    """Candidates in order of trust: rel of link and a, classes, wording; each only if ``ok`` holds for it."""
+    first = lambda elements, test: f"(list_filter({elements}, lambda e: {test})[1]).link"
+    keep = lambda u: f"CASE WHEN {ok.format(u=u)} THEN {u} END"
+    named = [keep(first("a", f"list_contains(e.cls, '{c}')")) for c in classes]
+    worded = first("a", f"regexp_matches(e.text, '下一页|下一頁|›|»|next') AND {ok.format(u='e.link')}")
+    return [keep(first("l", "list_contains(e.rel, 'next')")), keep(first("a", "list_contains(e.rel, 'next')")), *named, worded]
+
+
+NEXT_NUMBER = "CASE WHEN regexp_matches(url, '[?&]page=[0-9]+$') THEN concat(regexp_extract(url, '^(.*[?&]page=)[0-9]+$', 1), CAST(regexp_extract(url, '([0-9]+)$', 1) AS BIGINT) + 1) END"
+NEXT_FILE = "CASE WHEN regexp_matches(url, '/[0-9]+[.]html$') THEN concat(regexp_extract(url, '^(.*/)[0-9]+[.]html$', 1), CAST(regexp_extract(url, '/([0-9]+)[.]html$', 1) AS BIGINT) + 1, '.html') END"
+
+
+@query(
+    "next_page_url",
+    f"""SELECT page_id, coalesce({', '.join(next_link("regexp_matches({u}, '^https?://')", ('next', 'pagination-next', 'page-next', 'next-page')))}, {NEXT_NUMBER}) AS next_url FROM {LINKED_PAGES}""",
+)
 def _(t):
     made = with_nodes(t.pages.select("page_id", F.expr(LIST_URL).alias("url"), F.expr(PAGED).alias("html")))
     return made.select("page_id", H.next_page(F.col("url")).alias("next_url"))
@@ -182,24 +229,32 @@ def _(t):
 
 @query(
     "article_next_page",
-    f"""SELECT page_id, CASE WHEN page_id % 8 = 0 AND page_id % 3 = 0 THEN NULL WHEN page_id % 8 = 1 THEN 'javascript:go()' WHEN page_id % 8 = 4 THEN 'javascript:x'
-    ELSE {NEXT} WHEN 6 THEN concat('http://h', page_id % 5, '.example.com/l/m/', page_id + 1, '.html') END END AS next_url FROM pages""",
+    f"""SELECT page_id, coalesce({', '.join(next_link("({u} <> url AND {u} <> seen)", ('next', 'pagination-next', 'article-next', 'page-next')))}, {NEXT_NUMBER}, {NEXT_FILE}) AS next_url FROM {LINKED_PAGES}""",
 )
 def _(t):
-    made = with_nodes(t.pages.select("page_id", F.expr(LIST_URL).alias("url"), F.expr(PAGED).alias("html")))
-    seen = F.array(F.col("url"), F.expr("concat('http://h', page_id % 5, '.example.com/', IF(page_id % 3 = 0, 'p2', 'other'))"))
-    return made.select("page_id", H.article_next_page(F.col("url"), seen).alias("next_url"))
+    made = with_nodes(t.pages.select("page_id", F.expr(LIST_URL).alias("url"), F.expr(SEEN).alias("seen"), F.expr(PAGED).alias("html")))
+    return made.select("page_id", H.article_next_page(F.col("url"), F.array("url", "seen")).alias("next_url"))
 
 
-DATED_PAGE = """concat('<html><head>', CASE page_id % 7 WHEN 0 THEN '<script type="application/ld+json">{"@graph":[{"datePublished":"2024-01-09T00:00:00"}]}</script>'
-  WHEN 1 THEN '<meta name="date" content="2023/11/02 x"><meta name="pubdate" content="2023-12-01">' ELSE '' END, '</head><body>', CASE page_id % 7 WHEN 2 THEN '<time>now</time><time datetime="2022-05-06T07:08">x</time>'
-  WHEN 3 THEN '<span class="post-date big">3 天前</span>' WHEN 4 THEN '<div id="pubtime">2021年3月4日</div>' WHEN 5 THEN '<article><p>on 2020-10-11</p></article>' ELSE '<p>2020-10-11</p>' END, '</body></html>')"""
+DATED_PAGE = dressed(
+    """CASE page_id % 7 WHEN 0 THEN '<script type="application/ld+json">{"@graph":[{"datePublished":"2024-01-09T00:00:00"}]}</script>'
+  WHEN 1 THEN '<meta name="date" content="2023/11/02 x"><meta name="pubdate" content="2023-12-01">' ELSE '' END""",
+    """CASE page_id % 7 WHEN 2 THEN '<time>now</time><time datetime="2022-05-06T07:08">x</time>' WHEN 3 THEN '<span class="post-date big">3 天前</span>'
+  WHEN 4 THEN '<div id="pubtime">2021年3月4日</div>' WHEN 5 THEN concat('<p>on 2020-10-', 10 + page_id % 20, '</p><p>before 2020-01-31</p>') ELSE '' END""",
+    "'<p>2020-10-11</p>'",
+)
+DAY = "TRY_CAST(nullif({}, '') AS DATE)"
+CHINESE_DAY = "regexp_replace(regexp_extract(html, '<div id=\"pubtime\">([^<]*)', 1), '([0-9]+)年([0-9]+)月([0-9]+)日', '\\1-\\2-\\3')"
+ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+ARTICLE_DAYS = f"list_transform(regexp_extract_all({joined(ARTICLE, NOTHING)}, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}'), lambda d: TRY_CAST(d AS DATE))"
 
 
 @query(
     "article_date",
-    """SELECT page_id, CASE page_id % 7 WHEN 0 THEN DATE '2024-01-09' WHEN 1 THEN DATE '2023-12-01' WHEN 2 THEN DATE '2022-05-06' WHEN 3 THEN DATE '2024-02-26'
-    WHEN 4 THEN DATE '2021-03-04' WHEN 5 THEN DATE '2020-10-11' END AS found FROM pages""",
+    f"""SELECT page_id, coalesce({DAY.format("regexp_extract(html, '<time datetime=\"([0-9-]{10})', 1)")}, {DAY.format("regexp_extract(html, '\"datePublished\":\"([0-9-]{10})', 1)")},
+      {DAY.format("regexp_extract(html, '<meta name=\"pubdate\" content=\"([0-9-]{10})', 1)")},
+      DATE '2024-02-29' - TRY_CAST(nullif(regexp_extract(html, '<span class=\"post-date[^>]*>([0-9]+) 天前', 1), '') AS INTEGER),
+      {DAY.format(CHINESE_DAY)}, list_max({ARTICLE_DAYS})) AS found FROM (SELECT page_id, {DATED_PAGE} AS html FROM pages)""",
 )
 def _(t):
     made = with_nodes(t.pages.select("page_id", "url", F.expr(DATED_PAGE).alias("html")))

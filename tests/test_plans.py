@@ -10,7 +10,7 @@ QUERIES = plans.load()
 USES_PYTHON = {
     "html_text", "text_blocks", "block_doc_freq", "bm25_blocks", "main_content_run", "prune_html", "filter_choice", "images", "attachments",
     "source_unit", "next_page_url", "article_next_page", "article_date", "link_density", "page_routing", "text_density_filter", "chunk_overlap",
-    "portal_page", "extract_chain",
+    "portal_page", "extract_chain", "allowlist_table",
     # link jobs read pages
     "extract_links", "link_score", "looks_like_article", "hub_links", "frontier_quota", "frontier_order", "topn_links", "listing_candidates", "ordered_distinct",
 }
