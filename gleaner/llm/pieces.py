@@ -5,8 +5,13 @@ crosses a unit's end, so each distinct unit is solved once. Units of equal lengt
 rows of a matrix of code points. For each end position all of them advance together:
 hashes of the substrings that end there probe the sorted hashes of the pieces, a score is
 added to the best score at the substring's start, and the maxima leave back pointers.
+A unit is cut where no piece holds the two characters side by side, as neither a piece nor
+a merge can cross there. Rows of a length that few share walk one after the other: their
+candidates are looked up for all positions at once and visited in the same order.
 
-For a unigram model the score of a path is the sum of its pieces' scores. A BPE model is
+For a unigram model the score of a path is the sum of its pieces' scores; of equal ones the
+path with the longer last piece stays. (The library adds up in single precision over the whole
+text, so which of equal paths it takes hangs on rounding; the scores are the same.) A BPE model is
 a lattice too: the units of its result are the only path on which every two neighbouring
 pieces are what BPE makes of the two together. There a step is allowed only from an
 allowed neighbour, and the maximum picks the one path left.
@@ -15,6 +20,7 @@ allowed neighbour, and the maximum picks the one path left.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +32,8 @@ from gleaner.llm.common import carried, mix, quoted, restored
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 UNIGRAM, BPE = 1, 2
+FEW = 64  # so many rows are worth advancing together
+STRETCH = 1 << 15  # positions looked up at a time
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +70,11 @@ class Pieces:
         self.maybe[hashes >> np.uint64(42)] = True
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces have the same hash")
+        self.side_by_side = np.zeros(1 << 22, bool)  # by hash: neighbouring characters of some piece
+        for i in normal:
+            codes = np.array([ord(c) for c in self.texts[i]], np.uint64)
+            self.side_by_side[self.pair_slots(codes)] = True
+        self.fits: dict[int, bool] = {}
         self.rank = {self.texts[i]: (float(self.scores[i]), int(i)) for i in normal}
         self.floor = float(self.scores[normal].min()) - 10.0
         self.fits_pair = np.full(1 << 20, -1, np.int64)  # pairs tried lately, by hash, and what came of them
@@ -80,6 +93,25 @@ class Pieces:
             h = h * BASE + mix(np.array([ord(c) + 1], np.uint64))
         return int(mix(h)[0])
 
+    @staticmethod
+    def pair_slots(codes: np.ndarray) -> np.ndarray:
+        return (mix(codes[:-1] << np.uint64(32) | codes[1:]) >> np.uint64(42)).astype(np.int64)
+
+    def segments(self, units: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units cut where nothing can cross, and the first segment of each."""
+        sizes = np.array([len(u) for u in units], np.int64)
+        first = np.cumsum(sizes) - sizes
+        if not self.bytes:  # unknown characters side by side become one
+            return units, np.arange(len(units))
+        whole = "".join(units)
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        new = np.ones(len(codes), bool)
+        new[1:] = ~self.side_by_side[self.pair_slots(codes)]
+        new[first] = True
+        starts = np.flatnonzero(new)
+        ends = [*starts[1:].tolist(), len(whole)]
+        return [whole[a:b] for a, b in zip(starts.tolist(), ends)], np.searchsorted(starts, first)
+
     def looked_up(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, -1 where there is none."""
         out = np.full(len(hashes), -1, np.int64)
@@ -118,10 +150,21 @@ class Pieces:
 
     def solve(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units in a row, and how many each has."""
+        segments, first = self.segments(units)
+        ids, sizes = self.solve_segments(segments)
+        return ids, np.add.reduceat(sizes, first)
+
+    def solve_segments(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(u) for u in units], np.int64)
         order, counts, ids = [], [], []
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
+            if len(rows) < FEW:
+                alone = [self.solve_alone(units[i]) for i in rows]
+                order.append(rows)
+                counts.append(np.array([len(x) for x in alone], np.int64))
+                ids += alone
+                continue
             step = max(1, 1_000_000 // int(size))
             for at in range(0, len(rows), step):
                 some = rows[at : at + step]
@@ -135,6 +178,54 @@ class Pieces:
         sizes[rows] = n
         return gathered(np.concatenate(ids), starts, sizes), sizes
 
+    def fit(self, left: int, right: int) -> bool:
+        """``fitting`` of one pair."""
+        pair = left << 32 | right
+        ok = self.fits.get(pair)
+        if ok is None:
+            x, y = (self.texts[c] if c < CHARS else chr(c - CHARS) for c in (left, right))
+            if len(self.fits) >= 100_000:
+                self.fits.clear()
+            ok = self.fits[pair] = self.merged(x + y) == [x, y]
+        return ok
+
+    def solve_alone(self, unit: str) -> np.ndarray:
+        """As ``solve_equal`` for one unit of any length: some 30 bytes a character."""
+        codes = np.frombuffer(unit.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        marks = mix(codes + np.uint64(1))
+        n, bpe, low = len(codes), self.kind == BPE, -np.inf
+        scores, floor = self.scores.tolist(), self.floor
+        best, symbol, length = array("d", [low]) * (n + 1), array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
+        best[0] = 0.0
+        for at in range(0, n, STRETCH):
+            ends = np.arange(at + 1, min(at + STRETCH, n) + 1)
+            ids = np.full((len(ends), self.longest), -1, np.int64)
+            h, power = np.zeros(len(ends), np.uint64), np.ones(1, np.uint64)
+            for span in range(1, self.longest + 1):
+                rows = slice(max(0, span - at - 1), None)  # ends at which a substring this long exists
+                if len(ends[rows]) == 0:
+                    break
+                start = ends[rows] - span
+                h[rows] += marks[start] * power
+                power = power * BASE
+                here = self.looked_up(mix(h[rows]))
+                ids[rows, span - 1] = np.where(here < 0, codes[start].astype(np.int64) + CHARS, here) if span == 1 else here
+            row, col = np.nonzero(ids >= 0)
+            for end, span, here in zip(ends[row].tolist(), (col + 1).tolist(), ids[row, col].tolist()):
+                start = end - span
+                before = best[start]
+                if before == low or (bpe and start and not self.fit(symbol[start], here)):
+                    continue
+                score = before + (span if bpe else scores[here] if here < CHARS else floor)
+                if score >= best[end]:
+                    best[end], symbol[end], length[end] = score, here, span
+        path, place = array("i"), n
+        while place > 0:
+            path.append(symbol[place])
+            place -= length[place]
+        found = np.array(path, np.int64)[::-1]
+        return self.spelled(found) if (found >= CHARS).any() else found.astype(np.int32)
+
     def solve_equal(self, units: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(len(units), size).astype(np.uint64)
         marks = mix(codes + np.uint64(1))
@@ -163,7 +254,7 @@ class Pieces:
                     score = best[rows, start] + span
                 else:
                     score = best[rows, start] + np.where(here < CHARS, self.scores[np.minimum(here, len(self.scores) - 1)], self.floor)
-                better = score > best[rows, end]
+                better = score >= best[rows, end]
                 rows = rows[better]
                 best[rows, end], symbol[rows, end], length[rows, end] = score[better], ids[rows], span
         # Back along the pointers, all rows together.
