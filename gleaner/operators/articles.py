@@ -120,10 +120,9 @@ def dashboard_totals(daily: DataFrame, categories: DataFrame, sources: DataFrame
     totals = daily.agg(
         F.sum("total").alias("collected"), F.sum("processed").alias("processed"), F.sum("failed").alias("failed")
     ).selectExpr("stack(3, 'collected', collected, 'processed', processed, 'failed', failed) AS (name, n)")
-    # labels and top sources are few rows by now, so a window over all of them is small
-    everything = Window.partitionBy(F.lit(0))
-    share = categories.select("label", "n", share_percent(F.col("n"), F.sum("n").over(everything)).alias("pct"))
-    bars = sources.select("source_unit", "n", share_percent(F.col("n"), F.max("n").over(everything)).alias("pct"))
+    labelled, longest = categories.agg(F.sum("n")).scalar(), sources.agg(F.max("n")).scalar()
+    share = categories.select("label", "n", share_percent(F.col("n"), labelled).alias("pct"))
+    bars = sources.select("source_unit", "n", share_percent(F.col("n"), longest).alias("pct"))
     row = lambda d, section, name, pct: d.select(
         F.lit(section).alias("section"), F.col(name).alias("name"), F.col("n").cast("bigint").alias("n"), pct.alias("pct")
     )

@@ -180,23 +180,24 @@ XML = """CASE WHEN page_id % 5 = 0 THEN concat('<?xml version="1.0"?><sitemapind
   WHEN page_id % 5 = 1 THEN concat('<sitemapindex><sitemap><loc>https://', h, '/sm/', page_id + 2, '.xml</loc></sitemap></sitemapindex>')
   WHEN page_id % 25 = 3 THEN concat('<sitemapindex><sitemap><loc>https://', h, '/sm/', page_id + 2, '.xml</loc></sitemap></sitemapindex>')
   WHEN page_id % 5 = 4 THEN '<urlset><url><loc>broken'
-  ELSE concat('<urlset', CASE WHEN page_id % 2 = 0 THEN ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"' ELSE '' END, '><url><loc> https://', h, '/a/', page_id, '?x=1&amp;y=2 </loc><lastmod>2024-01-', LASTDAY, 'T01:02:03Z</lastmod></url>',
-    '<url><loc>https://other.example.com/', page_id, '</loc></url><url><loc>https://', h, '/b/', page_id, '</loc></url></urlset>') END"""
-SPARK_XML = XML.replace("LASTDAY", "lpad(CAST(page_id % 33 AS STRING), 2, '0')")
+  ELSE concat('<urlset', CASE WHEN page_id % 2 = 0 THEN ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"' ELSE '' END, '><url><loc> ', replace(url, '&', '&amp;'), CASE WHEN url LIKE '%?%' THEN '&amp;' ELSE '?' END, 'y=2 </loc><lastmod>2024-01-', LASTDAY, 'T01:02:03Z</lastmod></url>',
+    '<url><loc>https://other.example.com/', page_id, '</loc></url><url><loc>https://', PAGEHOST, '/b/', page_id, '</loc></url></urlset>') END"""
+PAGE_HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+SPARK_XML = XML.replace("PAGEHOST", PAGE_HOST).replace("LASTDAY", "lpad(CAST(page_id % 33 AS STRING), 2, '0')")
 MAP_HOST = "concat('site', page_id % 3, '.example.com')"
 
 
 def maps(t):
-    made = t.pages.select("page_id", F.expr("concat('site', page_id DIV 100, '.example.com')").alias("h"))
-    return made.select("page_id", F.expr("concat('https://', h, '/sm/', page_id, '.xml')").alias("sitemap"), F.col("h").alias("host"), F.expr(SPARK_XML).alias("xml"))
+    """A sitemap or index for each page; a page's sitemap names its own url, one of its host and one of another."""
+    made = t.pages.select("page_id", "url", F.expr("concat('site', page_id DIV 100, '.example.com')").alias("h"))
+    return made.select("page_id", F.expr("concat('https://', h, '/sm/', page_id, '.xml')").alias("sitemap"), F.expr(PAGE_HOST).alias("host"), F.expr(SPARK_XML).alias("xml"))
 
 
 @query(
     "sitemap_urls",
-    """WITH m AS (SELECT page_id, concat('site', page_id // 100, '.example.com') AS h FROM pages)
-    SELECT concat('https://', h, '/sm/', page_id, '.xml') AS sitemap, concat('https://', h, '/a/', page_id, '?x=1&y=2') AS url,
-      try_cast(concat('2024-01-', lpad(CAST(page_id % 33 AS VARCHAR), 2, '0')) AS DATE) AS lastmod FROM m WHERE page_id % 5 IN (2, 3) AND page_id % 25 <> 3
-    UNION ALL SELECT concat('https://', h, '/sm/', page_id, '.xml'), concat('https://', h, '/b/', page_id), NULL FROM m WHERE page_id % 5 IN (2, 3) AND page_id % 25 <> 3""",
+    f"""WITH m AS (SELECT page_id, url, {PAGE_HOST} AS host, concat('https://site', page_id // 100, '.example.com/sm/', page_id, '.xml') AS sitemap FROM pages WHERE page_id % 5 IN (2, 3) AND page_id % 25 <> 3)
+    SELECT sitemap, concat(url, CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'y=2') AS url, try_cast(concat('2024-01-', lpad(CAST(page_id % 33 AS VARCHAR), 2, '0')) AS DATE) AS lastmod FROM m
+    UNION ALL SELECT sitemap, concat('https://', host, '/b/', page_id), NULL FROM m""",
 )
 def _(t):
     return S.sitemap_urls(maps(t))
