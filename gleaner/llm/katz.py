@@ -1,22 +1,26 @@
-"""Katz backoff: discounted bigram counts, unigrams below them, unknown words below those.
-
-P(w|h) is d(c) c(hw) / c(h) where hw was seen in training, else a(h) P(w); P(w) is
-d(c) c(w) / N where w was seen, else what the discounts of all words leave over. d is the
-Good-Turing ratio for counts up to KMAX (1 above); a(h) makes the words after h sum to
-exactly one. A history whose followers leave nothing over lends one extra count.
-
-Texts become blocks of packed counts, one for each chunk of documents and each bucket of
-histories: distinct pairs with their training counts. Which of a chunk's documents hold a
-pair stays in one row of the chunk. A bucket adds up its blocks. As every word is followed
-by a word or the end, a bucket that owns a history also owns that word's count, so it asks
-the other buckets only for the counts of its second words. Every chunk gets back the
-logarithms of its pairs and adds them up for its documents. Counts of all documents take
+"""Katz backoff: discounted n-gram counts (three words by default), ever shorter histories below them.
+
+P(w|h) is d(c) c(hw) / c(h) where hw was seen in training, else a(h) P(w|h'), h' being h
+without its farthest word; P(w) is d(c) c(w) / N where w was seen, else what the discounts of
+all words leave over. d is the Good-Turing ratio of the order, for counts up to KMAX (1
+above); a(h) makes the words after h sum to exactly one. A history that training never saw
+hands on to h' unchanged; one whose followers leave nothing over lends one extra count.
+
+Every order has its table of counts, partitioned into buckets by history, nearest word first.
+Chunks of documents send their distinct n-grams to the longest order's buckets, as packed
+blocks; a bucket adds them up, and sends its distinct shorter n-grams with their counts to
+the buckets of the next order, down to single words. Probabilities come back the same way:
+each order takes those of the order below, adds discounts and backoff weights and answers
+whoever asked, last of all the chunks, which add up logarithms for their documents. What
+holds an n-gram's documents never leaves the chunk's own row. Counts of all documents take
 part; nothing is pruned.
 
-Histories with much of a bucket's share of the tokens are dealt over several buckets by
-their second words. Of these the buckets' parts (occurrences, pairs seen once, twice, ...,
-and P of the words seen) are added up in the driver. Which histories those are is estimated
-from every SAMPLE-th row: the estimate decides where pairs are counted, never what counts.
+Histories with much of a bucket's share of the tokens are dealt over several buckets by the
+word that follows in the order of columns. Where that splits the followers of a full history,
+the buckets' parts (occurrences, followers seen once, twice, ..., and P of those seen) are
+added up by Spark; there are at most some histories for each bucket. Which they are is
+estimated from every SAMPLE-th row: the estimate decides where n-grams are counted, never
+what counts.
 """
 
 from __future__ import annotations
@@ -28,21 +32,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import WordHashes, mix
+from gleaner.llm.common import PLACES, WordHashes, mix
 from gleaner.session import fresh_path, settle
 
+ORDER = 3
 KMAX = 5
 CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 60_000
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 12 << 20
 SAMPLE = 8
 START, END = np.uint64(1), np.uint64(2)
 
-BLOCK = "bucket int, chunk long, documents boolean, block binary"
-COUNTS = "kind int, bucket int, sender int, chunk long, block binary"
-STATE, REQUEST, OWN, STATS, DOCUMENTS, SPREAD = range(6)
-ANSWER = "bucket int, sender int, block binary"
-LOWER = "word long, lower double"
-LOGS = "bucket int, chunk long, documents boolean, block binary"
+BLOCK = "bucket int, sender long, documents boolean, block binary"
+COUNTS = "kind int, bucket int, sender long, figures array<long>, block binary"
+STATE, REQUEST, STATS, DOCUMENTS, SPREAD = range(5)
+ANSWER = "bucket int, sender long, block binary"
+LOWER = "history long, lower double"
+LOGS = "chunk long, bucket int, block binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -98,17 +103,52 @@ def found(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return among[at] == values, at
 
 
-def dealt(h: np.ndarray, w: np.ndarray, buckets: int, hot: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """Bucket of each pair: its history's, for histories of several parts moved on by a hash of the second word."""
-    b = bucket_of(h, buckets)
-    is_hot, at = found(h, hot)
-    if is_hot.any():
-        b[is_hot] = (b[is_hot] + (mix(w[is_hot] ^ mix(h[is_hot])) % parts[at[is_hot]].astype(np.uint64)).astype(np.int64)) % buckets
+def joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a history made longer by a word farther off."""
+    return mix(history * PLACES[0] + word)
+
+
+def keyed(columns: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """Columns of numbers below ``size`` as few columns that sort and differ alike."""
+    bits = max(1, int(size).bit_length())
+    keys = []
+    for at in range(0, len(columns), 63 // bits):
+        key = np.zeros(len(columns[0]), np.int64)
+        for c in columns[at : at + 63 // bits]:
+            key <<= bits
+            key |= c
+        keys.append(key)
+    return keys
+
+
+def sorting(keys: list[np.ndarray]) -> np.ndarray:
+    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
+def before(words: np.ndarray, begins: np.ndarray, start, order: int) -> list[np.ndarray]:
+    """The ``order`` - 1 words before each word of texts that begin at ``begins``, nearest first."""
+    out = []
+    for _ in range(order - 1):
+        words = np.roll(words, 1)
+        words[begins] = start
+        out.append(words)
+    return out
+
+
+def dealt(columns: list[np.ndarray], buckets: int, hot: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Bucket of each n-gram (history from the nearest word on, then the word): its first column's,
+    moved on by a hash of the next column wherever the columns so far are one of the ``hot`` histories."""
+    b, history = bucket_of(columns[0], buckets), columns[0]
+    for (ids, parts), c in zip(hot, columns[1:]):
+        is_hot, at = found(history, ids)
+        if is_hot.any():
+            b[is_hot] = (b[is_hot] + (mix(c[is_hot] ^ mix(history[is_hot])) % parts[at[is_hot]].astype(np.uint64)).astype(np.int64)) % buckets
+        history = joined(history, c)
     return b
 
 
-def frequent(buckets: int):
-    """Rows (word, n) of histories with a good part of a bucket's share of the tokens; END counts all tokens."""
+def frequent(buckets: int, order: int):
+    """Rows (words, history, n) of histories with a good part of a bucket's share of the tokens; no words: all tokens."""
 
     def run(batches):
         import pyarrow as pa
@@ -116,10 +156,16 @@ def frequent(buckets: int):
         words, held, size = WordHashes(), [], 0
 
         def flush():
-            ids, n = np.unique(np.concatenate([np.full(len(held), START), *held]), return_counts=True)
-            total, keep = n.sum(), n * 4 * buckets >= n.sum()
+            lengths = np.array([len(w) + 1 for w in held])
+            flat = np.concatenate([x for w in held for x in (w, [END])]).astype(np.uint64)
+            rows, history = [(0, 0, len(flat))], None
+            for k, c in enumerate(before(flat, np.cumsum(lengths) - lengths, START, order), 1):
+                history = c if history is None else joined(history, c)
+                ids, n = np.unique(history, return_counts=True)
+                keep = n * 4 * buckets >= len(flat)
+                rows += [(k, i, m) for i, m in zip(ids[keep].view(np.int64).tolist(), n[keep].tolist())]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.append(ids[keep], END).view(np.int64)), pa.array(np.append(n[keep], total))], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64()))], names=["words", "history", "n"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -134,23 +180,24 @@ def frequent(buckets: int):
     return run
 
 
-def split_histories(rows: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Histories to be dealt over several buckets, in order, and how many each."""
+def split_histories(rows: DataFrame, buckets: int, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For histories of one word, two, ...: those to be dealt over several buckets, in order, and over how many."""
+    got, total = [], 1
     if buckets > 1:
         every = rows.withColumn("_n", F.monotonically_increasing_id()).where(F.col("_n") % SAMPLE == 0).select("text")
-        counts = settle(every.mapInArrow(frequent(buckets), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "katz-frequent")
-        end = F.col("word") == int(END)
-        total = counts.where(end).agg(F.sum("n")).first()[0] or 1
-        got = counts.where(~end & (F.col("n") * 2 * buckets > total)).collect()
-        if got:
-            ids, n = np.array([r.word for r in got], np.int64).view(np.uint64), np.array([r.n for r in got])
-            order = np.argsort(ids)
-            return ids[order], np.minimum(-(-2 * n * buckets // total), buckets)[order]
-    return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        counts = settle(every.mapInArrow(frequent(buckets, order), "words int, history long, n long").groupBy("words", "history").agg(F.sum("n").alias("n")), "katz-frequent")
+        total = counts.where("words = 0").agg(F.sum("n")).first()[0] or 1
+        got = counts.where((F.col("words") > 0) & (F.col("n") * 2 * buckets > total)).collect()
+    out = []
+    for k in range(1, order):
+        ids, n = np.array([r.history for r in got if r.words == k], np.int64).view(np.uint64), np.array([r.n for r in got if r.words == k], np.int64)
+        by = np.argsort(ids)
+        out.append((ids[by], np.minimum(-(-2 * n * buckets // total), buckets)[by]))
+    return out
 
 
-def blocks(buckets: int, hot: np.ndarray, parts: np.ndarray):
-    """Packed counts of each chunk of documents, a row for each bucket of histories, and a row for its documents."""
+def blocks(buckets: int, order: int, hot: list):
+    """Packed counts of each chunk of documents, a row for each bucket, and a row for its documents."""
 
     def run(batches):
         import pyarrow as pa
@@ -165,46 +212,41 @@ def blocks(buckets: int, hot: np.ndarray, parts: np.ndarray):
             ordinal, size = ordinal + 1, 0
             lengths = np.array([len(w) + 1 for _, _, w in held])
             learn = np.array([t for _, t, _ in held])
-            end = np.cumsum(lengths)
-            second = np.full(end[-1], END)
-            first = np.full(end[-1], START)
-            for (_, _, w), e in zip(held, end):
-                second[e - 1 - len(w) : e - 1] = w
-                first[e - len(w) : e] = w
-            doc = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
-            order = np.lexsort((second, first))  # stable: documents stay in order
-            h, w, doc = first[order], second[order], doc[order]
-            del first, second, order
-            entry = changes(h, w, doc)
-            count = np.diff(np.append(entry, len(h)))
-            h, w, doc = h[entry], w[entry], doc[entry]
-            del entry
-            gram = changes(h, w)
-            spread = np.diff(np.append(gram, len(h)))
+            flat = np.concatenate([x for _, _, w in held for x in (w, [END])] + [[START]]).astype(np.uint64)
+            vocabulary, number = np.unique(flat, return_inverse=True)
+            start, number = number[-1], number[:-1].astype(np.int32)
+            del flat
+            columns = [*before(number, np.cumsum(lengths) - lengths, start, order), number]
+            keys = keyed(columns, len(vocabulary))
+            by = sorting(keys)  # stable: documents stay in order
+            doc = np.repeat(np.arange(len(held), dtype=np.int32), lengths)[by]
+            keys = [k[by] for k in keys]
+            entry = changes(*keys, doc)
+            count = np.diff(np.append(entry, len(by)))
+            doc, keys, by = doc[entry], [k[entry] for k in keys], by[entry]
+            gram = changes(*keys)
+            spread = np.diff(np.append(gram, len(by)))
             trained = np.add.reduceat(count * learn[doc], gram)
-            gh, gw = h[gram], w[gram]
-            owner = dealt(gh, gw, buckets, hot, parts)
-            # Pairs by bucket; documents follow their pairs.
-            order = np.argsort(owner, kind="stable")
-            begin, spread = gram[order], spread[order]
-            moved = np.arange(len(h)) + np.repeat(begin - (np.cumsum(spread) - spread), spread)
-            gh, gw, trained, doc, count = gh[order], gw[order], trained[order], doc[moved], count[moved]
-            cuts = np.searchsorted(owner[order], np.arange(buckets + 1))
+            columns = [c[by[gram]] for c in columns]
+            del keys, by, number, entry
+            owner = dealt([vocabulary[c] for c in columns], buckets, hot)
+            # N-grams by bucket; documents follow their n-grams.
+            by = np.argsort(owner, kind="stable")
+            begin, spread = gram[by], spread[by]
+            moved = np.arange(len(doc)) + np.repeat(begin - (np.cumsum(spread) - spread), spread)
+            columns, trained, doc, count = [c[by] for c in columns], trained[by], doc[moved], count[moved]
+            cuts = np.searchsorted(owner[by], np.arange(buckets + 1))
             rows = []
             for b in range(buckets):
                 lo, hi = cuts[b], cuts[b + 1]
-                if lo == hi:
-                    continue
-                at = changes(gh[lo:hi])
-                vocabulary, index = np.unique(gw[lo:hi], return_inverse=True)
-                rows.append((b, chunk, False, pack(gh[lo:hi][at], np.diff(np.append(at, hi - lo)), vocabulary, index, trained[lo:hi])))
+                if lo < hi:
+                    rows.append((b, chunk, False, sent(vocabulary, [c[lo:hi] for c in columns], trained[lo:hi])))
             known = np.array([d is not None for d, _, _ in held])
             ids = np.array([d or 0 for d, _, _ in held], np.int64)
             rows.append((chunk % buckets, chunk, True, pack(ids.view(np.uint64), known, learn, lengths, spread, doc, count)))
             held.clear()
-            columns = zip(*rows)
             types = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["bucket", "chunk", "documents", "block"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "sender", "documents", "block"])
 
         for batch in batches:
             for d, t, text in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "learn", "text"))):
@@ -219,48 +261,87 @@ def blocks(buckets: int, hot: np.ndarray, parts: np.ndarray):
     return run
 
 
-def counted(buckets: int, hot: np.ndarray):
-    """Adds up a bucket's blocks; gives its state, the counts it owns, what it asks for, counts of counts, and its parts of ``hot``."""
+def sent(vocabulary: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """N-grams in order, as numbers of their own few words, and their counts."""
+    used = np.zeros(len(vocabulary), bool)
+    for c in columns:
+        used[c] = True
+    place = np.cumsum(used, dtype=np.int32) - 1
+    return pack(vocabulary[used], *(place[c] for c in columns), counts)
+
+
+def shorter(vocabulary: np.ndarray, columns: list[np.ndarray], buckets: int, hot: list) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct n-grams without the farthest word: their buckets, in order, their columns, and which of them each one is."""
+    fewer = [*columns[:-2], columns[-1]]
+    keys = keyed(fewer, len(vocabulary))
+    by = sorting(keys)
+    starts = changes(*(k[by] for k in keys))
+    first = by[starts]
+    fewer = [c[first] for c in fewer]
+    to = dealt([vocabulary[c] for c in fewer], buckets, hot)
+    rank = np.argsort(to, kind="stable")
+    place = np.empty(len(rank), np.int32)
+    place[rank] = np.arange(len(rank), dtype=np.int32)
+    which = np.empty(len(by), np.int32)
+    which[by] = np.repeat(place, np.diff(np.append(starts, len(by))))
+    return to[rank], [c[rank] for c in fewer], which
+
+
+def histories(vocabulary: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the n-grams of each history begin, and the histories."""
+    at = changes(*keyed(columns[:-1], len(vocabulary)))
+    history = vocabulary[columns[0][at]]
+    for c in columns[1:-1]:
+        history = joined(history, vocabulary[c[at]])
+    return at, history
+
+
+def counted(words: int, buckets: int, hot: list):
+    """Adds up a bucket's blocks of ``words``-grams; gives its state, what it asks the next order, counts of counts, parts of ``hot``."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b = int(frame.bucket.iat[0])
-        rows = [(DOCUMENTS, b, b, int(c), x) for c, x, d in zip(frame.chunk, frame.block, frame.documents) if d]
-        got = [(int(c), unpack(x)) for c, x, d in zip(frame.chunk, frame.block, frame.documents) if not d]
+        rows = [(DOCUMENTS, b, int(s), None, x) for s, x, d in zip(frame.sender, frame.block, frame.documents) if d]
+        got = [(int(s), unpack(x)) for s, x, d in zip(frame.sender, frame.block, frame.documents) if not d]
         got.sort(key=lambda x: x[0])
         del frame
         if got:
-            h = np.concatenate([np.repeat(a[0], a[1]) for _, a in got])
-            w = np.concatenate([a[2][a[3]] for _, a in got])
-            trained = np.concatenate([a[4].astype(np.int64) for _, a in got])
-            order = np.lexsort((w, h))
-            starts = changes(h[order], w[order])
-            number = np.empty(len(h), np.int32)
-            number[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(h))))
-            c2 = np.add.reduceat(trained[order], starts)
-            h, w = h[order[starts]], w[order[starts]]
-            del order, trained, starts
-            at = changes(h)
-            per = np.diff(np.append(at, len(h)))
-            histories, own = h[at], np.add.reduceat(c2, at)
-            vocabulary, index = np.unique(w, return_inverse=True)
-            state, place = [histories, per, own, vocabulary, index, c2, np.array([c for c, _ in got])], 0
-            for _, a in got:
-                n = len(a[4])
-                # a chunk's pairs are in order, so their numbers rise
-                state += [np.diff(number[place : place + n], prepend=0), a[1]]
-                place += n
-            rows.append((STATE, b, b, 0, pack(*state)))
-            is_hot, _ = found(histories, hot)
-            if is_hot.any():
-                seen = [np.add.reduceat((c2 == r).astype(np.int64), at)[is_hot] for r in range(1, KMAX + 1)]
-                rows.append((SPREAD, b, b, 0, pack(histories[is_hot], own[is_hot], *seen)))
-            word = (histories != START) & ~is_hot
-            rows.append((OWN, b, b, 0, pack(histories[word], own[word])))
-            cuts = np.searchsorted(bucket_of(vocabulary, buckets), np.arange(buckets + 1))
-            rows += [(REQUEST, to, b, 0, pack(vocabulary[cuts[to] : cuts[to + 1]])) for to in range(buckets) if cuts[to] < cuts[to + 1]]
-            of = lambda c: np.bincount(np.minimum(c[c > 0], KMAX + 2), minlength=KMAX + 3)[1 : KMAX + 2]
-            ends = int(c2[w == END].sum())
-            rows.append((STATS, b, b, 0, pack(of(c2), of(own[word]), np.array([own[word].sum(), (own[word] > 0).sum(), ends]))))
+            senders, sizes = np.array([s for s, _ in got]), [len(a[-1]) for _, a in got]
+            vocabulary, place = np.unique(np.concatenate([a[0] for _, a in got]), return_inverse=True)
+            place = np.split(place.astype(np.int32), np.cumsum([len(a[0]) for _, a in got])[:-1])
+            columns = [np.concatenate([p[a[1 + j]] for p, (_, a) in zip(place, got)]) for j in range(words)]
+            counts = np.concatenate([a[-1].astype(np.int64) for _, a in got])
+            del got, place
+            keys = keyed(columns, len(vocabulary))
+            by = sorting(keys)
+            starts = changes(*(k[by] for k in keys))
+            del keys
+            number = np.empty(len(by), np.int32)
+            number[by] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(by))))
+            c = np.add.reduceat(counts[by], starts)
+            columns = [x[by[starts]] for x in columns]
+            del by, counts, starts
+            # a sender's n-grams are in order, so their numbers rise
+            steps = [np.diff(n, prepend=0) for n in np.split(number, np.cumsum(sizes)[:-1])]
+            rows.append((STATE, b, b, None, pack(vocabulary, *columns, c, senders, *steps)))
+            del number, steps
+            of = np.bincount(np.minimum(c[c > 0], KMAX + 2), minlength=KMAX + 3)[1 : KMAX + 2].tolist()
+            ends = int(c[vocabulary[columns[-1]] == END].sum())
+            rows.append((STATS, b, b, [*of, int(c.sum()), int((c > 0).sum()), ends], None))
+            if words > 1:
+                at, history = histories(vocabulary, columns)
+                is_hot, _ = found(history, hot[words - 2][0])
+                if is_hot.any():
+                    sums = [np.add.reduceat(x.astype(np.int64), at)[is_hot].tolist() for x in (c, *(c == r for r in range(1, KMAX + 1)))]
+                    rows += [(SPREAD, b, h, list(x), None) for h, *x in zip(history[is_hot].view(np.int64).tolist(), *sums)]
+                to, fewer, which = shorter(vocabulary, columns, buckets, hot)
+                part = np.bincount(which, c, len(to)).astype(np.int64)
+                cuts = np.searchsorted(to, np.arange(buckets + 1))
+                rows += [
+                    (REQUEST, i, b, None, sent(vocabulary, [x[cuts[i] : cuts[i + 1]] for x in fewer], part[cuts[i] : cuts[i + 1]]))
+                    for i in range(buckets)
+                    if cuts[i] < cuts[i + 1]
+                ]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in COUNTS.split(", ")], dtype=object)
 
     return run
@@ -281,143 +362,136 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Totals:
-    """What all buckets share: number of training tokens, words, discounts, mass of unknown words."""
-
-    def __init__(self, stats: list[bytes], spread: list[bytes]):
-        pairs, singles, sums = np.zeros(KMAX + 1, np.int64), np.zeros(KMAX + 1, np.int64), np.zeros(3, np.int64)
-        for x in stats:
-            two, one, rest = unpack(x)
-            pairs += two
-            singles += one
-            sums += rest
-        # Histories of several buckets: occurrences, and pairs by their counts up to KMAX.
-        parts = [unpack(x) for x in spread]
-        ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-        self.hot, at = np.unique(ids, return_inverse=True)
-        added = np.zeros((len(self.hot), KMAX + 1), np.int64)
-        if parts:
-            np.add.at(added, at, np.concatenate([np.stack([x.astype(np.int64) for x in p[1:]], axis=1) for p in parts]))
-        self.own, self.seen = added[:, 0], added[:, 1:]
-        self.lower = np.zeros(len(self.hot))
-        word = self.own[self.hot != START]
-        singles += np.bincount(np.minimum(word, KMAX + 2), minlength=KMAX + 3)[1 : KMAX + 2]
-        sums[:2] += word.sum(), (word > 0).sum()
-        self.ends = int(sums[2])
-        self.tokens, self.words = int(sums[0]) + self.ends, int(sums[1]) + (self.ends > 0)
-        if 0 < self.ends <= KMAX + 1:
-            singles[self.ends - 1] += 1
-        self.two, self.one = discounts(pairs), discounts(singles)
+    """What all buckets of all orders share: discounts, number of training tokens and words, mass of unknown words.
+
+    ``hot`` has, by order, the histories that several buckets hold, their occurrences, their
+    followers by counts up to KMAX, and the P of these followers in the order below.
+    """
+
+    def __init__(self, figures: dict[int, np.ndarray], hot: dict[int, tuple]):
+        self.ratio = {k: discounts(f[: KMAX + 1]) for k, f in figures.items()}
+        single, self.hot = figures[1], hot
+        self.tokens, self.words, self.ends = (int(x) for x in single[KMAX + 1 :])
         r = np.arange(1, KMAX + 1)
-        left = float((singles[:KMAX] * r * (1 - self.one[1 : KMAX + 1])).sum())
+        left = float((single[:KMAX] * r * (1 - self.ratio[1][1 : KMAX + 1])).sum())
         self.size = self.tokens if left > 0 else self.tokens + 1
         self.unknown = (left if left > 0 else 1.0) / self.size
 
-    def word(self, c: np.ndarray) -> np.ndarray:
-        """P(w) of words seen ``c`` times."""
-        return np.where(c > 0, self.one[np.minimum(c, KMAX + 1)] * c / self.size, self.unknown)
-
     def base(self, c) -> np.ndarray:
         return np.log10((c + 1.0) / (self.tokens + self.words + 1))
 
-    def pairs(self, histories: np.ndarray, per: np.ndarray, own: np.ndarray, c2: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """log10 P of each pair: histories with ``per`` pairs each here and ``own`` occurrences, the pairs' counts, their words' P."""
-        at = np.cumsum(per) - per
-        is_hot, k = found(histories, self.hot)
-        seen = c2 > 0
-        gain = np.where(seen, self.two[np.minimum(c2, KMAX + 1)] * c2, 0.0)
-        n = np.maximum(own, 1).astype(float)
+    def word(self, c: np.ndarray) -> np.ndarray:
+        """P of words seen ``c`` times."""
+        return np.where(c > 0, self.ratio[1][np.minimum(c, KMAX + 1)] * c / self.size, self.unknown)
+
+    def after(self, words: int, at: np.ndarray, history: np.ndarray, c: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """P of each n-gram: where the histories' n-grams begin, the histories, the n-grams' counts, P in the order below."""
+        ids, own, seen, below_hot = self.hot[words]
+        is_hot, k = found(history, ids)
+        k = k[is_hot]
+        known, ratio = c > 0, self.ratio[words]
+        gain = np.where(known, ratio[np.minimum(c, KMAX + 1)] * c, 0.0)
+        n = np.add.reduceat(c, at).astype(float)
         left = n - np.add.reduceat(gain, at)
-        below = np.add.reduceat(np.where(seen, lower, 0.0), at)
-        r = np.arange(1, KMAX + 1)
-        left[is_hot] = (self.seen[k[is_hot]] * (r * (1 - self.two[1 : KMAX + 1]))).sum(axis=1)
-        below[is_hot] = self.lower[k[is_hot]]
+        below = np.add.reduceat(np.where(known, lower, 0.0), at)
+        n[is_hot] = own[k]
+        left[is_hot] = (seen[k] * (np.arange(1, KMAX + 1) * (1 - ratio[1 : KMAX + 1]))).sum(axis=1)
+        below[is_hot] = below_hot[k]
+        trained = n > 0
         bare = left <= 1e-9 * n
         n, left = np.where(bare, n + 1, n), np.where(bare, 1.0, left)
-        backoff = np.where(own > 0, left / n / np.maximum(1 - below, 1e-300), 1.0)
-        h = np.repeat(np.arange(len(per)), per)
-        return np.log10(np.where(seen, gain / n[h], backoff[h] * lower))
+        backoff = np.where(trained, left / n / np.maximum(1 - below, 1e-300), 1.0)
+        h = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(c))))
+        return np.where(known, gain / n[h], backoff[h] * lower)
 
 
-def answered(totals: Totals):
-    """Counts of the words that other buckets ask for, in the order of their lists."""
+def stored(folder: str, kind: int, b: int, sender: int | None = None) -> list[np.ndarray]:
+    """A block of a bucket's table."""
+    from pyarrow import dataset, fs
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = [unpack(x) for x, k in zip(frame.block, frame.kind) if k == OWN]
-        words, counts = own[0] if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        rows = []
-        for kind, sender, block in zip(frame.kind, frame.sender, frame.block):
-            if kind == REQUEST:
-                (asked,) = unpack(block)
-                c = np.zeros(len(asked), np.int64)
-                for among, n in ((words, counts), (totals.hot, totals.own)):
-                    is_in, at = found(asked, among)
-                    c[is_in] = n[at[is_in]]
-                rows.append((int(sender), int(frame.bucket.iat[0]), pack(np.where(asked == END, totals.ends, c))))
-        return pd.DataFrame(rows, columns=["bucket", "sender", "block"], dtype=object)
+    store, path = fs.FileSystem.from_uri(folder)
+    only = None if sender is None else dataset.field("sender") == sender
+    table = dataset.dataset(f"{path}/kind={kind}/bucket={b}", filesystem=store, format="parquet").to_table(columns=["block"], filter=only)
+    return unpack(table.column("block")[0].as_py())
 
-    return run
 
+class Bucket:
+    """What a bucket knows of its n-grams, opened from its order's table, and what the order below answered."""
 
-def state_of(folder: str, b: int) -> list[np.ndarray]:
-    from pyarrow import dataset, fs
+    def __init__(self, frame: pd.DataFrame, words: int, folder: str, buckets: int, hot: list):
+        self.b = int(frame.bucket.iat[0])
+        self.vocabulary, *rest = stored(folder, STATE, self.b)
+        self.columns, self.c, self.senders, self.steps = rest[:words], rest[words].astype(np.int64), rest[words + 1].astype(np.int64).tolist(), rest[words + 2 :]
+        if words > 1:
+            self.at, self.history = histories(self.vocabulary, self.columns)
+            got = np.concatenate([unpack(x)[0] for x in frame.sort_values("sender").block])
+            self.lower = got[shorter(self.vocabulary, self.columns, buckets, hot)[2]]
 
-    store, path = fs.FileSystem.from_uri(folder)
-    state = dataset.dataset(f"{path}/kind={STATE}/bucket={b}", filesystem=store, format="parquet").to_table(columns=["block"])
-    return unpack(state.column("block")[0].as_py())
+    def numbers(self):
+        for sender, steps in zip(self.senders, self.steps):
+            yield sender, np.cumsum(steps.astype(np.int64))
 
 
-def lowered(totals: Totals, folder: str):
-    """A bucket's parts of the P of all words seen after the histories of several buckets."""
+def lowered(words: int, folder: str, buckets: int, hot: list):
+    """A bucket's parts of the P, in the order below, of all words seen after the histories of several buckets."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        histories, per, _, _, index, c2, *_ = state_of(folder, int(frame.bucket.iat[0]))
-        asked = np.concatenate([unpack(x)[0].astype(np.int64) for x in frame.sort_values("sender").block])
-        is_hot, _ = found(histories, totals.hot)
-        per = per.astype(np.int64)
-        sums = np.add.reduceat(np.where(c2 > 0, totals.word(asked)[index], 0.0), np.cumsum(per) - per)
-        return pd.DataFrame({"word": histories[is_hot].astype(np.uint64).view(np.int64), "lower": sums[is_hot]})
+        got = Bucket(frame, words, folder, buckets, hot)
+        is_hot, _ = found(got.history, hot[words - 2][0])
+        sums = np.add.reduceat(np.where(got.c > 0, got.lower, 0.0), got.at)
+        return pd.DataFrame({"history": got.history[is_hot].view(np.int64), "lower": sums[is_hot]})
 
     return run
 
 
-def logged(totals: Totals, folder: str):
-    """Log probabilities of a bucket's pairs and counts of its histories, for every chunk in the order of its pairs.
+def answered(words: int, totals: Totals, folder: str, buckets: int, hot: list):
+    """Probabilities of a bucket's n-grams, for all who asked, in the order of their lists."""
 
-    The bucket's own table is opened from ``folder``; only the answers it asked for were sent.
-    """
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        got = Bucket(frame, words, folder, buckets, hot)
+        p = totals.after(words, got.at, got.history, got.c, got.lower) if words > 1 else totals.word(got.c)
+        return pd.DataFrame([(s, got.b, pack(p[n])) for s, n in got.numbers()], columns=["bucket", "sender", "block"], dtype=object)
+
+    return run
+
+
+def logged(words: int, totals: Totals, folder: str, buckets: int, hot: list):
+    """Log probabilities of the longest order's n-grams and counts of the words before them, for every chunk in the order of its n-grams."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        b = int(frame.bucket.iat[0])
-        histories, per, own, vocabulary, index, c2, chunks, *rest = state_of(folder, b)
-        asked = np.concatenate([unpack(x)[0].astype(np.int64) for x in frame.sort_values("sender").block])
-        own, c2, per = own.astype(np.int64), c2.astype(np.int64), per.astype(np.int64)
-        is_hot, at = found(histories, totals.hot)
-        own[is_hot] = totals.own[at[is_hot]]
-        logs = totals.pairs(histories, per, own, c2, totals.word(asked)[index])
+        got = Bucket(frame, words, folder, buckets, hot)
+        logs = np.log10(totals.after(words, got.at, got.history, got.c, got.lower))
+        at = changes(got.columns[0])
+        nearest, n = got.vocabulary[got.columns[0][at]], np.add.reduceat(got.c, at)
+        is_hot, k = found(nearest, totals.hot[2][0])
+        n[is_hot] = totals.hot[2][1][k[is_hot]]
         # No word stands for the start: 0 there, else one more than the count.
-        word = np.repeat(np.where(histories == START, 0, own + 1), per)
+        word = np.where(nearest == START, 0, n + 1)
         rows = []
-        for i, chunk in enumerate(chunks.tolist()):
-            steps, runs = rest[2 * i : 2 * i + 2]
-            pair, runs = np.cumsum(steps.astype(np.int64)), runs.astype(np.int64)
-            rows.append((b, chunk, False, pack(logs[pair], runs, word[pair[np.cumsum(runs) - runs]])))
-        return pd.DataFrame(rows, columns=["bucket", "chunk", "documents", "block"], dtype=object)
+        for chunk, number in got.numbers():
+            first = got.columns[0][number]
+            begin = changes(first)
+            run_of = np.searchsorted(got.columns[0][at], first[begin])
+            rows.append((chunk, got.b, pack(logs[number], np.diff(np.append(begin, len(number))), word[run_of])))
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "block"], dtype=object)
 
     return run
 
 
-def scores(totals: Totals):
+def scores(totals: Totals, folder: str, buckets: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, has_id, learn, lengths, spread, doc, count = next(unpack(x) for x, d in zip(frame.block, frame.documents) if d)
+        chunk = int(frame.chunk.iat[0])
+        ids, has_id, learn, lengths, spread, doc, count = stored(folder, DOCUMENTS, chunk % buckets, chunk)
         n = len(ids)
-        parts = [unpack(x) for x in frame[~frame.documents.astype(bool)].sort_values("bucket").block]
+        parts = [unpack(x) for x in frame.sort_values("bucket").block]
+        del frame
         runs, word = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (1, 2))
         word = np.repeat(word, runs)
         logs = np.concatenate([p[0] for p in parts])
-        pair = np.repeat(np.arange(len(logs)), spread)
-        score = np.bincount(doc, count * logs[pair], minlength=n)
-        base = np.bincount(doc, count * np.where(word > 0, totals.base(np.maximum(word - 1, 0)), 0.0)[pair], minlength=n) + totals.base(totals.ends)
-        known = np.bincount(doc, count * (word > 1)[pair], minlength=n).astype(np.int64) + int(totals.ends > 0)
+        gram = np.repeat(np.arange(len(logs)), spread)
+        score = np.bincount(doc, count * logs[gram], minlength=n)
+        base = np.bincount(doc, count * np.where(word > 0, totals.base(np.maximum(word - 1, 0)), 0.0)[gram], minlength=n) + totals.base(totals.ends)
+        known = np.bincount(doc, count * (word > 1)[gram], minlength=n).astype(np.int64) + int(totals.ends > 0)
         return pd.DataFrame({
             "doc_id": pd.array(ids.astype(np.uint64).view(np.int64), "Int64").copy() if has_id.all() else pd.array([int(i) if h else None for i, h in zip(ids.astype(np.uint64).view(np.int64), has_id)], "Int64"),
             "held_out": ~learn, "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": np.full(n, totals.tokens), "base_score": base, "score": score,
@@ -426,30 +500,55 @@ def scores(totals: Totals):
     return run
 
 
-def scored(docs: DataFrame, learn) -> DataFrame:
+def discard(spark, folder: str) -> None:
+    """Deletes a working table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scored(docs: DataFrame, learn, order: int = ORDER) -> DataFrame:
     """Katz scores of every row of ``docs`` (doc_id, text, any others), learnt from the rows where ``learn`` holds.
 
-    Null text is empty: its only token is the end. Rows are scored one by one, repeated ids
-    too. Without training rows every token is unknown and has probability one.
+    ``order`` is the length of the longest n-grams, two or more. Null text is empty: its only
+    token is the end. Rows are scored one by one, repeated ids and null ids too. Without
+    training rows every token is unknown and has probability one.
     """
+    if order < 2:
+        raise ValueError("order is two or more")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.length("text") + 8)).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    folder = fresh_path(spark, "katz")
-    hot, parts = split_histories(rows, buckets)
-    packed = rows.mapInArrow(blocks(buckets, hot, parts), BLOCK)
-    packed.groupBy("bucket").applyInPandas(counted(buckets, hot), COUNTS).write.partitionBy("kind", "bucket").parquet(folder)
-    counts = spark.read.schema(COUNTS).parquet(folder)
-    stats, spread = ([r.block for r in counts.where(F.col("kind") == kind).select("block").collect()] for kind in (STATS, SPREAD))
-    totals = Totals(stats, spread)
-    asked = counts.where(F.col("kind").isin(REQUEST, OWN))
-    answers = settle(asked.groupBy("bucket").applyInPandas(answered(totals), ANSWER), "katz-answers")
-    if len(totals.hot):
-        within = counts.where(F.col("kind") == SPREAD).select("bucket").distinct()
-        sums = answers.join(within, "bucket", "left_semi").groupBy("bucket").applyInPandas(lowered(totals, folder), LOWER)
-        for r in sums.groupBy("word").agg(F.sum("lower").alias("lower")).collect():
-            totals.lower[np.searchsorted(totals.hot, np.array([r.word], np.int64).view(np.uint64)[0])] = r.lower
-    logs = answers.groupBy("bucket").applyInPandas(logged(totals, folder), LOGS)
-    documents = counts.where(F.col("kind") == DOCUMENTS).select("bucket", "chunk", F.lit(True).alias("documents"), "block")
-    return logs.unionByName(documents).groupBy("chunk").applyInPandas(scores(totals), SCORES)
+    hot = split_histories(rows, buckets, order)
+    folder = {k: fresh_path(spark, f"katz-{k}") for k in range(order, 0, -1)}
+    kind = lambda k, kind: spark.read.schema(COUNTS).parquet(folder[k]).where(F.col("kind") == kind)
+    asked = rows.mapInArrow(blocks(buckets, order, hot), BLOCK)
+    for k in folder:
+        asked.groupBy("bucket").applyInPandas(counted(k, buckets, hot), COUNTS).write.partitionBy("kind", "bucket").parquet(folder[k])
+        if k < order:
+            discard(spark, f"{folder[k + 1]}/kind={REQUEST}")
+        asked = kind(k, REQUEST).select("bucket", "sender", F.lit(False).alias("documents"), "block")
+    figures, split = {}, {}
+    for k in folder:
+        got = {r.pos: r.n for r in kind(k, STATS).select(F.posexplode("figures")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
+        figures[k] = np.array([got.get(i, 0) for i in range(KMAX + 4)], np.int64)
+        sums = kind(k, SPREAD).groupBy("sender").agg(*(F.sum(F.col("figures")[i]).alias(f"n{i}") for i in range(KMAX + 1))).collect() if k > 1 and len(hot[k - 2][0]) else []
+        sums = sorted((tuple(r) for r in sums), key=lambda r: r[0] % 2**64)
+        table = np.array(sums, np.int64).reshape(-1, KMAX + 2)
+        split[k] = (np.ascontiguousarray(table[:, 0]).view(np.uint64), table[:, 1], table[:, 2:], np.zeros(len(table)))
+    totals = Totals(figures, split)
+    answers, spent = kind(1, STATE).select("bucket"), None
+    for k in range(1, order):
+        path = fresh_path(spark, "katz-answers")
+        answers.groupBy("bucket").applyInPandas(answered(k, totals, folder[k], buckets, hot), ANSWER).write.parquet(path)
+        for old in filter(None, (spent, folder[k])):
+            discard(spark, old)
+        answers, spent = spark.read.schema(ANSWER).parquet(path), path
+        ids, _, _, lower = split[k + 1]
+        if len(ids):
+            within = kind(k + 1, SPREAD).select("bucket").distinct()
+            sums = answers.join(within, "bucket", "left_semi").groupBy("bucket").applyInPandas(lowered(k + 1, folder[k + 1], buckets, hot), LOWER)
+            for r in sums.groupBy("history").agg(F.sum("lower").alias("lower")).collect():
+                lower[np.searchsorted(ids, np.array([r.history], np.int64).view(np.uint64)[0])] = r.lower
+    logs = answers.groupBy("bucket").applyInPandas(logged(order, totals, folder[order], buckets, hot), LOGS)
+    return logs.groupBy("chunk").applyInPandas(scores(totals, folder[order], buckets), SCORES)

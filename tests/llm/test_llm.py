@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -153,60 +154,88 @@ def test_passages_of_copies(spark, tmp_path, monkeypatch):
     assert rows and len(rows) == len(set(rows))
 
 
-def test_katz(docs, texts, empty):
-    out = {r.doc_id: r for r in katz.scored(docs, F.col("doc_id") % 5 != 0).collect()}
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(docs, texts, empty, order):
+    """Scores against the recursion written down plainly; after every history, probabilities sum to one."""
+    out = {r.doc_id: r for r in katz.scored(docs, F.col("doc_id") % 5 != 0, order).collect()}
     words = {i: [*tokens(t), b"\0end"] for i, t in texts.items()}
-    train = [w for i, w in words.items() if i % 5]
-    one, two, hist = collections.Counter(), collections.Counter(), collections.Counter()
-    for w in train:
-        one.update(w)
-        two.update(zip([b"\0start", *w], w))
-        hist.update([b"\0start", *w[:-1]])
+    counts = [collections.Counter() for _ in range(order + 1)]  # by length of the n-gram
+    hist = [collections.Counter() for _ in range(order + 1)]
+    after = [collections.defaultdict(list) for _ in range(order + 1)]
+    for i, w in words.items():
+        padded = [b"\0start"] * (order - 1) + w
+        for at in range(order - 1, len(padded)) if i % 5 else ():
+            for k in range(1, order + 1):
+                counts[k][tuple(padded[at - k + 1 : at + 1])] += 1
+                hist[k][tuple(padded[at - k + 1 : at])] += 1
+    for k in range(2, order + 1):
+        for g in counts[k]:
+            after[k][g[:-1]].append(g[-1])
+    one = {g[0]: c for g, c in counts[1].items()}
     n, v = sum(one.values()), len(one)
-    d1, d2 = (katz.discounts(np.array([sum(c == r for c in x.values()) for r in range(1, katz.KMAX + 2)])) for x in (one, two))
-    d = lambda t, c: t[min(c, katz.KMAX + 1)] * c
-    left = n - sum(d(d1, c) for c in one.values())
+    ratio = [None] + [katz.discounts(np.array([sum(c == r for c in x.values()) for r in range(1, katz.KMAX + 2)])) for x in counts[1:]]
+    d = lambda k, c: ratio[k][min(c, katz.KMAX + 1)] * c
+    left = n - sum(d(1, c) for c in one.values())
     size = n if left > 1e-9 else n + 1
     unknown = (left if left > 1e-9 else 1) / size
-    p1 = lambda w: d(d1, one[w]) / size if one[w] else unknown
-    after = collections.defaultdict(list)
-    for (h, w), c in two.items():
-        after[h].append((w, c))
-
-    def p2(h, w):
-        if h not in after:
-            return p1(w)
-        m, rest = hist[h], hist[h] - sum(d(d2, c) for _, c in after[h])
+
+    @functools.cache
+    def weight(h):
+        k = len(h) + 1
+        m, rest = hist[k][h], hist[k][h] - sum(d(k, counts[k][(*h, x)]) for x in after[k][h])
         if rest <= 1e-9 * m:
             m, rest = m + 1, 1
-        return d(d2, two[h, w]) / m if two[h, w] else rest / m / (1 - sum(p1(x) for x, _ in after[h])) * p1(w)
-
-    for h in list(after)[:4]:
-        assert math.isclose(sum(p2(h, w) for w in one) + p2(h, b"\0none"), 1)
+        return m, rest / m / (1 - sum(p(h[1:], x) for x in after[k][h]))
+
+    @functools.cache
+    def p(h, w):
+        k = len(h) + 1
+        if k == 1:
+            return d(1, one[w]) / size if w in one else unknown
+        if h not in hist[k]:
+            return p(h[1:], w)
+        m, backoff = weight(h)
+        return d(k, counts[k][(*h, w)]) / m if counts[k][(*h, w)] else backoff * p(h[1:], w)
+
+    for h in [h for x in hist[2:] for h in list(x)[:4]]:
+        assert math.isclose(sum(p(h, w) for w in one) + p(h, b"\0none"), 1)
     for i, w in words.items():
         if len(w) < 500:
-            r = out[i]
-            assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(one[x] > 0 for x in w), n, i % 5 == 0)
-            assert math.isclose(r.score, sum(math.log10(p2(h, x)) for h, x in zip([b"\0start", *w], w)), rel_tol=1e-9)
-            assert math.isclose(r.base_score, sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-    assert katz.scored(empty, F.lit(True)).count() == 0
+            r, padded = out[i], [b"\0start"] * (order - 1) + w
+            assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(x in one for x in w), n, i % 5 == 0)
+            want = sum(math.log10(p(tuple(padded[at : at + order - 1]), x)) for at, x in enumerate(w))
+            assert math.isclose(r.score, want, rel_tol=1e-8)
+            assert math.isclose(r.base_score, sum(math.log10((one.get(x, 0) + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+    assert katz.scored(empty, F.lit(True), order).count() == 0
+
+
+def test_katz_odd_rows(spark):
+    """Repeated and null ids are rows of their own, further columns are left alone, nothing to learn from is allowed."""
+    rows = [(1, "a b c", 1), (1, "a b c", 2), (None, "a b", 3), (None, None, 4), (2, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket int")
+    out = katz.scored(docs, F.lit(True)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens) for r in out) == [(False, 1, 4), (False, 1, 4), (False, 2, 1), (True, 0, 1), (True, 0, 3)]
+    none = katz.scored(docs, F.lit(None).cast("boolean")).collect()
+    assert len(none) == 5 and all(r.score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in none)
+    with pytest.raises(ValueError):
+        katz.scored(docs, F.lit(True), 1)
 
 
 def test_katz_frequent_history(spark, tmp_path, monkeypatch):
-    """A word in every second place is counted in many buckets; scores are those of one bucket."""
+    """A word in every second place, and two words side by side in every fourth, are counted in many buckets; scores are those of one bucket."""
     rng = random.Random(6)
-    rows = [(i, " ".join(x for _ in range(rng.randint(0, 90)) for x in ("the", f"w{int(rng.paretovariate(0.6)) % 3000}"))) for i in range(400)]
+    rows = [(i, " ".join(x for _ in range(rng.randint(0, 90)) for x in ("of", "the", f"w{int(rng.paretovariate(0.6)) % 3000}"))) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
     learn = F.col("doc_id") % 5 != 0
     want = {r.doc_id: r for r in katz.scored(docs, learn).collect()}
     work = katz.counted
 
-    def counting(*args):
-        run = work(*args)
+    def counting(words, *args):
+        run = work(words, *args)
 
         def noted(frame):
             got = [katz.unpack(x) for x, d in zip(frame.block, frame.documents) if not d]
-            (tmp_path / str(frame.bucket.iat[0])).write_text(str(sum(len(a[4]) for a in got)))
+            (tmp_path / f"{words}-{frame.bucket.iat[0]}").write_text(str(sum(len(a[-1]) for a in got)))
             return run(frame)
 
         return noted
@@ -218,8 +247,9 @@ def test_katz_frequent_history(spark, tmp_path, monkeypatch):
     for i, r in want.items():
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens, got[i].held_out) == (r.n_tokens, r.n_known, r.train_tokens, r.held_out)
         assert math.isclose(got[i].score, r.score, rel_tol=1e-9) and math.isclose(got[i].base_score, r.base_score, rel_tol=1e-9)
-    sizes = [int(p.read_text()) for p in tmp_path.iterdir()]
-    assert len(sizes) > 10 and max(sizes) < 0.2 * sum(sizes)
+    for words in (2, 3):
+        sizes = [int(p.read_text()) for p in tmp_path.glob(f"{words}-*")]
+        assert len(sizes) > 10 and max(sizes) < 0.2 * sum(sizes)
 
 
 def test_mixing(docs, texts, empty):
