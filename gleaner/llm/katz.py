@@ -6,6 +6,9 @@ all words leave over. d is the Good-Turing ratio of the order, for counts up to
 above); a(h) makes the words after h sum to exactly one. A history that training never saw
 hands on to h' unchanged; one whose followers leave nothing over lends one extra count.
 
+Texts are read PASSES times, each time for the n-grams of another part of the buckets, so that
+what is on its way to the buckets takes a part of the disk only.
+
 Every order has its table of counts, partitioned into buckets by history, nearest word first.
 Chunks of documents send their distinct n-grams to the longest order's buckets, as packed
 blocks; a bucket adds them up, and sends its distinct shorter n-grams with their counts to
@@ -39,6 +42,7 @@ ORDER = 3
 KMAX = 5
 CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 60_000
 BUCKET_BYTES = 12 << 20
+PASSES = 3
 SAMPLE = 8
 START, END = np.uint64(1), np.uint64(2)
 
@@ -196,8 +200,8 @@ def split_histories(rows: DataFrame, buckets: int, order: int) -> list[tuple[np.
     return out
 
 
-def blocks(buckets: int, order: int, hot: list):
-    """Packed counts of each chunk of documents, a row for each bucket, and a row for its documents."""
+def blocks(buckets: int, order: int, hot: list, turn: int):
+    """Packed counts of each chunk of documents, a row for each bucket of this pass, and a row for its documents."""
 
     def run(batches):
         import pyarrow as pa
@@ -217,25 +221,22 @@ def blocks(buckets: int, order: int, hot: list):
             start, number = number[-1], number[:-1].astype(np.int32)
             del flat
             columns = [*before(number, np.cumsum(lengths) - lengths, start, order), number]
-            keys = keyed(columns, len(vocabulary))
+            owner = dealt([vocabulary[c] for c in columns], buckets, hot)
+            mine = np.flatnonzero(owner % PASSES == turn)
+            columns, owner, doc = [c[mine] for c in columns], owner[mine].astype(np.int32), np.repeat(np.arange(len(held), dtype=np.int32), lengths)[mine]
+            # N-grams by bucket; documents follow their n-grams.
+            keys = [owner, *keyed(columns, len(vocabulary))]
             by = sorting(keys)  # stable: documents stay in order
-            doc = np.repeat(np.arange(len(held), dtype=np.int32), lengths)[by]
-            keys = [k[by] for k in keys]
+            doc, keys = doc[by], [k[by] for k in keys]
             entry = changes(*keys, doc)
             count = np.diff(np.append(entry, len(by)))
             doc, keys, by = doc[entry], [k[entry] for k in keys], by[entry]
             gram = changes(*keys)
             spread = np.diff(np.append(gram, len(by)))
-            trained = np.add.reduceat(count * learn[doc], gram)
-            columns = [c[by[gram]] for c in columns]
-            del keys, by, number, entry
-            owner = dealt([vocabulary[c] for c in columns], buckets, hot)
-            # N-grams by bucket; documents follow their n-grams.
-            by = np.argsort(owner, kind="stable")
-            begin, spread = gram[by], spread[by]
-            moved = np.arange(len(doc)) + np.repeat(begin - (np.cumsum(spread) - spread), spread)
-            columns, trained, doc, count = [c[by] for c in columns], trained[by], doc[moved], count[moved]
-            cuts = np.searchsorted(owner[by], np.arange(buckets + 1))
+            trained = np.add.reduceat(count * learn[doc], gram) if len(gram) else gram
+            owner, columns = keys[0][gram], [c[by[gram]] for c in columns]
+            del keys, by, number, entry, mine
+            cuts = np.searchsorted(owner, np.arange(buckets + 1))
             rows = []
             for b in range(buckets):
                 lo, hi = cuts[b], cuts[b + 1]
@@ -243,7 +244,7 @@ def blocks(buckets: int, order: int, hot: list):
                     rows.append((b, chunk, False, sent(vocabulary, [c[lo:hi] for c in columns], trained[lo:hi])))
             known = np.array([d is not None for d, _, _ in held])
             ids = np.array([d or 0 for d, _, _ in held], np.int64)
-            rows.append((chunk % buckets, chunk, True, pack(ids.view(np.uint64), known, learn, lengths, spread, doc, count)))
+            rows.append((chunk % buckets, chunk * PASSES + turn, True, pack(ids.view(np.uint64), known, learn, lengths, spread, doc, count)))
             held.clear()
             types = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "sender", "documents", "block"])
@@ -480,18 +481,18 @@ def logged(words: int, totals: Totals, folder: str, buckets: int, hot: list):
 
 def scores(totals: Totals, folder: str, buckets: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        chunk = int(frame.chunk.iat[0])
-        ids, has_id, learn, lengths, spread, doc, count = stored(folder, DOCUMENTS, chunk % buckets, chunk)
-        n = len(ids)
-        parts = [unpack(x) for x in frame.sort_values("bucket").block]
-        del frame
-        runs, word = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (1, 2))
-        word = np.repeat(word, runs)
-        logs = np.concatenate([p[0] for p in parts])
-        gram = np.repeat(np.arange(len(logs)), spread)
-        score = np.bincount(doc, count * logs[gram], minlength=n)
-        base = np.bincount(doc, count * np.where(word > 0, totals.base(np.maximum(word - 1, 0)), 0.0)[gram], minlength=n) + totals.base(totals.ends)
-        known = np.bincount(doc, count * (word > 1)[gram], minlength=n).astype(np.int64) + int(totals.ends > 0)
+        chunk, score = int(frame.chunk.iat[0]), 0.0
+        base, known = totals.base(totals.ends), int(totals.ends > 0)
+        for turn, part in frame.groupby(frame.bucket.astype(int) % PASSES):
+            ids, has_id, learn, lengths, spread, doc, count = stored(folder, DOCUMENTS, chunk % buckets, chunk * PASSES + int(turn))
+            parts = [unpack(x) for x in part.sort_values("bucket").block]
+            runs, word = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (1, 2))
+            word = np.repeat(word, runs)
+            logs = np.concatenate([p[0] for p in parts])
+            gram, n = np.repeat(np.arange(len(logs)), spread), len(ids)
+            score = score + np.bincount(doc, count * logs[gram], minlength=n)
+            base = base + np.bincount(doc, count * np.where(word > 0, totals.base(np.maximum(word - 1, 0)), 0.0)[gram], minlength=n)
+            known = known + np.bincount(doc, count * (word > 1)[gram], minlength=n).astype(np.int64)
         return pd.DataFrame({
             "doc_id": pd.array(ids.astype(np.uint64).view(np.int64), "Int64").copy() if has_id.all() else pd.array([int(i) if h else None for i, h in zip(ids.astype(np.uint64).view(np.int64), has_id)], "Int64"),
             "held_out": ~learn, "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": np.full(n, totals.tokens), "base_score": base, "score": score,
@@ -522,12 +523,15 @@ def scored(docs: DataFrame, learn, order: int = ORDER) -> DataFrame:
     hot = split_histories(rows, buckets, order)
     folder = {k: fresh_path(spark, f"katz-{k}") for k in range(order, 0, -1)}
     kind = lambda k, kind: spark.read.schema(COUNTS).parquet(folder[k]).where(F.col("kind") == kind)
-    asked = rows.mapInArrow(blocks(buckets, order, hot), BLOCK)
     for k in folder:
-        asked.groupBy("bucket").applyInPandas(counted(k, buckets, hot), COUNTS).write.partitionBy("kind", "bucket").parquet(folder[k])
+        if k == order:
+            asked = [rows.mapInArrow(blocks(buckets, order, hot, turn), BLOCK) for turn in range(PASSES)]
+        else:
+            asked = [kind(k + 1, REQUEST).select("bucket", "sender", F.lit(False).alias("documents"), "block")]
+        for part in asked:
+            part.groupBy("bucket").applyInPandas(counted(k, buckets, hot), COUNTS).write.mode("append").partitionBy("kind", "bucket").parquet(folder[k])
         if k < order:
             discard(spark, f"{folder[k + 1]}/kind={REQUEST}")
-        asked = kind(k, REQUEST).select("bucket", "sender", F.lit(False).alias("documents"), "block")
     figures, split = {}, {}
     for k in folder:
         got = {r.pos: r.n for r in kind(k, STATS).select(F.posexplode("figures")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
