@@ -41,14 +41,14 @@ from gleaner.session import fresh_path, settle
 ORDER = 3
 KMAX = 5
 CHUNK_TOKENS, CHUNK_DOCS = 1_500_000, 60_000
-BUCKET_BYTES = 12 << 20
-PASSES = 3
+BUCKET_BYTES = 8 << 20
+PASSES = 2
 SAMPLE = 8
 START, END = np.uint64(1), np.uint64(2)
 
 BLOCK = "bucket int, sender long, documents boolean, block binary"
 COUNTS = "kind int, bucket int, sender long, figures array<long>, block binary"
-STATE, REQUEST, STATS, DOCUMENTS, SPREAD = range(5)
+STATE, STATS, DOCUMENTS, SPREAD = range(4)
 ANSWER = "bucket int, sender long, block binary"
 LOWER = "history long, lower double"
 LOGS = "chunk long, bucket int, block binary"
@@ -298,7 +298,7 @@ def histories(vocabulary: np.ndarray, columns: list[np.ndarray]) -> tuple[np.nda
 
 
 def counted(words: int, buckets: int, hot: list):
-    """Adds up a bucket's blocks of ``words``-grams; gives its state, what it asks the next order, counts of counts, parts of ``hot``."""
+    """Adds up a bucket's blocks of ``words``-grams; gives its state, counts of counts, parts of ``hot``."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b = int(frame.bucket.iat[0])
@@ -335,19 +335,31 @@ def counted(words: int, buckets: int, hot: list):
                 if is_hot.any():
                     sums = [np.add.reduceat(x.astype(np.int64), at)[is_hot].tolist() for x in (c, *(c == r for r in range(1, KMAX + 1)))]
                     rows += [(SPREAD, b, h, list(x), None) for h, *x in zip(history[is_hot].view(np.int64).tolist(), *sums)]
-                to, fewer, which = shorter(vocabulary, columns, buckets, hot)
-                part = np.bincount(which, c, len(to)).astype(np.int64)
-                cuts = np.searchsorted(to, np.arange(buckets + 1))
-                rows += [
-                    (REQUEST, i, b, None, sent(vocabulary, [x[cuts[i] : cuts[i + 1]] for x in fewer], part[cuts[i] : cuts[i + 1]]))
-                    for i in range(buckets)
-                    if cuts[i] < cuts[i + 1]
-                ]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in COUNTS.split(", ")], dtype=object)
 
     return run
 
 
+def asking(words: int, folder: str, buckets: int, hot: list):
+    """What a bucket asks the next order: its distinct shorter n-grams with their counts, a row for each bucket there."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        b = int(frame.bucket.iat[0])
+        vocabulary, *rest = stored(folder, STATE, b)
+        to, fewer, which = shorter(vocabulary, rest[:words], buckets, hot)
+        part = np.bincount(which, rest[words], len(to)).astype(np.int64)
+        del rest, which
+        cuts = np.searchsorted(to, np.arange(buckets + 1))
+        rows = [
+            (i, b, False, sent(vocabulary, [x[cuts[i] : cuts[i + 1]] for x in fewer], part[cuts[i] : cuts[i + 1]]))
+            for i in range(buckets)
+            if cuts[i] < cuts[i + 1]
+        ]
+        return pd.DataFrame(rows, columns=["bucket", "sender", "documents", "block"], dtype=object)
+
+    return run
+
+
 def discounts(n: np.ndarray) -> np.ndarray:
     """Katz's ratios for counts 0 to KMAX + 1, from how many items were seen once, twice, ...; ones where they make no sense."""
     d = np.ones(KMAX + 2)
@@ -427,6 +439,7 @@ class Bucket:
             self.at, self.history = histories(self.vocabulary, self.columns)
             got = np.concatenate([unpack(x)[0] for x in frame.sort_values("sender").block])
             self.lower = got[shorter(self.vocabulary, self.columns, buckets, hot)[2]]
+            del got
 
     def numbers(self):
         for sender, steps in zip(self.senders, self.steps):
@@ -462,6 +475,7 @@ def logged(words: int, totals: Totals, folder: str, buckets: int, hot: list):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         got = Bucket(frame, words, folder, buckets, hot)
         logs = np.log10(totals.after(words, got.at, got.history, got.c, got.lower))
+        del got.lower, got.history
         at = changes(got.columns[0])
         nearest, n = got.vocabulary[got.columns[0][at]], np.add.reduceat(got.c, at)
         is_hot, k = found(nearest, totals.hot[2][0])
@@ -523,15 +537,16 @@ def scored(docs: DataFrame, learn, order: int = ORDER) -> DataFrame:
     hot = split_histories(rows, buckets, order)
     folder = {k: fresh_path(spark, f"katz-{k}") for k in range(order, 0, -1)}
     kind = lambda k, kind: spark.read.schema(COUNTS).parquet(folder[k]).where(F.col("kind") == kind)
+    # Of small rows that stand for much work Spark would make one task.
+    each = lambda k: kind(k, STATE).select("bucket").repartition(buckets, "bucket")
     for k in folder:
         if k == order:
             asked = [rows.mapInArrow(blocks(buckets, order, hot, turn), BLOCK) for turn in range(PASSES)]
         else:
-            asked = [kind(k + 1, REQUEST).select("bucket", "sender", F.lit(False).alias("documents"), "block")]
+            asked = [each(k + 1).groupBy("bucket").applyInPandas(asking(k + 1, folder[k + 1], buckets, hot), BLOCK)]
         for part in asked:
             part.groupBy("bucket").applyInPandas(counted(k, buckets, hot), COUNTS).write.mode("append").partitionBy("kind", "bucket").parquet(folder[k])
-        if k < order:
-            discard(spark, f"{folder[k + 1]}/kind={REQUEST}")
+            spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the pass before the next one writes its own
     figures, split = {}, {}
     for k in folder:
         got = {r.pos: r.n for r in kind(k, STATS).select(F.posexplode("figures")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
@@ -541,7 +556,7 @@ def scored(docs: DataFrame, learn, order: int = ORDER) -> DataFrame:
         table = np.array(sums, np.int64).reshape(-1, KMAX + 2)
         split[k] = (np.ascontiguousarray(table[:, 0]).view(np.uint64), table[:, 1], table[:, 2:], np.zeros(len(table)))
     totals = Totals(figures, split)
-    answers, spent = kind(1, STATE).select("bucket"), None
+    answers, spent = each(1), None
     for k in range(1, order):
         path = fresh_path(spark, "katz-answers")
         answers.groupBy("bucket").applyInPandas(answered(k, totals, folder[k], buckets, hot), ANSWER).write.parquet(path)
