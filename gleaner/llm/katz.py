@@ -28,6 +28,8 @@ what counts.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -546,7 +548,9 @@ def scored(docs: DataFrame, learn, order: int = ORDER) -> DataFrame:
             asked = [each(k + 1).groupBy("bucket").applyInPandas(asking(k + 1, folder[k + 1], buckets, hot), BLOCK)]
         for part in asked:
             part.groupBy("bucket").applyInPandas(counted(k, buckets, hot), COUNTS).write.mode("append").partitionBy("kind", "bucket").parquet(folder[k])
-            spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the pass before the next one writes its own
+            # Lets Spark's cleaner delete the shuffle files of the pass before the next one writes its own.
+            gc.collect()
+            spark._jvm.System.gc()
     figures, split = {}, {}
     for k in folder:
         got = {r.pos: r.n for r in kind(k, STATS).select(F.posexplode("figures")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
