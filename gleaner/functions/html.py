@@ -149,7 +149,7 @@ def bm25(block_array: Column, terms: Column, k1: float = 1.5, b: float = 0.75) -
 
     def score_all(bs: Column) -> Column:
         n = F.size(bs)
-        mean = F.aggregate(bs, F.lit(0).cast("bigint"), lambda a, x: a + x["len"]) / n
+        mean = F.when(n > 0, F.aggregate(bs, F.lit(0).cast("bigint"), lambda a, x: a + x["len"]) / n)  # a page may have no block
 
         def weigh(t: Column) -> Column:
             df = F.size(F.filter(bs, lambda x: F.array_contains(x["tok"], t)))

@@ -24,14 +24,10 @@ from gleaner.streaming import state
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1000) -> DataFrame:
-    """A driver table (one file, or a folder of files named like it) as a stream of files."""
-    schema = spark.read.option("pathGlobFilter", f"{name}*.parquet").parquet(folder).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """A driver table (one file, a folder of files, or several of either named like it) as a stream of files."""
+    path = f"{folder}/{name}*.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 END = "9999-12-31 00:00:00"
