@@ -16,3 +16,8 @@ def scored(spark):
 def test_pages_without_blocks_have_no_scores(spark):
     got = scored(spark).select("page_id", F.explode("scored").alias("b")).select("page_id", "b.pos", F.col("b.score") > 0).collect()
     assert sorted(map(tuple, got)) == [(1, 0, True), (1, 1, False)]
+
+
+def test_pages_without_blocks_have_no_main_run(spark):
+    got = scored(spark).select("page_id", F.explode(H.main_run(F.col("scored"))).alias("b")).select("page_id", "b.pos").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (1, 1)]
