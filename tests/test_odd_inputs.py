@@ -21,3 +21,12 @@ def test_pages_without_blocks_have_no_scores(spark):
 def test_pages_without_blocks_have_no_main_run(spark):
     got = scored(spark).select("page_id", F.explode(H.main_run(F.col("scored"))).alias("b")).select("page_id", "b.pos").collect()
     assert sorted(map(tuple, got)) == [(1, 0), (1, 1)]
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from gleaner.plans import load, runner
+
+    text = "CAST(id AS STRING) || '. same text'"
+    made = spark.range(20).selectExpr("id AS doc_id", f"IF(id % 2 = 0, {text}, 'twin. text') AS text", "'s' AS source", "'en' AS lang")
+    made.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert runner(load()["stream_dedup"])(spark, str(tmp_path)).count() == 11
