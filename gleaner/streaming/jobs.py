@@ -162,9 +162,9 @@ def last_states(log: DataFrame, key: list[str], order: list[str], columns: list[
 
 def overdue(log: DataFrame, key: str, status: str, seconds: int, delay: str = "10 minutes", finite: bool = True) -> DataFrame:
     """Events (key, event_id) of a status after which a key was silent for ``seconds``: a timer of each tells. Keys are numbers."""
-    timed = log.where("ts IS NOT NULL").select(F.col(key).cast("long").alias("key"), moment("ts").alias("ts"), micros("ts").alias("at"), "event_id", "status")
+    timed = log.where("ts IS NOT NULL").select(F.col(key).cast("long").alias("key"), moment("ts").alias("ts"), micros("ts").alias("at"), "event_id", F.col("status").eqNullSafe(status).alias("runs"))
     ending = Ending(timed, "ts", delay)
-    found = drain_to_table(state.per_key(ending.rows, "key", state.Overdue(status, seconds * 1_000_000)), "overdue", ending if finite else None)
+    found = drain_to_table(state.per_key(ending.rows, "key", state.Overdue(seconds * 1_000_000)), "overdue", ending if finite else None)
     return found.select(F.col("key").alias(key), "event_id", F.timestamp_micros("overdue_at").cast("timestamp_ntz").alias("overdue_at"))
 
 

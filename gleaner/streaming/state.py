@@ -8,10 +8,12 @@ the watermark's delay and the trigger, not by how long the key has been active.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,19 +32,23 @@ def rocksdb(spark: SparkSession):
         spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
 
-def plain(value):
-    """A numpy value as the Python value a state row holds; NaN and NaT as None."""
-    if value is None or value != value:
-        return None
-    return value.item() if hasattr(value, "item") else value
+KINDS = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+FEW = 1_000  # rows a key keeps beside its memory; more are stored as pieces
+PIECE = 20_000  # rows of a piece
+HELD = 500_000  # rows that are in Python at a time
+STEP = 50_000  # rows worked on at a time
 
 
 class InOrder(StatefulProcessor):
-    """Hands a key's rows on in the order of their first columns, micros first.
+    """Hands a key's rows on in the order of their columns, micros first.
 
     ``row`` is the shape of a row (its first column the event time in micros), ``memory``
     that of what a key remembers. Subclasses say what it starts with, what the rows that are
     due make of it (giving output tuples), and until when, in micros, it has to be kept.
+
+    Waiting rows are Arrow columns. Many are sorted runs in pieces, known by their first and
+    last times, and are merged as they fall due, so Python holds a part of a key at a time:
+    only rows of one moment, or as many arrivals that each span all of the time, are more.
     """
 
     row = "at long"
@@ -52,44 +58,119 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.kept = handle.getValueState("kept", self.memory)
+        self.schema = pa.schema([(c.split()[0], KINDS[c.split()[1]]) for c in self.row.split(", ")])
+        self.pieces = handle.getMapState("pieces", "id long", "rows binary")
+        self.kept = handle.getValueState("kept", f"{self.memory}, few binary, places binary, timer long")
 
-    def due(self, key: tuple, rows: list[tuple], memory: tuple) -> tuple[list[tuple], tuple]:
+    def due(self, key: tuple, rows: Iterable[tuple], memory: tuple) -> tuple[list[tuple], tuple]:
         raise NotImplementedError
 
     def expires(self, memory: tuple) -> int | None:
-        """When a key without waiting rows can be forgotten; None: never."""
+        """When what a key remembers is over; None: never."""
         return None
 
+    def over(self, key: tuple, memory: tuple) -> list[tuple]:
+        """What is told when the memory is over."""
+        return []
+
+    def wake(self, first: int, last: int) -> int:
+        """The time that the watermark must have passed for waiting rows from ``first`` to ``last`` to be looked at."""
+        return last
+
+    def _read(self) -> tuple[tuple, pa.Table, list[tuple], int | None]:
+        """Memory, the few rows, the pieces' (id, first time, last time), and the next timer."""
+        if not self.kept.exists():
+            return self.start, self.schema.empty_table(), [], None
+        *memory, few, places, timer = self.kept.get()
+        return tuple(memory), self._table(few), [tuple(p) for p in np.frombuffer(places or b"", np.int64).reshape(-1, 3).tolist()], timer
+
+    def _table(self, rows: bytes | None) -> pa.Table:
+        return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(bytes(rows)), self.schema)] if rows else [], self.schema)
+
+    def _bytes(self, table: pa.Table) -> bytes | None:
+        return table.combine_chunks().to_batches()[0].serialize().to_pybytes() if table.num_rows else None
+
+    def _write(self, memory: tuple, few: pa.Table, places: list[tuple], timer: int | None) -> None:
+        self.kept.update((*memory, self._bytes(few), np.array(places, np.int64).tobytes() if places else None, timer))
+
+    def _sorted(self, tables: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(tables).combine_chunks()
+        return table if table.num_rows < 2 else table.sort_by([(c, "ascending") for c in self.schema.names])
+
+    def _store(self, table: pa.Table, places: list[tuple]) -> list[tuple]:
+        """Writes a sorted run as pieces; all places."""
+        free, at = max((p[0] for p in places), default=-1) + 1, table.column(0)
+        for i, begin in enumerate(range(0, table.num_rows, PIECE)):
+            part = table.slice(begin, PIECE)
+            self.pieces.updateValue((free + i,), (self._bytes(part),))
+            places = [*places, (free + i, at[begin].as_py(), at[begin + part.num_rows - 1].as_py())]
+        return places
+
+    def _ready(self, few: pa.Table, places: list[tuple], behind: int) -> Iterator[tuple[pa.Table, pa.Table]]:
+        """The rows before ``behind``, in order and one part after the other, each with those that are left."""
+        held, most = [few], HELD
+        for i, (piece, _, _) in enumerate(places):
+            held.append(self._table(self.pieces.getValue((piece,))[0]))
+            self.pieces.removeKey((piece,))
+            if i + 1 < len(places) and sum(t.num_rows for t in held) >= most:
+                table = self._sorted(held)
+                cut = int(np.searchsorted(table.column(0).to_numpy(), min(places[i + 1][1], behind)))
+                yield table.slice(0, cut), table.slice(cut)
+                held = [table.slice(cut)]
+                most = max(HELD, 2 * held[0].num_rows)
+        table = self._sorted(held)
+        cut = int(np.searchsorted(table.column(0).to_numpy(), behind))
+        yield table.slice(0, cut), table.slice(cut)
+
+    def _timer(self, times: list[int], timer: int | None = None) -> int | None:
+        """Registers the first of the times, if there is one and no earlier timer."""
+        if times and (timer is None or min(times) // 1000 + 1 < timer):
+            timer = min(times) // 1000 + 1
+            self.handle.registerTimer(timer)
+        return timer
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in self.row.split(", ")]
-        fresh = [tuple(plain(v) for v in r) for pdf in rows for r in pdf[names].itertuples(index=False)]
-        if fresh:
-            self.waiting.appendList(fresh)
-            if not list(self.handle.listTimers()):
-                self.handle.registerTimer(max(r[0] for r in fresh) // 1000 + 1)
+        memory, few, places, timer = self._read()
+        held, first, last = [few], None, None
+        for pdf in rows:
+            fresh = pa.Table.from_arrays([pa.array(pdf[f.name].to_numpy(), f.type, from_pandas=True) for f in self.schema], schema=self.schema)
+            low, high = int(pdf[self.schema.names[0]].min()), int(pdf[self.schema.names[0]].max())
+            first, last = (low, high) if first is None else (min(first, low), max(last, high))
+            held.append(fresh)
+            if sum(t.num_rows for t in held) >= HELD:
+                places, held = self._store(self._sorted(held), places), [self.schema.empty_table()]
+        if first is not None:
+            if sum(t.num_rows for t in held) > FEW:
+                places, held = self._store(self._sorted(held), places), [self.schema.empty_table()]
+            self._write(memory, pa.concat_tables(held), places, self._arrived(first, last, timer))
         yield from ()
 
+    def _arrived(self, first: int, last: int, timer: int | None) -> int | None:
+        return self._timer([self.wake(first, last)]) if timer is None else timer
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         behind = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        ready, later = [r for r in rows if r[0] < behind], [r for r in rows if r[0] >= behind]
-        memory = tuple(self.kept.get()) if self.kept.exists() else self.start
-        made: list[tuple] = []
-        if ready:
-            made, memory = self.due(key, ready, memory)
-            self.kept.update(memory)
-            self.waiting.put(later) if later else self.waiting.clear()
+        memory, few, places, _ = self._read()
+        later = sorted((p for p in places if p[1] >= behind), key=lambda p: p[1])
+        for ready, rest in self._ready(few, sorted((p for p in places if p[1] < behind), key=lambda p: p[1]), behind):
+            for begin in range(0, ready.num_rows, STEP):
+                made, memory = self.due(key, zip(*(c.to_pylist() for c in ready.slice(begin, STEP).columns)), memory)
+                if made:
+                    yield pd.DataFrame(made, columns=list(self.out))
+        if rest.num_rows > FEW:
+            later, rest = self._store(rest, later), rest.slice(0, 0)
         end = self.expires(memory)
-        if later:
-            self.handle.registerTimer(max(r[0] for r in later) // 1000 + 1)
-        elif end is not None and end < behind:
+        if end is not None and end < behind:
+            if made := self.over(key, memory):
+                yield pd.DataFrame(made, columns=list(self.out))
+            memory, end = self.start, None
+        if rest.num_rows or later:
+            ends = [*(rest.column(0)[i].as_py() for i in (0, -1) if rest.num_rows), *(t for p in later for t in p[1:])]
+            self._write(memory, rest, later, self._timer([self.wake(min(ends), max(ends)), *([] if end is None else [end])]))
+        elif memory == self.start:
             self.kept.clear()
-        elif end is not None:
-            self.handle.registerTimer(end // 1000 + 1)
-        if made:
-            yield pd.DataFrame(made, columns=list(self.out))
+        else:
+            self._write(memory, rest, [], self._timer([] if end is None else [end]))
 
     def close(self) -> None:
         pass
@@ -150,58 +231,43 @@ class Lockouts(InOrder):
         return memory[1]
 
 
-class Overdue(StatefulProcessor):
-    """Events of one status after which nothing came for ``micros``: the timer of each tells.
+class Overdue(InOrder):
+    """Events that run after which nothing came for ``micros``: told by the next event, or by a timer where none came.
 
-    A key remembers its events from the oldest whose timer still runs, or those the
-    watermark has not passed.
+    A key remembers its last event that the watermark has passed, and forgets it when that is told or does not run.
     """
 
+    row = "at long, event_id long, runs boolean"
+    memory = "last long, last_id long, last_runs boolean"
+    start = (None, None, False)
+    out = ("key", "event_id", "overdue_at")
     shape = "key long, event_id long, overdue_at long"
 
-    def __init__(self, status: str, micros: int):
-        self.status, self.micros = status, micros
+    def __init__(self, micros: int):
+        self.micros = micros
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState("events", "at long, event_id long, runs boolean")
-
-    def timer(self, at: int) -> int:
-        """The first millisecond that lies more than ``micros`` after ``at``."""
-        return (at + self.micros) // 1000 + 1
+    def due(self, key, rows, memory):
+        last, last_id, runs = memory
+        made = []
+        for at, event_id, now in rows:
+            if runs and at - last > self.micros:
+                made.append((key[0], last_id, last + self.micros))
+            last, last_id, runs = at, event_id, now
+        return made, (last, last_id, runs)
 
-    def kept(self, behind: int) -> list[tuple]:
-        events = sorted(tuple(e) for e in self.events.get()) if self.events.exists() else []
-        first = min([behind, *(e[0] for e in events if e[2])])
-        return [e for e in events if e[0] >= first]
+    def expires(self, memory):
+        last, _, runs = memory
+        return last + self.micros if runs else last
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = self.kept(timerValues.getCurrentWatermarkInMs() * 1000)
-        for pdf in rows:
-            for at, event_id, status in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["status"].tolist()):
-                events.append((at, event_id, status == self.status))
-                if status == self.status:
-                    self.handle.registerTimer(self.timer(at))
-        self.events.put(events)
-        yield from ()
+    def over(self, key, memory):
+        last, last_id, runs = memory
+        return [(key[0], last_id, last + self.micros)] if runs else []
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        events = sorted(tuple(e) for e in self.events.get()) if self.events.exists() else []
-        made = []
-        for i, (at, event_id, runs) in enumerate(events):
-            if runs and self.timer(at) <= now:
-                events[i] = (at, event_id, False)
-                if i + 1 == len(events) or events[i + 1][0] - at > self.micros:
-                    made.append((key[0], event_id, at + self.micros))
-        first = min([timerValues.getCurrentWatermarkInMs() * 1000, *(e[0] for e in events if e[2])])
-        events = [e for e in events if e[0] >= first]
-        self.events.put(events) if events else self.events.clear()
-        if made:
-            yield pd.DataFrame(made, columns=["key", "event_id", "overdue_at"])
+    def wake(self, first, last):
+        return first + self.micros
 
-    def close(self) -> None:
-        pass
+    def _arrived(self, first, last, timer):
+        return self._timer([self.wake(first, last)], timer)
 
 
 def per_key(rows: DataFrame, key: str, processor) -> DataFrame:
