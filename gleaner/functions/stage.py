@@ -21,13 +21,17 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a small input before heavy per-row work.
+ROWS_A_TASK = 100_000
 
-    A table in fewer pieces than there are cores would leave cores idle; it is small, so
-    moving it is cheap. A large table already has more pieces and is left as it is.
+
+def spread(df: DataFrame, rows: int = ROWS_A_TASK) -> DataFrame:
+    """Deal a table that was read from files out for heavy per-row work.
+
+    A table in fewer pieces than there are cores would leave cores idle, and one whose pieces
+    hold more than ``rows`` rows has tasks that grow with its files; narrow rows are many in a
+    small file. Counting reads no columns. A table that has enough pieces is left as it is.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df if df.rdd.getNumPartitions() >= pieces else df.repartition(pieces)

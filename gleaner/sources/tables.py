@@ -7,11 +7,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.stage import spread
+from gleaner.functions.stage import ROWS_A_TASK, spread
 
 EVENTS_AS_OF = "2024-01-31"
 ORDERS_AS_OF = "2001-08-01"
 ARTICLES_AS_OF = "2024-03-01"
+PAGES_A_TASK = 5_000  # a page costs milliseconds, and its words are many rows
 
 
 class Tables:
@@ -24,13 +25,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def even(self, name: str) -> DataFrame:
-        """A table for heavy per-row work: small ones are spread over all cores."""
-        return spread(self.raw(name))
+    def even(self, name: str, rows: int = ROWS_A_TASK) -> DataFrame:
+        """A table for heavy per-row work: small ones are spread over all cores, large ones over tasks of at most ``rows`` rows or so."""
+        return spread(self.raw(name), rows)
 
     @cached_property
     def pages(self) -> DataFrame:
-        return self.even("pages").select("page_id", "url", "html")
+        return self.even("pages", PAGES_A_TASK).select("page_id", "url", "html")
 
     @cached_property
     def articles(self) -> DataFrame:
