@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import dates as D
@@ -24,12 +24,21 @@ def block_doc_freq(pages: DataFrame) -> DataFrame:
     sized = blocks.filter(F.size("blocks") > 0).select(
         "page_id", "blocks", F.size("blocks").cast("bigint").alias("n"), F.round(mean, 4).alias("mean_length")
     )
-    rows = sized.select("page_id", "n", "mean_length", F.explode(F.flatten(F.transform("blocks", lambda b: F.array_distinct(tokens(b["text"]))))).alias("token"))
+    held = F.array_sort(F.flatten(F.transform("blocks", lambda b: F.array_distinct(tokens(b["text"])))))
+    rows = sized.select("page_id", "n", "mean_length", F.explode(bind(held, counted)).alias("t")).select("page_id", "n", "mean_length", "t.*")
     return rows.groupBy("page_id", "token").agg(
-        F.count("*").alias("df"), F.first("n").alias("blocks"), F.first("mean_length").alias("mean_length")
+        F.sum("df").alias("df"), F.first("n").alias("blocks"), F.first("mean_length").alias("mean_length")
     )
 
 
+def counted(held: Column) -> Column:
+    """array<struct(token, df)> of a sorted array: each value once, with how often it is there."""
+    begins = F.filter(F.transform(held, lambda t, i: F.when((i == 0) | (F.get(held, i - 1) != t), i)), lambda i: i.isNotNull())
+    size = F.size(held)
+    runs = lambda at: F.transform(at, lambda i, k: F.struct(F.get(held, i).alias("token"), (F.coalesce(F.get(at, k + 1), size) - i).cast("long").alias("df")))
+    return bind(begins, runs)
+
+
 def filter_choice(pages: DataFrame) -> DataFrame:
     """Pruned markup against its most relevant blocks: keep the pruned text when it holds at
     least 80 % of the other's length; under 100 characters the other one, or the raw page."""
