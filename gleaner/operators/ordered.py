@@ -27,6 +27,17 @@ def time_bucket(ts: Column, seconds: int = BUCKET_SECONDS) -> Column:
 
 
 CROWD = 100_000
+ROWS_A_TASK = 200_000
+
+
+def enough_tasks(df: DataFrame, rows: int | None = None) -> int | None:
+    """Tasks of some ``rows`` rows each for a table with many; None where the cores are enough.
+
+    Spark joins small shuffle pieces to some size on disk, and narrow sorted rows take many
+    times that in memory, once in every window and join of a stage.
+    """
+    tasks = -(-df.count() // (rows or ROWS_A_TASK))
+    return tasks if tasks > df.sparkSession.sparkContext.defaultParallelism else None
 
 
 def bucketed(df: DataFrame, key: list[str], bucket: Column, order: list[str], crowd: int | None = None) -> DataFrame:
@@ -51,12 +62,16 @@ def bucketed(df: DataFrame, key: list[str], bucket: Column, order: list[str], cr
     return joined.drop("_cell", "_rows", *(f"_{n}{i}" for i in range(len(places)) for n in ("lo", "hi")))
 
 
-def scanned(df: DataFrame, key: list[str], bucket: Column, order: list[str], crowd: int | None = None, **values: tuple[str, Column]) -> DataFrame:
-    """Adds running values per key. Each is (how, of what): "sum" and "max" up to a row, "before" the greatest of the rows before it."""
+def scanned(df: DataFrame, key: list[str], bucket: Column, order: list[str], crowd: int | None = None, tasks: int | None = None, **values: tuple[str, Column]) -> DataFrame:
+    """Adds running values per key. Each is (how, of what): "sum" and "max" up to a row, "before" the greatest of the rows before it.
+
+    ``tasks``: over how many tasks the buckets are dealt, where that is not left to Spark.
+    """
     _, running, per_key = _windows(key, order)
     ahead = {"sum": running, "max": running, "before": running.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)}
     fold = lambda how: F.sum if how == "sum" else F.max
-    local = bucketed(df, key, bucket, order, crowd).withColumns({f"_{n}": v for n, (_, v) in values.items()})
+    cut = bucketed(df, key, bucket, order, crowd)
+    local = (cut.repartition(tasks, *key, "_bucket") if tasks else cut).withColumns({f"_{n}": v for n, (_, v) in values.items()})
     local = local.withColumns({n: fold(how)(f"_{n}").over(ahead[how]) for n, (how, _) in values.items()})
     sums = local.groupBy(*key, "_bucket").agg(*(fold(how)(f"_{n}").alias(f"_{n}") for n, (how, _) in values.items()))
     earlier = per_key.rowsBetween(Window.unboundedPreceding, -1)
@@ -310,26 +325,26 @@ def login_verdicts(attempts: DataFrame, limit: int = 5, ttl: int = 900, crowd: i
     the lock's end. That makes chains, and the true locks are what the first of a source
     leads to, found by doubling steps. No source is ever in one task.
     """
-    key, order = ["ip"], ["moment", "event_id"]
+    key, order, tasks = ["ip"], ["moment", "event_id"], enough_tasks(attempts)
     slot = lambda c: F.floor(F.col(c) / (BUCKET_SECONDS * 1_000_000))
     micros, zero = ttl * 1_000_000, F.lit(0).cast("long")
     fail = F.col("kind") == "failure"
     one = lambda c: F.when(c, 1).otherwise(0).cast("long")
-    counted = scanned(attempts.select(*key, *order, "kind"), key, slot("moment"), order, crowd, fi=("sum", one(fail)), si=("sum", one(F.col("kind") == "success")))
-    seen = scanned(counted, key, slot("moment"), order, crowd, last=("before", F.when(fail, F.struct("fi", "moment", "si"))))
+    counted = scanned(attempts.select(*key, *order, "kind"), key, slot("moment"), order, crowd, tasks, fi=("sum", one(fail)), si=("sum", one(F.col("kind") == "success")))
+    seen = scanned(counted, key, slot("moment"), order, crowd, tasks, last=("before", F.when(fail, F.struct("fi", "moment", "si"))))
     fresh = fail & (F.col("last").isNull() | (F.col("last.si") != F.col("si")) | (F.col("moment") - F.col("last.moment") >= micros))
-    rows = settle(scanned(seen, key, slot("moment"), order, crowd, begun=("max", F.when(fresh, F.col("fi")))), "login-runs")
+    rows = settle(scanned(seen, key, slot("moment"), order, crowd, tasks, begun=("max", F.when(fresh, F.col("fi")))), "login-runs")
 
     able = settle(rows.where(fail & (F.col("fi") - F.col("begun") + 1 >= limit)).select("ip", F.col("fi").alias("j"), F.col("moment").alias("at")), "login-able")
     # The failures before a lock's end, were it one, give the number of the first that counts again.
     ends = able.select("ip", (F.col("at") + micros).alias("moment"), zero.alias("tag"), "j", "at")
     failures = rows.where(fail).join(able.select("ip").distinct(), "ip", "left_semi").select("ip", "moment", F.lit(1).cast("long").alias("tag"), F.col("fi").alias("j"), F.lit(None).cast("long").alias("at"))
-    passed = scanned(failures.unionByName(ends), key, slot("moment"), ["moment", "tag", "j"], crowd, before=("max", F.when(F.col("tag") == 1, F.col("j"))))
+    passed = scanned(failures.unionByName(ends), key, slot("moment"), ["moment", "tag", "j"], crowd, tasks, before=("max", F.when(F.col("tag") == 1, F.col("j"))))
     able = settle(passed.where("tag = 0").select("ip", "j", "at", (F.col("before") + 1).alias("again")), "login-again")
     # Among those that may lock, by number: which comes first from ``again + limit - 1`` on.
     asks = able.select("ip", (F.col("again") + limit - 1).alias("number"), zero.alias("tag"), "j", "at", "again")
     nodes = able.select("ip", F.col("j").alias("number"), F.lit(1).cast("long").alias("tag"), "j", "at", "again")
-    placed = settle(scanned(nodes.unionByName(asks), key, F.floor(F.col("number") / CROWD), ["number", "tag", "j"], crowd, rank=("sum", F.col("tag"))), "login-ranks")
+    placed = settle(scanned(nodes.unionByName(asks), key, F.floor(F.col("number") / CROWD), ["number", "tag", "j"], crowd, tasks, rank=("sum", F.col("tag"))), "login-ranks")
     nodes = placed.where("tag = 1").select("ip", "rank", "j", "at", "again")
     to = placed.where("tag = 0").select("ip", "j", (F.col("rank") + 1).alias("to"))
     steps = nodes.select("ip", "j", F.col("rank").alias("node")).join(to, ["ip", "j"]).join(nodes.select("ip", F.col("rank").alias("to")), ["ip", "to"], "left_semi").select("ip", "node", "to")
@@ -337,7 +352,7 @@ def login_verdicts(attempts: DataFrame, limit: int = 5, ttl: int = 900, crowd: i
     locks = nodes.join(true.withColumnRenamed("node", "rank"), ["ip", "rank"]).select("ip", F.col("j").alias("fi"), F.struct("j", "at", "again").alias("lock"))
 
     numbered = rows.where(fail).join(settle(locks, "login-locks"), ["ip", "fi"], "left").unionByName(rows.where(~fail | F.col("kind").isNull()).withColumn("lock", F.lit(None).cast("struct<j:bigint,at:bigint,again:bigint>")))
-    held = scanned(numbered, key, slot("moment"), order, crowd, held=("before", F.col("lock")))
+    held = scanned(numbered, key, slot("moment"), order, crowd, tasks, held=("before", F.col("lock")))
     locked = F.coalesce(F.col("moment") < F.col("held.at") + micros, F.lit(False))
     start = F.greatest("begun", F.coalesce("held.again", F.lit(1).cast("long")))
     kept = (F.col("last.si") == F.col("si")) & (F.col("moment") - F.col("last.moment") < micros) & (F.col("last.fi") >= start)

@@ -30,3 +30,36 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     made = spark.range(20).selectExpr("id AS doc_id", f"IF(id % 2 = 0, {text}, 'twin. text') AS text", "'s' AS source", "'en' AS lang")
     made.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     assert runner(load()["stream_dedup"])(spark, str(tmp_path)).count() == 11
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, tmp_path):
+    from gleaner.functions.stage import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    made = spread(spark.read.parquet(str(tmp_path / "t")), 50)
+    counts = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 1000 and len(counts) == 20 and max(counts) <= 60
+
+
+def test_words_are_counted_before_they_become_rows(spark):
+    from gleaner.operators import pages as op
+
+    pages = [(1, "<p>green solar solar</p><p>solar power now</p>"), (1, "<p>solar park here</p>"), (None, "<p>solar again ok</p>"), (2, None)]
+    df = with_nodes(spark.createDataFrame(pages, "page_id long, html string").withColumn("url", F.lit("http://a.b/")))
+    got = op.block_doc_freq(df)
+    assert {(r.page_id, r.token): r.df for r in got.collect()} == {
+        (1, "green"): 1, (1, "solar"): 3, (1, "power"): 1, (1, "now"): 1, (1, "park"): 1, (1, "here"): 1, (None, "solar"): 1, (None, "again"): 1, (None, "ok"): 1
+    }
+    held = spark.createDataFrame([(["a", "b", "b", "c"],), ([],)], "w array<string>")
+    assert [[tuple(t) for t in r[0]] for r in held.select(op.counted(F.col("w"))).collect()] == [[("a", 1), ("b", 2), ("c", 1)], []]
+
+
+def test_lockouts_over_more_tasks(spark, monkeypatch):
+    from gleaner.operators import ordered
+
+    tries = spark.range(400).selectExpr("id % 2 AS ip", "(id * id % 977) * 20000000 AS moment", "id AS event_id", "IF(id % 7 = 0, 'success', 'failure') AS kind")
+    want = sorted(map(tuple, ordered.login_verdicts(tries).collect()))
+    assert ordered.enough_tasks(tries) is None
+    monkeypatch.setattr(ordered, "ROWS_A_TASK", 20)
+    assert ordered.enough_tasks(tries) == 20
+    assert sorted(map(tuple, ordered.login_verdicts(tries).collect())) == want
