@@ -63,3 +63,13 @@ def test_lockouts_over_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(ordered, "ROWS_A_TASK", 20)
     assert ordered.enough_tasks(tries) == 20
     assert sorted(map(tuple, ordered.login_verdicts(tries).collect())) == want
+
+
+def test_state_stores_reserve_no_disk(spark):
+    from gleaner.streaming import state
+
+    name = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+    before = spark.conf.get(name, None)
+    with state.rocksdb(spark):
+        assert spark.conf.get(name) == "false"
+    assert spark.conf.get(name, None) == before
