@@ -161,10 +161,17 @@ def last_states(log: DataFrame, key: list[str], order: list[str], columns: list[
 
 
 def overdue(log: DataFrame, key: str, status: str, seconds: int, delay: str = "10 minutes", finite: bool = True) -> DataFrame:
-    """Events (key, event_id) of a status after which a key was silent for ``seconds``: a timer of each tells. Keys are numbers."""
+    """Events (key, event_id) of a status after which a key was silent for ``seconds``: they are the last of their session. Keys are numbers.
+
+    An event at the very end of a session's window still belongs to it; a session is told once the watermark has come to
+    that end. Sessions are Spark's own state: a key costs what its rows cost.
+    """
     timed = log.where("ts IS NOT NULL").select(F.col(key).cast("long").alias("key"), moment("ts").alias("ts"), micros("ts").alias("at"), "event_id", F.col("status").eqNullSafe(status).alias("runs"))
     ending = Ending(timed, "ts", delay)
-    found = drain_to_table(state.per_key(ending.rows, "key", state.Overdue(seconds * 1_000_000)), "overdue", ending if finite else None)
+    last = F.max(F.struct("at", F.col("event_id").isNull().alias("nameless"), "event_id", "runs")).alias("last")
+    sessions = ending.rows.groupBy("key", F.session_window("ts", f"{seconds} seconds").alias("session")).agg(last)
+    told = sessions.where("last.runs").select("key", "last.event_id", (F.col("last.at") + seconds * 1_000_000).alias("overdue_at"))
+    found = drain_to_table(told, "overdue", ending if finite else None)
     return found.select(F.col("key").alias(key), "event_id", F.timestamp_micros("overdue_at").cast("timestamp_ntz").alias("overdue_at"))
 
 

@@ -160,3 +160,21 @@ def test_lockouts_and_newest_rows_in_any_order(dealt, spark):
     newest = jobs.last_states(stream, ["ip"], ["event_id"], ["kind"], "newest").collect()
     last = {r[0]: (r[2], r[3]) for r in sorted(rows, key=lambda r: r[2])}
     assert {r.ip: (r.event_id, r.kind) for r in newest} == last
+
+
+def test_silence_is_that_of_the_last_event_of_a_session(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from gleaner.streaming import state
+
+    monkeypatch.setattr(state, "per_key", None)  # no Python for each key
+
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    seen = [(1, 0, 10, "a"), (1, 300, 11, "a"), (1, 600.000001, 12, "b"), (2, 0, 20, "a"), (2, 0, 21, "a"), (2, 0, 21, "a"), (3, 0, 30, "b"), (3, 0, None, "a"), (None, 5, 40, "a"), (4, None, 50, "a")]
+    log = [(k, None if s is None else at(s), i, x) for k, s, i, x in seen]
+    spark.createDataFrame(log, "ip bigint, ts timestamp_ntz, event_id bigint, status string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    told = jobs.overdue(jobs.table_stream(spark, str(tmp_path), "events"), "ip", "a", 300)
+    # 300 s are no silence, a microsecond more is; of one moment the greatest event_id is the last, none is after all.
+    want = {(1, 11, at(600)), (2, 21, at(300)), (3, None, at(300)), (None, 40, at(305))}
+    assert {tuple(r) for r in told.collect()} == want and told.count() == 4
