@@ -7,16 +7,17 @@ above); a(h) makes the words after h sum to exactly one. A history that training
 hands on to h' unchanged; one whose followers leave nothing over lends one extra count.
 
 Texts are read PASSES times, each time for the n-grams of another part of the buckets, so that
-what is on its way to the buckets takes a part of the disk only.
+what is on its way to the buckets takes a part of the disk only; Spark deletes the shuffle files
+of a pass as soon as its table is written.
 
 Every order has its table of counts, partitioned into buckets by history, nearest word first.
 Chunks of documents send their distinct n-grams to the longest order's buckets, as packed
 blocks; a bucket adds them up, and sends its distinct shorter n-grams with their counts to
 the buckets of the next order, down to single words. Probabilities come back the same way:
 each order takes those of the order below, adds discounts and backoff weights and answers
-whoever asked, last of all the chunks, which add up logarithms for their documents. What
-holds an n-gram's documents never leaves the chunk's own row. Counts of all documents take
-part; nothing is pruned.
+whoever asked, last of all the chunks, which add up logarithms for their documents, again in
+PASSES passes. What holds an n-gram's documents never leaves the chunk's own row. Counts of
+all documents take part; nothing is pruned.
 
 Histories with much of a bucket's share of the tokens are dealt over several buckets by the
 word that follows in the order of columns. Where that splits the followers of a full history,
@@ -28,8 +29,6 @@ what counts.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pandas as pd
 import zstandard
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import PLACES, WordHashes, mix
-from gleaner.session import fresh_path, settle
+from gleaner.session import fresh_path, one_use_shuffles, settle
 
 ORDER = 3
 KMAX = 5
@@ -495,23 +494,43 @@ def logged(words: int, totals: Totals, folder: str, buckets: int, hot: list):
     return run
 
 
+def added(frame: pd.DataFrame, totals: Totals, folder: str, buckets: int, turn: int) -> tuple[int, list[np.ndarray], list[np.ndarray]]:
+    """A chunk, its documents' rows, and their sums (score, base score, known tokens) of this pass and those before it."""
+    chunk = int(frame.chunk.iat[0])
+    *about, spread, doc, count = stored(folder, DOCUMENTS, chunk % buckets, chunk * PASSES + turn)
+    n, now = len(about[0]), frame[frame.bucket >= 0].sort_values("bucket")
+    if len(now) < len(frame):
+        score, base, known = unpack(frame.block[frame.bucket < 0].iat[0])
+    else:
+        score, base, known = np.zeros(n), np.full(n, totals.base(totals.ends)), np.full(n, totals.ends > 0)
+    if len(now):
+        parts = [unpack(x) for x in now.block]
+        runs, word = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (1, 2))
+        word = np.repeat(word, runs)
+        logs = np.concatenate([p[0] for p in parts])
+        gram = np.repeat(np.arange(len(logs)), spread)
+        score = score + np.bincount(doc, count * logs[gram], minlength=n)
+        base = base + np.bincount(doc, count * np.where(word > 0, totals.base(np.maximum(word - 1, 0)), 0.0)[gram], minlength=n)
+        known = known.astype(np.int64) + np.bincount(doc, count * (word > 1)[gram], minlength=n).astype(np.int64)
+    return chunk, about, [score, base, known.astype(np.int64)]
+
+
+def carried(totals: Totals, folder: str, buckets: int, turn: int):
+    """A chunk's sums so far, for the next pass."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        chunk, _, sums = added(frame, totals, folder, buckets, turn)
+        return pd.DataFrame([(chunk, -1, pack(*sums))], columns=["chunk", "bucket", "block"], dtype=object)
+
+    return run
+
+
 def scores(totals: Totals, folder: str, buckets: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        chunk, score = int(frame.chunk.iat[0]), 0.0
-        base, known = totals.base(totals.ends), int(totals.ends > 0)
-        for turn, part in frame.groupby(frame.bucket.astype(int) % PASSES):
-            ids, has_id, learn, lengths, spread, doc, count = stored(folder, DOCUMENTS, chunk % buckets, chunk * PASSES + int(turn))
-            parts = [unpack(x) for x in part.sort_values("bucket").block]
-            runs, word = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (1, 2))
-            word = np.repeat(word, runs)
-            logs = np.concatenate([p[0] for p in parts])
-            gram, n = np.repeat(np.arange(len(logs)), spread), len(ids)
-            score = score + np.bincount(doc, count * logs[gram], minlength=n)
-            base = base + np.bincount(doc, count * np.where(word > 0, totals.base(np.maximum(word - 1, 0)), 0.0)[gram], minlength=n)
-            known = known + np.bincount(doc, count * (word > 1)[gram], minlength=n).astype(np.int64)
+        _, (ids, has_id, learn, lengths), (score, base, known) = added(frame, totals, folder, buckets, PASSES - 1)
         return pd.DataFrame({
             "doc_id": pd.array(ids.astype(np.uint64).view(np.int64), "Int64").copy() if has_id.all() else pd.array([int(i) if h else None for i, h in zip(ids.astype(np.uint64).view(np.int64), has_id)], "Int64"),
-            "held_out": ~learn, "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": np.full(n, totals.tokens), "base_score": base, "score": score,
+            "held_out": ~learn, "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": np.full(len(ids), totals.tokens), "base_score": base, "score": score,
         })
 
     return run
@@ -547,10 +566,8 @@ def scored(docs: DataFrame, learn, order: int = ORDER) -> DataFrame:
         else:
             asked = [each(k + 1).groupBy("bucket").applyInPandas(asking(k + 1, folder[k + 1], buckets, hot), BLOCK)]
         for part in asked:
-            part.groupBy("bucket").applyInPandas(counted(k, buckets, hot), COUNTS).write.mode("append").partitionBy("kind", "bucket").parquet(folder[k])
-            # Lets Spark's cleaner delete the shuffle files of the pass before the next one writes its own.
-            gc.collect()
-            spark._jvm.System.gc()
+            with one_use_shuffles(spark):
+                part.groupBy("bucket").applyInPandas(counted(k, buckets, hot), COUNTS).write.mode("append").partitionBy("kind", "bucket").parquet(folder[k])
     figures, split = {}, {}
     for k in folder:
         got = {r.pos: r.n for r in kind(k, STATS).select(F.posexplode("figures")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
@@ -563,7 +580,8 @@ def scored(docs: DataFrame, learn, order: int = ORDER) -> DataFrame:
     answers, spent = each(1), None
     for k in range(1, order):
         path = fresh_path(spark, "katz-answers")
-        answers.groupBy("bucket").applyInPandas(answered(k, totals, folder[k], buckets, hot), ANSWER).write.parquet(path)
+        with one_use_shuffles(spark):
+            answers.groupBy("bucket").applyInPandas(answered(k, totals, folder[k], buckets, hot), ANSWER).write.parquet(path)
         for old in filter(None, (spent, folder[k])):
             discard(spark, old)
         answers, spent = spark.read.schema(ANSWER).parquet(path), path
@@ -573,5 +591,14 @@ def scored(docs: DataFrame, learn, order: int = ORDER) -> DataFrame:
             sums = answers.join(within, "bucket", "left_semi").groupBy("bucket").applyInPandas(lowered(k + 1, folder[k + 1], buckets, hot), LOWER)
             for r in sums.groupBy("history").agg(F.sum("lower").alias("lower")).collect():
                 lower[np.searchsorted(ids, np.array([r.history], np.int64).view(np.uint64)[0])] = r.lower
-    logs = answers.groupBy("bucket").applyInPandas(logged(order, totals, folder[order], buckets, hot), LOGS)
-    return logs.groupBy("chunk").applyInPandas(scores(totals, folder[order], buckets), SCORES)
+    # Chunks add up their logarithms in passes as well, and hand on a few numbers for each document.
+    before = None
+    for turn in range(PASSES):
+        logs = answers.where(F.col("bucket") % PASSES == turn).groupBy("bucket").applyInPandas(logged(order, totals, folder[order], buckets, hot), LOGS)
+        by_chunk = (logs.unionByName(before) if before else logs).groupBy("chunk")
+        if turn + 1 < PASSES:
+            path = fresh_path(spark, "katz-carried")
+            with one_use_shuffles(spark):
+                by_chunk.applyInPandas(carried(totals, folder[order], buckets, turn), LOGS).write.parquet(path)
+            before = spark.read.schema(LOGS).parquet(path)
+    return by_chunk.applyInPandas(scores(totals, folder[order], buckets), SCORES)

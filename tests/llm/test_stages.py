@@ -123,3 +123,14 @@ def test_pieces(spark, docs):
 @pytest.mark.parametrize("name", [n for n in STAGES])
 def test_empty(spark, docs, name):
     assert STAGES[name](spark, docs.limit(0), SF).count() == 0
+
+
+def test_katz_chunks_add_up_in_passes(spark, monkeypatch):
+    from gleaner.llm import katz
+
+    turns, carried = [], katz.carried
+    monkeypatch.setattr(katz, "carried", lambda *a: turns.append(a[-1]) or carried(*a))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j * i % 7}" for j in range(i))) for i in range(12)] + [(None, None)], "doc_id long, text string")
+    got = katz.scored(docs, F.col("doc_id") % 3 != 1).collect()
+    assert turns == list(range(katz.PASSES - 1)) and len(turns) > 0
+    assert sorted(r.n_tokens for r in got) == [1, *range(1, 13)] and all(r.score <= 1e-9 for r in got)

@@ -73,3 +73,24 @@ def test_state_stores_reserve_no_disk(spark):
     with state.rocksdb(spark):
         assert spark.conf.get(name) == "false"
     assert spark.conf.get(name, None) == before
+
+
+def test_shuffles_of_one_write_are_deleted_with_it(spark, tmp_path):
+    import os
+    import time
+
+    from gleaner.session import one_use_shuffles
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    held = lambda: {f for d in folders for _, _, fs in os.walk(d) for f in fs if f.endswith(".data")}
+    kept = spark.range(1000).repartition(8, "id").groupBy("id").count()
+    kept.write.parquet(str(tmp_path / "kept"))
+    first = held()
+    with one_use_shuffles(spark):
+        spark.range(1000).repartition(8, "id").write.parquet(str(tmp_path / "freed"))
+    for _ in range(20):
+        if not held() - first:
+            break
+        time.sleep(0.5)
+    assert first and not held() - first
+    assert spark.read.parquet(str(tmp_path / "freed")).count() == 1000
