@@ -14,7 +14,8 @@ path with the longer last piece stays. (The library adds up in single precision
 text, so which of equal paths it takes hangs on rounding; the scores are the same.) A BPE model is
 a lattice too: the units of its result are the only path on which every two neighbouring
 pieces are what BPE makes of the two together. There a step is allowed only from an
-allowed neighbour, and the maximum picks the one path left.
+allowed neighbour, and the maximum picks the one path left. Whether two pieces may stand side
+by side is read off the merges that make each of them, undone from the last one back.
 """
 
 from __future__ import annotations
@@ -63,7 +64,18 @@ class Pieces:
         self.bytes = {int(self.texts[i][3:5], 16): int(i) for i in np.flatnonzero(kinds == 6)}
         self.unknown = int(np.flatnonzero(kinds == 2)[0])
         self.longest = max(len(self.texts[i]) for i in normal)
-        hashes = np.array([self.hash_of(self.texts[i]) for i in normal], np.uint64)
+        self.lengths = np.array([len(x) for x in self.texts], np.int64)
+        sizes = self.lengths[normal]
+        codes = np.frombuffer("".join(self.texts[i] for i in normal).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        first = np.cumsum(sizes) - sizes
+        raw, marks = np.zeros(len(normal), np.uint64), mix(codes + np.uint64(1))
+        for k in range(self.longest):
+            rows = np.flatnonzero(sizes > k)
+            raw[rows] = raw[rows] * BASE + marks[first[rows] + k]
+        self.raw = np.zeros(len(kinds), np.uint64)  # of two texts in a row: the first's times a power, plus the second's
+        self.raw[normal] = raw
+        self.powers = np.cumprod(np.array([1, *[BASE] * self.longest], np.uint64), dtype=np.uint64)
+        hashes = mix(raw)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], normal[order]
         self.maybe = np.zeros(1 << 22, bool)  # by a hash's top bits: whether any piece has them
@@ -71,11 +83,14 @@ class Pieces:
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces have the same hash")
         self.side_by_side = np.zeros(1 << 22, bool)  # by hash: neighbouring characters of some piece
-        for i in normal:
-            codes = np.array([ord(c) for c in self.texts[i]], np.uint64)
-            self.side_by_side[self.pair_slots(codes)] = True
+        inside = np.ones(len(codes), bool)
+        inside[first[sizes > 0]] = False
+        self.side_by_side[self.pair_slots(codes)[inside[1:]]] = True
         self.fits: dict[int, bool] = {}
         self.rank = {self.texts[i]: (float(self.scores[i]), int(i)) for i in normal}
+        self.score_list = self.scores.tolist()
+        if self.kind == BPE:
+            self.learn_merges(normal)
         self.floor = float(self.scores[normal].min()) - 10.0
         self.fits_pair = np.full(1 << 20, -1, np.int64)  # pairs tried lately, by hash, and what came of them
         self.fits_well = np.zeros(1 << 20, bool)
@@ -86,12 +101,26 @@ class Pieces:
         self.sizes = np.array([len(x) for x in surface], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    @staticmethod
-    def hash_of(text: str) -> int:
-        h = np.zeros(1, np.uint64)
-        for c in text:
-            h = h * BASE + mix(np.array([ord(c) + 1], np.uint64))
-        return int(mix(h)[0])
+    def learn_merges(self, normal: np.ndarray) -> None:
+        """For each piece the two parts BPE joins last, when it joins them, and whether their order tells all.
+
+        Where every part scores above what it becomes, merges come by falling score, so ``falling``
+        pieces need no simulation; a piece that BPE does not make of its own text is not ``made``.
+        """
+        n = len(self.texts)
+        self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.joined = np.full(n, np.inf)  # the score at which a piece comes to be, single characters first
+        self.made, self.falling = np.zeros(n, bool), np.zeros(n, bool)
+        symbol = lambda x: self.rank[x][1] if x in self.rank else ord(x) + CHARS
+        for i in normal[np.argsort(self.lengths[normal], kind="stable")].tolist():
+            parts = self.merged(self.texts[i], 2)
+            if len(parts) == 1:
+                self.made[i] = self.falling[i] = True
+            elif len(parts) == 2:
+                score, halves = self.score_list[i], [symbol(x) for x in parts]
+                self.left[i], self.right[i] = halves
+                self.joined[i], self.made[i] = score, True
+                self.falling[i] = all(h >= CHARS or (self.falling[h] and self.joined[h] > score) for h in halves)
 
     @staticmethod
     def pair_slots(codes: np.ndarray) -> np.ndarray:
@@ -122,15 +151,19 @@ class Pieces:
             out[some] = np.where(self.keys[at] == wanted, self.ids[at], -1)
         return out
 
-    def merged(self, text: str) -> list[str]:
-        """BPE of a short text: the neighbours whose union scores best are joined, leftmost first."""
-        parts = list(text)
-        while True:
-            best = max(((self.rank[a + b][0], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.rank), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """BPE of a short text: the neighbours whose union scores best are joined, leftmost first, down to ``least`` parts."""
+        parts, rank = list(text), self.rank
+        while len(parts) > least:
+            best, place = -np.inf, -1
+            for i in range(len(parts) - 1):
+                found = rank.get(parts[i] + parts[i + 1])
+                if found is not None and (place < 0 or found[0] > best):
+                    best, place = found[0], i
+            if place < 0:
+                break
+            parts[place : place + 2] = [parts[place] + parts[place + 1]]
+        return parts
 
     def fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether BPE leaves two neighbouring symbols as they are."""
@@ -140,19 +173,51 @@ class Pieces:
         if new.any():
             where = np.flatnonzero(new)
             seen, back = np.unique(pairs[where], return_inverse=True)
-            tried = np.empty(len(seen), bool)
-            for k, pair in enumerate(seen.tolist()):
-                x, y = (self.texts[c] if c < CHARS else chr(c - CHARS) for c in (pair >> 32, pair & 0xFFFFFFFF))
-                tried[k] = self.merged(x + y) == [x, y]
+            tried = self.tried(seen >> 32, seen & 0xFFFFFFFF)
             ok[where] = tried[back]
             self.fits_pair[slots[where]], self.fits_well[slots[where]] = pairs[where], ok[where]
         return ok
 
+    def of(self, table: np.ndarray, symbols: np.ndarray, alone: object) -> np.ndarray:
+        """A table's values of symbols, ``alone`` for the characters without a piece."""
+        return np.where(symbols < CHARS, table[np.minimum(symbols, len(table) - 1)], alone)
+
+    def tried(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``fitting`` of new pairs.
+
+        The left symbol's last part and the right one's first part meet at the seam. From the end back, the later
+        merge of the two is undone; a union of the two parts that scores above the merge that
+        comes next would have been made first (of equal scores the leftmost, so before a merge on the right).
+        """
+        ok = self.of(self.made, left, True) & self.of(self.made, right, True)
+        falling = self.of(self.falling, left, True) & self.of(self.falling, right, True)
+        for k in np.flatnonzero(ok & ~falling).tolist():
+            x, y = (self.texts[c] if c < CHARS else chr(c - CHARS) for c in (int(left[k]), int(right[k])))
+            ok[k] = self.merged(x + y) == [x, y]
+        live = np.flatnonzero(ok & falling)
+        a, b = left[live], right[live]
+        following, on_right = np.full(len(live), -np.inf), np.zeros(len(live), bool)
+        while len(live):
+            raw_a, raw_b = (self.of(self.raw, x, mix((x - CHARS + 1).astype(np.uint64))) for x in (a, b))
+            union = self.looked_up(mix(raw_a * self.powers[self.of(self.lengths, b, 1)] + raw_b))
+            score = np.where(union >= 0, self.scores[union], -np.inf)
+            crossed = (union >= 0) & ((score > following) | (on_right & (score == following)))
+            ok[live[crossed]] = False
+            time_a, time_b = self.of(self.joined, a, np.inf), self.of(self.joined, b, np.inf)
+            rows = np.flatnonzero(~crossed & (np.minimum(time_a, time_b) < np.inf))
+            live, a, b, time_a, time_b = live[rows], a[rows], b[rows], time_a[rows], time_b[rows]
+            on_right = time_b <= time_a
+            following = np.minimum(time_a, time_b)
+            a, b = np.where(on_right, a, self.of(self.right, a, -1)), np.where(on_right, self.of(self.left, b, -1), b)
+        return ok
+
     def solve(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units in a row, and how many each has."""
         segments, first = self.segments(units)
-        ids, sizes = self.solve_segments(segments)
-        return ids, np.add.reduceat(sizes, first)
+        distinct = {s: i for i, s in enumerate(dict.fromkeys(segments))}
+        ids, sizes = self.solve_segments(list(distinct))
+        which = np.fromiter(map(distinct.__getitem__, segments), np.int64, len(segments))
+        return gathered(ids, (np.cumsum(sizes) - sizes)[which], sizes[which]), np.add.reduceat(sizes[which], first)
 
     def solve_segments(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(u) for u in units], np.int64)
@@ -165,7 +230,7 @@ class Pieces:
                 counts.append(np.array([len(x) for x in alone], np.int64))
                 ids += alone
                 continue
-            step = max(1, 1_000_000 // int(size))
+            step = max(1, 250_000 // int(size))
             for at in range(0, len(rows), step):
                 some = rows[at : at + step]
                 found, n = self.solve_equal([units[i] for i in some], int(size))
@@ -194,7 +259,7 @@ class Pieces:
         codes = np.frombuffer(unit.encode("utf-32-le"), np.uint32).astype(np.uint64)
         marks = mix(codes + np.uint64(1))
         n, bpe, low = len(codes), self.kind == BPE, -np.inf
-        scores, floor = self.scores.tolist(), self.floor
+        scores, floor = self.score_list, self.floor
         best, symbol, length = array("d", [low]) * (n + 1), array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
         best[0] = 0.0
         for at in range(0, n, STRETCH):
@@ -227,48 +292,59 @@ class Pieces:
         return self.spelled(found) if (found >= CHARS).any() else found.astype(np.int32)
 
     def solve_equal(self, units: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(len(units), size).astype(np.uint64)
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(len(units), size).T.astype(np.uint64)
         marks = mix(codes + np.uint64(1))
         n = len(units)
-        best = np.full((n, size + 1), -np.inf)
-        best[:, 0] = 0.0
-        symbol = np.full((n, size + 1), -1, np.int64)  # the symbol that ends here on the best path
-        length = np.zeros((n, size + 1), np.int64)
+        best = np.full((size + 1, n), -np.inf)
+        best[0] = 0.0
+        symbol = np.full((size + 1, n), -1, np.int64)  # the symbol that ends here on the best path
+        length = np.zeros((size + 1, n), np.int64)
         for end in range(1, size + 1):
-            h, power = np.zeros(n, np.uint64), np.ones(1, np.uint64)
-            for span in range(1, min(end, self.longest) + 1):
-                start = end - span
-                h = h + marks[:, start] * power
-                power = power * BASE
-                ids = self.looked_up(mix(h))
-                if span == 1:
-                    lone = ids < 0
-                    ids = np.where(lone, codes[:, start].astype(np.int64) + CHARS, ids)
-                rows = np.flatnonzero((ids >= 0) & (best[:, start] > -np.inf))
-                if not len(rows):
-                    continue
-                here = ids[rows]
-                if self.kind == BPE:
-                    if start:
-                        rows = rows[self.fitting(symbol[rows, start], here)]
-                    score = best[rows, start] + span
-                else:
-                    score = best[rows, start] + np.where(here < CHARS, self.scores[np.minimum(here, len(self.scores) - 1)], self.floor)
-                better = score >= best[rows, end]
-                rows = rows[better]
-                best[rows, end], symbol[rows, end], length[rows, end] = score[better], ids[rows], span
+            spans = min(end, self.longest)
+            hashes = np.cumsum(marks[end - spans : end][::-1] * self.powers[:spans, None], axis=0, dtype=np.uint64)
+            ids = self.looked_up(mix(hashes).ravel()).reshape(spans, n)
+            ids[0] = np.where(ids[0] < 0, codes[end - 1].astype(np.int64) + CHARS, ids[0])
+            span, rows = np.nonzero((ids >= 0) & (best[end - spans : end][::-1] > -np.inf))
+            here, start = ids[span, rows], end - 1 - span
+            if self.kind == BPE:
+                allowed = start == 0
+                inner = np.flatnonzero(start)
+                allowed[inner] = self.fitting(symbol[start[inner], rows[inner]], here[inner])
+                span, rows, here, start = span[allowed], rows[allowed], here[allowed], start[allowed]
+                score = best[start, rows] + span + 1
+            else:
+                score = best[start, rows] + np.where(here < CHARS, self.scores[np.minimum(here, len(self.scores) - 1)], self.floor)
+            cuts = np.searchsorted(span, np.arange(spans + 1)).tolist()
+            for k in range(spans):
+                some = slice(cuts[k], cuts[k + 1])
+                better = score[some] >= best[end, rows[some]]
+                into = rows[some][better]
+                best[end, into], symbol[end, into], length[end, into] = score[some][better], here[some][better], k + 1
         # Back along the pointers, all rows together.
         place, path = np.full(n, size), []
         every = np.arange(n)
         while (place > 0).any():
             live = place > 0
-            path.append(np.where(live, symbol[every, place], -1))
-            place = place - np.where(live, length[every, place], 0)
+            path.append(np.where(live, symbol[place, every], -1))
+            place = place - np.where(live, length[place, every], 0)
         grid = np.array(path[::-1]).T
-        if (grid >= CHARS).any():
-            spelled = [self.spelled(row[row >= 0]) for row in grid]
-            return np.concatenate(spelled), np.array([len(x) for x in spelled], np.int64)
-        return grid[grid >= 0].astype(np.int32), (grid >= 0).sum(axis=1)
+        found, counts = grid[grid >= 0], (grid >= 0).sum(axis=1)
+        odd = found >= CHARS
+        if not odd.any():
+            return found.astype(np.int32), counts
+        first = np.cumsum(counts) - counts
+        if not self.bytes:  # unknown characters side by side become one
+            found[odd] = self.unknown
+            again = odd[1:] & odd[:-1]
+            again[first[1:] - 1] = False
+            kept = np.concatenate([[True], ~again])
+            return found[kept].astype(np.int32), np.add.reduceat(kept.astype(np.int64), first)
+        chars, back = np.unique(found[odd], return_inverse=True)
+        spelled = [self.spelled(chars[i : i + 1]) for i in range(len(chars))]
+        widths = np.array([len(x) for x in spelled], np.int64)
+        starts, sizes = np.arange(len(found)), np.ones(len(found), np.int64)
+        starts[odd], sizes[odd] = (len(found) + np.cumsum(widths) - widths)[back], widths[back]
+        return gathered(np.concatenate([found, *spelled]), starts, sizes).astype(np.int32), np.add.reduceat(sizes, first)
 
     def spelled(self, symbols: np.ndarray) -> np.ndarray:
         """Ids with the characters that no piece holds as bytes, or as the unknown piece."""

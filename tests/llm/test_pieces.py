@@ -90,3 +90,61 @@ def test_unigram_model(tmp_path, monkeypatch, with_bytes, few):
         assert not with_bytes or ours.decoded(ids) == text.encode()
         same += ids.tolist() == wanted
     assert same >= 180  # the others are ties
+
+
+def simulated(vocabulary, left, right):
+    """Whether plain BPE leaves the two as they are: best score first, leftmost of equal ones."""
+    text = lambda c: vocabulary.texts[c] if c < pieces.CHARS else chr(c - pieces.CHARS)
+    x, y = text(left), text(right)
+    parts = list(x + y)
+    while joins := [(vocabulary.rank[a + b][0], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in vocabulary.rank]:
+        i = -max(joins)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts == [x, y]
+
+
+def test_new_pairs_need_no_simulation(bpe, monkeypatch):
+    ours, theirs = pieces.Pieces(piece_model()), bpe[1]
+    calls = []
+    merged = pieces.Pieces.merged
+    monkeypatch.setattr(pieces.Pieces, "merged", lambda self, *a: calls.append(a) or merged(self, *a))
+    monkeypatch.setattr(pieces, "FEW", 0)
+    rng = np.random.default_rng(6)
+    parts = ["tion", "er", "ché", "wh", "é", "ont", "ing", "A", "zk", "ê", ".\n", "qu", "ß", "***", "你"]
+    texts = [" ".join("".join(rng.choice(parts, rng.integers(2, 5))) for _ in range(1000)) for _ in range(8)]
+    got = pieces.Encoder(ours).encoded(texts)
+    assert [x.tolist() for x in got] == [theirs.encode(t) for t in texts]
+    assert len(calls) < 100  # one for each new pair before
+
+
+def test_pairs_fit_as_simulated(bpe):
+    ours, _ = bpe
+    rng = np.random.default_rng(7)
+    normal = np.array([i for _, i in ours.rank.values()])
+    same = np.array([i for i in normal.tolist() if len(set(ours.texts[i])) <= 2])  # here scores are equal most
+    for some in (normal[:200], normal, same):
+        left, right = rng.choice(some, 1500), rng.choice(some, 1500)
+        right[::50] = pieces.CHARS + ord("你")
+        assert ours.fitting(left, right).tolist() == [simulated(ours, x, y) for x, y in zip(left.tolist(), right.tolist())]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_any_order_of_merges(tmp_path, seed):
+    """Scores that rise from part to whole, equal ones, pieces that BPE does not make, characters without a piece."""
+    rng = np.random.default_rng(seed)
+    model = proto.ModelProto()
+    model.trainer_spec.model_type = pieces.BPE
+    model.trainer_spec.byte_fallback = seed % 2 == 0
+    add = lambda text, score, kind: model.pieces.add(piece=text, score=score, type=kind)
+    add("<unk>", 0, 2)
+    if seed % 2 == 0:
+        for b in range(256):
+            add(f"<0x{b:02X}>", 0, 6)
+    for word in sorted({"".join(rng.choice(list("abc▁"), n)) for n in (2, 2, 2, 3, 3, 4, 4, 5, 6) for _ in range(5)} | set("ab▁")):
+        add(word, float(-rng.integers(1, 20) - (20 * len(word) if seed < 3 else 0)), 1)
+    path = tmp_path / "bpe.model"
+    path.write_bytes(model.SerializeToString())
+    ours = pieces.Pieces(str(path))
+    symbols = [i for _, i in ours.rank.values()] + [pieces.CHARS + ord("c")]
+    left, right = (x.ravel() for x in np.meshgrid(symbols, symbols))
+    assert ours.fitting(left, right).tolist() == [simulated(ours, x, y) for x, y in zip(left.tolist(), right.tolist())]
